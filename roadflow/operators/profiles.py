@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadflow.functions import levels as L
-from roadflow.operators.broadcast import bounded_broadcast
 
 V = "traffic_volume"
 
@@ -58,8 +57,9 @@ def peak_hour(df: DataFrame) -> DataFrame:
 def congestion_distribution(df: DataFrame) -> DataFrame:
     """A4: share of rows per congestion level, percent to one decimal."""
     counts = df.groupBy(L.level(V).alias("level")).agg(F.count(F.lit(1)).alias("count"))
-    total = bounded_broadcast(df.agg(F.count(F.lit(1)).alias("total")), known_rows=1)
-    return (counts.crossJoin(total)
+    # levels partition the rows, so the total is the sum of the (<= 5) counts
+    total = counts.agg(F.sum("count")).scalar()
+    return (counts.withColumn("total", total)
             .select("level", "count", pct_1dp("count", "total").alias("pct")))
 
 
@@ -81,11 +81,14 @@ def overview(df: DataFrame, metrics: DataFrame | None = None) -> DataFrame:
     dist = congestion_distribution(df).agg(
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("level", "pct"))))
         .alias("congestion_dist"))
-    out = hourly.crossJoin(F.broadcast(totals(df))).crossJoin(F.broadcast(dist))
+    t = totals(df)
+    out = hourly.select("*", t.select("avg_volume").scalar().alias("avg_volume"),
+                        t.select("total_records").scalar().alias("total_records"),
+                        dist.scalar().alias("congestion_dist"))
     if metrics is not None:
         best = metrics.agg(F.max_by(F.struct("R2", "MAE"), F.col("R2")).alias("_b"))
-        out = out.crossJoin(F.broadcast(best)).select(
-            "*", F.col("_b.R2").alias("model_r2"), F.col("_b.MAE").alias("model_mae")).drop("_b")
+        out = out.select("*", best.select("_b.R2").scalar().alias("model_r2"),
+                         best.select("_b.MAE").scalar().alias("model_mae"))
     return out
 
 
@@ -180,9 +183,10 @@ def ratios(df: DataFrame) -> DataFrame:
         F.avg(F.when(F.col("is_weekend") == 0, F.col(V))).alias("weekday_mean"),
         F.avg(F.when(F.col("is_weekend") == 1, F.col(V))).alias("weekend_mean"))
     hr = hourly_means(df).agg(F.max("mean_volume").alias("hmax"), F.min("mean_volume").alias("hmin"))
-    return wk.crossJoin(hr).select(
+    return wk.select(
         F.bround(F.try_divide("weekday_mean", "weekend_mean"), 6).alias("weekday_weekend_ratio"),
-        F.bround(F.try_divide("hmax", "hmin"), 6).alias("peak_valley_ratio"))
+        F.bround(F.try_divide(hr.select("hmax").scalar(), hr.select("hmin").scalar()), 6)
+        .alias("peak_valley_ratio"))
 
 
 def window_means(df: DataFrame) -> DataFrame:
