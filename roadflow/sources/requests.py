@@ -27,10 +27,10 @@ def decode_requests(df: DataFrame, text_col: str = "body", id_col: str = "reques
     r = F.from_json(F.col(text_col), RAW_REQUEST_SCHEMA)
     cols: list[Column] = [F.col(id_col)]
     for f in INT_FIELDS:
-        cols.append(F.coalesce(F.try_cast(r[f], T.DoubleType()).cast("int"),
+        cols.append(F.coalesce(r[f].try_cast(T.DoubleType()).cast("int"),
                                F.lit(S.REQUEST_DEFAULTS[f])).alias(f))
     for f in DOUBLE_FIELDS:
-        cols.append(F.coalesce(F.try_cast(r[f], T.DoubleType()),
+        cols.append(F.coalesce(r[f].try_cast(T.DoubleType()),
                                F.lit(float(S.REQUEST_DEFAULTS[f]))).alias(f))
     cols.append(F.coalesce(r["weather"], F.lit(S.REQUEST_DEFAULTS["weather"])).alias("weather"))
     return df.select(*cols)
