@@ -141,3 +141,11 @@ def split_sizes(n: int, cuts=(0.8,)) -> list[int]:
 
 def random_test_size(n: int, frac: float = 0.2) -> int:
     return int(math.ceil(n * frac))
+
+
+def split_report(df: DataFrame, split: str = "split", ts: str = "date_time",
+                 y: str = "traffic_volume") -> DataFrame:
+    """Rows, first/last time and target range per split."""
+    return df.groupBy(split).agg(
+        F.count(F.lit(1)).alias("rows"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"),
+        F.min(y).alias("min_volume"), F.max(y).alias("max_volume"))
