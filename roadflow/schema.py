@@ -125,6 +125,9 @@ MODEL_CATEGORIES = {
                   "AdaBoost", "Gradient Boosting", "XGBoost", "LightGBM"],
     "DL Models": ["LSTM", "BiLSTM", "GRU", "CNN-LSTM", "Transformer"],
 }
+# Our SQL-expressible baseline predictors (train means), reported as a category.
+BASELINE_MODELS = ["Global Mean", "Hourly Mean", "Weather Mean", "Day-Hour Mean"]
+REPORT_CATEGORIES = {**MODEL_CATEGORIES, "Baselines": BASELINE_MODELS}
 
 # --------------------------------------------------------------------------
 # Our own definitions for published-only breakdowns (no code to follow)
@@ -136,4 +139,7 @@ PERIODS = (("night", 0, 5), ("morning", 6, 9), ("midday", 10, 13),
 WINDOWS = (("morning_rush", 6, 9), ("evening_rush", 15, 18), ("night_valley", 0, 4))
 HISTOGRAM_WIDTH = 500
 HISTOGRAM_TOP_BIN = 11          # 5,500 and above
-RESIDUAL_EDGES = (-1000, -500, -250, -100, 0, 100, 250, 500, 1000)
+
+# Residual (predicted - actual) histogram edges, left-closed,
+# the last bin open-ended, residuals below the first edge dropped.
+RESIDUAL_EDGES = (-1000, -800, -600, -400, -200, -100, 0, 100, 200, 400, 600, 800, 1000)
