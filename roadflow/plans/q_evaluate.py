@@ -258,3 +258,24 @@ def q_align(spark, sf):
     actual = t.where(F.col("model") == "Global Mean").select("row_idx", "actual")
     pred = t.where(F.col("model") == "Hourly Mean").select("row_idx", "predicted")
     return Ev.align(pred, actual)
+
+
+_KNN_COLS = ["hour", "dow", "clouds_all", "weather_enc", "is_weekend", "rush_hour"]
+_KNN_DIST = " + ".join(f"(q.{c} - t.{c}) * (q.{c} - t.{c})" for c in _KNN_COLS)
+
+
+@register("knn_predict", Q.with_events(f"""
+ix AS (SELECT *, {IDX} AS row_idx, count(*) OVER () AS n FROM feat),
+sp AS (SELECT *, CASE WHEN row_idx < CAST(floor(n * CAST(0.8 AS DOUBLE)) AS BIGINT) THEN 'train' ELSE 'test' END AS split FROM ix),
+d AS (SELECT q.row_idx AS qid, t.row_idx AS tid, CAST(t.traffic_volume AS DOUBLE) AS y, {_KNN_DIST} AS dist
+      FROM (SELECT * FROM sp WHERE split = 'test') q, (SELECT * FROM sp WHERE split = 'train') t),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, tid) AS rn FROM d)""") + """
+SELECT qid AS row_idx, round_even(avg(y), 6) AS predicted, count(*) AS neighbours FROM r WHERE rn <= 10 GROUP BY qid""")
+def q_knn_predict(spark, sf):
+    """Exact 10-NN regression of each test row on the train split
+    (integer-valued calendar/weather features, unscaled)."""
+    from roadflow.operators.neighbours import knn_predict
+    sp = O.chrono_split(events_feat(spark, sf, encode=True))
+    train, test = sp.where(F.col("split") == "train"), sp.where(F.col("split") == "test")
+    p = knn_predict(train, test, _KNN_COLS, k=10)
+    return p.select("row_idx", F.bround("predicted", 6).alias("predicted"), "neighbours")
