@@ -181,3 +181,11 @@ def q_scenario_features(spark, sf):
     cols = ["request_id", "hour", "dow", "month", "quarter", "is_weekend", "temp_c", "rain_1h", "snow_1h",
             "clouds_all", "weather_enc", "weather_known", "rush_hour", "night"]
     return df.select(*cols, *[_r9(F.col(c)).alias(c) for c in _ROUNDED if c != "temp_c"])
+
+
+@register("stream_requests", "WITH " + REQUESTS_SQL + f"\nSELECT {REQ_COLS} FROM req")
+def q_stream_requests(spark, sf):
+    """S3 on a stream: requests decoded micro-batch by micro-batch from the
+    ``events`` file stream (availableNow), sink read back as a table."""
+    from roadflow.streaming.scoring import request_stream, run_available
+    return run_available(request_stream(spark, sf), "requests").select(*REQ_COLS.split(", "))

@@ -134,3 +134,14 @@ def q_model_scenario(spark, sf):
     return s.select("request_id", "base_avg", "mod_avg",
                     F.array_join(F.col("base_curve").cast("array<string>"), ",").alias("base_curve"),
                     F.array_join(F.col("modified_curve").cast("array<string>"), ",").alias("modified_curve"))
+
+
+@register("score_stream")
+def q_score_stream(spark, sf):
+    """ST1: the serving model scores the request stream (availableNow)."""
+    from pyspark.sql import functions as F2
+    from roadflow.streaming.scoring import request_stream, run_available, score_stream
+    scored = score_stream(request_stream(spark, sf), model_predictor(spark, sf))
+    out = scored.select("request_id", "volume", "level", "color", "risk",
+                        F2.array_join("factors", " | ").alias("factors"))
+    return run_available(out, "scores")

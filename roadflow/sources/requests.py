@@ -37,12 +37,16 @@ def decode_requests(df: DataFrame, text_col: str = "body", id_col: str = "reques
 
 
 def requests_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One request per ``events`` row, as JSON text with some fields omitted.
+    """One request per ``events`` row, as JSON text with some fields omitted."""
+    return events_to_requests(load_table(spark, sf_dir, "events"))
+
+
+def events_to_requests(ev: DataFrame) -> DataFrame:
+    """Request JSON per event row (batch or stream).
 
     Omitted fields (null → dropped by ``to_json``) exercise the defaults; one
     user in seven asks for an unseen weather label.
     """
-    ev = load_table(spark, sf_dir, "events")
     k = F.regexp_extract("props", "[0-9]+", 0).cast("int")
     et, uid = F.col("event_type"), F.col("user_id")
     weather = (F.when(uid % 7 == 0, "Haze").when(et == "view", "Clear").when(et == "click", "Clouds")
