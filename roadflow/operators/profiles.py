@@ -206,3 +206,12 @@ def peak_windows(df: DataFrame, k: int = 6) -> DataFrame:
                       L.level("mean_volume").alias("level"),
                       L.level_color("mean_volume").alias("color"),
                       L.risk("mean_volume").alias("risk"))
+
+
+def hour_circle(df: DataFrame) -> DataFrame:
+    """F10 view: each hour's mean volume placed on the 24-hour circle."""
+    import math
+    hm = hourly_means(df)
+    angle = F.lit(2 * math.pi) * F.col("hour") / 24
+    return hm.select("hour", F.bround(F.sin(angle), 9).alias("x"), F.bround(F.cos(angle), 9).alias("y"),
+                     F.bround("mean_volume").cast("bigint").alias("avg_volume"))

@@ -279,3 +279,18 @@ def q_knn_predict(spark, sf):
     train, test = sp.where(F.col("split") == "train"), sp.where(F.col("split") == "test")
     p = knn_predict(train, test, _KNN_COLS, k=10)
     return p.select("row_idx", F.bround("predicted", 6).alias("predicted"), "neighbours")
+
+
+@register("overview_with_model", _with_preds(f"mm AS ({_metrics_sql('tp', 'model')})") + """,
+hx AS (SELECT hour, avg(traffic_volume) AS m FROM feat WHERE hour IS NOT NULL GROUP BY hour)
+SELECT (SELECT hour FROM hx ORDER BY m DESC, hour LIMIT 1) AS peak_hour,
+       (SELECT CAST(trunc(max(m)) AS BIGINT) FROM hx) AS peak_volume,
+       (SELECT CAST(trunc(avg(traffic_volume)) AS BIGINT) FROM feat) AS avg_volume,
+       (SELECT count(*) FROM feat) AS total_records,
+       (SELECT arg_max(R2, R2) FROM mm) AS model_r2, (SELECT arg_max(MAE, R2) FROM mm) AS model_mae""")
+def q_overview_with_model(spark, sf):
+    """A5: overview KPIs with R² / MAE of the best evaluated model (not constants)."""
+    from roadflow.operators.profiles import overview
+    metrics = Ev.evaluate(_test(spark, sf))
+    o = overview(events_feat(spark, sf), metrics)
+    return o.select("peak_hour", "peak_volume", "avg_volume", "total_records", "model_r2", "model_mae")

@@ -169,3 +169,12 @@ def q_overview(spark, sf):
         F.array_join(F.transform(F.map_entries("congestion_dist"),
                                  lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))),
                      ",").alias("congestion_dist"))
+
+
+@register("hour_circle", Q.with_events("""
+hm AS (SELECT hour, avg(traffic_volume) AS m FROM feat WHERE hour IS NOT NULL GROUP BY hour)""") + """
+SELECT hour, round_even(sin(2 * pi() * hour / 24), 9) AS x, round_even(cos(2 * pi() * hour / 24), 9) AS y,
+       CAST(round_even(m, 0) AS BIGINT) AS avg_volume FROM hm""")
+def q_hour_circle(spark, sf):
+    """hourly means on the 24-hour circle (cyclic encoding table)."""
+    return P.hour_circle(events_feat(spark, sf))
