@@ -103,26 +103,43 @@ def confusion(preds: DataFrame, by=("model",)) -> DataFrame:
 
 def class_report(preds: DataFrame, by=("model",), digits: int = 4) -> DataFrame:
     """Precision, recall, F1, support per level, plus the support-weighted
-    average row ('weighted avg'), as scikit-learn's report (0 when undefined)."""
+    average row ('weighted avg'), as scikit-learn's report (0 when undefined).
+
+    One aggregate pass over the (tiny) level-count table: each count row is
+    exploded into its actual-level and predicted-level contributions, so
+    support, predicted count and true positives come out of a single
+    ``groupBy`` (no self-join); the weighted average is a window over the at
+    most four level rows of each model.
+    """
     c = level_counts(preds, by)
-    byc = [F.col(b) for b in by]
-    sup = c.groupBy(*byc, F.col("actual_level").alias("level")).agg(
-        F.sum("count").alias("support"),
-        F.sum(F.when(F.col("actual_level") == F.col("predicted_level"), F.col("count")).otherwise(0)).alias("tp"))
-    prd = c.groupBy(*byc, F.col("predicted_level").alias("level")).agg(F.sum("count").alias("predicted"))
-    j = sup.join(prd, [*by, "level"], "full_outer").na.fill(0, ["support", "tp", "predicted"])
+    hit = F.when(F.col("actual_level") == F.col("predicted_level"), F.col("count")).otherwise(0)
+    side = F.explode(F.array(
+        F.struct(F.col("actual_level").alias("level"), F.col("count").alias("sup"), F.lit(0).cast("bigint").alias("prd"),
+                 hit.cast("bigint").alias("tp")),
+        F.struct(F.col("predicted_level").alias("level"), F.lit(0).cast("bigint").alias("sup"),
+                 F.col("count").alias("prd"), F.lit(0).cast("bigint").alias("tp"))))
+    per = (c.select(*by, side.alias("s")).groupBy(*by, F.col("s.level").alias("level"))
+           .agg(F.sum("s.sup").alias("support"), F.sum("s.prd").alias("predicted"), F.sum("s.tp").alias("tp")))
     prec = F.coalesce(F.try_divide(F.col("tp"), F.col("predicted")), F.lit(0.0))
     rec = F.coalesce(F.try_divide(F.col("tp"), F.col("support")), F.lit(0.0))
-    j = j.withColumns({"precision": prec, "recall": rec})
-    j = j.withColumn("f1", F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"),
-                                                   F.col("precision") + F.col("recall")), F.lit(0.0)))
-    per = j.select(*by, "level", "precision", "recall", "f1", "support")
-    wavg = per.groupBy(*by).agg(
-        *[F.try_divide(F.sum(F.col(m) * F.col("support")), F.sum("support")).alias(m)
-          for m in ("precision", "recall", "f1")], F.sum("support").alias("support"))
-    allrows = per.unionByName(wavg.withColumn("level", F.lit("weighted avg")))
-    return allrows.select(*by, "level", *[F.bround(m, digits).alias(m) for m in ("precision", "recall", "f1")],
-                          F.col("support").cast("bigint").alias("support"))
+    per = per.withColumns({"precision": prec, "recall": rec})
+    per = per.withColumn("f1", F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"),
+                                                       F.col("precision") + F.col("recall")), F.lit(0.0)))
+    w = Window.partitionBy(*by)
+    total = F.sum("support").over(w)
+    wavg = {m: F.try_divide(F.sum(F.col(m) * F.col("support")).over(w), total) for m in ("precision", "recall", "f1")}
+    # each level row also carries its model's weighted average; the average
+    # rows are emitted once per model (from the first level in name order).
+    per = per.withColumns({"_wp": wavg["precision"], "_wr": wavg["recall"], "_wf": wavg["f1"], "_wt": total,
+                           "_first": F.row_number().over(w.orderBy("level")) == 1})
+    rows = F.array(
+        F.struct(F.col("level"), F.col("precision"), F.col("recall"), F.col("f1"), F.col("support"),
+                 F.lit(True).alias("keep")),
+        F.struct(F.lit("weighted avg").alias("level"), F.col("_wp").alias("precision"), F.col("_wr").alias("recall"),
+                 F.col("_wf").alias("f1"), F.col("_wt").alias("support"), F.col("_first").alias("keep")))
+    out = per.select(*by, F.inline(rows)).where("keep")
+    return out.select(*by, "level", *[F.bround(m, digits).alias(m) for m in ("precision", "recall", "f1")],
+                      F.col("support").cast("bigint").alias("support"))
 
 
 def by_period(preds: DataFrame) -> DataFrame:
