@@ -27,33 +27,42 @@ CAND_SCHEMA = "qid long, tid long, dist double, y double"
 
 
 def _topk_kernel(cols, k, batch=512):
+    """Exact top-k by (distance, train id), fully vectorised per query batch.
+
+    The train block is sorted by id, so among equal distances a lower column
+    index is a lower id.  Per query row: the k-th smallest distance ``kth``;
+    every column strictly closer is kept, and the remaining slots are filled
+    with the lowest-index columns at exactly ``kth`` (a cumulative count over
+    the tie mask) - k columns per row, ties resolved exactly.
+    """
     def run(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         if q.empty or t.empty:
             return pd.DataFrame({"qid": [], "tid": [], "dist": [], "y": []})
+        t = t.sort_values("_tid", kind="stable")
         tq = [q[c].to_numpy(np.float64) for c in cols]
         tt = [t[c].to_numpy(np.float64) for c in cols]
         tid, ty = t["_tid"].to_numpy(np.int64), t["_y"].to_numpy(np.float64)
         qid = q["_qid"].to_numpy(np.int64)
         kk = min(k, len(tid))
-        out_q, out_t, out_d, out_y = [], [], [], []
+        parts = []
+        buf_d = np.empty((batch, len(tid)))
+        buf_t = np.empty((batch, len(tid)))
         for s in range(0, len(qid), batch):
             e = min(s + batch, len(qid))
-            d = np.zeros((e - s, len(tid)))
-            for a, b in zip(tq, tt):
-                diff = a[s:e, None] - b[None, :]
-                d += diff * diff
-            # k-th smallest distance per row, then exact (dist, tid) order
-            kth = np.partition(d, kk - 1, axis=1)[:, kk - 1]
-            for i in range(e - s):
-                cand = np.nonzero(d[i] <= kth[i])[0]
-                order = np.lexsort((tid[cand], d[i, cand]))[:kk]
-                sel = cand[order]
-                out_q.append(np.full(len(sel), qid[s + i]))
-                out_t.append(tid[sel])
-                out_d.append(d[i, sel])
-                out_y.append(ty[sel])
-        return pd.DataFrame({"qid": np.concatenate(out_q), "tid": np.concatenate(out_t),
-                             "dist": np.concatenate(out_d), "y": np.concatenate(out_y)})
+            d, tmp = buf_d[: e - s], buf_t[: e - s]
+            d.fill(0.0)
+            for a, b in zip(tq, tt):   # same left-to-right sum as the SQL oracle
+                np.subtract(a[s:e, None], b[None, :], out=tmp)
+                np.multiply(tmp, tmp, out=tmp)
+                d += tmp
+            kth = np.partition(d, kk - 1, axis=1)[:, kk - 1:kk]
+            closer = d < kth
+            need = kk - closer.sum(axis=1, keepdims=True)
+            tie = d == kth
+            keep = closer | (tie & (np.cumsum(tie, axis=1) <= need))
+            r, c = np.nonzero(keep)
+            parts.append(pd.DataFrame({"qid": qid[s + r], "tid": tid[c], "dist": d[r, c], "y": ty[c]}))
+        return pd.concat(parts, ignore_index=True)
     return run
 
 

@@ -29,8 +29,10 @@ def stat(stats: DataFrame, name: str):
 
 
 def apply_scaler(df: DataFrame, stats: DataFrame, cols, suffix: str = "") -> DataFrame:
-    scaled = {f"{c}{suffix}": (F.col(c).cast("double") - stat(stats, f"{c}__mean"))
-              / stat(stats, f"{c}__std") for c in cols}
+    """Standardise ``cols`` with the fitted one-row ``stats`` (one scalar
+    subquery returning the whole stats row as a struct)."""
+    s = stats.select(F.struct(*stats.columns).alias("_s")).scalar()
+    scaled = {f"{c}{suffix}": (F.col(c).cast("double") - s[f"{c}__mean"]) / s[f"{c}__std"] for c in cols}
     return df.withColumns(scaled)
 
 

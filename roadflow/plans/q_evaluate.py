@@ -294,3 +294,40 @@ def q_overview_with_model(spark, sf):
     metrics = Ev.evaluate(_test(spark, sf))
     o = overview(events_feat(spark, sf), metrics)
     return o.select("peak_hour", "peak_volume", "avg_volume", "total_records", "model_r2", "model_mae")
+
+
+@register("csv_roundtrip", _with_preds() + f"""
+SELECT model, row_idx, actual, round_even(predicted, 6) AS predicted, {Q.emoji('actual', True)} AS actual_level FROM tp""")
+def q_csv_roundtrip(spark, sf):
+    """S5 + S1: the per-row result table written as CSV (header) into the
+    shared checkpoint folder and scanned back with a declared schema."""
+    import uuid
+
+    from roadflow.session import ensure_checkpoint_dir
+    from roadflow.sources.sinks import write_csv
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/predictions-{uuid.uuid4().hex}"
+    t = Ev.prediction_table(_test(spark, sf)).select(
+        "model", "row_idx", "actual", F.bround("predicted", 6).alias("predicted"), "actual_level")
+    write_csv(t, path)
+    return spark.read.schema("model string, row_idx long, actual double, predicted double, actual_level string") \
+        .option("header", True).csv(path)
+
+
+@register("run_config", _with_preds(f"mm AS ({_metrics_sql('tp', 'model')})") + """
+SELECT 24 AS seq_len, 18 AS input_dim, 'hour,dow,month,quarter,is_weekend,temp_c,rain_1h,snow_1h,clouds_all,weather_enc,rush_hour,night,hour_sin,hour_cos,dow_sin,dow_cos,month_sin,month_cos' AS features,
+       MAE AS mae, RMSE AS rmse, R2 AS r2 FROM mm WHERE model = 'Day-Hour Mean'""")
+def q_run_config(spark, sf):
+    """Run metadata (sequence length, features, metrics) written as JSON
+    into the shared checkpoint folder and read back."""
+    import uuid
+
+    from roadflow.session import ensure_checkpoint_dir
+    from roadflow.sources.sinks import write_run_config
+    m = Ev.evaluate(_test(spark, sf)).where(F.col("model") == "Day-Hour Mean")
+    cfg = m.select(F.lit(24).alias("seq_len"), F.lit(len(S.FS18)).alias("input_dim"),
+                   F.lit(",".join(S.FS18)).alias("features"), F.col("MAE").alias("mae"),
+                   F.col("RMSE").alias("rmse"), F.col("R2").alias("r2"))
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/runs/config-{uuid.uuid4().hex}"
+    write_run_config(cfg, path)
+    return spark.read.schema("seq_len int, input_dim int, features string, mae double, rmse double, r2 double") \
+        .json(path)

@@ -189,3 +189,27 @@ def q_stream_requests(spark, sf):
     ``events`` file stream (availableNow), sink read back as a table."""
     from roadflow.streaming.scoring import request_stream, run_available
     return run_available(request_stream(spark, sf), "requests").select(*REQ_COLS.split(", "))
+
+
+@register("feature_matrix", Q.with_orders() + "\nSELECT obs_id, " + ", ".join(
+    f"CAST({c} AS FLOAT) AS {c}" for c in S.FS18) + ", CAST(traffic_volume AS FLOAT) AS label FROM feat WHERE "
+    + " AND ".join(f"{c} IS NOT NULL" for c in S.FS18))
+def q_feature_matrix(spark, sf):
+    """P5 + P8: rows complete in FS18 (subset null drop), cast to float32 as the
+    reference's feature matrix."""
+    df = Fe.drop_incomplete(orders_feat_encoded(spark, sf), subset=S.FS18)
+    return Fe.cast_columns(df.withColumnRenamed("traffic_volume", "label"),
+                           {c: "float" for c in S.FS18 + ["label"]}).select("obs_id", *S.FS18, "label")
+
+
+@register("rename_columns", Q.with_events() + """
+SELECT obs_id, date_time AS ts, weather_main AS weather, traffic_volume AS volume FROM obs""")
+def q_rename_columns(spark, sf):
+    """Rename columns by mapping."""
+    df = Fe.rename(events_obs(spark, sf), {"date_time": "ts", "weather_main": "weather", "traffic_volume": "volume"})
+    return df.select("obs_id", "ts", "weather", "volume")
+
+
+def orders_feat_encoded(spark, sf):
+    from roadflow.plans.common import orders_feat
+    return orders_feat(spark, sf, encode=True)

@@ -145,3 +145,18 @@ def q_score_stream(spark, sf):
     out = scored.select("request_id", "volume", "level", "color", "risk",
                         F2.array_join("factors", " | ").alias("factors"))
     return run_available(out, "scores")
+
+
+@register("model_roundtrip")
+def q_model_roundtrip(spark, sf):
+    """The serving pipeline and its vocabulary saved to the shared folder,
+    loaded back, and used to score the test split."""
+    import uuid
+
+    from roadflow.session import ensure_checkpoint_dir
+    from roadflow.sources.sinks import load_model, save_model
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/models/serving-{uuid.uuid4().hex}"
+    save_model(fitted(spark, sf, "XGBoost"), path, {"vocab": fit_labels(events_obs(spark, sf))})
+    model, state = load_model(spark, path, ["vocab"])
+    _, test = split_frames(spark, sf)
+    return M.predict(model, test).select("row_idx", "traffic_volume", F.bround("predicted", 6).alias("predicted"))
