@@ -1,8 +1,10 @@
 """Fitted scaling state as one-row DataFrames.
 
-Statistics are computed on the train split only and applied as scalar
-subqueries (Spark merges the subqueries over one aggregate and runs it once),
-so training and serving use the same state and no join is planned.
+Statistics are computed on the train split only (one aggregate job, partial +
+final).  Applying them is a map-only projection: the fitted row (a few
+scalars - model parameters, not data) is read once and the values enter the
+plan as literals, as MLlib's own scalers do.  Training and serving use the
+same fitted state, and no join or subquery is planned.
 """
 
 from __future__ import annotations
@@ -23,16 +25,17 @@ def fit_scaler(train: DataFrame, cols) -> DataFrame:
     return train.agg(*aggs)
 
 
-def stat(stats: DataFrame, name: str):
-    """One value of a one-row state frame as a scalar-subquery column."""
-    return stats.select(name).scalar()
+def fitted_values(stats: DataFrame) -> dict:
+    """The fitted one-row state as plain numbers (one small job)."""
+    row = stats.first()
+    return row.asDict() if row is not None else {}
 
 
-def apply_scaler(df: DataFrame, stats: DataFrame, cols, suffix: str = "") -> DataFrame:
-    """Standardise ``cols`` with the fitted one-row ``stats`` (one scalar
-    subquery returning the whole stats row as a struct)."""
-    s = stats.select(F.struct(*stats.columns).alias("_s")).scalar()
-    scaled = {f"{c}{suffix}": (F.col(c).cast("double") - s[f"{c}__mean"]) / s[f"{c}__std"] for c in cols}
+def apply_scaler(df: DataFrame, stats, cols, suffix: str = "") -> DataFrame:
+    """Standardise ``cols`` with fitted ``stats`` (one-row frame or its dict)."""
+    v = stats if isinstance(stats, dict) else fitted_values(stats)
+    scaled = {f"{c}{suffix}": (F.col(c).cast("double") - F.lit(v[f"{c}__mean"])) / F.lit(v[f"{c}__std"])
+              for c in cols}
     return df.withColumns(scaled)
 
 
@@ -50,10 +53,11 @@ def fit_target_scale(train: DataFrame, y: str = S.TARGET, kind: str = "minmax_ep
     raise ValueError(kind)
 
 
-def scale_target(df: DataFrame, stats: DataFrame, y: str = S.TARGET, out: str = "y_scaled") -> DataFrame:
-    return df.withColumn(out, (F.col(y).cast("double") - stat(stats, "t_shift"))
-                         / stat(stats, "t_scale"))
+def scale_target(df: DataFrame, stats, y: str = S.TARGET, out: str = "y_scaled") -> DataFrame:
+    v = stats if isinstance(stats, dict) else fitted_values(stats)
+    return df.withColumn(out, (F.col(y).cast("double") - F.lit(v["t_shift"])) / F.lit(v["t_scale"]))
 
 
-def unscale_target(df: DataFrame, stats: DataFrame, col: str = "y_scaled", out: str = "y_unscaled") -> DataFrame:
-    return df.withColumn(out, F.col(col) * stat(stats, "t_scale") + stat(stats, "t_shift"))
+def unscale_target(df: DataFrame, stats, col: str = "y_scaled", out: str = "y_unscaled") -> DataFrame:
+    v = stats if isinstance(stats, dict) else fitted_values(stats)
+    return df.withColumn(out, F.col(col) * F.lit(v["t_scale"]) + F.lit(v["t_shift"]))
