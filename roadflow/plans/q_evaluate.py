@@ -226,7 +226,7 @@ def q_with_category(spark, sf):
 
 
 @register("rank_models", _with_preds(f"mm AS ({_metrics_sql('tp', 'model')})") + """
-SELECT model, R2, MAE, row_number() OVER (ORDER BY R2 DESC, model) AS rank FROM mm""")
+SELECT model, R2, MAE, CAST(row_number() OVER (ORDER BY R2 DESC, model) AS INTEGER) AS rank FROM mm""")
 def q_rank_models(spark, sf):
     """Models ranked by R²."""
     return Ev.rank_models(Ev.evaluate(_test(spark, sf))).select("model", "R2", "MAE", "rank")

@@ -93,8 +93,8 @@ def q_only_weekend(spark, sf):
 @register("heatmap_json", Q.with_events(f"""
 h AS (SELECT dow, hour, {Q.mean_int()} AS volume FROM feat
       WHERE dow IS NOT NULL AND hour IS NOT NULL GROUP BY dow, hour)""") + f"""
-SELECT to_json({{'dow': dow, 'hour': hour, 'volume': volume, 'level': {Q.level('volume')},
-                'color': {Q.color('volume')}, 'risk': {Q.risk('volume')}}}) AS json FROM h""")
+SELECT CAST(to_json({{'dow': dow, 'hour': hour, 'volume': volume, 'level': {Q.level('volume')},
+                'color': {Q.color('volume')}, 'risk': {Q.risk('volume')}}}) AS VARCHAR) AS json FROM h""")
 def q_heatmap_json(spark, sf):
     """Heatmap answer encoded as one JSON record per cell."""
     return to_json_records(P.heatmap(events_feat(spark, sf)))
@@ -104,9 +104,9 @@ _K = "CAST(regexp_extract(props, '[0-9]+', 0) AS INTEGER)"
 REQUESTS_SQL = f"""
 req AS (
   SELECT event_id AS request_id,
-    CASE WHEN event_type <> 'signup' THEN hour(ts) ELSE 8 END AS hour,
-    CASE WHEN event_type <> 'view' THEN isodow(ts) - 1 ELSE 0 END AS dow,
-    CASE WHEN event_type <> 'click' THEN {_K} % 12 + 1 ELSE 6 END AS month,
+    CAST(CASE WHEN event_type <> 'signup' THEN hour(ts) ELSE 8 END AS INTEGER) AS hour,
+    CAST(CASE WHEN event_type <> 'view' THEN isodow(ts) - 1 ELSE 0 END AS INTEGER) AS dow,
+    CAST(CASE WHEN event_type <> 'click' THEN {_K} % 12 + 1 ELSE 6 END AS INTEGER) AS month,
     CASE WHEN event_type <> 'error' THEN CAST({_K} AS DOUBLE) * 0.5 - 10.0 ELSE 15.0 END::DOUBLE AS temp_c,
     CASE WHEN event_type = 'purchase' THEN CAST({_K} AS DOUBLE) / 10 ELSE 0.0 END::DOUBLE AS rain,
     CASE WHEN event_type = 'error' THEN CAST({_K} AS DOUBLE) / 100 ELSE 0.0 END::DOUBLE AS snow,
@@ -154,7 +154,7 @@ ELSE list_filter([
 
 
 @register("request_factors", "WITH " + REQUESTS_SQL + f"""
-SELECT request_id, array_to_string({FACTORS_SQL}, ' | ') AS factors, len({FACTORS_SQL}) AS n_factors FROM req""")
+SELECT request_id, array_to_string({FACTORS_SQL}, ' | ') AS factors, CAST(len({FACTORS_SQL}) AS INTEGER) AS n_factors FROM req""")
 def q_request_factors(spark, sf):
     """explanation factors per request (joined for comparison)."""
     f = L.factors("hour", "dow", "rain", "snow")

@@ -125,7 +125,7 @@ def q_sequence_steps(spark, sf):
 @register("sequence_counts", Q.with_orders(_SPLIT3, """
 px AS (SELECT *, row_idx - min(row_idx) OVER (PARTITION BY split) AS pos FROM sp)""") + """
 SELECT split, count(*) AS n_sequences, min(row_idx) AS first_label_idx, max(row_idx) AS last_label_idx,
-       sum(traffic_volume) AS label_sum FROM px WHERE pos >= 24 GROUP BY split""")
+       CAST(sum(traffic_volume) AS BIGINT) AS label_sum FROM px WHERE pos >= 24 GROUP BY split""")
 def q_sequence_counts(spark, sf):
     """Sequences kept inside each 70/15/15 split (none crosses a boundary)."""
     sp = O.chrono_split(orders_feat(spark, sf, encode=True), cuts=(0.7, 0.85),

@@ -59,7 +59,7 @@ _CORR_SQL = Q.with_orders(
 SELECT feature, {_DISPLAY_CASE} AS display_name, corr, abs(corr) AS abs_corr,
        CASE WHEN corr IS NULL THEN NULL WHEN corr <= -0.3 THEN 'Negative' WHEN abs(corr) >= 0.3 THEN 'Strong'
             WHEN abs(corr) >= 0.15 THEN 'Moderate' ELSE 'Weak' END AS strength,
-       row_number() OVER (ORDER BY abs(corr) DESC NULLS LAST, feature) AS rank FROM c2"""
+       CAST(row_number() OVER (ORDER BY abs(corr) DESC NULLS LAST, feature) AS INTEGER) AS rank FROM c2"""
 
 
 @register("correlations", _CORR_SQL)

@@ -14,7 +14,7 @@ from roadflow.plans.q_features import REQUESTS_SQL, requests
 _BASE_SQL = Q.with_events(REQUESTS_SQL, """
 dm AS (SELECT dow, hour, avg(CAST(traffic_volume AS DOUBLE)) AS m FROM feat GROUP BY dow, hour),
 g AS (SELECT avg(CAST(traffic_volume AS DOUBLE)) AS gm FROM feat),
-rh AS (SELECT r.*, h.hour AS fh FROM req r, (SELECT range AS hour FROM range(24)) h),
+rh AS (SELECT r.*, CAST(h.hour AS INTEGER) AS fh FROM req r, (SELECT range AS hour FROM range(24)) h),
 bv AS (SELECT rh.*, greatest(coalesce(dm.m, g.gm), 0.0) AS v FROM rh LEFT JOIN dm ON rh.dow = dm.dow AND rh.fh = dm.hour, g),
 sc AS (SELECT request_id, fh AS hour, CAST(round_even(v, 0) AS BIGINT) AS base,
               CAST(round_even(greatest(v * (1 - weather_severity / 100 * 0.3) * (1 + special_event / 100 * 0.4)

@@ -45,11 +45,11 @@ vocab AS (
 ),
 feat AS (
   SELECT o.*,
-         hour(date_time) AS hour,
-         isodow(date_time) - 1 AS dow,
-         month(date_time) AS month,
-         quarter(date_time) AS quarter,
-         year(date_time) AS year,
+         CAST(hour(date_time) AS INTEGER) AS hour,
+         CAST(isodow(date_time) - 1 AS INTEGER) AS dow,
+         CAST(month(date_time) AS INTEGER) AS month,
+         CAST(quarter(date_time) AS INTEGER) AS quarter,
+         CAST(year(date_time) AS INTEGER) AS year,
          CASE WHEN isodow(date_time) - 1 >= 5 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS is_weekend,
          CASE WHEN holiday IS NOT NULL AND holiday <> 'None' THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS is_holiday,
          temp - CAST(273.15 AS DOUBLE) AS temp_c,
