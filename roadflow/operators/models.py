@@ -129,11 +129,26 @@ def train_context(train: DataFrame, y: str = S.TARGET) -> dict:
     return {"n": r["n"], "y_std": r["s"] or 1.0}
 
 
+def fit_state(train: DataFrame, cols, y: str = S.TARGET) -> tuple[dict, dict]:
+    """Label statistics and the feature scaler in ONE aggregate pass."""
+    extra = [F.count(F.lit(1)).alias("__n"), F.stddev_pop(F.col(y).cast("double")).alias("__ystd")]
+    aggs = [F.avg(F.col(c).cast("double")).alias(f"{c}__mean") for c in cols]
+    aggs += [F.stddev_pop(F.col(c).cast("double")).alias(f"{c}__sd") for c in cols]
+    row = train.agg(*aggs, *extra).first()
+    stats = {}
+    for c in cols:
+        sd = row[f"{c}__sd"]
+        stats[c] = (row[f"{c}__mean"], 1.0 if not sd else sd)
+    return {"n": row["__n"], "y_std": row["__ystd"] or 1.0}, stats
+
+
 def fit_model(train: DataFrame, spec: ModelSpec, cols=S.FS18, y: str = S.TARGET,
               ctx: dict | None = None, stats: dict | None = None) -> PipelineModel:
     """Fit scaler + assembler + estimator on ``train``."""
     stages = []
     feats = list(cols)
+    if ctx is None and stats is None and spec.scaled:
+        ctx, stats = fit_state(train, cols, y)
     if spec.scaled:
         stats = stats or scaler_literals(train, cols)
         stages.append(scaler_stage(stats, cols))
@@ -167,7 +182,7 @@ def run_benchmark(train: DataFrame, test: DataFrame, specs, cols=S.FS18, y: str
     """
     spark = train.sparkSession
     train = train.persist(StorageLevel.MEMORY_AND_DISK)
-    ctx, stats = train_context(train, y), scaler_literals(train, cols)
+    ctx, stats = fit_state(train, cols, y)
     frames, times = [], []
     for spec in specs:
         t0 = time.time()
