@@ -241,15 +241,16 @@ def q_best_models(spark, sf):
 
 
 @register("scatter_sample", _with_preds() + """
-SELECT model, row_idx, actual, predicted FROM tp WHERE model = 'Hourly Mean'
+SELECT model, row_idx, actual, round_even(predicted, 6) AS predicted FROM tp WHERE model = 'Hourly Mean'
 ORDER BY md5('42' || CAST(row_idx AS VARCHAR)), row_idx LIMIT 200""")
 def q_scatter_sample(spark, sf):
     """200 hash-chosen (actual, predicted) points of one model."""
-    return Ev.scatter_sample(_test(spark, sf).where(F.col("model") == "Hourly Mean"), 200)
+    s = Ev.scatter_sample(_test(spark, sf).where(F.col("model") == "Hourly Mean"), 200)
+    return s.withColumn("predicted", F.bround("predicted", 6))
 
 
 @register("align", _with_preds() + """
-SELECT a.row_idx, a.actual, p.predicted, p.predicted - a.actual AS error
+SELECT a.row_idx, a.actual, round_even(p.predicted, 6) AS predicted, round_even(p.predicted - a.actual, 6) AS error
 FROM (SELECT row_idx, actual FROM tp WHERE model = 'Global Mean') a
 JOIN (SELECT row_idx, predicted FROM tp WHERE model = 'Hourly Mean') p ON a.row_idx = p.row_idx""")
 def q_align(spark, sf):
@@ -257,7 +258,9 @@ def q_align(spark, sf):
     t = _test(spark, sf)
     actual = t.where(F.col("model") == "Global Mean").select("row_idx", "actual")
     pred = t.where(F.col("model") == "Hourly Mean").select("row_idx", "predicted")
-    return Ev.align(pred, actual)
+    out = Ev.align(pred, actual)
+    return out.select("row_idx", "actual", F.bround("predicted", 6).alias("predicted"),
+                      F.bround("error", 6).alias("error"))
 
 
 _KNN_COLS = ["hour", "dow", "clouds_all", "weather_enc", "is_weekend", "rush_hour"]

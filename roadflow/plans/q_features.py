@@ -192,12 +192,13 @@ def q_stream_requests(spark, sf):
 
 
 @register("feature_matrix", Q.with_orders() + "\nSELECT obs_id, " + ", ".join(
-    f"CAST({c} AS FLOAT) AS {c}" for c in S.FS18) + ", CAST(traffic_volume AS FLOAT) AS label FROM feat WHERE "
+    f"CAST(round_even({c}, 9) AS FLOAT) AS {c}" if c in _ROUNDED else f"CAST({c} AS FLOAT) AS {c}" for c in S.FS18) + ", CAST(traffic_volume AS FLOAT) AS label FROM feat WHERE "
     + " AND ".join(f"{c} IS NOT NULL" for c in S.FS18))
 def q_feature_matrix(spark, sf):
     """P5 + P8: rows complete in FS18 (subset null drop), cast to float32 as the
     reference's feature matrix."""
     df = Fe.drop_incomplete(orders_feat_encoded(spark, sf), subset=S.FS18)
+    df = df.withColumns({c: F.bround(c, 9) for c in _ROUNDED})   # engine-independent before float32
     return Fe.cast_columns(df.withColumnRenamed("traffic_volume", "label"),
                            {c: "float" for c in S.FS18 + ["label"]}).select("obs_id", *S.FS18, "label")
 
