@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from roadflow import schema as S
 from roadflow.functions import calendar as C
-from roadflow.operators.broadcast import bounded_broadcast
 
 
 # -- projections / filters ---------------------------------------------------
@@ -72,14 +71,18 @@ def fit_labels(df: DataFrame, col: str = "weather_main") -> DataFrame:
 
 def encode_labels(df: DataFrame, vocab: DataFrame, col: str = "weather_main",
                   out: str = "weather_enc", flag: str | None = None) -> DataFrame:
-    """Apply a vocabulary; unseen or null labels → 0.0 (optionally flagged)."""
-    v = bounded_broadcast(vocab.withColumnRenamed("label", "_label")
-                          .withColumnRenamed("code", "_code"), max_rows=100_000)
-    joined = df.join(v, df[col] == v["_label"], "left")
-    cols = {out: F.coalesce(F.col("_code"), F.lit(0.0))}
+    """Apply a vocabulary; unseen or null labels → 0.0 (optionally flagged).
+
+    The vocabulary (one row per distinct label) becomes one ``label → code``
+    map via a scalar subquery, so encoding is a map lookup in the projection:
+    no join, no shuffle or broadcast of the data side.
+    """
+    m = vocab.agg(F.map_from_entries(F.collect_list(F.struct("label", "code")))).scalar()
+    code = F.when(F.col(col).isNotNull(), m[F.col(col)])
+    cols = {out: F.coalesce(code, F.lit(0.0))}
     if flag:
-        cols[flag] = F.col("_code").isNotNull()
-    return joined.withColumns(cols).drop("_label", "_code")
+        cols[flag] = code.isNotNull()
+    return df.withColumns(cols)
 
 
 # -- derived features -----------------------------------------------------------
