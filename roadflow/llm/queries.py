@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadflow.llm import fertility, simhash, vector_packing
+from roadflow.llm import (
+    attention_mil, edit_matching, fertility, license_join, randomness, simhash, toxic_chain, url_boosting,
+    vector_packing, warc_revisit,
+)
 from roadflow.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,12 +31,112 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.fertility_rules(table(spark, sf_dir, "documents"))
 
 
+@register("op2_randomness_battery")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = randomness.scan_secrets(table(spark, sf_dir, "documents"))
+
+    def count(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind, *_ in randomness.BASE]
+    return found.select("doc_id", *counts, F.sha2(randomness.joined(F.col("base")), 256).alias("base_sha256"),
+                        randomness.joined(F.col("spans")).alias("spans"))
+
+
 @register("op3_simhash_variants")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@register("op4_attention_mil")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attention_mil.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op5_toxic_chain")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxic_chain.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @register("op6_vector_packing")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+@register("op7_url_boosting")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_boosting.judge(table(spark, sf_dir, "pages"))
+
+
+@register("op8_edit_matching")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_matching.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
+
+
+WARC_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body,
+         sha1(coalesce(html, '')) AS hex FROM pages
+), d AS (
+  SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes,
+         array_to_string(list_transform(range(0, 32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + (
+           list_sum(list_transform(range(0, 5), b ->
+             ((instr('0123456789abcdef', substr(hex, CAST((i * 5 + b) // 4 + 1 AS INT), 1)) - 1)
+              >> CAST(3 - (i * 5 + b) % 4 AS INT)) % 2 * CAST(pow(2, 4 - b) AS INT)))) AS INT), 1)), '') AS payload_digest
+  FROM p
+), m AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS f FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id IS DISTINCT FROM f THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM f THEN f END AS refers_to
+FROM m
+"""
+
+
+@register("op9_warc_revisit", WARC_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_revisit.round_trip(table(spark, sf_dir, "pages"))
+
+
+def license_sql() -> str:
+    """The same blocks, words and containments as set operations over all (block, template) pairs."""
+    def quote(s: str) -> str:
+        return "'" + s.replace("'", "''") + "'"
+
+    templates = ", ".join(f"({quote(label)}, {quote(t)})" for label, t in license_join.TEMPLATES)
+    low = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    word = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+    places = " UNION ALL ".join(
+        f"SELECT rid, {quote(label)} AS label, i - 1 AS at FROM d, unnest(range(1, len(w) - {n} + 2)) AS u(i) "
+        f"WHERE len(w) >= {n} AND array_to_string(w[i:i + {n - 1}], ' ') = {quote(phrase)} "
+        f"AND array_to_string(w, ' ') LIKE {quote('%' + phrase + '%')}"
+        for phrase, label in license_join.PHRASES for n in [len(phrase.split())])
+    return f"""
+WITH s AS (SELECT row_number() OVER () AS rid, doc_id, {low.format("coalesce(text, '')")} AS t FROM documents),
+d AS (SELECT rid, doc_id, t, regexp_extract_all(t, {word}) AS w FROM s),
+hits AS ({places}),
+base AS (SELECT rid, count(*) AS n_base, min(at) AS first_word, max(at) AS last_word,
+                list(DISTINCT label) AS labels FROM hits GROUP BY rid),
+blocks AS (
+  SELECT rid, unnest(string_split(t, chr(10))) AS b FROM s
+  UNION ALL
+  SELECT rid, unnest(regexp_split_to_array(t, '\\n[\\x20\\x09\\x0B-\\x0D]*\\n')) AS b FROM s
+), bw AS (SELECT rid, list_distinct(regexp_extract_all(b, {word})) AS w FROM blocks),
+tw AS (SELECT label, list_distinct(regexp_extract_all({low.format('x')}, {word})) AS w
+       FROM (VALUES {templates}) AS v(label, x)),
+sim AS (SELECT rid, label, len(list_intersect(bw.w, tw.w)) / len(tw.w) AS share
+        FROM bw, tw WHERE len(list_intersect(bw.w, tw.w)) >= greatest(1, ceil({license_join.CONTAINMENT} * len(tw.w) - 1e-9))),
+found AS (SELECT rid, list(DISTINCT label) AS labels, max(share) AS score FROM sim GROUP BY rid)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base,
+       CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+       coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []),
+                coalesce(found.labels, [])))), ','), '') AS labels,
+       CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM d LEFT JOIN base USING (rid) LEFT JOIN found USING (rid)
+"""
+
+
+@register("op10_license_join", license_sql())
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_join.scan_licenses(table(spark, sf_dir, "documents"), ["doc_id"])
