@@ -52,13 +52,16 @@ def risk(v) -> Column:
 
 
 def clamp(x, lo=None, hi=None) -> Column:
-    """Clip into [lo, hi]; either bound may be omitted (F16)."""
-    c = _c(x)
+    """Clip into [lo, hi]; either bound may be omitted; null in, null out (F16).
+
+    ``least`` and ``greatest`` skip nulls, so a null is guarded here.
+    """
+    x = c = _c(x)
     if hi is not None:
         c = F.least(c, F.lit(hi))
     if lo is not None:
         c = F.greatest(c, F.lit(lo))
-    return c
+    return F.when(x.isNotNull(), c)
 
 
 def cut(col, edges, labels) -> Column:
@@ -81,6 +84,28 @@ def fixed_bins(v, width: int = S.HISTOGRAM_WIDTH, top: int = S.HISTOGRAM_TOP_BIN
     return F.least(F.floor(_c(v) / width), F.lit(top)).cast("int")
 
 
+def float_text(x) -> Column:
+    """A double as the shortest text that names it, with an exponent below 1e-4 and from 1e16.
+
+    Spark turns to exponents below 1e-3 and from 1e7, and writes them as ``1.0E-5``.
+    """
+    plain = _c(x).cast("double").cast("string")
+    mantissa = F.substring_index(plain, "E", 1)
+    power = F.substring_index(plain, "E", -1).try_cast("int")
+    sign = F.when(mantissa.startswith("-"), F.lit("-")).otherwise(F.lit(""))
+    digits = F.regexp_replace(F.regexp_replace(mantissa, r"\.0$", ""), "[-.]", "")
+    places = F.length(digits) - 1
+    small = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    large = F.concat(sign, F.rpad(digits, F.greatest(power + 1, places + 1), F.lit("0")))
+    large = F.when(places <= power, F.concat(large, F.lit(".0"))).otherwise(
+        F.concat(sign, F.substring(digits, F.lit(1), power + 1), F.lit("."), F.substring(digits, power + 2, places)))
+    short = F.regexp_replace(mantissa, r"\.0$", "")
+    two = F.lpad(F.abs(power).cast("string"), F.greatest(F.lit(2), F.length(F.abs(power).cast("string"))), F.lit("0"))
+    far = F.concat(short, F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+")), two)
+    return (F.when(~plain.contains("E"), plain).when((power < 0) & (power >= -4), small)
+            .when((power >= 0) & (power < 16), large).otherwise(far))
+
+
 def factors(hour, dow, rain, snow) -> Column:
     """Ordered explanation strings; the default when none applies."""
     h, d, r, s = _c(hour), _c(dow), _c(rain), _c(snow)
@@ -89,8 +114,8 @@ def factors(hour, dow, rain, snow) -> Column:
         F.when(h.isin(*S.EVENING_RUSH), F.lit(S.FACTOR_EVENING)),
         F.when(late_night(h), F.lit(S.FACTOR_LATE_NIGHT)),
         F.when(d >= S.WEEKEND_FROM_DOW, F.lit(S.FACTOR_WEEKEND)),
-        F.when(r > 0, F.concat(F.lit("Rain "), r.cast("string"), F.lit("mm/h — speeds reduced"))),
-        F.when(s > 0, F.concat(F.lit("Snow "), s.cast("string"), F.lit("mm/h — road capacity reduced"))),
+        F.when(r > 0, F.replace(F.lit(S.FACTOR_RAIN), F.lit("{}"), float_text(r))),
+        F.when(s > 0, F.replace(F.lit(S.FACTOR_SNOW), F.lit("{}"), float_text(s))),
     )
     present = F.filter(items, lambda x: x.isNotNull())
     return F.when(F.size(present) == 0, F.array(F.lit(S.FACTOR_DEFAULT))).otherwise(present)

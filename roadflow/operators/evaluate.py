@@ -37,8 +37,10 @@ def rmse(a: Column | None = None, p: Column | None = None) -> Column:
 
 
 def r2(a: Column | None = None, p: Column | None = None) -> Column:
-    """1 - SSE/SST; SST = 0 → 1 when SSE = 0, else 0 (as scikit-learn)."""
+    """1 - SSE/SST; SST = 0 → 1 when SSE = 0, else 0 (as scikit-learn).
+    Rows without a prediction take no part."""
     a, p = _ap(a, p)
+    a = F.when(p.isNotNull(), a)
     sse = F.sum((a - p) * (a - p))
     sst = F.var_pop(a) * F.count(a)
     return F.when(sst == 0, F.when(sse == 0, F.lit(1.0)).otherwise(F.lit(0.0))).otherwise(1 - sse / sst)
@@ -69,13 +71,25 @@ def clip_predictions(df: DataFrame) -> DataFrame:
 
 def evaluate(preds: DataFrame, by=("model",), digits: int = 4, r2_digits: int = 6,
              clip: bool = True) -> DataFrame:
-    """All metrics per group in one aggregate."""
+    """All metrics per group in one aggregate, rounded at the end.
+
+    ``n`` counts all rows, ``unscored`` those without a prediction, which take no
+    part in any metric."""
+    return round_metrics(raw_metrics(preds, by, clip), digits, r2_digits)
+
+
+def raw_metrics(preds: DataFrame, by=("model",), clip: bool = True) -> DataFrame:
+    """The metrics of :func:`evaluate` before rounding."""
     df = clip_predictions(preds) if clip else preds
-    r = lambda c: F.bround(c, digits)
     return df.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), r(mae()).alias("MAE"), r(rmse()).alias("RMSE"),
-        F.bround(r2(), r2_digits).alias("R2"), r(mape()).alias("MAPE"),
-        r(class_accuracy()).alias("ClassAcc"))
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("predicted").isNull()).alias("unscored"),
+        mae().alias("MAE"), rmse().alias("RMSE"), r2().alias("R2"), mape().alias("MAPE"),
+        class_accuracy().alias("ClassAcc"))
+
+
+def round_metrics(metrics: DataFrame, digits: int = 4, r2_digits: int = 6) -> DataFrame:
+    return metrics.withColumns({c: F.bround(c, r2_digits if c == "R2" else digits)
+                                for c in ("MAE", "RMSE", "R2", "MAPE", "ClassAcc")})
 
 
 def union_metrics(frames) -> DataFrame:
@@ -230,7 +244,8 @@ def known_models(cats: DataFrame, metrics: DataFrame) -> DataFrame:
 
 
 def leaderboard(metrics: DataFrame, cats: DataFrame) -> DataFrame:
-    """Rounded leaderboard of known models in category/list order."""
+    """Leaderboard of known models in category/list order, rounded once
+    from the raw metrics (:func:`raw_metrics`)."""
     m = metrics.withColumnRenamed("model", "Model") if "model" in metrics.columns else metrics
     j = known_models(bounded_broadcast(cats, max_rows=100_000), m)
     return j.select(

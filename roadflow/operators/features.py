@@ -34,9 +34,12 @@ def drop_incomplete(df: DataFrame, subset=None) -> DataFrame:
 
 def filter_valid(df: DataFrame, min_temp: float = 0.0, max_rain: float = 500.0,
                  max_snow: float = 5.0) -> DataFrame:
-    """Reject impossible readings (0 K, rain > 500 mm/h, snow > 5 mm/h)."""
-    return df.filter((F.col("temp") > min_temp) & (F.col("rain_1h") <= max_rain)
-                     & (F.col("snow_1h") <= max_snow))
+    """Reject impossible readings (0 K, rain > 500 mm/h, snow > 5 mm/h);
+    a missing reading is not impossible."""
+    bad = [F.col("temp") <= min_temp, F.col("rain_1h") > max_rain, F.col("snow_1h") > max_snow]
+    for b in bad:
+        df = df.filter(~F.coalesce(b, F.lit(False)))
+    return df
 
 
 def only_weekend(df: DataFrame, weekend: bool = True) -> DataFrame:

@@ -200,10 +200,14 @@ def feature_importance(model: PipelineModel, cols=S.FS18, digits: int = 4) -> Da
     display names, sorted descending."""
     spark = SparkSession.getActiveSession()
     imp = model.stages[-1].featureImportances.toArray().tolist()
-    df = spark.createDataFrame(list(zip(cols, imp)), "feature string, importance double")
-    return (df.select(display_name("feature").alias("feature"), F.bround("importance", digits).alias("importance"),
-                      F.col("feature").alias("column"))
-            .orderBy(F.desc("importance"), F.asc("column")))
+    return rank_importance(spark.createDataFrame(list(zip(cols, imp)), "feature string, importance double"), digits)
+
+
+def rank_importance(importance: DataFrame, digits: int = 4) -> DataFrame:
+    """J3 + T3 on a table (feature, importance): sorted by the raw value, then rounded."""
+    named = importance.orderBy(F.desc("importance"), F.asc("feature"))
+    return named.select(display_name("feature").alias("feature"), F.bround("importance", digits).alias("importance"),
+                        F.col("feature").alias("column"))
 
 
 def top_features(importance: DataFrame, k: int = 10) -> DataFrame:

@@ -21,14 +21,17 @@ def _mean_int(col: str = V):
     return F.bround(F.avg(col)).cast("bigint")
 
 
-def pct_1dp(count_col, total_col):
+def pct_1dp_of(count, total):
     """Exact half-even percentage with one decimal (integer arithmetic, R11)."""
-    num = F.col(count_col).cast("bigint") * 1000
-    n = F.col(total_col).cast("bigint")
-    q = F.expr(f"(cast({count_col} as bigint) * 1000) div cast({total_col} as bigint)")
-    r = num - q * n
+    num, n = count.cast("bigint") * 1000, total.cast("bigint")
+    r = F.pmod(num, n)
+    q = ((num - r) / n).cast("bigint")
     up = (2 * r > n) | ((2 * r == n) & (q % 2 == 1))
-    return ((q + F.when(up, 1).otherwise(0)) / 10.0)
+    return (q + F.when(up, 1).otherwise(0)) / 10.0
+
+
+def pct_1dp(count_col, total_col):
+    return pct_1dp_of(F.col(count_col), F.col(total_col))
 
 
 def totals(df: DataFrame) -> DataFrame:
@@ -64,27 +67,40 @@ def congestion_distribution(df: DataFrame) -> DataFrame:
 
 
 def overview(df: DataFrame, metrics: DataFrame | None = None) -> DataFrame:
-    """A5: the overview record in one row.
+    """A5: the overview record in one row, from one scan.
 
-    One ``groupBy(hour)`` feeds the hourly list, peak hour and peak volume; the
-    level distribution and totals are two more tiny aggregates; everything is
-    joined as one-row frames (broadcast, structurally one row each).
+    One ``groupBy(hour, level)`` leaves at most 25 x 5 rows of count and sum; the
+    hourly list, the peak, the totals and the level shares are all taken from
+    those.  A missing volume has no level: it counts as a record, under no level.
     """
-    hm = hourly_means(df)
-    hourly = hm.agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("hour", "mean_volume"))),
-                    lambda s: F.bround(s["mean_volume"]).cast("bigint")).alias("hourly_avg"),
-        F.max_by(F.struct("hour", "mean_volume"),
-                 F.struct("mean_volume", -F.col("hour"))).alias("_peak"),
-    ).select("hourly_avg", F.col("_peak.hour").alias("peak_hour"),
-             F.col("_peak.mean_volume").cast("bigint").alias("peak_volume"))
-    dist = congestion_distribution(df).agg(
-        F.map_from_entries(F.sort_array(F.collect_list(F.struct("level", "pct"))))
-        .alias("congestion_dist"))
-    t = totals(df)
-    out = hourly.select("*", t.select("avg_volume").scalar().alias("avg_volume"),
-                        t.select("total_records").scalar().alias("total_records"),
-                        dist.scalar().alias("congestion_dist"))
+    cells = df.groupBy("hour", L.level(V).alias("level")).agg(
+        F.count(F.lit(1)).alias("n"), F.count(V).alias("c"), F.sum(V).alias("s"))
+    # one pair of entries per cell: the same rows summed by hour and by level
+    side = F.explode(F.array(
+        F.struct(F.lit("hour").alias("kind"), F.col("hour").cast("string").alias("key")),
+        F.struct(F.lit("level").alias("kind"), F.col("level").alias("key"))))
+    rolled = cells.select(side.alias("k"), "n", "c", "s").groupBy("k.kind", "k.key").agg(
+        F.sum("n").alias("n"), F.sum("c").alias("c"), F.sum("s").alias("s"))
+    hour = (F.col("kind") == "hour") & F.col("key").isNotNull() & (F.col("c") > 0)
+    level = F.col("kind") == "level"
+    mean = F.col("s") / F.col("c")
+    hours = F.sort_array(F.collect_list(F.when(hour, F.struct(F.col("key").cast("int").alias("hour"),
+                                                              mean.alias("mean_volume")))))
+    flat = rolled.agg(
+        hours.alias("hours"),
+        F.collect_list(F.when(level & F.col("key").isNotNull(), F.struct("key", "n"))).alias("levels"),
+        F.sum(F.when(level, F.col("n"))).alias("total_records"),
+        F.sum(F.when(level, F.col("c"))).alias("_c"), F.sum(F.when(level, F.col("s"))).alias("_s"))
+    peak = F.element_at(F.array_sort("hours", lambda a, b: F.when(a["mean_volume"] > b["mean_volume"], -1)
+                                     .when(a["mean_volume"] < b["mean_volume"], 1)
+                                     .otherwise(a["hour"] - b["hour"])), 1)
+    shares = F.transform("levels", lambda x: F.struct(x["key"], pct_1dp_of(x["n"], F.col("total_records"))))
+    out = flat.withColumn("_peak", F.when(F.size("hours") > 0, peak)).select(
+        F.transform("hours", lambda s: F.bround(s["mean_volume"]).cast("bigint")).alias("hourly_avg"),
+        F.col("_peak.hour").alias("peak_hour"), F.col("_peak.mean_volume").cast("bigint").alias("peak_volume"),
+        F.try_divide("_s", "_c").cast("bigint").alias("avg_volume"),
+        F.coalesce("total_records", F.lit(0)).alias("total_records"),
+        F.map_from_entries(F.sort_array(shares)).alias("congestion_dist"))
     if metrics is not None:
         best = metrics.agg(F.max_by(F.struct("R2", "MAE"), F.col("R2")).alias("_b"))
         out = out.select("*", best.select("_b.R2").scalar().alias("model_r2"),
@@ -124,25 +140,20 @@ def daily_profile(df: DataFrame) -> DataFrame:
 
 
 def patterns(df: DataFrame) -> DataFrame:
-    """A8+A9+A10 stacked: (profile, key, avg_volume).
+    """A8+A9+A10 stacked: (profile, key, avg_volume), from one scan.
 
-    A single aggregate with grouping sets scans the input once for all four
-    profiles instead of four times.
+    The input is aggregated once to (is_weekend, hour, month, dow) cells; each
+    cell then adds its count and sum to three of the four profiles.
     """
-    g = (df.groupBy("is_weekend", "hour", "month", "dow")
-         .agg(F.sum(V).alias("s"), F.count(V).alias("c")))
-    # second, tiny level: roll the (is_weekend, hour, month, dow) cells up.
-    parts = [
-        g.where("is_weekend = 0").groupBy(F.lit("weekday").alias("profile"), F.col("hour").alias("key")),
-        g.where("is_weekend = 1").groupBy(F.lit("weekend").alias("profile"), F.col("hour").alias("key")),
-        g.groupBy(F.lit("monthly").alias("profile"), F.col("month").alias("key")),
-        g.groupBy(F.lit("daily").alias("profile"), F.col("dow").alias("key")),
-    ]
-    out = None
-    for p in parts:
-        a = p.agg(F.bround(F.sum("s") / F.sum("c")).cast("bigint").alias("avg_volume"))
-        out = a if out is None else out.unionByName(a)
-    return out.where(F.col("key").isNotNull())
+    cells = (df.groupBy("is_weekend", "hour", "month", "dow")
+             .agg(F.sum(V).alias("s"), F.count(V).alias("c")))
+    week = F.when(F.col("is_weekend") == 0, "weekday").when(F.col("is_weekend") == 1, "weekend")
+    parts = F.explode(F.array(*(F.struct(p.alias("profile"), F.col(k).alias("key")) for p, k in (
+        (week, "hour"), (F.lit("monthly"), "month"), (F.lit("daily"), "dow")))))
+    return (cells.select(parts.alias("p"), "s", "c").select("p.profile", "p.key", "s", "c")
+            .where(F.col("profile").isNotNull() & F.col("key").isNotNull())
+            .groupBy("profile", "key")
+            .agg(F.bround(F.try_divide(F.sum("s"), F.sum("c"))).cast("bigint").alias("avg_volume")))
 
 
 def by_weather(df: DataFrame) -> DataFrame:
@@ -178,15 +189,22 @@ def temp_curve(df: DataFrame, step: int = 5) -> DataFrame:
 
 
 def ratios(df: DataFrame) -> DataFrame:
-    """weekday/weekend mean ratio and max/min ratio of hourly means."""
-    wk = df.agg(
-        F.avg(F.when(F.col("is_weekend") == 0, F.col(V))).alias("weekday_mean"),
-        F.avg(F.when(F.col("is_weekend") == 1, F.col(V))).alias("weekend_mean"))
-    hr = hourly_means(df).agg(F.max("mean_volume").alias("hmax"), F.min("mean_volume").alias("hmin"))
-    return wk.select(
-        F.bround(F.try_divide("weekday_mean", "weekend_mean"), 6).alias("weekday_weekend_ratio"),
-        F.bround(F.try_divide(hr.select("hmax").scalar(), hr.select("hmin").scalar()), 6)
-        .alias("peak_valley_ratio"))
+    """weekday/weekend mean ratio and max/min ratio of hourly means, from
+    one scan aggregated to (is_weekend, hour) cells."""
+    cells = df.groupBy("is_weekend", "hour").agg(F.sum(V).alias("s"), F.count(V).alias("c"))
+
+    def part(is_weekend: int):
+        rows = F.col("is_weekend") == is_weekend
+        return F.sum(F.when(rows, F.col("s"))), F.sum(F.when(rows, F.col("c")))
+
+    by_hour = cells.groupBy("hour").agg(
+        F.sum("s").alias("s"), F.sum("c").alias("c"),
+        *(x.alias(f"{n}{i}") for i in (0, 1) for n, x in zip("sc", part(i))))
+    mean = F.when(F.col("hour").isNotNull(), F.try_divide("s", "c"))
+    one = by_hour.agg(F.max(mean).alias("hmax"), F.min(mean).alias("hmin"),
+                      *(F.try_divide(F.sum(f"s{i}"), F.sum(f"c{i}")).alias(f"m{i}") for i in (0, 1)))
+    return one.select(F.bround(F.try_divide("m0", "m1"), 6).alias("weekday_weekend_ratio"),
+                      F.bround(F.try_divide("hmax", "hmin"), 6).alias("peak_valley_ratio"))
 
 
 def window_means(df: DataFrame) -> DataFrame:

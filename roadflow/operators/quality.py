@@ -1,8 +1,8 @@
 """Data-quality profiling.
 
-Exact quantiles never gather a column into one task: values are range-
-partitioned and indexed (``with_row_index``), and only the rows at the wanted
-ranks are picked out by a filtered aggregate.
+Exact quantiles never gather a column into one task: rows are counted by value,
+the distinct values are range-partitioned, and a filtered aggregate picks those
+at the wanted ranks.
 """
 
 from __future__ import annotations
@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from roadflow.functions import levels as L
 from roadflow.operators.features import display_name
-from roadflow.operators.ordering import with_row_index
 from roadflow.operators.profiles import pct_1dp
+from roadflow.session import cut_lineage
 
 V = "traffic_volume"
 
@@ -21,37 +21,63 @@ V = "traffic_volume"
 def profile_columns(df: DataFrame, cols=None, exact: bool = True, rsd: float = 0.01) -> DataFrame:
     """Per column its type, missing count and %, distinct count.
 
-    One aggregate pass computes every column's statistics.  ``exact=False``
-    uses HyperLogLog++ (``approx_count_distinct``) instead of an exact distinct,
-    which keeps state per task bounded on very wide or high-cardinality data.
+    Exact: every column is counted by value on its own (a partial aggregate on a
+    pruned scan, one row per distinct value after it), so no row is expanded into
+    one copy a column.  ``exact=False`` uses HyperLogLog++ in a single pass, which
+    keeps state per task bounded on high-cardinality data.
     """
     cols = cols or df.columns
     types = dict(df.dtypes)
-    aggs = [F.count(F.lit(1)).alias("_n")]
-    for i, c in enumerate(cols):
-        aggs.append(F.count(F.when(F.col(c).isNull(), 1)).alias(f"_m{i}"))
-        d = F.count_distinct(F.col(c)) if exact else F.approx_count_distinct(F.col(c), rsd)
-        aggs.append(d.alias(f"_d{i}"))
-    wide = df.agg(*aggs)
-    rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(types[c]).alias("dtype"),
-                              F.col(f"_m{i}").alias("missing"), F.col(f"_d{i}").alias("n_distinct"))
-                     for i, c in enumerate(cols)])
-    long = wide.select("_n", F.inline(rows))
-    return long.select("column_name", "dtype", "missing",
-                       pct_1dp("missing", "_n").alias("missing_pct"), "n_distinct")
+    if exact:
+        long = None
+        for c in cols:
+            values = df.groupBy(F.col(c).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+            one = values.agg(F.sum("_c").alias("_n"), F.sum(F.when(F.col("_v").isNull(), F.col("_c"))).alias("_m"),
+                             F.count("_v").alias("n_distinct")).select(
+                F.lit(c).alias("column_name"), F.lit(types[c]).alias("dtype"),
+                F.coalesce("_n", F.lit(0)).alias("_n"), F.coalesce("_m", F.lit(0)).alias("missing"), "n_distinct")
+            long = one if long is None else long.unionByName(one)
+    else:
+        aggs = [F.count(F.lit(1)).alias("_n")]
+        for i, c in enumerate(cols):
+            aggs += [F.count(F.when(F.col(c).isNull(), 1)).alias(f"_m{i}"),
+                     F.approx_count_distinct(F.col(c), rsd).alias(f"_d{i}")]
+        rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(types[c]).alias("dtype"),
+                                  F.col(f"_m{i}").alias("missing"), F.col(f"_d{i}").alias("n_distinct"))
+                         for i, c in enumerate(cols)])
+        long = df.agg(*aggs).select("_n", F.inline(rows))
+    share = F.when(F.col("_n") > 0, pct_1dp("missing", "_n"))
+    return long.select("column_name", "dtype", "missing", share.alias("missing_pct"), "n_distinct")
 
 
 def exact_quantiles(df: DataFrame, col: str, probs) -> DataFrame:
-    """One row with ``q{p}`` = linear-interpolated quantile (type 7) of ``col``."""
-    v = df.select(F.col(col).cast("double").alias("_v")).where(
-        F.col("_v").isNotNull() & ~F.isnan("_v"))
-    idx = with_row_index(v, ["_v"], name="_r", total="_n")
+    """One row with ``q{p}`` = linear-interpolated quantile (type 7) of ``col``.
+
+    Rows are first reduced to (value, count): a value that fills most of the
+    table is absorbed by the partial aggregate.  The distinct values are ranged
+    (they are unique, so no range is oversized), and each knows its first and
+    last rank from the running count in its range and the ranges before it.
+    """
+    v = F.col(col).cast("double")
+    counts = df.select((v + F.lit(0.0)).alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v")) \
+        .groupBy("_v").agg(F.count(F.lit(1)).alias("_c"))
+    ranged = cut_lineage(counts.repartitionByRange("_v").withColumn("_pid", F.spark_partition_id()))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy("_pid").agg(F.sum("_c").alias("_s")).select(  # one row per range
+        "_pid", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_off"),
+        F.sum("_s").over(Window.partitionBy()).alias("_n"))
+    inside = Window.partitionBy("_pid").orderBy("_v")
+    idx = ranged.join(F.broadcast(offsets), "_pid").withColumn("_last", F.col("_off") + F.sum("_c").over(inside))
     aggs = []
     for i, p in enumerate(probs):
         pos = (F.col("_n") - 1).cast("double") * F.lit(float(p))
         lo, hi = F.floor(pos), F.ceil(pos)
-        aggs += [F.max(F.when(F.col("_r") == lo, F.col("_v"))).alias(f"_lo{i}"),
-                 F.max(F.when(F.col("_r") == hi, F.col("_v"))).alias(f"_hi{i}"),
+
+        def holds(rank):
+            return (F.col("_last") - F.col("_c") <= rank) & (rank < F.col("_last"))
+
+        aggs += [F.max(F.when(holds(lo), F.col("_v"))).alias(f"_lo{i}"),
+                 F.max(F.when(holds(hi), F.col("_v"))).alias(f"_hi{i}"),
                  F.max(pos - lo).alias(f"_f{i}")]
     picked = idx.agg(*aggs)
     return picked.select(*[(F.col(f"_lo{i}") + F.col(f"_f{i}") * (F.col(f"_hi{i}") - F.col(f"_lo{i}")))

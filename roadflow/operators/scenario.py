@@ -23,9 +23,9 @@ def explode_hours(requests: DataFrame) -> DataFrame:
 
 def decorate(df: DataFrame, vol: str = "volume_raw") -> DataFrame:
     """C1 tail: clip at 0, round half-even, level / colour / risk of the
-    unrounded volume (as the service computes them before rounding)."""
-    v = F.greatest(F.col(vol), F.lit(0.0))
-    return df.withColumn("_v", v).select(
+    unrounded volume (as the service computes them before rounding).  A null
+    prediction stays null in every column."""
+    return df.withColumn("_v", L.clamp(F.col(vol), lo=0.0)).select(
         "*", F.bround("_v").cast("bigint").alias("volume"), L.level("_v").alias("level"),
         L.level_color("_v").alias("color"), L.risk("_v").alias("risk")).drop("_v")
 
@@ -47,14 +47,15 @@ def forecast24(requests: DataFrame, predictor) -> DataFrame:
 
 def apply_scenario(df: DataFrame, base: str = "volume_raw") -> DataFrame:
     """What-if multipliers (severity, event, incident, remote work; all in
-    percent) on the unrounded base, clipped at 0, rounded half-even."""
-    v = F.greatest(F.col(base), F.lit(0.0))
+    percent) on the unrounded base, clipped at 0, rounded half-even; a null base
+    stays null."""
+    v = L.clamp(F.col(base), lo=0.0)
     mod = (v * (1 - F.col("weather_severity") / 100 * S.SCENARIO_WEATHER)
            * (1 + F.col("special_event") / 100 * S.SCENARIO_EVENT)
            * (1 + F.col("incident") / 100 * S.SCENARIO_INCIDENT)
            * (1 - F.col("remote_work") / 100 * S.SCENARIO_REMOTE))
     return df.withColumns({"base": F.bround(v).cast("bigint"),
-                           "modified": F.bround(F.greatest(mod, F.lit(0.0))).cast("bigint")})
+                           "modified": F.bround(L.clamp(mod, lo=0.0)).cast("bigint")})
 
 
 def scenario_summary(scen: DataFrame, key: str = "request_id") -> DataFrame:
@@ -68,9 +69,12 @@ def scenario_summary(scen: DataFrame, key: str = "request_id") -> DataFrame:
         .alias("modified_curve"))
 
 
-def table_predictor(means: DataFrame, keys=("dow", "hour"), fallback=None, bound: int | None = 168):
+def table_predictor(means: DataFrame, keys=("dow", "hour"), fallback=None):
     """A predictor from a fitted mean table (e.g. mean volume by dow x hour):
-    broadcast lookup (size-bounded) with a fallback value for unseen keys."""
+    lookup with a fallback value for unseen keys.  Day-of-week and hour keys give
+    at most 168 rows; any other table is counted before it may be broadcast."""
+    bound = 168 if set(keys) <= {"dow", "hour"} else None
+
     def predict(df: DataFrame) -> DataFrame:
         m = bounded_broadcast(means, known_rows=bound) if bound else bounded_broadcast(means)
         out = df.join(m, list(keys), "left")

@@ -31,7 +31,8 @@ raw AS (
             FROM sp LEFT JOIN wm ON sp.weather_main = wm.weather_main, g
   UNION ALL SELECT 'Day-Hour Mean', split, row_idx, date_time, CAST(traffic_volume AS DOUBLE), coalesce(dm.m, g.m)
             FROM sp LEFT JOIN dm ON sp.dow = dm.dow AND sp.hour = dm.hour, g),
-preds AS (SELECT model, split, row_idx, ts, actual, least(greatest(predicted, 0.0), 10000.0) AS predicted FROM raw),
+preds AS (SELECT model, split, row_idx, ts, actual, 
+  CASE WHEN predicted IS NOT NULL THEN least(greatest(predicted, 0.0), 10000.0) END AS predicted FROM raw),
 tp AS (SELECT * FROM preds WHERE split = 'test'),
 te AS (SELECT *, row_idx - min(row_idx) OVER (PARTITION BY model) AS t_idx,
               count(*) OVER (PARTITION BY model) AS n_test FROM tp)"""
@@ -41,18 +42,27 @@ def _with_preds(*ctes):
     return Q.with_events(PREDS_CTES, *ctes)
 
 
-def _metrics_sql(src: str, by: str) -> str:
+def _raw_sql(src: str, by: str) -> str:
+    scored = "CASE WHEN predicted IS NOT NULL THEN actual END"
     return f"""
-SELECT {by}, count(*) AS n, round_even(avg(abs(actual - predicted)), 4) AS MAE,
-       round_even(sqrt(avg((actual - predicted) * (actual - predicted))), 4) AS RMSE,
-       round_even(CASE WHEN var_pop(actual) * count(actual) = 0
-                       THEN CASE WHEN sum((actual - predicted) * (actual - predicted)) = 0 THEN 1.0 ELSE 0.0 END
-                       ELSE 1 - sum((actual - predicted) * (actual - predicted)) / (var_pop(actual) * count(actual)) END, 6) AS R2,
-       round_even(avg(abs((actual - predicted) / (actual + 1e-6))) * 100, 4) AS MAPE,
-       round_even(avg(CASE WHEN {Q.level('actual')} = {Q.level('predicted')} THEN 1.0 ELSE 0.0 END) * 100, 4) AS ClassAcc
+SELECT {by}, count(*) AS n, count(*) FILTER (WHERE predicted IS NULL) AS unscored,
+       avg(abs(actual - predicted)) AS MAE,
+       sqrt(avg((actual - predicted) * (actual - predicted))) AS RMSE,
+       CASE WHEN var_pop({scored}) * count({scored}) = 0
+            THEN CASE WHEN sum((actual - predicted) * (actual - predicted)) = 0 THEN 1.0 ELSE 0.0 END
+            ELSE 1 - sum((actual - predicted) * (actual - predicted)) / (var_pop({scored}) * count({scored})) END AS R2,
+       avg(abs((actual - predicted) / (actual + 1e-6))) * 100 AS MAPE,
+       avg(CASE WHEN {Q.level('actual')} = {Q.level('predicted')} THEN 1.0
+                WHEN {Q.level('actual')} <> {Q.level('predicted')} THEN 0.0 END) * 100 AS ClassAcc
 FROM {src} GROUP BY {by}"""
 
 
+def _metrics_sql(src: str, by: str) -> str:
+    return f"""
+SELECT {by}, n, unscored, round_even(MAE, 4) AS MAE, round_even(RMSE, 4) AS RMSE, round_even(R2, 6) AS R2,
+       round_even(MAPE, 4) AS MAPE, round_even(ClassAcc, 4) AS ClassAcc FROM ({_raw_sql(src, by)})"""
+
+
 def _split(spark, sf):
     return O.chrono_split(events_feat(spark, sf))
 
@@ -205,13 +215,13 @@ def _cats_sql():
     return f"cats AS (SELECT * FROM (VALUES {rows}) t(Category, cat_order, Model, model_order))"
 
 
-@register("leaderboard", _with_preds(f"mm AS ({_metrics_sql('tp', 'model')})", _cats_sql()) + """
+@register("leaderboard", _with_preds(f"mm AS ({_raw_sql('tp', 'model')})", _cats_sql()) + """
 SELECT c.Model, c.Category, round_even(MAE, 1) AS MAE, round_even(RMSE, 1) AS RMSE,
        round_even(greatest(R2, 0.0) * 100, 2) AS R2_percent, round_even(ClassAcc, 1) AS ClassAcc
 FROM cats c JOIN mm ON c.Model = mm.model ORDER BY cat_order, model_order""")
 def q_leaderboard(spark, sf):
     """E15 (J2): rounded leaderboard of the models that have results."""
-    return Ev.leaderboard(Ev.evaluate(_test(spark, sf)), Ev.category_frame(spark))
+    return Ev.leaderboard(Ev.raw_metrics(_test(spark, sf)), Ev.category_frame(spark))
 
 
 @register("with_category", _with_preds(f"mm AS ({_metrics_sql('tp', 'model')})", """

@@ -63,7 +63,7 @@ def q_canonical_features(spark, sf):
 SELECT obs_id, traffic_volume, {Q.level('traffic_volume')} AS level, {Q.color('traffic_volume')} AS color,
        {Q.risk('traffic_volume')} AS risk, {Q.emoji('traffic_volume')} AS level_emoji,
        {Q.emoji('traffic_volume', True)} AS level_emoji_short,
-       least(greatest(CAST(traffic_volume AS DOUBLE), 0.0), 10000.0) AS clipped,
+       CASE WHEN traffic_volume IS NOT NULL THEN least(greatest(CAST(traffic_volume AS DOUBLE), 0.0), 10000.0) END AS clipped,
        strftime(date_time, '%Y-%m-%d %H:%M') AS minute FROM feat""")
 def q_row_levels(spark, sf):
     """Per-row level, colour, risk, emoji labels, clip, minute label."""
@@ -77,7 +77,7 @@ def q_row_levels(spark, sf):
 
 
 @register("filter_valid", Q.with_events() + f"""
-SELECT {_OBS_COLS} FROM obs WHERE temp > 0 AND rain_1h <= 500 AND snow_1h <= 5""")
+SELECT {_OBS_COLS} FROM obs WHERE coalesce(temp > 0, true) AND coalesce(rain_1h <= 500, true) AND coalesce(snow_1h <= 5, true)""")
 def q_filter_valid(spark, sf):
     """Reject impossible readings."""
     return Fe.filter_valid(events_obs(spark, sf))

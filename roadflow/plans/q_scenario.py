@@ -35,7 +35,7 @@ SELECT request_id, hour, base, modified, {Q.level('v')} AS level, {Q.risk('v')}
 def q_apply_scenario(spark, sf):
     """C2 + C3: 24-hour base curve per request and its what-if modification."""
     s = _scenario(spark, sf)
-    v = F.greatest(F.col("volume_raw"), F.lit(0.0))
+    v = L.clamp(F.col("volume_raw"), lo=0.0)
     return s.select("request_id", "hour", "base", "modified", L.level(v).alias("level"), L.risk(v).alias("risk"))
 
 

@@ -31,8 +31,10 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's checkpoint folder (``spark.checkpoint.dir``).
 
-    On a cluster this names a shared folder and is used as is.  Only when it is
-    unset (local tests, bench) do we create a private folder and set it.
+    On a cluster this names a shared folder and is used as is.  Without one, a
+    cluster session is refused: a private folder would be on one machine's disk.
+    Only a local master (tests, bench), where driver and executors are one
+    process, gets a folder of its own.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -41,6 +43,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or \
         sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="roadflow-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured) if _settable(spark) else None
     sc.setCheckpointDir(configured)

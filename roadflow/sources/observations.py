@@ -12,21 +12,9 @@ from pyspark.sql import functions as F
 from roadflow import schema as S
 
 
-def load_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
-    """Parquet scan (``spread``: see :func:`spread_small_scan`)."""
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread_small_scan(df) if spread else df
-
-
-def spread_small_scan(df: DataFrame) -> DataFrame:
-    """A scan with fewer splits than the cluster has cores (one small file
-    with one row group) is spread round-robin so heavy per-row work after it
-    (JSON encode/decode) uses every core.  Large inputs already have many
-    splits and are returned untouched: no extra shuffle at scale."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if cores > 1 and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Parquet scan."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def read_observations(spark: SparkSession, path: str,

@@ -23,14 +23,17 @@ RAW_REQUEST_SCHEMA = T.StructType(
 
 
 def decode_requests(df: DataFrame, text_col: str = "body", id_col: str = "request_id") -> DataFrame:
-    """Parse request JSON and apply defaults; numbers truncate to int like ``int()``."""
+    """Parse request JSON and apply defaults; numbers truncate to int like ``int()``.
+
+    Text that is no number, and numbers that no int can hold, take the default.
+    """
     # parse once into a struct column; Catalyst keeps the expensive parse in
     # its own projection instead of inlining it into every field extraction.
     parsed = df.select(F.col(id_col), F.from_json(F.col(text_col), RAW_REQUEST_SCHEMA).alias("_r"))
     r = F.col("_r")
     cols: list[Column] = [F.col(id_col)]
     for f in INT_FIELDS:
-        cols.append(F.coalesce(r[f].try_cast(T.DoubleType()).cast("int"),
+        cols.append(F.coalesce(r[f].try_cast(T.DoubleType()).try_cast(T.IntegerType()),
                                F.lit(S.REQUEST_DEFAULTS[f])).alias(f))
     for f in DOUBLE_FIELDS:
         cols.append(F.coalesce(r[f].try_cast(T.DoubleType()),
@@ -41,7 +44,7 @@ def decode_requests(df: DataFrame, text_col: str = "body", id_col: str = "reques
 
 def requests_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One request per ``events`` row, as JSON text with some fields omitted."""
-    return events_to_requests(load_table(spark, sf_dir, "events", spread=True))
+    return events_to_requests(load_table(spark, sf_dir, "events"))
 
 
 def events_to_requests(ev: DataFrame) -> DataFrame:

@@ -20,14 +20,18 @@ from roadflow.sources.requests import decode_requests, events_to_requests
 
 
 def request_stream(spark: SparkSession, sf_dir: str, table: str = "events",
-                   max_files_per_trigger: int = 1) -> DataFrame:
-    """A streaming frame of decoded requests derived from a table's files."""
-    schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet").schema
-    ev = (spark.readStream.schema(schema)
-          .option("pathGlobFilter", f"{table}.parquet")
-          .option("maxFilesPerTrigger", max_files_per_trigger)
-          .parquet(sf_dir))
-    return decode_requests(events_to_requests(ev))
+                   max_files_per_trigger: int | None = None) -> DataFrame:
+    """A streaming frame of decoded requests derived from a table's files.
+
+    The table's own path is the source: one file, or a folder of part files.  It
+    is written as a pattern, because a streaming source that is a plain path must
+    be a folder.
+    """
+    path = f"{sf_dir.rstrip('/')}/{table}.parquet"
+    source = spark.readStream.schema(spark.read.parquet(path).schema)
+    if max_files_per_trigger:
+        source = source.option("maxFilesPerTrigger", max_files_per_trigger)
+    return decode_requests(events_to_requests(source.parquet(path[:-1] + "[t]")))
 
 
 def score_stream(stream: DataFrame, predictor) -> DataFrame:
