@@ -80,8 +80,8 @@ WITH p AS (
          sha1(coalesce(html, '')) AS hex FROM pages
 ), d AS (
   SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes,
-         array_to_string(list_transform(range(0, 32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + (
-           list_sum(list_transform(range(0, 5), b ->
+         array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + (
+           list_sum(list_transform(range(0, 5), lambda b:
              ((instr('0123456789abcdef', substr(hex, CAST((i * 5 + b) // 4 + 1 AS INT), 1)) - 1)
               >> CAST(3 - (i * 5 + b) % 4 AS INT)) % 2 * CAST(pow(2, 4 - b) AS INT)))) AS INT), 1)), '') AS payload_digest
   FROM p
@@ -107,7 +107,7 @@ def license_sql() -> str:
     low = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     word = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
     places = " UNION ALL ".join(
-        f"SELECT rid, {quote(label)} AS label, i - 1 AS at FROM d, unnest(range(1, len(w) - {n} + 2)) AS u(i) "
+        f"SELECT rid, {quote(label)} AS label, i - 1 AS pos FROM d, unnest(range(1, len(w) - {n} + 2)) AS u(i) "
         f"WHERE len(w) >= {n} AND array_to_string(w[i:i + {n - 1}], ' ') = {quote(phrase)} "
         f"AND array_to_string(w, ' ') LIKE {quote('%' + phrase + '%')}"
         for phrase, label in license_join.PHRASES for n in [len(phrase.split())])
@@ -115,7 +115,7 @@ def license_sql() -> str:
 WITH s AS (SELECT row_number() OVER () AS rid, doc_id, {low.format("coalesce(text, '')")} AS t FROM documents),
 d AS (SELECT rid, doc_id, t, regexp_extract_all(t, {word}) AS w FROM s),
 hits AS ({places}),
-base AS (SELECT rid, count(*) AS n_base, min(at) AS first_word, max(at) AS last_word,
+base AS (SELECT rid, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word,
                 list(DISTINCT label) AS labels FROM hits GROUP BY rid),
 blocks AS (
   SELECT rid, unnest(string_split(t, chr(10))) AS b FROM s
