@@ -10,11 +10,10 @@ in at most one bit of a segment share a key.  That makes 64 keys a fingerprint,
 whatever the corpus.  Only distinct fingerprints are indexed; copies share one.
 
 Within a key the smallest fingerprint is the pivot.  Members within reach of the
-pivot are tied to it (one edge each).  The others are compared with all members
-of the key.  Members tied to the same pivot are in one component already, so
-their mutual pairs are never made; a key full of near copies costs one edge a
-member, and joins on the key are ordinary equality joins that adaptive
-execution splits when a key is hot.
+pivot are compared with it alone, the others with all members of the key: two
+members within reach of one pivot are connected through it, so their pair is
+never made.  Joins on the key are ordinary equality joins, with the distance in
+the join condition, that adaptive execution splits when a key is hot.
 
 Defined results: no word (null, empty or blank text) has fingerprint zero and
 links like any other; fewer words than the shingle length make one shingle of
@@ -26,7 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadflow.llm.shared import components, map_texts
@@ -71,11 +70,25 @@ def with_fingerprint(docs: DataFrame, text: str, keep: list[str], name: str = "f
     return map_texts(docs, text, fn, [(name, "long")], keep)
 
 
+def first_key(difference: Column) -> Column:
+    """Tag of the first key that two fingerprints with this XOR share, of all the keys they share."""
+    tag = None
+    for start, size in reversed(SEGMENTS):
+        part = F.shiftrightunsigned(difference, start).bitwiseAND((1 << size) - 1)
+        # the one differing bit, or the first where there is none
+        bit = F.when(part == 0, F.lit(0)).otherwise(F.bit_count(part - 1))
+        tag = bit + start if tag is None else F.when(F.bit_count(part) <= 1, bit + start).otherwise(tag)
+    return tag
+
+
 def links(fps: DataFrame, fp: str = "fp", max_bits: int = MAX_BITS) -> DataFrame:
     """Verified edges (a, b) that connect what ``max_bits`` connects.
 
-    ``fps`` holds distinct fingerprints.  Not all pairs are returned: those
-    between two members tied to the same pivot are implied.
+    ``fps`` holds distinct fingerprints.  Not all pairs are returned: of a pair
+    whose first common key has a pivot within reach of both, the edge is left
+    out, unless one of them is that pivot.  Both then link to the pivot, which is
+    smaller, so by induction on the smaller member they are connected.  Every
+    other pair is returned once, from its first common key.
     """
     if max_bits // len(SEGMENTS) > 1:
         raise ValueError("segments differ by more than one bit")
@@ -84,20 +97,26 @@ def links(fps: DataFrame, fp: str = "fp", max_bits: int = MAX_BITS) -> DataFrame
         F.shiftrightunsigned(F.col(fp), start).bitwiseAND((1 << size) - 1 & ~(1 << bit))
         + (start + bit << 24)
         for start, size in SEGMENTS for bit in range(size)))
-    keyed = fps.select(F.col(fp).alias("v"), F.explode(keys).alias("k"))
-    pivots = keyed.groupBy("k").agg(F.min("v").alias("p"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-
-    def distance(x: str, y: str):
-        return F.bit_count(F.col(x).bitwiseXOR(F.col(y)))
-
-    members = keyed.join(pivots.select("k", "p"), "k")
-    tied = members.filter((F.col("v") != F.col("p")) & (distance("v", "p") <= max_bits)).select(
-        F.col("p").alias("a"), F.col("v").alias("b"))
-    far = members.filter(distance("v", "p") > max_bits).select("k", F.col("v").alias("w"))
-    rest = far.join(members.select("k", "v"), "k").filter(
-        (F.col("v") != F.col("w")) & (distance("v", "w") <= max_bits)).select(
-        F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b"))
-    return tied.union(rest).distinct()
+    # as many tasks as a shuffle has: every row becomes 64
+    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = fps.repartition(tasks, fp).select(F.col(fp).alias("v"), F.explode(keys).alias("k"))
+    pivots = keyed.groupBy("k").agg(F.min("v").alias("p"))
+
+    def linked(x: str, y: str) -> Column:
+        difference = F.col(x).bitwiseXOR(F.col(y))
+        return (F.col(x) != F.col(y)) & (F.bit_count(difference) <= max_bits) & \
+            (F.shiftrightunsigned("k", 24) == first_key(difference))
+
+    tied = keyed.join(pivots, "k").filter(linked("v", "p")).select(F.col("p").alias("a"), F.col("v").alias("b"))
+    # Every key has a pivot.  The outer join with its null test keeps this filter out of the join, so that the
+    # rows of a key are compared with the pivot only once.
+    far = keyed.join(pivots, "k", "left").filter(
+        F.col("p").isNull() | (F.bit_count(F.col("v").bitwiseXOR(F.col("p"))) > max_bits)).select(
+        "k", F.col("v").alias("w"), F.col("p").alias("p"))
+    near = F.bit_count(F.col("v").bitwiseXOR(F.col("p"))) <= max_bits
+    rest = far.join(keyed, "k").filter(linked("v", "w") & (near | (F.col("v") < F.col("w")))).select(
+        F.col("v").alias("a"), F.col("w").alias("b"))
+    return tied.union(rest)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
