@@ -26,7 +26,7 @@ def mean_predictions(split_df: DataFrame, name: str, keys=(), bound: int | None
     """Predictions of one baseline for every row (train and test)."""
     train = split_df.where(F.col("split") == "train")
     overall = train.agg(F.avg(F.col(y).cast("double"))).scalar()
-    base = split_df.select("split", "row_idx", F.col(ts).alias("ts"),
+    base = split_df.select("split", *_index(split_df), F.col(ts).alias("ts"),
                            F.col(y).cast("double").alias("actual"), *keys)
     if keys:
         gm = train.groupBy(*keys).agg(F.avg(F.col(y).cast("double")).alias("_gm"))
@@ -35,10 +35,15 @@ def mean_predictions(split_df: DataFrame, name: str, keys=(), bound: int | None
         pred = F.coalesce(F.col("_gm"), overall)
     else:
         pred = overall
-    return base.select(F.lit(name).alias("model"), "split", "row_idx", "ts", "actual",
+    return base.select(F.lit(name).alias("model"), "split", *_index(split_df), "ts", "actual",
                        pred.alias("predicted"))
 
 
+def _index(split_df: DataFrame) -> list[str]:
+    """The row index, where the split carries one."""
+    return [c for c in ("row_idx",) if c in split_df.columns]
+
+
 def baseline_predictions(split_df: DataFrame, y: str = "traffic_volume", ts: str = "date_time") -> DataFrame:
     """All four baselines for every row in one pass over the data.
 
@@ -72,5 +77,6 @@ def baseline_predictions(split_df: DataFrame, y: str = "traffic_volume", ts: str
     models = F.array(*[F.struct(F.lit(n).alias("model"), F.col(c).alias("predicted")) for n, c in (
         ("Global Mean", "p_global"), ("Hourly Mean", "p_hour"), ("Weather Mean", "p_weather"),
         ("Day-Hour Mean", "p_dow_hour"))])
-    return joined.select("split", "row_idx", F.col(ts).alias("ts"), yv.alias("actual"),
-                         F.inline(models)).select("model", "split", "row_idx", "ts", "actual", "predicted")
+    index = _index(split_df)
+    return joined.select("split", *index, F.col(ts).alias("ts"), yv.alias("actual"),
+                         F.inline(models)).select("model", "split", *index, "ts", "actual", "predicted")

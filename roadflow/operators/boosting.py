@@ -2,7 +2,8 @@
 
 Each round fits a weighted ``DecisionTreeRegressor`` (``weightCol``), scores
 the train split, and updates sample weights with DataFrame arithmetic; only
-two scalars per round (max error, weighted mean loss) reach the driver.
+three scalars per round (max error, weighted error, total weight) reach the
+driver, from one aggregate.
 Lineage is cut with ``checkpoint()`` every few rounds (shared checkpoint
 folder), so a lost executor never replays the whole loop.  Prediction is the
 weighted median of the rounds' predictions, computed per row with array
@@ -52,20 +53,21 @@ def fit_adaboost(train: DataFrame, cols=S.FS18, y: str = S.TARGET, rounds: int =
     assembler = VectorAssembler(inputCols=[f"{c}__z" for c in cols], outputCol="features")
     data = assembler.transform(scaler.transform(train)).select(
         "features", F.col(y).cast("double").alias("label"))
-    n = data.count()
-    data = cut_lineage(data.withColumn("w", F.lit(1.0 / n)))
+    # weights start equal; only their proportions matter
+    data = cut_lineage(data.withColumn("w", F.lit(1.0)))
     trees, weights = [], []
     for m in range(rounds):
         tree = DecisionTreeRegressor(maxDepth=depth, weightCol="w", seed=42 + m).fit(data)
         scored = tree.transform(data).withColumn("_err", F.abs(F.col("prediction") - F.col("label")))
-        dmax = scored.agg(F.max("_err")).first()[0]
+        # one pass: the mean loss is sum(w * err) / max(err) / sum(w)
+        agg = scored.agg(F.max("_err").alias("dmax"), F.sum(F.col("w") * F.col("_err")).alias("we"),
+                         F.sum("w").alias("ws")).first()
+        dmax = agg["dmax"]
         if not dmax:
             trees.append(tree)
             weights.append(1.0)
             break
-        scored = scored.withColumn("_loss", F.col("_err") / dmax)
-        agg = scored.agg(F.sum(F.col("w") * F.col("_loss")).alias("wl"), F.sum("w").alias("ws")).first()
-        avg_loss, wsum = agg["wl"] / agg["ws"], agg["ws"]
+        avg_loss, wsum = agg["we"] / dmax / agg["ws"], agg["ws"]
         if avg_loss >= 0.5:
             if not trees:
                 trees.append(tree)
@@ -76,8 +78,8 @@ def fit_adaboost(train: DataFrame, cols=S.FS18, y: str = S.TARGET, rounds: int =
         weights.append(lr * math.log(1.0 / beta) if beta > 0 else 1.0)
         if beta == 0:
             break
-        data = scored.select("features", "label",
-                             (F.col("w") / wsum * F.pow(F.lit(beta), lr * (1.0 - F.col("_loss")))).alias("w"))
+        data = scored.select("features", "label", (
+            F.col("w") / wsum * F.pow(F.lit(beta), lr * (1.0 - F.col("_err") / dmax))).alias("w"))
         if (m + 1) % checkpoint_every == 0:
             data = cut_lineage(data)
     return AdaBoostModel(scaler, assembler, trees, weights)

@@ -14,10 +14,8 @@ single-machine libraries, never claimed to reproduce their numbers.
 
 from __future__ import annotations
 
-import time
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, LinearRegression,
@@ -72,7 +70,11 @@ def _tree(depth=10):
     return lambda ctx: DecisionTreeRegressor(maxDepth=depth, seed=42, **_TREE_OPTS)
 
 
-def _forest(trees=200, depth=15, bootstrap=True, subset="all"):
+#: The reference's trees have no depth limit; this is the deepest that MLlib grows.
+MAX_DEPTH = 30
+
+
+def _forest(trees=200, depth=MAX_DEPTH, bootstrap=True, subset="all"):
     return lambda ctx: RandomForestRegressor(numTrees=trees, maxDepth=depth, bootstrap=bootstrap,
                                              featureSubsetStrategy=subset, seed=42, **_TREE_OPTS)
 
@@ -89,29 +91,14 @@ SPECS = {
     "Ridge Regression": ModelSpec("Ridge Regression", "LINEAR", _ridge(1.0)),
     "Lasso Regression": ModelSpec("Lasso Regression", "LINEAR", _lasso(0.1)),
     "Decision Tree": ModelSpec("Decision Tree", "TREE", _tree(10)),
-    "Random Forest": ModelSpec("Random Forest", "TREE", _forest(200, 15)),
-    "Extra Trees": ModelSpec("Extra Trees", "TREE", _forest(200, 15, bootstrap=False, subset="onethird")),
+    "Random Forest": ModelSpec("Random Forest", "TREE", _forest(200)),
+    "Extra Trees": ModelSpec("Extra Trees", "TREE", _forest(200, bootstrap=False, subset="onethird")),
     "Gradient Boosting": ModelSpec("Gradient Boosting", "TREE", _gbt(200, 0.05, 3)),
     "XGBoost": ModelSpec("XGBoost", "BOOST", _gbt(300, 0.05, 6)),
     "XGBoost (subsampled)": ModelSpec("XGBoost (subsampled)", "BOOST", _gbt(300, 0.05, 6, 0.8, "0.8")),
     "LightGBM": ModelSpec("LightGBM", "BOOST", _gbt(300, 0.05, 5)),
 }
 
-# Driver-scale variants for the registered queries: Spark trains boosting
-# rounds and forest levels as separate jobs, so the reference sizes (300
-# rounds, 200 trees) cost minutes of job overhead even on tiny inputs.  Same
-# learners and depths, fewer rounds / trees.
-QUERY_SPECS = {
-    **{k: SPECS[k] for k in ("Linear Regression", "Ridge Regression", "Lasso Regression", "Decision Tree")},
-    "Random Forest": ModelSpec("Random Forest", "TREE", _forest(30, 15)),
-    "Extra Trees": ModelSpec("Extra Trees", "TREE", _forest(30, 15, bootstrap=False, subset="onethird")),
-    "Gradient Boosting": ModelSpec("Gradient Boosting", "TREE", _gbt(20, 0.05, 3)),
-    "XGBoost": ModelSpec("XGBoost", "BOOST", _gbt(20, 0.05, 6)),
-    "XGBoost (subsampled)": ModelSpec("XGBoost (subsampled)", "BOOST", _gbt(20, 0.05, 6, 0.8, "0.8")),
-    "LightGBM": ModelSpec("LightGBM", "BOOST", _gbt(20, 0.05, 5)),
-}
-
-
 def scaler_literals(train: DataFrame, cols) -> dict:
     """Fit mean / population std (zero → 1) on train; a handful of scalars."""
     row = fit_scaler(train, cols).first()
@@ -170,25 +157,24 @@ def predict(model: PipelineModel, df: DataFrame, out: str = "predicted") -> Data
 
 def predictions_frame(model: PipelineModel, df: DataFrame, name: str, y: str = S.TARGET) -> DataFrame:
     p = predict(model, df)
-    return p.select(F.lit(name).alias("model"), "split", "row_idx", F.col("date_time").alias("ts"),
+    index = [c for c in ("row_idx",) if c in p.columns]
+    return p.select(F.lit(name).alias("model"), "split", *index, F.col("date_time").alias("ts"),
                     F.col(y).cast("double").alias("actual"), "predicted")
 
 
-def run_benchmark(train: DataFrame, test: DataFrame, specs, cols=S.FS18, y: str = S.TARGET) -> DataFrame:
-    """Fit each spec, score the test split, evaluate, record fit seconds.
+def run_benchmark(test: DataFrame, fits, y: str = S.TARGET) -> DataFrame:
+    """Score the test split with every fitted model, evaluate, attach fit seconds.
 
-    The train frame is persisted once and shared by all fits; the scaler and
-    label statistics are fitted once.
+    ``fits``: (name, category, predictor, seconds), a predictor adding
+    ``predicted`` to a frame of features.
     """
-    spark = train.sparkSession
-    train = train.persist(StorageLevel.MEMORY_AND_DISK)
-    ctx, stats = fit_state(train, cols, y)
+    spark = test.sparkSession
     frames, times = [], []
-    for spec in specs:
-        t0 = time.time()
-        model = fit_model(train, spec, cols, y, ctx, stats)
-        times.append((spec.name, spec.category, round(time.time() - t0, 3)))
-        frames.append(Ev.evaluate(predictions_frame(model, test, spec.name, y)))
+    for name, category, predictor, seconds in fits:
+        times.append((name, category, round(seconds, 3)))
+        scored = predictor(test).select(
+            F.lit(name).alias("model"), "split", F.col(y).cast("double").alias("actual"), "predicted")
+        frames.append(Ev.evaluate(scored))
     metrics = Ev.union_metrics(frames).withColumnRenamed("model", "Model")
     t = spark.createDataFrame(times, "Model string, Category string, Time double")
     return metrics.join(F.broadcast(t), "Model").select(
@@ -216,12 +202,13 @@ def top_features(importance: DataFrame, k: int = 10) -> DataFrame:
 
 
 def ablation(train: DataFrame, test: DataFrame, spec: ModelSpec, sets=("FS7", "FS18"),
-             y: str = S.TARGET) -> DataFrame:
-    """The same model on each feature set; R² and gain over the first."""
+             y: str = S.TARGET, fitted: dict | None = None) -> DataFrame:
+    """The same model on each feature set; R² and gain over the first.
+    ``fitted`` holds models that have been fitted already, by set."""
     rows = []
     for s in sets:
         cols = S.FEATURE_SETS[s]
-        m = fit_model(train, spec, cols, y)
+        m = (fitted or {}).get(s) or fit_model(train, spec, cols, y)
         rows.append(Ev.evaluate(predictions_frame(m, test, spec.name, y)).select(
             F.lit(s).alias("feature_set"), F.lit(len(cols)).alias("n_features"), "R2", "MAE"))
     out = Ev.union_metrics(rows)

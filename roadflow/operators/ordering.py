@@ -32,35 +32,9 @@ from roadflow.session import cut_lineage
 LOCAL_BITS = 33
 
 
-MAX_RANGE_PARTITIONS = 1 << 20
-
-
 def _partitions(df: DataFrame, n: int | None) -> int:
-    """Range partitions sized from the data, not from a fixed setting.
-
-    The optimizer's size estimate of ``df`` (file sizes through the plan; no
-    job) divided by AQE's advisory partition size, and at least one partition
-    per core.  A 100 TB input gets ~10^6 partitions of ~100 MB; a 2 MB test
-    table gets one per core instead of 200 near-empty ones.
-    """
-    if n:
-        return int(n)
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - estimate unavailable
-        return max(cores, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-    target = _bytes(spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64MB"))
-    return int(min(MAX_RANGE_PARTITIONS, max(cores, -(-size // target))))
-
-
-def _bytes(text: str) -> int:
-    t = text.strip().lower().replace("b", "")
-    mult = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
-    if t and t[-1] in mult:
-        return int(float(t[:-1]) * mult[t[-1]])
-    return int(t)
+    """Range partitions: as many as the session gives any shuffle."""
+    return int(n or df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def with_row_index(df: DataFrame, order_cols, num_partitions: int | None = None,
@@ -109,21 +83,72 @@ def _cut(total: Column, frac: float) -> Column:
     return F.floor(total.cast("double") * F.lit(float(frac))).cast("bigint")
 
 
+def keys_at(df: DataFrame, order: list[str], bucket: Column, positions) -> list:
+    """The key rows at given places of the total order ``order``, without sorting ``df``.
+
+    ``bucket`` is a coarse column that sorts as ``order`` does and takes few
+    values.  Rows are counted by bucket (a partial aggregate), a running count
+    over the buckets finds those that hold the wanted places, and only the keys
+    of these are ordered.  ``positions(n)`` gives the places for ``n`` rows; a
+    place at or beyond the end gives ``None``.  Rows reach the driver one a place.
+    """
+    keys = df.select(*order, bucket.alias("_bucket"))
+    counts = cut_lineage(keys.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_c")))
+    n = counts.agg(F.sum("_c")).first()[0] or 0
+    w = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
+    running = counts.withColumn("_before", F.coalesce(F.sum("_c").over(w), F.lit(0)))
+    found = []
+    for place in positions(n):
+        hit = running.where((F.col("_before") <= place) & (place < F.col("_before") + F.col("_c"))).first()
+        if hit is None:
+            found.append(None)
+            continue
+        inside = keys.where(F.col("_bucket").eqNullSafe(F.lit(hit["_bucket"]))).select(*order)
+        ranked = with_row_index(inside, order, name="_place", checkpoint=True)
+        found.append(ranked.where(F.col("_place") == place - hit["_before"]).select(*order).first())
+    return found
+
+
+def before_key(order: list[str], key) -> Column:
+    """Whether a row comes before ``key`` in the order (ascending, nulls first); all do before ``None``."""
+    if key is None:
+        return F.lit(True)
+    out = F.lit(False)
+    for c in reversed(order):
+        col, at = F.col(c), F.lit(key[c])
+        if key[c] is None:
+            out = col.isNull() & out
+        else:
+            out = col.isNull() | (col < at) | ((col == at) & out)
+    return out
+
+
 def chrono_split(df: DataFrame, cuts=(0.8,), labels=("train", "test"),
-                 ts: str = "date_time", tie: str = "obs_id") -> DataFrame:
+                 ts: str = "date_time", tie: str = "obs_id", with_index: bool = True) -> DataFrame:
     """D1s/D2s: chronological split at cumulative fractions ``cuts``.
 
     ``cuts=(0.8,)`` → 80/20; ``cuts=(0.7, 0.85)`` with three labels → 70/15/15.
-    Adds ``row_idx`` and ``split``.
+    Adds ``split``, and ``row_idx`` if asked for.  Without the index no row moves:
+    the keys at the cuts are found by counting days, and the split is a
+    comparison with them.
     """
     if len(labels) != len(cuts) + 1:
         raise ValueError("need one label more than cuts")
-    idx = time_index(df, ts, tie, total="_n")
-    expr = None
-    for c, lab in zip(cuts, labels):
-        cond = F.col("row_idx") < _cut(F.col("_n"), c)
-        expr = F.when(cond, F.lit(lab)) if expr is None else expr.when(cond, F.lit(lab))
-    return idx.withColumn("split", expr.otherwise(F.lit(labels[-1]))).drop("_n")
+    if with_index:
+        idx = time_index(df, ts, tie, total="_n")
+        conds = [F.col("row_idx") < _cut(F.col("_n"), c) for c in cuts]
+    else:
+        idx = df
+        found = keys_at(df, [ts, tie], F.date_trunc("DAY", F.col(ts)), lambda n: [int(n * c) for c in cuts])
+        conds = [before_key([ts, tie], k) for k in found]
+    expr = F.lit(labels[-1])
+    for cond, lab in reversed(list(zip(conds, labels))):
+        expr = F.when(cond, F.lit(lab)).otherwise(expr)
+    return idx.withColumn("split", expr).drop("_n")
+
+
+#: Leading hex digits of a hash that name its bucket.
+HASH_DIGITS = 3
 
 
 def random_split(df: DataFrame, test_frac: float = 0.2, seed: int = 42,
@@ -131,14 +156,15 @@ def random_split(df: DataFrame, test_frac: float = 0.2, seed: int = 42,
     """D3s: seeded random split with exact sizes (test = ceil(frac * n)).
 
     Rows are ordered by ``md5(seed || key)`` - reproducible in any engine -
-    and the first ``ceil(frac*n)`` positions form the test split.
+    and the first ``ceil(frac*n)`` positions form the test split.  The hash at
+    that place is found by counting hash prefixes, so no row moves.
     """
     h = F.md5(F.concat(F.lit(str(seed)), F.col(key).cast("string")))
-    idx = with_row_index(df.withColumn("_h", h), ["_h", key], name="_pos", total="_n")
-    n_test = F.ceil(F.col("_n").cast("double") * F.lit(float(test_frac)))
-    return (idx.withColumn("split", F.when(F.col("_pos") < n_test, F.lit("test"))
-                           .otherwise(F.lit("train")))
-            .drop("_h", "_pos", "_n"))
+    hashed = df.withColumn("_h", h)
+    (cut,) = keys_at(hashed, ["_h", key], F.substring("_h", 1, HASH_DIGITS),
+                     lambda n: [math.ceil(float(n) * test_frac)])
+    return hashed.withColumn("split", F.when(before_key(["_h", key], cut), F.lit("test"))
+                             .otherwise(F.lit("train"))).drop("_h")
 
 
 def systematic_sample(df: DataFrame, k: int = 20, idx: str = "row_idx",

@@ -39,20 +39,31 @@ def apply_scaler(df: DataFrame, stats, cols, suffix: str = "") -> DataFrame:
     return df.withColumns(scaled)
 
 
-def fit_target_scale(train: DataFrame, y: str = S.TARGET, kind: str = "minmax_eps") -> DataFrame:
-    """F17 state: ``minmax_eps`` (max-min+1e-8), ``minmax`` (no eps) or ``zscore``
-    (population std) → one row (``t_shift``, ``t_scale``)."""
+def _target_scale(y: str, kind: str):
     v = F.col(y).cast("double")
     if kind == "minmax_eps":
-        return train.agg(F.min(v).alias("t_shift"),
-                         (F.max(v) - F.min(v) + S.TARGET_SCALE_EPS).alias("t_scale"))
+        return F.min(v), F.max(v) - F.min(v) + S.TARGET_SCALE_EPS
     if kind == "minmax":
-        return train.agg(F.min(v).alias("t_shift"), (F.max(v) - F.min(v)).alias("t_scale"))
+        return F.min(v), F.max(v) - F.min(v)
     if kind == "zscore":
-        return train.agg(F.avg(v).alias("t_shift"), F.stddev_pop(v).alias("t_scale"))
+        return F.avg(v), F.stddev_pop(v)
     raise ValueError(kind)
 
 
+def fit_target_scale(train: DataFrame, y: str = S.TARGET, kind: str = "minmax_eps") -> DataFrame:
+    """F17 state: ``minmax_eps`` (max-min+1e-8), ``minmax`` (no eps) or ``zscore``
+    (population std) → one row (``t_shift``, ``t_scale``)."""
+    shift, scale = _target_scale(y, kind)
+    return train.agg(shift.alias("t_shift"), scale.alias("t_scale"))
+
+
+def fit_target_scales(train: DataFrame, kinds, y: str = S.TARGET) -> dict[str, dict]:
+    """The state of several kinds from one aggregate."""
+    row = train.agg(*(c.alias(f"{k}_{n}") for k in kinds
+                      for n, c in zip(("t_shift", "t_scale"), _target_scale(y, k)))).first()
+    return {k: {n: row[f"{k}_{n}"] for n in ("t_shift", "t_scale")} for k in kinds}
+
+
 def scale_target(df: DataFrame, stats, y: str = S.TARGET, out: str = "y_scaled") -> DataFrame:
     v = stats if isinstance(stats, dict) else fitted_values(stats)
     return df.withColumn(out, (F.col(y).cast("double") - F.lit(v["t_shift"])) / F.lit(v["t_scale"]))

@@ -63,23 +63,24 @@ SELECT {by}, n, unscored, round_even(MAE, 4) AS MAE, round_even(RMSE, 4) AS RMSE
        round_even(MAPE, 4) AS MAPE, round_even(ClassAcc, 4) AS ClassAcc FROM ({_raw_sql(src, by)})"""
 
 
-def _split(spark, sf):
-    return O.chrono_split(events_feat(spark, sf))
+def _split(spark, sf, index=False):
+    return O.chrono_split(events_feat(spark, sf), with_index=index)
 
 
-def _preds(spark, sf):
-    return baseline_predictions(_split(spark, sf))
+def _preds(spark, sf, index=False):
+    return baseline_predictions(_split(spark, sf, index))
 
 
-def _test(spark, sf):
-    return _preds(spark, sf).where(F.col("split") == "test")
+def _test(spark, sf, index=False):
+    """Test rows with their predictions; the row index costs a sort, so only where it is used."""
+    return _preds(spark, sf, index).where(F.col("split") == "test")
 
 
 @register("baseline_predictions", _with_preds() + """
 SELECT model, split, row_idx, ts, actual, round_even(predicted, 6) AS predicted FROM raw""")
 def q_baseline_predictions(spark, sf):
     """Train-mean predictors (global, hour, weather, day x hour) for every row."""
-    p = _preds(spark, sf)
+    p = _preds(spark, sf, index=True)
     return p.withColumn("predicted", F.bround("predicted", 6))
 
 
@@ -177,7 +178,7 @@ sm AS (SELECT model, t_idx, strftime(ts, '%Y-%m-%d %H:%M') AS minute, CAST(trunc
 
 
 def _sample(spark, sf):
-    t = _test(spark, sf)
+    t = _test(spark, sf, index=True)
     per_model = t.groupBy("model").agg(F.min("row_idx").alias("_first"), F.count(F.lit(1)).alias("_n"))
     t = t.join(bounded_broadcast(per_model), "model").withColumn("t_idx", F.col("row_idx") - F.col("_first"))
     return Ev.sample_report(t, 20, total="_n")
@@ -204,7 +205,7 @@ SELECT model, row_idx, ts, actual, round_even(predicted, 6) AS predicted, round_
        {Q.emoji('actual', True)} AS actual_level, {Q.emoji('predicted', True)} AS predicted_level FROM tp""")
 def q_prediction_table(spark, sf):
     """E14 (+F26): per-row result table."""
-    t = Ev.prediction_table(_test(spark, sf))
+    t = Ev.prediction_table(_test(spark, sf, index=True))
     return t.select("model", "row_idx", "ts", "actual", *[F.bround(c, 6).alias(c) for c in
                     ("predicted", "error", "abs_error", "rel_error")], "actual_level", "predicted_level")
 
@@ -255,7 +256,7 @@ SELECT model, row_idx, actual, round_even(predicted, 6) AS predicted FROM tp WHE
 ORDER BY md5('42' || CAST(row_idx AS VARCHAR)), row_idx LIMIT 200""")
 def q_scatter_sample(spark, sf):
     """200 hash-chosen (actual, predicted) points of one model."""
-    s = Ev.scatter_sample(_test(spark, sf).where(F.col("model") == "Hourly Mean"), 200)
+    s = Ev.scatter_sample(_test(spark, sf, index=True).where(F.col("model") == "Hourly Mean"), 200)
     return s.withColumn("predicted", F.bround("predicted", 6))
 
 
@@ -265,7 +266,7 @@ FROM (SELECT row_idx, actual FROM tp WHERE model = 'Global Mean') a
 JOIN (SELECT row_idx, predicted FROM tp WHERE model = 'Hourly Mean') p ON a.row_idx = p.row_idx""")
 def q_align(spark, sf):
     """Predictions aligned to actuals by row index."""
-    t = _test(spark, sf)
+    t = _test(spark, sf, index=True)
     actual = t.where(F.col("model") == "Global Mean").select("row_idx", "actual")
     pred = t.where(F.col("model") == "Hourly Mean").select("row_idx", "predicted")
     out = Ev.align(pred, actual)
@@ -319,7 +320,7 @@ def q_csv_roundtrip(spark, sf):
     from roadflow.session import ensure_checkpoint_dir
     from roadflow.sources.sinks import write_csv
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/predictions-{uuid.uuid4().hex}"
-    t = Ev.prediction_table(_test(spark, sf)).select(
+    t = Ev.prediction_table(_test(spark, sf, index=True)).select(
         "model", "row_idx", "actual", F.bround("predicted", 6).alias("predicted"), "actual_level")
     write_csv(t, path)
     return spark.read.schema("model string, row_idx long, actual double, predicted double, actual_level string") \

@@ -50,7 +50,7 @@ SELECT split, count(*) AS rows, min(date_time) AS first_ts, max(date_time) AS la
 @register("split_report", Q.with_orders(_SPLIT80) + _REPORT)
 def q_split_report(spark, sf):
     """A23 over D1s."""
-    return O.split_report(O.chrono_split(orders_feat(spark, sf)))
+    return O.split_report(O.chrono_split(orders_feat(spark, sf), with_index=False))
 
 
 _SPLIT3 = f"""
@@ -63,7 +63,7 @@ sp AS (SELECT *, CASE WHEN row_idx < CAST(floor(n * CAST(0.7 AS DOUBLE)) AS BIGI
 @register("split_report_3way", Q.with_orders(_SPLIT3) + _REPORT)
 def q_split_report_3way(spark, sf):
     """D2s: chronological 70/15/15 split, reported per split."""
-    sp = O.chrono_split(orders_feat(spark, sf), cuts=(0.7, 0.85), labels=("train", "val", "test"))
+    sp = O.chrono_split(orders_feat(spark, sf), cuts=(0.7, 0.85), labels=("train", "val", "test"), with_index=False)
     return O.split_report(sp)
 
 
@@ -160,7 +160,7 @@ def _scaler_sql():
 @register("standardize", _scaler_sql())
 def q_standardize(spark, sf):
     """z-score FS18 with population std fitted on the train split only."""
-    sp = O.chrono_split(orders_feat(spark, sf, encode=True))
+    sp = O.chrono_split(orders_feat(spark, sf, encode=True), with_index=False)
     stats = Sc.fit_scaler(sp.where(F.col("split") == "train"), S.FS18)
     out = Sc.apply_scaler(sp, stats, S.FS18)
     return out.select("obs_id", "split", *[F.bround(c, 6).alias(c) for c in S.FS18])
@@ -176,16 +176,14 @@ SELECT obs_id, split,
        round_even(((traffic_volume - mn) / (mx - mn + 1e-8)) * (mx - mn + 1e-8) + mn, 6) AS y_back
 FROM sp, st""")
 def q_target_scaling(spark, sf):
-    """the three target scalings fitted on train, and the inverse."""
-    sp = O.chrono_split(orders_feat(spark, sf))
-    train = sp.where(F.col("split") == "train")
-    a = Sc.fit_target_scale(train, kind="minmax_eps")
-    b = Sc.fit_target_scale(train, kind="minmax")
-    z = Sc.fit_target_scale(train, kind="zscore")
-    out = Sc.scale_target(sp, a, out="y_minmax_eps")
-    out = Sc.scale_target(out, b, out="y_minmax")
-    out = Sc.scale_target(out, z, out="y_zscore")
-    out = Sc.unscale_target(out, a, col="y_minmax_eps", out="y_back")
+    """the three target scalings fitted on train in one pass, and the inverse."""
+    sp = O.chrono_split(orders_feat(spark, sf), with_index=False)
+    kinds = {"minmax_eps": "y_minmax_eps", "minmax": "y_minmax", "zscore": "y_zscore"}
+    stats = Sc.fit_target_scales(sp.where(F.col("split") == "train"), kinds)
+    out = sp
+    for kind, name in kinds.items():
+        out = Sc.scale_target(out, stats[kind], out=name)
+    out = Sc.unscale_target(out, stats["minmax_eps"], col="y_minmax_eps", out="y_back")
     return out.select("obs_id", "split", F.bround("y_minmax_eps", 9).alias("y_minmax_eps"),
                       F.bround("y_minmax", 9).alias("y_minmax"), F.bround("y_zscore", 9).alias("y_zscore"),
                       F.bround("y_back", 6).alias("y_back"))
