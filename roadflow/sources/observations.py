@@ -8,8 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from roadflow import schema as S
+from roadflow.functions.calendar import parse_ts
 
 
 def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,16 +24,21 @@ def read_observations(spark: SparkSession, path: str,
     """CSV scan with an explicit schema; 'None'/empty → null.
 
     A declared schema avoids the inference pass over the whole file and makes
-    missing or mistyped columns fail at load (FAILFAST).
+    missing or mistyped columns fail at load (FAILFAST).  Times are read as text
+    and parsed (F1); one that cannot be parsed is null.  ``obs_id`` is a hash of
+    the whole row, so it does not depend on how files are split; rows that are
+    alike in everything share it.
     """
-    df = (spark.read.schema(schema)
+    times = [f.name for f in schema.fields if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType))]
+    scanned = T.StructType([T.StructField(f.name, T.StringType()) if f.name in times else f for f in schema.fields])
+    df = (spark.read.schema(scanned)
           .option("header", header)
           .option("nullValue", "None")
           .option("emptyValue", None)
           .option("mode", "FAILFAST")
-          .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
           .csv(path))
-    return df.withColumn("obs_id", F.monotonically_increasing_id()).select(*S.OBS_COLUMNS)
+    df = df.withColumns({c: parse_ts(c) for c in times})
+    return df.withColumn("obs_id", F.xxhash64(*schema.names)).select(*S.OBS_COLUMNS)
 
 
 def to_observations(df: DataFrame, mapping: dict[str, Column]) -> DataFrame:
