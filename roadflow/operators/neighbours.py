@@ -1,15 +1,20 @@
-"""Exact k-nearest-neighbour regression (J5) as a distributed block join.
-
-Train and query rows are hashed into blocks of at most ``block_rows`` rows.
-Every (query block, train block) pair is one cogroup group: train blocks are
-copied to each query block and query blocks to each train block, so the
-work is a block nested loop spread over many tasks.  Inside a group a
-vectorised NumPy kernel computes the exact squared Euclidean distances
-(summed feature by feature, left to right) and keeps the ``k`` best train rows
-per query by (distance, train id).  Only those candidates leave the task;
-the final top-k per query is taken over at most ``k * train_blocks`` rows.
-No pairs are materialised, nothing passes through the driver, and there is
-no cap on candidates: every train row is compared with every query row.
+"""Exact k-nearest-neighbour regression (J5) with cell pruning.
+
+Train rows belong to the nearest of at most ``CELLS`` centres (a hash-chosen
+sample of them).  Every cell has a radius and a count.  For a query the cells
+nearest by their far side hold at least ``k`` rows within an upper bound; a cell
+whose near side lies beyond that bound cannot hold a neighbour and is not
+visited.  A query row is sent to the cells left, so what is shuffled grows with
+the queries and the train rows, not with their product.
+
+Cells with many train or query rows are cut into blocks of at most
+``block_rows``, and every (train block, query block) pair of a cell is a group of
+its own.  Inside a group a vectorised NumPy kernel computes the exact squared
+Euclidean distances (summed feature by feature, left to right) and keeps the
+``k`` best train rows per query by (distance, train id).  Distances are compared
+to ``DIGITS`` places, so that engines which differ in the last bits agree.  Only
+candidates leave the task; the final top-k per query is taken over at most ``k``
+rows a visited block.  No candidate is capped.
 """
 
 from __future__ import annotations
@@ -18,12 +23,19 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from roadflow.operators.scaling import apply_scaler, fit_scaler
+from roadflow.session import cut_lineage
 
 CAND_SCHEMA = "qid long, tid long, dist double, y double"
+#: Centres, at most: what the driver and every task hold of the train rows.
+CELLS = 256
+#: Decimal places to which squared distances are compared.
+DIGITS = 6
 
 
 def _topk_kernel(cols, k, batch=512):
@@ -55,6 +67,7 @@ def _topk_kernel(cols, k, batch=512):
                 np.subtract(a[s:e, None], b[None, :], out=tmp)
                 np.multiply(tmp, tmp, out=tmp)
                 d += tmp
+            np.round(d, DIGITS, out=d)
             kth = np.partition(d, kk - 1, axis=1)[:, kk - 1:kk]
             closer = d < kth
             need = kk - closer.sum(axis=1, keepdims=True)
@@ -66,25 +79,84 @@ def _topk_kernel(cols, k, batch=512):
     return run
 
 
+def _centre_distances(batch: pa.RecordBatch, cols, centres: np.ndarray) -> np.ndarray:
+    """Rows x centres Euclidean distances."""
+    x = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in cols])
+    square = (x * x).sum(1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(1)[None, :]
+    return np.sqrt(np.maximum(square, 0))
+
+
+#: Rounding of distances found through products; bounds give way by this much.
+SLACK = 1e-5
+
+
+def _assign(cols, centres: np.ndarray):
+    """Adds the cell of every train row and its distance to the centre."""
+    def run(batches):
+        for batch in batches:
+            d = _centre_distances(batch, cols, centres)
+            cell = d.argmin(1)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(cell, pa.int32()), pa.array(d[np.arange(len(cell)), cell])],
+                [*batch.schema.names, "_cell", "_dist"])
+    return run
+
+
+def _visit(cols, centres: np.ndarray, radius: np.ndarray, count: np.ndarray, k: int):
+    """One row per query and cell that may hold one of its ``k`` nearest."""
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                d = _centre_distances(part, cols, centres)
+                far = np.where(count > 0, d + radius, np.inf)
+                order = far.argsort(1, kind="stable")
+                held = np.cumsum(count[order], 1)
+                last = np.minimum((held < k).sum(1), len(count) - 1)
+                bound = np.take_along_axis(far, np.take_along_axis(order, last[:, None], 1), 1)
+                bound = np.where(held[:, -1:] < k, np.inf, bound)  # fewer train rows than k: all cells
+                near = np.maximum(d - radius, 0)
+                rows, cells = np.nonzero((near <= bound + SLACK) & (count > 0))
+                yield pa.RecordBatch.from_arrays(
+                    [*(c.take(pa.array(rows)) for c in part.columns), pa.array(cells, pa.int32())],
+                    [*part.schema.names, "_cell"])
+    return run
+
+
 def knn_candidates(train: DataFrame, query: DataFrame, cols, k: int = 10, y: str = "traffic_volume",
                    train_id: str = "row_idx", query_id: str = "row_idx", block_rows: int = 20000,
-                   min_query_blocks: int | None = None) -> DataFrame:
+                   cells: int = CELLS) -> DataFrame:
     """Exact k nearest train rows of every query row: (qid, tid, dist, y, rank)."""
-    spark = train.sparkSession
-    n_t = train.count()
-    n_q = query.count()
-    tb = max(1, math.ceil(n_t / block_rows))
-    qb = max(1, math.ceil(n_q / block_rows),
-             min_query_blocks or spark.sparkContext.defaultParallelism)
-    t = train.select(F.col(train_id).cast("long").alias("_tid"), F.col(y).cast("double").alias("_y"),
-                     *[F.col(c).cast("double").alias(c) for c in cols],
-                     F.pmod(F.xxhash64(train_id), F.lit(tb)).alias("_tb"))
-    q = query.select(F.col(query_id).cast("long").alias("_qid"), *[F.col(c).cast("double").alias(c) for c in cols],
-                     F.pmod(F.xxhash64(query_id), F.lit(qb)).alias("_qb"))
-    t = t.withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1))))
-    q = q.withColumn("_tb", F.explode(F.sequence(F.lit(0), F.lit(tb - 1))))
-    cand = (q.groupBy("_qb", "_tb").cogroup(t.groupBy("_qb", "_tb"))
-            .applyInPandas(_topk_kernel(list(cols), k), CAND_SCHEMA))
+    cols = list(cols)
+    feats = [F.col(c).cast("double").alias(c) for c in cols]
+    t = cut_lineage(train.select(F.col(train_id).cast("long").alias("_tid"),
+                                 F.col(y).cast("double").alias("_y"), *feats))
+    q = query.select(F.col(query_id).cast("long").alias("_qid"), *feats)
+    sample = t.orderBy(F.xxhash64("_tid"), "_tid").limit(cells).select(*cols).toPandas()  # at most ``cells`` rows
+    centres = sample.to_numpy(np.float64).reshape(-1, len(cols))
+    if not len(centres):
+        return q.sparkSession.createDataFrame([], CAND_SCHEMA + ", rank int")
+    t = cut_lineage(t.mapInArrow(_assign(cols, centres), T.StructType([
+        *t.schema.fields, T.StructField("_cell", T.IntegerType()), T.StructField("_dist", T.DoubleType())])))
+    stats = t.groupBy("_cell").agg(F.max("_dist").alias("r"), F.count(F.lit(1)).alias("n")).collect()
+    radius, count = np.zeros(len(centres)), np.zeros(len(centres), np.int64)
+    for r in stats:  # one row per cell
+        radius[r["_cell"]], count[r["_cell"]] = r["r"], r["n"]
+    q = cut_lineage(q.mapInArrow(_visit(cols, centres, radius, count, k), T.StructType([
+        *q.schema.fields, T.StructField("_cell", T.IntegerType())])))
+    asked = {r["_cell"]: r["n"] for r in q.groupBy("_cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    def blocks(numbers) -> Column:
+        """Blocks of each row's cell."""
+        return F.element_at(F.array(*(F.lit(max(1, math.ceil(n / block_rows))) for n in numbers)), F.col("_cell") + 1)
+
+    tb, qb = blocks(count.tolist()), blocks([asked.get(c, 0) for c in range(len(centres))])
+    t = t.withColumn("_tb", F.pmod(F.xxhash64("_tid"), tb).cast("int")).withColumn(
+        "_qb", F.explode(F.sequence(F.lit(0), qb - 1))).drop("_dist")
+    q = q.withColumn("_qb", F.pmod(F.xxhash64("_qid"), qb).cast("int")).withColumn(
+        "_tb", F.explode(F.sequence(F.lit(0), tb - 1)))
+    group = ["_cell", "_tb", "_qb"]
+    cand = q.groupBy(*group).cogroup(t.groupBy(*group)).applyInPandas(_topk_kernel(cols, k), CAND_SCHEMA)
     w = Window.partitionBy("qid").orderBy("dist", "tid")
     return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

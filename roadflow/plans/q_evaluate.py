@@ -274,24 +274,28 @@ def q_align(spark, sf):
                       F.bround("error", 6).alias("error"))
 
 
-_KNN_COLS = ["hour", "dow", "clouds_all", "weather_enc", "is_weekend", "rush_hour"]
-_KNN_DIST = " + ".join(f"(q.{c} - t.{c}) * (q.{c} - t.{c})" for c in _KNN_COLS)
+_KNN_DIST = " + ".join(f"(q.{c} - t.{c}) * (q.{c} - t.{c})" for c in S.FS18)
+_KNN_STATS = ", ".join(f"avg(CAST({c} AS DOUBLE)) AS m_{c}, CASE WHEN coalesce(stddev_pop(CAST({c} AS DOUBLE)), 0) = 0 "
+                       f"THEN 1.0 ELSE stddev_pop(CAST({c} AS DOUBLE)) END AS s_{c}" for c in S.FS18)
+_KNN_SCALED = ", ".join(f"(CAST({c} AS DOUBLE) - m_{c}) / s_{c} AS {c}" for c in S.FS18)
 
 
 @register("knn_predict", Q.with_events(f"""
 ix AS (SELECT *, {IDX} AS row_idx, count(*) OVER () AS n FROM feat),
 sp AS (SELECT *, CASE WHEN row_idx < CAST(floor(n * CAST(0.8 AS DOUBLE)) AS BIGINT) THEN 'train' ELSE 'test' END AS split FROM ix),
-d AS (SELECT q.row_idx AS qid, t.row_idx AS tid, CAST(t.traffic_volume AS DOUBLE) AS y, {_KNN_DIST} AS dist
-      FROM (SELECT * FROM sp WHERE split = 'test') q, (SELECT * FROM sp WHERE split = 'train') t),
+st AS (SELECT {_KNN_STATS} FROM sp WHERE split = 'train'),
+z AS (SELECT row_idx, split, CAST(traffic_volume AS DOUBLE) AS y, {_KNN_SCALED} FROM sp, st),
+d AS (SELECT q.row_idx AS qid, t.row_idx AS tid, t.y, round({_KNN_DIST}, 6) AS dist
+      FROM (SELECT * FROM z WHERE split = 'test') q, (SELECT * FROM z WHERE split = 'train') t),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, tid) AS rn FROM d)""") + """
 SELECT qid AS row_idx, round_even(avg(y), 6) AS predicted, count(*) AS neighbours FROM r WHERE rn <= 10 GROUP BY qid""")
 def q_knn_predict(spark, sf):
-    """Exact 10-NN regression of each test row on the train split
-    (integer-valued calendar/weather features, unscaled)."""
+    """Exact 10-NN regression of each test row on the train split, on the
+    eighteen features scaled by the train split."""
     from roadflow.operators.neighbours import knn_predict
     sp = O.chrono_split(events_feat(spark, sf, encode=True))
     train, test = sp.where(F.col("split") == "train"), sp.where(F.col("split") == "test")
-    p = knn_predict(train, test, _KNN_COLS, k=10)
+    p = knn_predict(train, test, S.FS18, k=10, scale=True)
     return p.select("row_idx", F.bround("predicted", 6).alias("predicted"), "neighbours")
 
 
