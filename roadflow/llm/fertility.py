@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import functools
 import json
+from array import array
 
 import numpy as np
 import public_tokenizers
@@ -34,10 +35,12 @@ SIGMAS = 6.0
 FLOORS = {"piece_chars": 0.35, "byte_chars": 0.35, "fallback_share": 0.10, "token_entropy": 0.25}
 #: Keys with fewer distinct texts use the band of all documents.
 MIN_TEXTS = 100
+#: Bands that are sent to every task, at most (about 100 bytes each).
+MAX_BANDS = 10_000
 #: Entropy is divided by log2 of the token count, up to this many bits.
 ENTROPY_BITS = 8.0
-#: Words whose tokens a worker keeps; the cache starts anew beyond it.
-CACHE_WORDS, CACHE_CHARS = 400_000, 64
+#: Words whose tokens a worker keeps between slices; beyond it the cache starts anew.
+CACHE_WORDS = 300_000
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\v\f\r"
@@ -86,24 +89,37 @@ def fallback_ids(path: str) -> np.ndarray:
     return np.array([model.is_byte(i) for i in range(model.get_piece_size())])
 
 
-@functools.cache
-def word_cache(byte_path: str, piece_path: str) -> dict:
-    return {}
+class WordTokens(dict):
+    """Number of every word seen by a worker, and the tokens of numbered words in flat arrays."""
+
+    def __init__(self, byte_path: str, piece_path: str):
+        super().__init__()
+        self.byte, self.piece = byte_encoder(byte_path), piece_encoder(piece_path)
+        self.new: list[bytes] = []
+        self.tokens, self.starts, self.bytes = array("q"), array("q", [0]), array("q")
 
+    def __missing__(self, word: bytes) -> int:
+        self.new.append(word)
+        self[word] = number = len(self)
+        return number
 
-def encode_words(words: set[bytes], byte_path: str, piece_path: str) -> dict[bytes, tuple]:
-    """word -> (piece ids, number of byte-level tokens); common words come from the worker's cache."""
-    cache = word_cache(byte_path, piece_path)
-    if len(cache) > CACHE_WORDS:
-        cache.clear()
-    new = [w for w in words if w not in cache]
-    texts = [w.decode() for w in new]
-    pieces = piece_encoder(piece_path).encode(texts, num_threads=1) if texts else []
-    encode = byte_encoder(byte_path).encode_ordinary
-    found = {w: (np.array(p, np.int64), len(encode(" " + t)))
-             for w, t, p in zip(new, texts, pieces, strict=True)}
-    cache.update((w, v) for w, v in found.items() if len(w) <= CACHE_CHARS)
-    return {w: found[w] if w in found else cache[w] for w in words}
+    def encode_new(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Encode what was numbered since; piece tokens of all words, where each word's start, byte-level counts."""
+        if self.new:
+            texts = [w.decode() for w in self.new]
+            self.new = []
+            for pieces in self.piece.encode(texts, num_threads=1):
+                self.tokens.extend(pieces)
+                self.starts.append(len(self.tokens))
+            encode = self.byte.encode_ordinary
+            self.bytes.extend([len(encode(" " + t)) for t in texts])
+        # copies: an array that is exported cannot grow
+        return tuple(np.array(x, np.int64) for x in (self.tokens, self.starts, self.bytes))
+
+
+@functools.cache
+def worker_words(byte_path: str, piece_path: str) -> list[WordTokens]:
+    return [WordTokens(byte_path, piece_path)]
 
 
 def repeat_words(ids: np.ndarray) -> int:
@@ -136,31 +152,41 @@ def script_of(text: str) -> str:
     return max(total, key=lambda k: total[k])
 
 
+def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Places start .. start + length of every run, one after the other."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1]) + np.repeat(starts - ends + lengths, lengths)
+
+
 def measure(texts: list, byte_path: str, piece_path: str) -> list[list]:
-    split = [(t or "").encode().split() for t in texts]  # bytes split at ASCII white space only
-    known = encode_words({w for words in split for w in words}, byte_path, piece_path)
+    held = worker_words(byte_path, piece_path)
+    if len(held[0]) > CACHE_WORDS:
+        held[0] = WordTokens(byte_path, piece_path)
+    known = held[0]
+    # bytes split at ASCII white space only
+    numbered = [np.array([known[w] for w in (t or "").encode().split()], np.int64) for t in texts]
+    tokens, starts, byte_tokens = known.encode_new()
     is_fallback = fallback_ids(piece_path)
     rows = []
-    for text, words in zip(texts, split, strict=True):
+    for text, ids in zip(texts, numbered, strict=True):
         text = text or ""
-        seen: dict[bytes, int] = {}
-        ids = np.array([seen.setdefault(w, len(seen)) for w in words], np.int64)
         lines = [x for x in text.split("\n") if x.strip(SPACES)]
         n_piece = n_byte = n_fallback = 0
         entropy = None
-        if words:
-            times = np.bincount(ids)
-            made = [known[w] for w in seen]
-            n_byte = int(times @ np.array([n for _, n in made]))
-            tokens = np.concatenate([p for p, _ in made])
-            weight = np.repeat(times, [len(p) for p, _ in made])
+        if len(ids):
+            seen, times = np.unique(ids, return_counts=True)
+            lengths = starts[seen + 1] - starts[seen]
+            made, weight = tokens[spread(starts[seen], lengths)], np.repeat(times, lengths)
+            n_byte = int(times @ byte_tokens[seen])
             n_piece = int(weight.sum())
-            n_fallback = int(weight[is_fallback[tokens]].sum())
-            _, inverse = np.unique(tokens, return_inverse=True)
-            share = np.bincount(inverse, weight) / n_piece
+            n_fallback = int(weight[is_fallback[made]].sum())
+            if len(made) < len(is_fallback) // 8:
+                _, made = np.unique(made, return_inverse=True)
+            share = np.bincount(made, weight)
+            share = share[share > 0] / n_piece
             bits = float(-(share * np.log2(share)).sum())
             entropy = bits / min(max(np.log2(n_piece), 1.0), ENTROPY_BITS)
-        rows.append((len(words), len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)),
+        rows.append((len(ids), len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)),
                      len(lines) - len(set(lines)), repeat_words(ids), n_piece, n_byte, n_fallback,
                      entropy, script_of(text)))
     return [list(c) for c in zip(*rows, strict=True)] if rows else [[] for _ in FIELDS]
@@ -222,15 +248,19 @@ def fit_bands(measured: DataFrame, key: str, content: str, prefix: str = "") ->
 def verdict(measured: DataFrame, bands: DataFrame, key: str, prefix: str = "") -> DataFrame:
     """Adds ``reasons`` and ``kept`` to measured rows.
 
-    Bands are one row per language that has ``MIN_TEXTS`` texts.  They are joined
-    on the key, so a large band table is shuffled like any other; the pooled band
-    is a single row and serves every key without an own band.
+    Bands are one row per language that has ``MIN_TEXTS`` texts.  Up to
+    ``MAX_BANDS`` of them are sent to every task, so that the rows of a common
+    language are not gathered in one; a larger band table, which a column of free
+    text would give, is joined by a shuffle.  The pooled band is a single row and
+    serves every key without an own band.
     """
+    bands = cut_lineage(bands)
     sides = [s for m in FLOORS for s in (f"{m}_low", f"{m}_high")]
     pooled = bands.filter("band_key is null").select(F.struct(*sides).alias("__pooled")).first()
     pooled = pooled[0] if pooled else None
     own = bands.filter("band_key is not null").select(
         F.col("band_key").alias("__band_key"), *(F.col(s).alias(f"__{s}") for s in sides))
+    own = F.broadcast(own) if own.count() <= MAX_BANDS else own
     joined = measured.join(own, F.col(key) == F.col("__band_key"), "left")
 
     def limit(side: str):
