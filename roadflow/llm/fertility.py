@@ -30,9 +30,9 @@ PIECE_VOCABULARY = "piece_bpe_32k.model"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: Half width of a band: so many robust standard deviations, at least the floor.
-SIGMAS = 6.0
+SIGMAS = 4.0
 #: Floors: relative to the median for characters per token, absolute for the others.
-FLOORS = {"piece_chars": 0.35, "byte_chars": 0.35, "fallback_share": 0.10, "token_entropy": 0.25}
+FLOORS = {"piece_chars": 0.2, "byte_chars": 0.2, "fallback_share": 0.05, "token_entropy": 0.08}
 #: Keys with fewer distinct texts use the band of all documents.
 MIN_TEXTS = 100
 #: Bands that are sent to every task, at most (about 100 bytes each).
