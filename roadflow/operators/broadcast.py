@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from roadflow.session import cut_lineage
+
 # Rows above which a "small" side is left to the planner (sort-merge join, or
 # AQE's runtime broadcast when the measured size turns out small).
 MAX_BROADCAST_ROWS = 1_000_000
@@ -21,6 +23,5 @@ def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS,
     """
     if known_rows is not None and known_rows <= max_rows:
         return F.broadcast(df)
-    cached = df.cache()
-    n = cached.count()
-    return F.broadcast(cached) if n <= max_rows else cached
+    kept = cut_lineage(df)  # small fitted state, in the shared checkpoint folder
+    return F.broadcast(kept) if kept.count() <= max_rows else kept

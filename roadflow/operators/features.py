@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from roadflow import schema as S
 from roadflow.functions import calendar as C
+from roadflow.operators.broadcast import bounded_broadcast
 
 
 # -- projections / filters ---------------------------------------------------
@@ -76,16 +77,15 @@ def encode_labels(df: DataFrame, vocab: DataFrame, col: str = "weather_main",
                   out: str = "weather_enc", flag: str | None = None) -> DataFrame:
     """Apply a vocabulary; unseen or null labels → 0.0 (optionally flagged).
 
-    The vocabulary (one row per distinct label) becomes one ``label → code``
-    map via a scalar subquery, so encoding is a map lookup in the projection:
-    no join, no shuffle or broadcast of the data side.
+    The vocabulary has one row per distinct label.  It is counted first: up to
+    the broadcast bound it is sent to every task, beyond it the join shuffles.
     """
-    m = vocab.agg(F.map_from_entries(F.collect_list(F.struct("label", "code")))).scalar()
-    code = F.when(F.col(col).isNotNull(), m[F.col(col)])
-    cols = {out: F.coalesce(code, F.lit(0.0))}
+    codes = bounded_broadcast(vocab.select(F.col("label").alias("_label"), F.col("code").alias("_code")))
+    joined = df.join(codes, F.col(col) == F.col("_label"), "left")
+    cols = {out: F.coalesce("_code", F.lit(0.0))}
     if flag:
-        cols[flag] = code.isNotNull()
-    return df.withColumns(cols)
+        cols[flag] = F.col("_code").isNotNull()
+    return joined.withColumns(cols).drop("_label", "_code")
 
 
 # -- derived features -----------------------------------------------------------
