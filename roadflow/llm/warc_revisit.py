@@ -7,6 +7,8 @@ smallest id of a digest becomes the response.  The decisions are joined back by
 page id, so that a payload shared by a third of all pages is not sent to one
 task.  Each record is written with fresh headers; revisits carry no payload.
 
+Archives are compressed, each as one gzip member.
+
 Reading: every archive is parsed by its Content-Length fields, and revisit
 records are joined by payload digest to the responses that hold their payload.
 
@@ -19,6 +21,7 @@ counts as larger than all.  Control characters in a URL are percent-encoded.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 
 import pyarrow as pa
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 from roadflow.llm.shared import scratch_path
 from roadflow.session import cut_lineage
 
-#: An archive has about so many bytes; one record may exceed it.
+#: An archive has about so many bytes before compression; one record may exceed it.
 ARCHIVE_BYTES = 32 << 20
 #: No archive holds more than this many bytes of records of the largest size.
 LARGEST_ARCHIVE = 512 << 20
@@ -112,12 +115,14 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url: st
         line("Content-Length", block_bytes.cast("string")), F.lit("\r\n"), http,
         F.when(revisit, none).otherwise(F.col("payload")))
     # the record separator is the writer's line separator
-    (joined.select(record.alias("value")).write.option("lineSep", "\r\n\r\n")
+    (joined.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip")
      .option("maxRecordsPerFile", records).text(path))
 
 
 def parse(content: bytes) -> list[tuple]:
     """The records of one archive; payload sizes and digests of responses are taken from the payload itself."""
+    if content.startswith(b"\x1f\x8b"):
+        content = gzip.decompress(content)
     rows, at = [], 0
     while content.startswith(b"WARC/", at):
         end = content.index(b"\r\n\r\n", at) + 4

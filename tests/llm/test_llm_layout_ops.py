@@ -1,6 +1,7 @@
 """Packing, WARC round trip, pipeline and entry point."""
 
 import base64
+import gzip
 import hashlib
 import os
 import random
@@ -95,7 +96,7 @@ def test_warc_round_trip(spark, tmp_path):
     path = f"file://{tmp_path}/warc"
     rows = warc_revisit.round_trip(frame, path).collect()
     assert {r.page_id: tuple(r)[1:] for r in rows} == brute_warc(PAGES) and len(rows) == len(PAGES)
-    whole = b"".join(p.read_bytes() for p in (tmp_path / "warc").glob("part-*"))
+    whole = b"".join(gzip.decompress(p.read_bytes()) for p in (tmp_path / "warc").glob("part-*"))
     assert whole.count(b"z" * 300_000) == 1 and whole.count(b"<p>same</p>") == 1
     records = warc_revisit.read_archives(spark, path).collect()
     ids = {r.page_id: r.record_id for r in records}
