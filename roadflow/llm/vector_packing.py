@@ -27,6 +27,7 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from roadflow.llm.fertility import BYTE_VOCABULARY, byte_encoder
 from roadflow.llm.shared import explode_texts
@@ -130,7 +131,7 @@ def pack(pieces: DataFrame, length: str = "length", order: list[str] | None = No
         return frame.select(names).append_column("sequence_id", pa.array(sequence, pa.int64())) \
             .append_column("offset", pa.array(offsets, pa.int64()))
 
-    schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
+    schema = T.StructType([*pieces.schema.fields, *(T.StructField(c, T.LongType()) for c in ("sequence_id", "offset"))])
     return dealt.groupBy("__group").applyInArrow(run, schema)
 
 
