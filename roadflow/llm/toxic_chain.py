@@ -8,11 +8,13 @@ in use.  The last link is the overall verdict.
 
 Labels: the table marks documents toxic or not.  A category's label is weak: the
 document is marked toxic and holds a term of the category's list.  The models
-are free to use any word; their vocabulary, the words that tell toxic documents
-best, is chosen by a chi-squared score on word counts over all labelled documents.
+are free to use any word; their vocabulary is the words and word stems that tell
+toxic documents best by a chi-squared score.
 
-Fitting uses a bounded sample: at most ``SAMPLE_ROWS`` labelled documents of
-each label, by a hash.  Scoring reads every text in full.
+Fitting, the choice of words included, uses a bounded sample: at most
+``SAMPLE_ROWS`` labelled documents of each label, by a hash.  The sample's ids
+are few enough to send to every task, so no text is shuffled.  Scoring reads
+every text in full.
 
 Defined results: null and empty texts have no words and score like any text
 without a known word; a category without labels of both kinds has its labels'
@@ -48,10 +50,14 @@ CATEGORIES = {
     "profanity": "damn crap bastard bloody hell bullshit",
 }
 WORD = re.compile(r"[^\W\d_]+")
+#: Longer words also count as their first letters, so that inflected forms share a feature.
+STEM = 5
 
 
 def words(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
+    """Lower-case words of a text, and the stems (marked ``~``) of the longer ones."""
+    found = WORD.findall((text or "").lower())
+    return found + [w[:STEM] + "~" for w in found if len(w) > STEM]
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -121,7 +127,7 @@ def train(chain: Chain, x: np.ndarray, labels: np.ndarray, fold: np.ndarray) ->
 
 
 def choose_vocabulary(known: DataFrame, text: str, size: int = VOCABULARY) -> dict[str, int]:
-    """The ``size`` words with the largest chi-squared score, from all labelled documents.
+    """The ``size`` words with the largest chi-squared score among the documents given.
 
     Words are counted once a document, summed per slice of rows before the
     shuffle and grouped by word; only the chosen ones reach the driver.
@@ -157,13 +163,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     marks = labels.filter(F.col(id_col).isNotNull() & F.col(label).isin(0, 1)).groupBy(id_col).agg(
         F.max(label).cast("int").alias("__label"))
     slim = docs.select(F.col(quoted(id_col)).alias(id_col), F.col(quoted(text)).alias("__text"))
-    known = slim.join(marks, id_col)
-    chain = Chain(choose_vocabulary(known, "__text"), [*CATEGORIES, OVERALL])
     by_hash = [F.xxhash64(F.lit("sample"), F.col(id_col)), F.col(id_col)]
     sample = None
     for value in (0, 1):
         part = marks.filter(F.col("__label") == value).orderBy(*by_hash).limit(rows)
         sample = part if sample is None else sample.unionByName(part)
+    # at most 2 * rows ids
+    chosen = cut_lineage(slim.join(F.broadcast(sample), id_col).dropDuplicates([id_col]))
+    chain = Chain(choose_vocabulary(chosen, "__text"), [*CATEGORIES, OVERALL])
     terms = {w for t in CATEGORIES.values() for w in t.split()}
 
     def fn(texts):
@@ -171,10 +178,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
         held = [" ".join(sorted(terms.intersection(words(t)))) for t in texts]
         return list(range(len(texts))), [[r.astype("<f4").tobytes() for r in rows], held]
 
-    # bounded by 2 * rows: the sample is small enough to send, and so is what comes back
-    chosen = slim.join(F.broadcast(sample), id_col)
     got = explode_texts(chosen, "__text", fn, [("x", "binary"), ("terms", "string")], [id_col, "__label"])
-    table = cut_lineage(got.dropDuplicates([id_col])).orderBy(id_col).toArrow()
+    table = got.orderBy(id_col).toArrow()  # at most 2 * rows rows of VOCABULARY numbers
     x = np.array([np.frombuffer(b, "<f4") for b in table["x"].to_pylist()], np.float64).reshape(
         table.num_rows, len(chain.vocabulary))
     toxic = np.array(table["__label"].to_pylist(), bool)
