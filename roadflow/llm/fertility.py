@@ -22,7 +22,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadflow.llm.shared import map_texts
+from roadflow.llm.shared import map_texts, written
 from roadflow.session import cut_lineage
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
@@ -303,11 +303,10 @@ def keep_sound(docs: DataFrame, text: str = "text", lang: str = "lang", **paths:
     Rows go through Python once; the measured rows are written to the shared
     folder so that bands come from all of them before any is judged.
     """
-    from roadflow.llm.shared import written
-
     columns = list(docs.columns)
+    lang_col = F.col(lang) if lang in columns else F.lit(None)
     measured = written(with_measures(docs, text, columns, "__", **paths)
-                       .withColumn("__key", band_key(F.col(lang).cast("string"), F.col("__script")))
+                       .withColumn("__key", band_key(lang_col.cast("string"), F.col("__script")))
                        .withColumn("__content", F.xxhash64(F.col(text))), "fertility")
     judged = verdict(measured, fit_bands(measured, "__key", "__content", "__"), "__key", "__")
     return judged.filter("__kept").select(*columns)
