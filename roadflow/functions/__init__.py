@@ -1,7 +1,7 @@
 """Column-expression builders (JVM-side, codegen friendly; no Python UDFs)."""
 
 from roadflow.functions.calendar import (  # noqa: F401
-    add_calendar, cyclic, is_holiday, is_weekend, kelvin_to_c, late_night,
+    cyclic, is_holiday, is_weekend, kelvin_to_c, late_night,
     minute_label, night, parse_ts, quarter_of_month, rush_hour,
 )
 from roadflow.functions.levels import (  # noqa: F401

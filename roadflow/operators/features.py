@@ -90,6 +90,14 @@ def encode_labels(df: DataFrame, vocab: DataFrame, col: str = "weather_main",
 
 # -- derived features -----------------------------------------------------------
 
+def flags_and_cycles(hour: Column, dow: Column, month: Column) -> dict[str, Column]:
+    """Flags and cyclic encodings of the calendar fields, the same in training and serving."""
+    cycles = {}
+    for name, value, period in (("hour", hour, 24), ("dow", dow, 7), ("month", month, 12)):
+        cycles[f"{name}_sin"], cycles[f"{name}_cos"] = C.cyclic(value, period)
+    return {"is_weekend": C.is_weekend(dow), "rush_hour": C.rush_hour(hour), "night": C.night(hour), **cycles}
+
+
 def add_features(df: DataFrame, vocab: DataFrame | None = None, ts: str = "date_time",
                  encode: bool = True) -> DataFrame:
     """Calendar, flags, Celsius, cyclic encodings and the weather code.
@@ -99,19 +107,12 @@ def add_features(df: DataFrame, vocab: DataFrame | None = None, ts: str = "date_
     """
     t = F.col(ts)
     hour, dow, month = F.hour(t), F.weekday(t), F.month(t)
-    hs, hc = C.cyclic(hour, 24)
-    ds, dc = C.cyclic(dow, 7)
-    ms, mc = C.cyclic(month, 12)
     out = df.withColumns({
         "hour": hour, "dow": dow, "month": month, "quarter": F.quarter(t),
         "year": F.year(t),
-        "is_weekend": C.is_weekend(dow),
         "is_holiday": C.is_holiday("holiday") if "holiday" in df.columns else F.lit(0.0),
         "temp_c": C.kelvin_to_c("temp"),
-        "rush_hour": C.rush_hour(hour),
-        "night": C.night(hour),
-        "hour_sin": hs, "hour_cos": hc, "dow_sin": ds, "dow_cos": dc,
-        "month_sin": ms, "month_cos": mc,
+        **flags_and_cycles(hour, dow, month),
     })
     if encode:
         if vocab is None:
@@ -129,17 +130,10 @@ def scenario_features(df: DataFrame, vocab: DataFrame) -> DataFrame:
     """one feature row per request (hour, dow, month, temp_c, rain, snow,
     clouds, weather) without a timestamp."""
     hour, dow, month = F.col("hour"), F.col("dow"), F.col("month")
-    hs, hc = C.cyclic(hour, 24)
-    ds, dc = C.cyclic(dow, 7)
-    ms, mc = C.cyclic(month, 12)
     out = df.withColumns({
         "quarter": C.quarter_of_month(month),
-        "is_weekend": C.is_weekend(dow),
-        "rush_hour": C.rush_hour(hour),
-        "night": C.night(hour),
         "rain_1h": F.col("rain"), "snow_1h": F.col("snow"),
         "clouds_all": F.col("clouds"),
-        "hour_sin": hs, "hour_cos": hc, "dow_sin": ds, "dow_cos": dc,
-        "month_sin": ms, "month_cos": mc,
+        **flags_and_cycles(hour, dow, month),
     })
     return encode_labels(out, vocab, col="weather", out="weather_enc", flag="weather_known")

@@ -27,15 +27,6 @@ OBSERVATION_SCHEMA = T.StructType([
 # Adapted driver tables carry an extra unique id used as a sort tie-break.
 OBS_COLUMNS = ["obs_id"] + [f.name for f in OBSERVATION_SCHEMA.fields]
 
-PREDICTION_SCHEMA = T.StructType([
-    T.StructField("model", T.StringType(), False),
-    T.StructField("split", T.StringType(), False),
-    T.StructField("row_idx", T.LongType(), False),
-    T.StructField("ts", T.TimestampNTZType(), True),
-    T.StructField("actual", T.DoubleType(), True),
-    T.StructField("predicted", T.DoubleType(), True),
-])
-
 LEADERBOARD_SCHEMA = T.StructType([
     T.StructField("Model", T.StringType(), False),
     T.StructField("Category", T.StringType(), True),
@@ -47,7 +38,7 @@ LEADERBOARD_SCHEMA = T.StructType([
 ])
 
 # --------------------------------------------------------------------------
-# Feature sets
+# Feature sets
 # --------------------------------------------------------------------------
 FS11 = ["hour", "dow", "month", "is_weekend", "is_holiday", "temp_c", "rain_1h",
         "snow_1h", "clouds_all", "weather_enc", "rush_hour"]
