@@ -164,6 +164,37 @@ def test_stages_keep_the_columns_of_documents(spark, tmp_path):
     assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), str(tmp_path)).count() == 0
 
 
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls in every column, repeated rows, long and empty texts, extra columns with names that results use."""
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    a, b = prose(rng, 80), prose(rng, 90)
+    rows = [(None, a, None, None, None), (None, a, None, None, None), (1, None, "en", None, 0), (2, "", None, "s", None),
+            (3, b, " ", "s", len(b)), (3, b, " ", "s", len(b)), (4, prose(rng, 20_000), "en", "s", None),
+            (5, "token=abcdefgh1234 " + prose(rng, 60), "en", "s", None)]
+    docs = spark.createDataFrame([(*r, "x", 1.5, 7, None) for r in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long, "
+                                 "kept string, score double, length int, item_id long")
+    spark.createDataFrame([(None, "x" * 40), (1, None), (2, "")], "item_id long, text string") \
+        .write.parquet(f"{tmp_path}/benchmark.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+
+    def ids(name, frame=docs):
+        out = stages[name](spark, frame, str(tmp_path))
+        assert out.dtypes == frame.dtypes
+        return sorted((r.doc_id for r in out.collect()), key=str)
+
+    assert ids("quality_rules") == [3, 3, 4, 5, None, None]
+    # null and empty texts share the zero fingerprint; of repeated rows one stays, with a null id too
+    assert ids("simhash_dedup") == [1, 3, 4, 5, None]
+    assert ids("decontaminate") == sorted((r[0] for r in rows), key=str)
+    cleaned = stages["secret_scan"](spark, docs, str(tmp_path)).filter("doc_id = 5").first()
+    assert cleaned.text.startswith("[SECRET] ") and cleaned.n_chars == len(cleaned.text)
+    packed = stages["pack"](spark, docs, str(tmp_path)).collect()
+    assert sum(r.piece == 0 for r in packed) == len(rows)
+
+
 def test_native_operators_plan_no_python(spark, tmp_path):
     texts, _ = corpus(spark, tmp_path)
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
