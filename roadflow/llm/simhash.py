@@ -144,17 +144,24 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
              shingle: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """The rows of ``docs`` that have the smallest id of their component, one for each component.
 
-    Fingerprints and ids alone are shuffled to find the components; the texts
-    move once, in the join on the fingerprint.  Rows that repeat the smallest id
-    are then few, and the first of them by content stays.
+    Fingerprints and ids alone are shuffled to find the components, and to count
+    how many rows have the smallest id of each.  The texts move once, in the join
+    on the fingerprint.  Only where that id is repeated (or null) are the rows
+    with it ranked, and the first of them by content stays.
     """
     columns = list(docs.columns)
-    prints = cut_lineage(with_fingerprint(docs, text, [id_col], shingle=shingle))
-    found = classes(prints.withColumnRenamed(id_col, "__id") if id_col != "__id" else prints, "__id", max_bits)
-    found = found.select(F.col("fp").alias("__fp"), F.col("root").alias("__root"),
-                         F.col("component_id").alias("__low"))
+    prints = cut_lineage(with_fingerprint(docs, text, [id_col], shingle=shingle).withColumnRenamed(id_col, "__id"))
+    found = classes(prints, "__id", max_bits)
+    smallest = prints.join(found, "fp").filter(F.col("__id").eqNullSafe(F.col("component_id")))
+    times = smallest.groupBy("root").agg(F.count(F.lit(1)).alias("__times"))
+    found = cut_lineage(found.join(times, "root").select(
+        F.col("fp").alias("__fp"), F.col("root").alias("__root"), F.col("component_id").alias("__low"), "__times"))
     marked = with_fingerprint(docs, text, columns, "__fp", shingle)
-    kept = marked.join(found, "__fp").filter(F.col(id_col).eqNullSafe(F.col("__low")))
-    order = [F.xxhash64(text), F.col("__fp")]
-    rank = F.row_number().over(Window.partitionBy("__root").orderBy(*order))
-    return kept.withColumn("__rank", rank).filter("__rank = 1").select(*columns)
+
+    def lowest(part: DataFrame) -> DataFrame:
+        return marked.join(part, "__fp").filter(F.col(id_col).eqNullSafe(F.col("__low")))
+
+    rank = F.row_number().over(Window.partitionBy("__root").orderBy(F.xxhash64(text), F.col("__fp")))
+    once = lowest(found.filter("__times = 1")).select(*columns)
+    repeated = lowest(found.filter("__times > 1")).withColumn("__rank", rank).filter("__rank = 1").select(*columns)
+    return once.unionByName(repeated)
