@@ -9,33 +9,40 @@ in use.  The last link is the overall verdict.
 Labels: the table marks documents toxic or not.  A category's label is weak: the
 document is marked toxic and holds a term of the category's list.  The models
 are free to use any word; their vocabulary is the words and word stems that tell
-toxic documents best by a chi-squared score.
+toxic documents best by a chi-squared score on counts over all labelled documents.
 
-Fitting, the choice of words included, uses a bounded sample: at most
-``SAMPLE_ROWS`` labelled documents of each label, by a hash.  The sample's ids
-are few enough to send to every task, so no text is shuffled.  Scoring reads
-every text in full.
+Words are counted where the texts lie: the labels are sent to the tasks in blocks
+of at most ``BLOCK_IDS`` ids, and counts, not texts, are shuffled.  Only the links
+are fitted on a bounded sample: at most ``SAMPLE_ROWS`` labelled documents of each
+label, by a hash.  Scoring reads every text in full.
 
 Defined results: null and empty texts have no words and score like any text
 without a known word; a category without labels of both kinds has its labels'
-mean as probability (0 without labels); repeated rows give repeated results.
+mean as probability (0 without labels); repeated rows give repeated results, and
+each labelled row counts in the choice of words.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadflow.llm.shared import explode_texts, map_texts, quoted
+from roadflow.llm.shared import explode_texts, map_texts, quoted, slices
 from roadflow.session import cut_lineage
 
 #: Labelled documents of each label that the chain is fitted on, at most.
 SAMPLE_ROWS = 3000
 VOCABULARY = 256
+#: Labels sent to every task at a time; each block is one more scan of the texts.
+BLOCK_IDS = 1_000_000
+#: Words that a task counts before it hands them on.
+COUNTED_WORDS = 200_000
 #: A word must be in so many labelled documents, and score so much, to be chosen.
 MIN_DOCUMENTS, MIN_CHI = 5, 15.0
 FOLDS = 5
@@ -126,42 +133,66 @@ def train(chain: Chain, x: np.ndarray, labels: np.ndarray, fold: np.ndarray) ->
     return chain
 
 
-def choose_vocabulary(known: DataFrame, text: str, size: int = VOCABULARY) -> dict[str, int]:
-    """The ``size`` words with the largest chi-squared score among the documents given.
+def word_counts(known: DataFrame, text: str) -> DataFrame:
+    """(word, a, b): toxic and other rows of ``known`` that hold the word; a null word stands for all rows.
 
-    Words are counted once a document, summed per slice of rows before the
-    shuffle and grouped by word; only the chosen ones reach the driver.
+    Words are counted once a row and summed per task before the shuffle.
     """
-    def fn(texts):
-        count: dict[str, int] = {}
-        for t in texts:
-            for w in set(words(t)):
-                count[w] = count.get(w, 0) + 1
-        return [0] * len(count), [list(count), list(count.values())]
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count: dict[str | None, list[int]] = {}
+
+        def made() -> pa.RecordBatch:
+            good, bad = zip(*count.values(), strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(bad, pa.int64()),
+                                               pa.array(good, pa.int64())], ["word", "a", "b"])
+
+        for part in slices(batches):
+            for t, mark in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                for w in {None, *words(t)}:
+                    if w in count:
+                        count[w][mark] += 1
+                    else:
+                        count[w] = [1 - mark, mark]
+            if len(count) >= COUNTED_WORDS:
+                yield made()
+                count.clear()
+        if count:
+            yield made()
+
+    return known.select(quoted(text), "__label").mapInArrow(run, "word string, a long, b long")
+
+
+def choose_vocabulary(docs: DataFrame, marks: DataFrame, id_col: str, text: str,
+                      size: int = VOCABULARY) -> dict[str, int]:
+    """The ``size`` words with the largest chi-squared score among all documents that ``marks`` labels.
+
+    Each block of labels is sent to the texts, which stay in their tasks; counts are
+    grouped by word, and only the chosen words reach the driver.
+    """
+    blocks = max(1, -(-marks.count() // BLOCK_IDS))
     counts = None
-    for label in (0, 1):
-        part = explode_texts(known.filter(F.col("__label") == label), text, fn,
-                             [("word", "string"), ("n", "long")], ["__label"])
+    for block in range(blocks):
+        mine = marks.filter(F.pmod(F.xxhash64(F.lit("block"), F.col(id_col)), F.lit(blocks)) == block)
+        part = word_counts(docs.join(F.broadcast(mine), id_col), text)
         counts = part if counts is None else counts.unionByName(part)
-    totals = {r[0]: r[1] for r in known.groupBy("__label").count().collect()}
-    bad, good = float(totals.get(1, 0)), float(totals.get(0, 0))
+    table = counts.groupBy("word").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    a, b = F.col("a"), F.col("b")
+    table = cut_lineage(table.filter((a + b >= MIN_DOCUMENTS) | F.col("word").isNull()))
+    total = table.filter("word is null").first()
+    bad, good = (float(total["a"]), float(total["b"])) if total else (0.0, 0.0)
     if not bad or not good:
         return {}
-    table = counts.groupBy("word").agg(F.sum(F.when(F.col("__label") == 1, F.col("n")).otherwise(0)).alias("a"),
-                                       F.sum(F.when(F.col("__label") == 0, F.col("n")).otherwise(0)).alias("b"))
-    a, b = F.col("a"), F.col("b")
     c, d = bad - a, good - b
     chi = (bad + good) * (a * d - b * c) ** 2 / ((a + b) * (c + d + 1) * bad * good)
-    table = table.withColumn("chi", chi).filter((a + b >= MIN_DOCUMENTS) & (F.col("chi") >= MIN_CHI))
+    table = table.filter("word is not null").withColumn("chi", chi).filter(F.col("chi") >= MIN_CHI)
     best = table.orderBy(F.desc("chi"), "word").limit(size).select("word").collect()
     return {r[0]: i for i, r in enumerate(best)}
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text",
         label: str = OVERALL, rows: int = SAMPLE_ROWS) -> Chain:
-    marks = labels.filter(F.col(id_col).isNotNull() & F.col(label).isin(0, 1)).groupBy(id_col).agg(
-        F.max(label).cast("int").alias("__label"))
+    marks = cut_lineage(labels.filter(F.col(id_col).isNotNull() & F.col(label).isin(0, 1)).groupBy(id_col).agg(
+        F.max(label).cast("int").alias("__label")))
     slim = docs.select(F.col(quoted(id_col)).alias(id_col), F.col(quoted(text)).alias("__text"))
     by_hash = [F.xxhash64(F.lit("sample"), F.col(id_col)), F.col(id_col)]
     sample = None
@@ -170,7 +201,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
         sample = part if sample is None else sample.unionByName(part)
     # at most 2 * rows ids
     chosen = cut_lineage(slim.join(F.broadcast(sample), id_col).dropDuplicates([id_col]))
-    chain = Chain(choose_vocabulary(chosen, "__text"), [*CATEGORIES, OVERALL])
+    chain = Chain(choose_vocabulary(slim, marks, id_col, "__text"), [*CATEGORIES, OVERALL])
     terms = {w for t in CATEGORIES.values() for w in t.split()}
 
     def fn(texts):

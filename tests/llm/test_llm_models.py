@@ -104,6 +104,23 @@ def test_chain_finds_toxic_documents(spark):
     assert all(0 <= r.p_insult <= 1 for r in got)
 
 
+def test_words_are_chosen_from_all_labelled_documents(spark, monkeypatch):
+    rows, labels = toxic_table(spark)
+    rare = [i for i in range(0, 600, 4)][::5]
+    docs = spark.createDataFrame([(i, t + " zorbish" * (i in rare)) for i, t in rows], "doc_id long, text string")
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int")
+    whole = toxic_chain.fit(docs, marks).vocabulary
+    assert "zorbish" in whole
+    assert toxic_chain.fit(docs, marks, rows=4).vocabulary == whole  # 4 of a label cannot show it 5 times
+    monkeypatch.setattr(toxic_chain, "BLOCK_IDS", 100)
+    monkeypatch.setattr(toxic_chain, "COUNTED_WORDS", 500)
+    assert toxic_chain.fit(docs, marks, rows=4).vocabulary == whole
+    n = {r.word: (r.a, r.b) for r in toxic_chain.word_counts(
+        docs.join(marks.withColumnRenamed("toxic", "__label"), "doc_id"), "text").groupBy("word")
+        .agg(F.sum("a").alias("a"), F.sum("b").alias("b")).collect()}
+    assert n["zorbish"] == (len(rare), 0) and n[None] == (150, 450)
+
+
 def test_chain_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
