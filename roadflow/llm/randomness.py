@@ -11,8 +11,10 @@ A key or token is random, so its p-value is uniform; an ordinary word, path or
 identifier rejects.  Which tokens count as secrets is decided by false-discovery
 control per encoding and length band: the share of random tokens is estimated
 from the p-values above one half, and the cut is the smallest p at which the
-expected share of non-random tokens above it is at most ``MAX_FALSE``.  Strata
-with few tokens are pooled per encoding, then over all.
+expected share of non-random tokens above it is at most ``MAX_FALSE``.  Copies of
+a token count once, so a hot token does not move a cut.  A stratum with few tokens,
+or where no cut below one half meets that bound, takes the cut of its encoding, then
+that of all tokens; where those give none either, ``DEFAULT_CUT`` holds.
 
 Defined results: null and empty texts have no spans.  Positions are code points,
 ends exclusive.  Base spans stay whatever the method finds; a candidate that
@@ -50,7 +52,8 @@ ENCODINGS = [
 LENGTH_BANDS = (20, 28, 40, 64)
 CUTS = (0.001, 0.002, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.5)
 MAX_FALSE = 0.05
-#: Strata with fewer tokens are pooled; with fewer in all, ``DEFAULT_CUT`` holds.
+#: Strata with fewer distinct tokens are pooled; with fewer in all, or where no cut
+#: meets ``MAX_FALSE``, ``DEFAULT_CUT`` holds.
 MIN_TOKENS, DEFAULT_CUT = 50, 0.01
 
 SPAN = "array<struct<start:int,end:int,token:string>>"
@@ -98,9 +101,12 @@ def extended(items: Column, make) -> Column:
 
 
 def tested(df: DataFrame, spans: str, out: str) -> DataFrame:
-    """Adds ``out``: candidates of the span array as (start, end, enc, band, p)."""
+    """Adds ``out``: candidates of the span array as (start, end, token, enc, band, p); ``token`` is a hash."""
     tmp = "__tokens"
 
+    def place(s: Column):
+        return [s[c].alias(c) for c in ("start", "end", "token")]
+
     def encoding(s: Column):
         bare = F.rtrim(s["token"], F.lit("="))
         enc = k = alphabet = F.lit(None)
@@ -111,15 +117,15 @@ def tested(df: DataFrame, spans: str, out: str) -> DataFrame:
             alphabet = F.when(fits, F.lit(letters)).otherwise(alphabet)
         decimal = s["token"].rlike("^[0-9]+$")
         text = F.when(enc == "hex", F.lower(bare)).otherwise(bare)
-        return [s["start"].alias("start"), s["end"].alias("end"), F.when(~decimal, enc).alias("enc"),
-                k.alias("k"), alphabet.alias("alphabet"), text.alias("text")]
+        return [s["start"].alias("start"), s["end"].alias("end"), F.xxhash64(s["token"]).alias("token"),
+                F.when(~decimal, enc).alias("enc"), k.alias("k"), alphabet.alias("alphabet"), text.alias("text")]
 
     def values(s: Column):
         v = F.transform(F.split(s["text"], ""), lambda c: (F.instr(s["alphabet"], c) - 1).cast("double"))
         n = F.length(s["text"]).cast("double")
         cells = F.greatest(F.lit(2.0), F.least(s["k"], F.floor(n / 5).cast("double")))
-        return [s["start"].alias("start"), s["end"].alias("end"), s["enc"].alias("enc"), s["k"].alias("k"),
-                n.alias("n"), cells.alias("cells"), v.alias("v")]
+        return [*place(s), s["enc"].alias("enc"), s["k"].alias("k"), n.alias("n"),
+                cells.alias("cells"), v.alias("v")]
 
     def statistics(s: Column):
         v, k, n, cells = s["v"], s["k"], s["n"], s["cells"]
@@ -140,20 +146,20 @@ def tested(df: DataFrame, spans: str, out: str) -> DataFrame:
             (a["lag"] + (x - middle) * a["last"]).alias("lag")))
         df = cells - 1
         cube = F.pow(chi / df, F.lit(1 / 3))
-        return [s["start"].alias("start"), s["end"].alias("end"), s["enc"].alias("enc"), n.alias("n"),
+        return [*place(s), s["enc"].alias("enc"), n.alias("n"),
                 ((cube - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))).alias("z_chi"),
                 walk.alias("walk"), k.alias("k")]
 
     def scores(s: Column):
         pairs = s["n"] - 1
-        return [s["start"].alias("start"), s["end"].alias("end"), s["enc"].alias("enc"), s["n"].alias("n"),
+        return [*place(s), s["enc"].alias("enc"), s["n"].alias("n"),
                 s["z_chi"].alias("z_chi"),
                 ((s["walk"]["turns"] - pairs / 2) / F.sqrt(pairs / 4)).alias("z_runs"),
                 (s["walk"]["lag"] / ((s["k"] * s["k"] - 1) / 12) / F.sqrt(pairs)).alias("z_lag")]
 
     def tails(s: Column):
         floor = F.lit(1e-300)
-        return [s["start"].alias("start"), s["end"].alias("end"), s["enc"].alias("enc"), s["n"].alias("n"),
+        return [*place(s), s["enc"].alias("enc"), s["n"].alias("n"),
                 (-2 * (F.log(F.greatest(upper_tail(s["z_chi"]), floor))
                        + F.log(F.greatest(2 * upper_tail(F.abs(s["z_runs"])), floor))
                        + F.log(F.greatest(2 * upper_tail(F.abs(s["z_lag"])), floor)))).alias("x")]
@@ -163,7 +169,7 @@ def tested(df: DataFrame, spans: str, out: str) -> DataFrame:
         band = F.lit(len(LENGTH_BANDS) - 1)
         for i in range(len(LENGTH_BANDS) - 2, -1, -1):
             band = F.when(s["n"] < LENGTH_BANDS[i + 1], F.lit(i)).otherwise(band)
-        return [s["start"].alias("start"), s["end"].alias("end"), s["enc"].alias("enc"), band.alias("band"),
+        return [*place(s), s["enc"].alias("enc"), band.alias("band"),
                 (F.exp(-x / 2) * (1 + x / 2 + x * x / 8)).alias("p")]
 
     known = df.withColumn(tmp, extended(spans_or_empty(spans), encoding))
@@ -191,10 +197,12 @@ def with_base(docs: DataFrame, text: str, out: str = "__base") -> DataFrame:
 def fit_cuts(candidates: DataFrame, cand: str = "__cand") -> dict[tuple[str, int], float]:
     """The cut of every (encoding, length band).
 
-    One grouped count over all candidates; the result has at most
-    ``len(ENCODINGS) * len(LENGTH_BANDS)`` rows, however large the corpus.
+    One grouped count over all distinct candidates, copies being dropped before the
+    shuffle; the result has at most ``len(ENCODINGS) * len(LENGTH_BANDS)`` rows,
+    however large the corpus.
     """
-    each = candidates.select(F.explode(cand).alias("c")).select("c.enc", "c.band", "c.p")
+    each = candidates.select(F.explode(cand).alias("c")).select("c.token", "c.enc", "c.band", "c.p")
+    each = each.dropDuplicates(["token", "enc", "band"])
     above = [F.count_if(F.col("p") > t).alias(f"t{i}") for i, t in enumerate(CUTS)]
     rows = each.groupBy("enc", "band").agg(F.count(F.lit(1)).alias("n"), *above).collect()
     seen = {(r.enc, r.band): [r.n, *(r[f"t{i}"] for i in range(len(CUTS)))] for r in rows}
@@ -203,22 +211,22 @@ def fit_cuts(candidates: DataFrame, cand: str = "__cand") -> dict[tuple[str, int
         return [sum(c) for c in zip(*([0] * (len(CUTS) + 1), *(v for k, v in seen.items() if keep(k))),
                                     strict=True)]
 
-    def cut(counts: list[int]) -> float:
+    def cut(counts: list[int]) -> float | None:
         n, over = counts[0], counts[1:]
-        if n < MIN_TOKENS:
-            return DEFAULT_CUT
         random = min(n, over[CUTS.index(0.5)] / 0.5)
+        # at one half the estimate meets any bound: it is no cut
         for t, kept in zip(CUTS, over, strict=True):
-            if kept and max(0.0, kept - random * (1 - t)) / kept <= MAX_FALSE:
+            if t < 0.5 and kept and max(0.0, kept - random * (1 - t)) / kept <= MAX_FALSE:
                 return t
-        return CUTS[-1]
+        return None
 
     cuts = {}
     for name, *_ in ENCODINGS:
         for band in range(len(LENGTH_BANDS)):
             pools = (total(lambda k, s=(name, band): k == s), total(lambda k, e=name: k[0] == e),
                      total(lambda k: True))
-            cuts[name, band] = cut(next((c for c in pools if c[0] >= MIN_TOKENS), pools[-1]))
+            found = (cut(c) for c in pools if c[0] >= MIN_TOKENS)
+            cuts[name, band] = next((t for t in found if t is not None), DEFAULT_CUT)
     return cuts
 
 

@@ -170,6 +170,24 @@ def test_battery_matches_brute_force_and_separates(spark):
     assert caught >= 0.85 * len(keys) and false <= 0.05 * len(plain + paths)
 
 
+def candidates_frame(spark, ps, enc="hex"):
+    rows = [([(0, 32, token, enc, 1, p)],) for token, p in ps]
+    kind = "array<struct<start:int,end:int,token:bigint,enc:string,band:int,p:double>>"
+    return spark.createDataFrame(rows, f"__cand {kind}")
+
+
+def test_copies_do_not_move_a_cut(spark):
+    keys = [(i, (i + 0.5) / 1000) for i in range(1000)]
+    want = randomness.fit_cuts(candidates_frame(spark, keys))
+    assert want["hex", 1] == 0.001
+    assert randomness.fit_cuts(candidates_frame(spark, keys + [(300, 0.3005)] * 500)) == want
+
+
+def test_cut_where_none_meets_the_bound(spark):
+    mixed = [(i, 0.3) for i in range(60)] + [(100 + i, 0.9) for i in range(3)]
+    assert set(randomness.fit_cuts(candidates_frame(spark, mixed)).values()) == {randomness.DEFAULT_CUT}
+
+
 def test_redact(spark):
     texts = ["a password=abcdefgh1 b", None, "", "clean text", "é token = deadbeefdeadbeefdeadbeefdeadbeef"]
     frame = docs_frame(spark, texts).selectExpr("*", "cast(length(text) as int) as n_chars")
