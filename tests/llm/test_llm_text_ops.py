@@ -68,6 +68,31 @@ def test_fertility_bands_reject_outliers_only(spark):
     assert sorted(r.doc_id for r in kept.collect()) == list(range(150))
 
 
+RUSSIAN = """Все люди рождаются свободными и равными в своем достоинстве и правах Они наделены разумом и
+совестью и должны поступать в отношении друг друга в духе братства Каждый человек должен обладать всеми правами и
+всеми свободами без какого бы то ни было различия""".split()
+
+
+def test_fertility_judges_a_script_by_its_own_texts(spark):
+    rng = random.Random(12)
+    latin = [prose(rng, rng.randint(60, 400)) for _ in range(150)]
+
+    def verdicts(n, m):
+        mine = [" ".join(rng.choice(RUSSIAN) for _ in range(120)) for _ in range(n)]
+        odd = ["\u16a0\u16a2\u16a6\u16ab " * 3 + " ".join(chr(rng.randint(0x16A0, 0x16EA)) * 5 for _ in range(80))]
+        rows = [(i, t, "en") for i, t in enumerate(latin)]
+        rows += [(1000 + i, t, "ru" if i < n - m else "uk") for i, t in enumerate(mine)]
+        rows += [(2000, t, "xx") for t in odd]
+        got = fertility.fertility_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+        assert not any(r.kept for r in got if r.doc_id == 2000)
+        assert all(r.kept for r in got if r.doc_id < 1000)
+        return {r.kept for r in got if 1000 <= r.doc_id < 2000}
+
+    assert verdicts(5, 0) == {True}  # fixed limits of the script
+    assert verdicts(120, 0) == {True}  # own band
+    assert verdicts(120, 30) == {True}  # band of the script
+
+
 def test_fertility_tokens_are_those_of_the_vocabularies():
     import public_tokenizers as P
     from tokenizers import Tokenizer
