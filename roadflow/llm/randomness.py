@@ -1,8 +1,9 @@
 """Secret scans with a randomness test battery, in DataFrame functions only.
 
 Base kinds are fixed patterns.  Besides them every long run of code characters
-is a candidate: its encoding is inferred (hex, base32, base62, base64,
-base64url) and three tests ask whether it looks drawn uniformly from that
+is a candidate, and so is every long segment of a run with ``/``, ``-`` or ``_``:
+its encoding is inferred (hex, base32, base36, base58, base62, base64, base64url)
+and three tests ask whether it looks drawn uniformly from that
 alphabet: chi-squared on the alphabet, with as many cells as the length bears;
 runs above and below the alphabet's middle; lag-one serial correlation.  Their
 p-values are combined by Fisher's method.
@@ -18,7 +19,8 @@ that of all tokens; where those give none either, ``DEFAULT_CUT`` holds.
 
 Defined results: null and empty texts have no spans.  Positions are code points,
 ends exclusive.  Base spans stay whatever the method finds; a candidate that
-overlaps a base span adds nothing.  Repeated rows give repeated results.
+overlaps a base span adds nothing, nor does a segment of a run that is a span.  Runs
+of digits alone are numbers and no candidates.  Repeated rows give repeated results.
 """
 
 from __future__ import annotations
@@ -39,12 +41,19 @@ BASE = [("assign", ASSIGN, 8), ("access", ACCESS, 16), ("hex", HEX, 32)]
 #: Shortest candidate; below it the tests have no power.
 MIN_CHARS = 20
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])([A-Za-z0-9+/_-]{%d,}={0,2})" % MIN_CHARS
+#: Parts a path or identifier is made of.
+SEGMENT = r"([^/_=-]{%d,})" % MIN_CHARS
 DIGITS, UPPER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
-#: Encoding, pattern of its tokens, alphabet; the first that fits is inferred.
+#: Encoding, pattern of its tokens, alphabet; the first that fits is inferred.  Random
+#: tokens of a wide alphabet that fit a narrower one are as random in that.
 ENCODINGS = [
     ("hex", r"^(?=.*[0-9])(?:[0-9a-f]+|[0-9A-F]+)$", DIGITS + "abcdef"),
     ("base32", r"^(?=.*[2-7])[A-Z2-7]+=*$", UPPER + "234567"),
+    ("base36lower", r"^(?=.*[0-9])[0-9a-z]+$", DIGITS + LOWER),
+    ("base36upper", r"^(?=.*[0-9])[0-9A-Z]+$", DIGITS + UPPER),
+    ("base58", r"^(?=.*[1-9])[1-9A-HJ-NP-Za-km-z]+$",
+     DIGITS[1:] + UPPER.replace("I", "").replace("O", "") + LOWER.replace("l", "")),
     ("base62", r"^[0-9A-Za-z]+$", DIGITS + UPPER + LOWER),
     ("base64", r"^[0-9A-Za-z+/]+=*$", DIGITS + UPPER + LOWER + "+/"),
     ("base64url", r"^[0-9A-Za-z_-]+=*$", DIGITS + UPPER + LOWER + "-_"),
@@ -186,7 +195,20 @@ def spans_or_empty(name: str) -> Column:
 def with_candidates(docs: DataFrame, text: str, out: str = "__cand") -> DataFrame:
     """Adds the tested candidates of every text."""
     whole = F.coalesce(F.col(quoted(text)).cast("string"), F.lit(""))
-    return tested(docs.withColumn("__runs", located(whole, CANDIDATE)), "__runs", out).drop("__runs")
+    found = docs.withColumn("__runs", F.coalesce(located(whole, CANDIDATE), F.array().cast(SPAN)))
+    return tested(found.withColumn("__runs", with_segments(F.col("__runs"))), "__runs", out).drop("__runs")
+
+
+def with_segments(runs: Column) -> Column:
+    """The runs and the long segments of those that have separators."""
+    def segments(s: Column) -> Column:
+        parts = F.coalesce(located(s["token"], SEGMENT), F.array().cast(SPAN))
+        return F.transform(F.filter(parts, lambda x: F.length(x["token"]) < F.length(F.rtrim(s["token"], F.lit("=")))),
+                           lambda x: F.struct((s["start"] + x["start"]).alias("start"),
+                                              (s["start"] + x["end"]).alias("end"), x["token"].alias("token")))
+
+    split = F.filter(runs, lambda s: s["token"].rlike("[/_-]"))
+    return F.concat(runs, F.flatten(F.transform(split, segments)))
 
 
 def with_base(docs: DataFrame, text: str, out: str = "__base") -> DataFrame:
@@ -239,7 +261,12 @@ def found_spans(cuts: dict[tuple[str, int], float], base: str = "__base", cand:
         free = ~F.exists(F.col(base), lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"]))
         return (c["p"] > limit) & free
 
-    added = F.transform(F.filter(cand, random), lambda c: F.struct(
+    def of_span(c: Column, spans: Column) -> Column:
+        return F.exists(spans, lambda s: (s["start"] <= c["start"]) & (s["end"] >= c["end"])
+                        & (s["end"] - s["start"] > c["end"] - c["start"]))
+
+    hits = F.filter(cand, random)
+    added = F.transform(F.filter(hits, lambda c: ~of_span(c, hits)), lambda c: F.struct(
         c["start"].alias("start"), F.lit(len(BASE)).alias("ord"),
         F.concat(F.lit("random_"), c["enc"]).alias("kind"), c["end"].alias("end")))
     return F.array_sort(F.concat(F.col(base), added))

@@ -213,6 +213,25 @@ def test_cut_where_none_meets_the_bound(spark):
     assert set(randomness.fit_cuts(candidates_frame(spark, mixed)).values()) == {randomness.DEFAULT_CUT}
 
 
+def test_keys_of_every_alphabet_and_in_paths(spark):
+    rng = random.Random(13)
+    base58 = "".join(c for c in string.digits + string.ascii_letters if c not in "0OIl")
+    alphabets = [string.digits + string.ascii_lowercase, string.digits + string.ascii_uppercase, base58]
+    keys = ["".join(rng.choice(a) for _ in range(n)) for a in alphabets for n in (40, 64) for _ in range(40)]
+    spans = [r.spans for r in randomness.scan_secrets(docs_frame(spark, keys)).collect()]
+    assert sum(any(s.start == 0 and s.end == len(k) for s in f) for f, k in zip(spans, keys, strict=True)) \
+        >= 0.9 * len(keys)
+    before = ["my-app/keys/", "config/keys/prod/", "a_b+c/", ""]
+    texts = [f"see {before[i % 4]}{k}" + "/x-y" * (i % 3 == 0) for i, k in enumerate(keys)]
+    got = {r.doc_id: r.spans for r in randomness.scan_secrets(docs_frame(spark, texts)).collect()}
+    caught = [any(t[s.start:s.end] == k for s in got[i]) for i, (t, k) in enumerate(zip(texts, keys, strict=True))
+              if "+" not in t]
+    assert sum(caught) >= 0.9 * len(caught)
+    token = "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(30))
+    cands = randomness.with_candidates(docs_frame(spark, [f"{token}-{token}/+"]), "text").first()["__cand"]
+    assert [(c.start, c.end) for c in cands] == [(0, 30), (31, 61)]
+
+
 def test_redact(spark):
     texts = ["a password=abcdefgh1 b", None, "", "clean text", "é token = deadbeefdeadbeefdeadbeefdeadbeef"]
     frame = docs_frame(spark, texts).selectExpr("*", "cast(length(text) as int) as n_chars")
