@@ -4,9 +4,11 @@ Rules label the URLs they fit; trees learned from those labels judge the rest.
 Everything runs on DataFrame functions and the DataFrame-based MLlib.
 
 Suffix statistics are smoothed block rates and counts of the host's top label,
-its last two labels and the first path segment.  They are taken from one half
-of all labelled URLs (by a hash) and the trees are fitted on a bounded sample of
-the other half, so that no row's own label reaches its features in training.
+its last two labels and the first path segment, counted over all labelled URLs.
+The trees are fitted on a bounded sample of distinct URLs, each weighted with its
+rows and its verdict's share of the sample.  In training a URL sees the statistics
+of the half (by a hash) that it is not in, so that no row's own label reaches its
+features; counts of a half stand for twice as many.
 
 Defined results: a null URL or one without ``://`` has an empty host and path
 and is judged by the method; without labels of both verdicts the method answers
@@ -31,7 +33,7 @@ from roadflow.session import cut_lineage
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
          ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 MAX_RULES = 1000
-#: Labelled URLs the trees are fitted on, at most.
+#: Distinct labelled URLs the trees are fitted on, at most.
 SAMPLE_ROWS = 20_000
 TREES, DEPTH, STEP = 15, 4, 0.3
 #: Labels a suffix's block rate is smoothed with.
@@ -89,11 +91,47 @@ def lexical(urls: DataFrame, url: str) -> DataFrame:
                             {f"__{k}": v for k, v in suffixes.items()})
 
 
+def half(url: str) -> Column:
+    return F.pmod(F.xxhash64(F.lit("half"), F.col(url)), F.lit(2))
+
+
 def suffix_tables(labelled: DataFrame) -> dict[str, DataFrame]:
-    """Per suffix kind: value, smoothed block rate, log count.  All labelled URLs given are counted."""
+    """Per suffix kind: value, labels and block labels of either half.  All labelled URLs given are counted."""
+    mine = [F.col("__half") == h for h in (0, 1)]
     return {kind: labelled.groupBy(F.col(f"__{kind}").alias(f"__{kind}_key")).agg(
-        ((F.sum("__label") + SMOOTHING / 2) / (F.count(F.lit(1)) + SMOOTHING)).alias(f"__{kind}_rate"),
-        F.log1p(F.count(F.lit(1))).alias(f"__{kind}_count")) for kind in SUFFIXES}
+        *(F.count_if(mine[h]).alias(f"__n{h}") for h in (0, 1)),
+        *(F.sum(F.when(mine[h], F.col("__label")).otherwise(0.0)).alias(f"__b{h}") for h in (0, 1)))
+        for kind in SUFFIXES}
+
+
+def statistics(tables: dict[str, DataFrame], halves: Sequence[int] = (0, 1)) -> dict[str, DataFrame]:
+    """Per suffix kind: value, smoothed block rate, log count, from the labels of the halves given."""
+    made = {}
+    for kind, counts in tables.items():
+        n = sum((F.col(f"__n{h}") for h in halves), F.lit(0))
+        blocked = sum((F.col(f"__b{h}") for h in halves), F.lit(0.0))
+        made[kind] = counts.filter(n > 0).select(
+            f"__{kind}_key", ((blocked + SMOOTHING / 2) / (n + SMOOTHING)).alias(f"__{kind}_rate"),
+            F.log1p(n * (2 // len(halves))).alias(f"__{kind}_count"))
+    return made
+
+
+def sample_urls(labelled: DataFrame, rows: int) -> DataFrame:
+    """At most ``rows`` distinct labelled URLs by a hash: (__url, __label, __weight).
+
+    Either verdict has half of the sample, or all its URLs if they are fewer and
+    the other verdict the rest; the weights make up for it.
+    """
+    urls = cut_lineage(labelled.groupBy("__url", "__label").agg(F.count(F.lit(1)).alias("__n")))
+    found = {r[0]: r[1] for r in urls.groupBy("__label").count().collect()}
+    order = [F.xxhash64(F.lit("sample"), "__url"), F.col("__url")]
+    sample = urls.limit(0).withColumn("__weight", F.lit(0.0))
+    for label, n in found.items():
+        others = sum(m for k, m in found.items() if k != label)
+        take = min(n, rows - min(others, rows // 2))
+        part = urls.filter(F.col("__label") == label).orderBy(*order).limit(take)
+        sample = sample.unionByName(part.withColumn("__weight", F.col("__n") * F.lit(n / max(take, 1))))
+    return sample.drop("__n")
 
 
 def with_suffixes(urls: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
@@ -112,20 +150,19 @@ def judge(pages: DataFrame, id_col: str = "page_id", url: str = "url",
     """One row per page: id, host, path, rule, verdict, block_probability."""
     slim = pages.select(F.col(quoted(id_col)).alias(id_col), F.col(quoted(url)).alias("__url"))
     seen = cut_lineage(lexical(ruled(parts(slim, "__url"), rules), "__url"))
-    half = F.pmod(F.xxhash64(F.lit("half"), "__url"), F.lit(2))
-    labelled = seen.filter("__rule_verdict is not null").withColumn(
-        "__label", F.when(F.col("__rule_verdict") == "block", 1.0).otherwise(0.0))
-    tables = {k: cut_lineage(t) for k, t in suffix_tables(labelled.filter(half == 0)).items()}
-    order = F.xxhash64(F.lit("sample"), "__url")
-    sample = labelled.filter(half == 1).orderBy(order, id_col).limit(sample_rows)
+    labelled = seen.filter("__rule_verdict is not null").withColumns({
+        "__label": F.when(F.col("__rule_verdict") == "block", 1.0).otherwise(0.0), "__half": half("__url")})
+    tables = {k: cut_lineage(t) for k, t in suffix_tables(labelled).items()}
+    sample = cut_lineage(lexical(parts(sample_urls(labelled, sample_rows), "__url"), "__url"))
+    crossed = [with_suffixes(sample.filter(half("__url") == h), statistics(tables, [1 - h])) for h in (0, 1)]
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="__features")
-    train = cut_lineage(assembler.transform(with_suffixes(sample, tables)).select("__features", "__label")
-                        .coalesce(4))
+    train = cut_lineage(assembler.transform(crossed[0].unionByName(crossed[1]))
+                        .select("__features", "__label", "__weight").coalesce(4))
     labels = sorted(r[0] for r in train.select("__label").distinct().collect())
-    out = with_suffixes(seen, tables)
+    out = with_suffixes(seen, statistics(tables))
     if len(labels) == 2:
-        trees = GBTClassifier(featuresCol="__features", labelCol="__label", predictionCol="__prediction",
-                              maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=7)
+        trees = GBTClassifier(featuresCol="__features", labelCol="__label", weightCol="__weight",
+                              predictionCol="__prediction", maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=7)
         model = trees.setProbabilityCol("__probability").setRawPredictionCol("__raw").fit(train)
         scored = model.transform(assembler.transform(out))
         probability = vector_to_array("__probability")[1]

@@ -187,6 +187,35 @@ def test_urls_without_both_labels(spark):
     assert url_boosting.judge(pages.limit(0)).count() == 0
 
 
+def labelled_urls(spark, urls):
+    frame = spark.createDataFrame([(u,) for u in urls], "__url string")
+    seen = url_boosting.lexical(url_boosting.ruled(url_boosting.parts(frame, "__url")), "__url")
+    return seen.filter("__rule_verdict is not null").withColumns({
+        "__label": F.when(F.col("__rule_verdict") == "block", 1.0).otherwise(0.0),
+        "__half": url_boosting.half("__url")})
+
+
+def test_suffixes_of_all_labelled_urls_and_a_sample_of_distinct_ones(spark):
+    urls = [f"http://h{i}.com/{'fr' if i % 2 else 'de'}/{i}" for i in range(60)] + ["http://hot.com/fr/"] * 300
+    labelled = labelled_urls(spark, urls)
+    tables = url_boosting.suffix_tables(labelled)
+    whole = {r["__segment_key"]: r for r in url_boosting.statistics(tables)["segment"].collect()}
+    assert abs(whole["fr"]["__segment_count"] - np.log1p(330)) < 1e-9
+    assert abs(whole["de"]["__segment_rate"] - 40 / 50) < 1e-9
+    parts = [{r["__segment_key"]: r for r in url_boosting.statistics(tables, [h])["segment"].collect()} for h in (0, 1)]
+    counts = [np.expm1(p["fr"]["__segment_count"]) / 2 for p in parts]
+    assert abs(sum(counts) - 330) < 1e-6 and min(counts) < 31
+    sample = url_boosting.sample_urls(labelled, 20).collect()
+    assert len({r["__url"] for r in sample}) == len(sample) == 20
+    assert sorted(r["__label"] for r in sample) == [0.0] * 10 + [1.0] * 10
+    assert all(r["__weight"] > 1 for r in sample)
+    assert url_boosting.sample_urls(labelled, 1000).count() == 61
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate([*urls, "http://x.net/de/1", "http://x.net/fr/1"])],
+                                  "page_id long, url string")
+    got = {r.page_id: r for r in url_boosting.judge(pages, sample_rows=20).collect() if r.page_id >= len(urls)}
+    assert got[len(urls)].verdict == "block" and got[len(urls) + 1].verdict == "allow"
+
+
 def test_entropy_and_digit_ratio(spark):
     frame = url_boosting.lexical(url_boosting.parts(spark.createDataFrame([("aabb12",), ("",)], "url string"), "url"), "url")
     rows = frame.select(F.round("__entropy", 6).alias("e"), "__digit_ratio").collect()
