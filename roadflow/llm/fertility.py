@@ -75,25 +75,33 @@ FIELDS = [("n_words", "long"), ("word_chars", "long"), ("n_symbols", "long"), ("
           ("n_fallback_tokens", "long"), ("token_entropy", "double"), ("script", "string")]
 
 
-def byte_level_ranks(path: str) -> dict[bytes, int]:
-    """Token bytes to id of a byte-level BPE file: printable Latin-1 stands for itself, the rest for 256 and up."""
+def byte_level_ranks(path: str) -> tuple[dict[bytes, int], dict[str, int]]:
+    """Token bytes to id of a byte-level BPE file, and its added tokens to id.
+
+    Printable Latin-1 stands for itself, the rest for 256 and up.
+    """
     plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
     rest = [b for b in range(256) if b not in set(plain)]
     byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    special = {t["content"] for t in spec.get("added_tokens", [])}
+    special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
     return {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items()
-            if token not in special}
+            if token not in special}, special
 
 
 @functools.cache
 def byte_encoder(path: str):
-    """The byte-level vocabulary of a tokenizers file, run by tiktoken: the same ids, several times as fast."""
+    """The byte-level vocabulary of a tokenizers file, run by tiktoken: the same ids, several times as fast.
+
+    ``encode`` with all special tokens allowed gives the ids of the added tokens that
+    a text spells, as tokenizers does; ``encode_ordinary`` takes them for plain text.
+    """
     import tiktoken
 
+    ranks, special = byte_level_ranks(path)
     return tiktoken.Encoding("byte_level", pat_str=public_tokenizers.PATTERN,
-                             mergeable_ranks=byte_level_ranks(path), special_tokens={})
+                             mergeable_ranks=ranks, special_tokens=special)
 
 
 @functools.cache

@@ -16,12 +16,14 @@ only.  The number of groups follows the number of pieces, so a group never grows
 with the corpus, and at most one bin a group is left poorly filled.
 
 Defined results: a null text is an empty one and makes a piece of one token (id
-0); repeated rows are packed as rows of their own; null ids are packed too; an
+0); a text that spells an added token of the vocabulary has its id; repeated rows are packed as rows of their own; null ids are packed too; an
 empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
@@ -56,7 +58,7 @@ def token_pieces(docs: DataFrame, text: str, keep: list[str], max_tokens: int =
     path = vocabulary or public_tokenizers.path(BYTE_VOCABULARY)
 
     def fn(texts):
-        encode = byte_encoder(path).encode_ordinary
+        encode = functools.partial(byte_encoder(path).encode, allowed_special="all")
         rows, made = [], ([], [], [], [])
         for row, text in enumerate(texts):
             ids = np.array([*encode(text or ""), END_ID], "<u4")

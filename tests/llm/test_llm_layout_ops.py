@@ -51,6 +51,18 @@ def test_packing_round_trip(spark):
     assert len(used) <= np.ceil(sum(r.length for r in rows) / 2048) * 1.03 + 1
 
 
+def test_spelled_added_tokens_have_their_ids(spark):
+    end = "<|endoftext|>"
+    texts = [f"x {end} y", end, end * 3, f"{end}\n{end} a", f"é{end[:-1]} {end[1:]}", f"a<|{end}|>  {end}  b",
+             f"{prose(random.Random(9), 3000)} {end} z"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    got = defaultdict(list)
+    for r in vector_packing.token_pieces(docs, "text", ["doc_id"]).orderBy("doc_id", "piece").collect():
+        got[r.doc_id] += np.frombuffer(r.ids, "<u4").tolist()
+    assert [got[i] for i in range(len(texts))] == [[*tok.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+
+
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 def test_packing_keeps_every_capacity(rule):
     rng = np.random.default_rng(2)
