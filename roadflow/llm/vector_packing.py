@@ -11,7 +11,7 @@ A bin is feasible only if the piece fits under every capacity; if none is, a new
 bin opens.  Ties go to the bin opened first.
 
 Distribution: pieces are dealt by a hash of their identity into groups of about
-``GROUP_PIECES``; every group is packed on its own in one task, holding numbers
+``GROUP_PIECES``, identical ones of a task to one group after the other; every group is packed on its own in one task, holding numbers
 only.  The number of groups follows the number of pieces, so a group never grows
 with the corpus, and at most one bin a group is left poorly filled.
 
@@ -23,6 +23,7 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,8 @@ MAX_COST = MAX_TOKENS ** 2
 #: Weights of tokens, documents and cost in the selection rule.
 WEIGHTS = (1.0, 0.05, 0.05)
 GROUP_PIECES = 8192
+#: Pieces that a task remembers to tell copies; beyond it only those seen twice.
+DEALT_PIECES = 100_000
 
 
 def cut(n: int, size: int = MAX_TOKENS) -> list[int]:
@@ -110,6 +113,29 @@ def best_fit(lengths: np.ndarray, capacity: tuple[int, int, int], weights: tuple
     return bins, offsets
 
 
+def dealt(pieces: DataFrame, order: list[str], groups: int) -> DataFrame:
+    """Adds ``__group``: the hash of ``order``, plus the number of equal pieces before it in its partition.
+
+    A piece without copies lies in the same group however the rows are partitioned.
+    """
+    names = pieces.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, int] = {}
+        for batch in batches:
+            group = []
+            for h in batch.column(len(names)).to_pylist():
+                copies = seen.get(h, 0)
+                seen[h] = copies + 1
+                group.append((h + copies) % groups)
+            if len(seen) > DEALT_PIECES:
+                seen = {h: n for h, n in seen.items() if n > 1}
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(group, pa.int64())], [*names, "__group"])
+
+    schema = T.StructType([*pieces.schema.fields, T.StructField("__group", T.LongType())])
+    return pieces.withColumn("__group", F.xxhash64(*order)).mapInArrow(run, schema)
+
+
 def pack(pieces: DataFrame, length: str = "length", order: list[str] | None = None,
          capacity: tuple[int, int, int] = (MAX_TOKENS, MAX_DOCS, MAX_COST),
          weights: tuple[float, ...] = WEIGHTS, rule: str = "norm",
@@ -124,7 +150,6 @@ def pack(pieces: DataFrame, length: str = "length", order: list[str] | None = No
     pieces = cut_lineage(pieces)
     groups = max(1, -(-pieces.count() // group_pieces))
     names = pieces.columns
-    dealt = pieces.withColumn("__group", F.pmod(F.xxhash64(*order), F.lit(groups)))
 
     def run(key: tuple, frame: pa.Table) -> pa.Table:
         frame = frame.sort_by([(length, "descending"), *((c, "ascending") for c in order)])
@@ -134,7 +159,7 @@ def pack(pieces: DataFrame, length: str = "length", order: list[str] | None = No
             .append_column("offset", pa.array(offsets, pa.int64()))
 
     schema = T.StructType([*pieces.schema.fields, *(T.StructField(c, T.LongType()) for c in ("sequence_id", "offset"))])
-    return dealt.groupBy("__group").applyInArrow(run, schema)
+    return dealt(pieces, order, groups).groupBy("__group").applyInArrow(run, schema)
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:

@@ -89,6 +89,18 @@ def test_packing_in_groups(spark):
     assert vector_packing.pack(pieces.limit(0), order=["id"]).count() == 0
 
 
+def test_copies_of_a_piece_are_dealt_to_many_groups(spark):
+    pieces = spark.range(0, 3000, 1, 4).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("id"),
+                                               F.lit(100).alias("length"))
+    sizes = [r["count"] for r in vector_packing.dealt(pieces, ["id"], 10).groupBy("__group").count().collect()]
+    assert len(sizes) == 10 and max(sizes) < 400  # 300 a group
+    alone = [sorted((r.id, r["__group"]) for r in vector_packing.dealt(p, ["id"], 10).filter("id is not null").collect())
+             for p in (pieces, pieces.repartition(7))]
+    assert alone[0] == alone[1]
+    rows = vector_packing.pack(pieces, order=["id"], group_pieces=300).collect()
+    assert len(rows) == 3000 and len({r.sequence_id >> 32 for r in rows if r.id is None}) == 10
+
+
 def brute_warc(pages):
     digest = {i: base64.b32encode(hashlib.sha1((h or "").encode()).digest()).decode() for i, _, h, *_ in pages}
     firsts = {}
