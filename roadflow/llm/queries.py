@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadflow.llm import (
-    attention_mil, edit_matching, fertility, license_join, randomness, simhash, toxic_chain, url_boosting,
-    vector_packing, warc_revisit,
+    attention_mil, edit_matching, fertility, license_join, parity_join, randomness, simhash, spelling_variants,
+    toxic_chain, url_boosting, vector_packing, warc_revisit,
 )
 from roadflow.llm.shared import table
 
@@ -140,3 +140,13 @@ FROM d LEFT JOIN base USING (rid) LEFT JOIN found USING (rid)
 @register("op10_license_join", license_sql())
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_join.scan_licenses(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+@register("op12_spelling_variants")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.group_variants(table(spark, sf_dir, "documents"))
+
+
+@register("op13_parity_join")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity_join.near_duplicates(table(spark, sf_dir, "documents"))
