@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadflow.llm import (
-    attention_mil, edit_matching, fertility, license_join, parity_join, randomness, simhash, spelling_variants,
-    toxic_chain, url_boosting, vector_packing, warc_revisit,
+    attention_mil, collocations, edit_matching, fertility, license_join, parity_join, randomness, simhash,
+    spelling_variants, toxic_chain, url_boosting, vector_packing, warc_revisit,
 )
 from roadflow.llm.shared import table
 
@@ -142,6 +142,40 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_join.scan_licenses(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+#: Counted phrases joined with their parts; HUGEINT holds the products.
+COLLOCATION_SQL = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang,
+                  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS s FROM d),
+w AS (SELECT lang, row_number() OVER () AS piece, regexp_extract_all(s, '[^\x20\x09]+') AS w FROM p),
+o AS (SELECT lang, piece, unnest(w) AS w1, generate_subscripts(w, 1) AS i FROM w),
+t AS (SELECT lang, w1, lead(w1, 1) OVER q AS w2, lead(w1, 2) OVER q AS w3 FROM o WINDOW q AS (PARTITION BY piece ORDER BY i)),
+g AS (SELECT lang, 1 AS k, w1 AS phrase, count(*) AS f FROM t GROUP BY ALL
+      UNION ALL SELECT lang, 2, w1 || ' ' || w2, count(*) FROM t WHERE w2 IS NOT NULL GROUP BY ALL
+      UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3, count(*) FROM t WHERE w3 IS NOT NULL GROUP BY ALL),
+n AS (SELECT lang, sum(f) AS n FROM g WHERE k = 1 GROUP BY lang),
+f AS (SELECT lang || chr(9) || phrase AS key, f FROM g WHERE k < 3 AND f >= 10),
+c AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS w, f AS a FROM g WHERE k > 1 AND f >= 10),
+inside AS (SELECT lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase, a FROM c WHERE k = 3),
+longer AS (SELECT lang, phrase, max(a) AS top FROM inside GROUP BY ALL),
+parts AS (SELECT c.*, cut, array_to_string(w[1:cut], ' ') AS head, array_to_string(w[cut + 1:k], ' ') AS tail
+          FROM c, unnest(range(1, k)) AS u(cut)),
+cuts AS (SELECT parts.lang, parts.phrase, a, h.f AS l, t.f AS r, cut,
+                (1000000::HUGEINT * a * a) // (h.f::HUGEINT * t.f) AS score
+         FROM parts JOIN f h ON h.key = parts.lang || chr(9) || head JOIN f t ON t.key = parts.lang || chr(9) || tail),
+low AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+ranked AS (SELECT low.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+           FROM low LEFT JOIN longer USING (lang, phrase) WHERE coalesce(100 * top >= 50 * a, false) = false)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
+@register("op11_collocation_automata", COLLOCATION_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine_collocations(table(spark, sf_dir, "documents"))
+
+
 @register("op12_spelling_variants")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants.group_variants(table(spark, sf_dir, "documents"))

@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from roadflow.llm import parity_join, spelling_variants
+from roadflow.llm import collocations, parity_join, spelling_variants
 
 
 def shingles(text, width=4):
@@ -197,3 +197,94 @@ def test_spelling_variants_empty(spark):
     for rows in ([], [(1, None), (2, "too short")]):
         docs = spark.createDataFrame(rows, "doc_id long, text string")
         assert spelling_variants.group_variants(docs).collect() == []
+
+
+def brute_collocations(rows, least=10, covered=50, top=2000, width=3):
+    import re
+    seen, total = Counter(), Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", low):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            total[lang] += len(words)
+            seen.update((lang, *words[i:i + n]) for n in range(1, width + 1) for i in range(len(words) - n + 1))
+    candidates = {p: a for p, a in seen.items() if len(p) > 2 and a >= least}
+    covers = Counter()
+    for (lang, *p), a in candidates.items():
+        for n in range(2, len(p)):
+            for i in range(len(p) - n + 1):
+                key = (lang, *p[i:i + n])
+                covers[key] = max(covers[key], a)
+    found = []
+    for phrase, a in candidates.items():
+        lang, *p = phrase
+        if 100 * covers[phrase] >= covered * a:
+            continue
+        cuts = [(10**6 * a * a // (seen[(lang, *p[:k])] * seen[(lang, *p[k:])]), k) for k in range(1, len(p))]
+        score, k = min(cuts)
+        found.append((lang, -score, -a, " ".join(p).encode(), seen[(lang, *p[:k])], seen[(lang, *p[k:])]))
+    out, rank = [], Counter()
+    for lang, score, a, phrase, left, right in sorted(found):
+        rank[lang] += 1
+        if rank[lang] <= top:
+            out.append((lang, rank[lang], phrase.decode(), -a, left, right, total[lang], -score))
+    return out
+
+
+def collocation_rows(seed):
+    rng = random.Random(seed)
+    words = ["The", "new", "york", "times", "é", "É", "a\0b", "a", "\x01", "x\x1fy", "ſ", " ", "😀", "of", "city"]
+    rows = [("en", None), ("en", ""), (None, "alone"), ("und", "alone, alone"), ("xx", ".,;:!?\n\t  ")]
+    for i in range(300):
+        text = "".join(rng.choice(words) + rng.choice([" "] * 8 + ["\t", "  ", ", ", ".\n", "!?", "\r", "\x0b"])
+                       for _ in range(rng.randint(0, 40)))
+        rows.append((rng.choice(["en", "en", "de", None, "a\0b"]), "new york times " * rng.randint(0, 2) + text))
+    return rows + rows[-5:]
+
+
+def test_collocations_equal_brute_force(spark, monkeypatch):
+    rows = collocation_rows(5)
+    docs = spark.createDataFrame([(*r, 1, "p") for r in rows], "lang string, text string, n long, phrase string")
+    want = brute_collocations(rows)
+    assert len(want) > 50
+    names = ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
+    got = collocations.mine_collocations(docs.repartition(3))
+    assert got.columns == names
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    short = collocations.mine_collocations(docs, max_words=2, least=3, covered=20, top=5)
+    assert sorted(map(tuple, short.collect())) == sorted(brute_collocations(rows, 3, 20, 5, 2))
+
+
+def test_collocations_in_many_ranges_and_runs(spark, monkeypatch):
+    rows = [("en", "one two three four " * 3000 + "five"), *collocation_rows(6)]
+    for name, value in {"RANGE_BYTES": 300, "EVERY": 64, "RUN_TOKENS": 700, "PIECE_TOKENS": 101, "PENDING": 50}.items():
+        monkeypatch.setattr(collocations, name, value)
+    docs = spark.createDataFrame(rows, "lang string, text string").coalesce(2)
+    bounds, _ = collocations.sampled_windows(docs.selectExpr("coalesce(lang, 'und') AS lang", "text"))
+    assert len(bounds) > 20
+    got = collocations.mine_collocations(docs)
+    assert sorted(map(tuple, got.collect())) == sorted(brute_collocations(rows))
+
+
+def test_transducer_round_trip():
+    rng = random.Random(7)
+    words = [b"a", b"b", b"bb", b"c\0", "é".encode(), b"z"]
+    weights = {tuple(rng.choice(words) for _ in range(rng.randint(1, 3))): rng.choice([1, 1, 2, 2**40])
+               for _ in range(150)}
+    made = collocations.Transducer.load(collocations.Transducer.of(weights).dump())
+    assert dict(made.phrases()) == weights
+    assert [p for p, _ in made.phrases()] == sorted(weights)
+    keys, found = made.entries(3)
+    assert {tuple(made.words[i - 1] for i in k if i): w for k, w in zip(keys.tolist(), found.tolist())} == weights
+    # equal right contexts are one state
+    shared = collocations.Transducer.of({(a, b): 1 for a in words for b in words})
+    assert len(shared.start) - 1 == 3 and len(shared.moves) == 12
+    asked = collocations.Transducer.of({p: 1 for p in [*list(weights)[:40], (b"no",), (b"a", b"no"), (b"z",) * 3]})
+    assert asked.compose(made) == {p: w for p, w in weights.items() if p in dict(asked.phrases())}
+
+
+def test_collocations_empty(spark):
+    for rows in ([], [(None, None), ("en", "few words")]):
+        docs = spark.createDataFrame(rows, "lang string, text string")
+        assert collocations.mine_collocations(docs).collect() == []
