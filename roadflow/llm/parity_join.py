@@ -14,14 +14,15 @@ heaviest has K - D - 1 lighter ones below it in both sets, so both emit it: no l
 is lost, and light words, which frequent shingles would make hot, are left out.  Sets
 near a band's lower edge also emit to the band below, for partners there.
 
-Pairs that share a key are candidates.  Within a key the smallest set is the pivot
-and each other set is paired with it; one pass verifies a set's pivot with most
-common keys, the next the remaining pivots where the two are not yet connected.
-Members of a key that are then in another component than its pivot are paired with
-the members of every other component of that key.  So each pair with a common key is
-either verified or connected, and a group of copies costs one check a member.  Checks
-intersect the whole sets, streamed past a pivot's set; pivots with many members are
-split over groups.  Equal sets are one set.
+Pairs that share a key are candidates.  A second sketch, of two to four bits a shingle,
+rejects those at a Hamming distance over D; few that do not link are left.  Within a key
+the smallest set is the pivot and each other set is paired with it; one pass verifies
+a set's pivot with most common keys, the next the remaining pivots where the two are
+not yet connected.  Members of a key that are then in another component than its pivot
+are paired with the members of every other component of that key.  So each pair with
+a common key is rejected by its sketches, verified or connected, and a group of copies
+costs one check a member.  Checks intersect the whole sets, streamed past a pivot's
+set; pivots with many members are split over groups.  Equal sets are one set.
 
 Defined results: null, empty and blank texts have the empty set and are linked with
 nothing; fewer words than the shingle length make one shingle; repeated rows link
@@ -120,36 +121,57 @@ def set_keys(hashes: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return np.concatenate(keys)
 
 
+def folded(hashes: np.ndarray) -> np.ndarray:
+    """Sketch of two to four bits a shingle; the halves of one of twice the bits, put together by XOR, are it."""
+    words = max(1, (4 << len(hashes).bit_length() - 1) // 64) if len(hashes) else 1
+    h = mixed(hashes ^ np.uint64(SEED))
+    out = np.zeros(words, np.uint64)
+    np.bitwise_xor.at(out, ((h >> np.uint64(6)) & np.uint64(words - 1)).astype(np.int64),
+                      np.uint64(1) << (h & np.uint64(63)))
+    return out
+
+
+def distance(a: np.ndarray, b: np.ndarray) -> int:
+    """Hamming distance of two folded sketches, in the bits of the smaller."""
+    while len(a) > len(b):
+        a = a[:len(a) // 2] ^ a[len(a) // 2:]
+    while len(b) > len(a):
+        b = b[:len(b) // 2] ^ b[len(b) // 2:]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def set_id(hashes: np.ndarray) -> int:
     """Signed 64-bit name of a set."""
     return xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63)
 
 
 def with_sets(docs: DataFrame, id_col: str, text: str, shingle: int, percent: int) -> DataFrame:
-    """(id, tag, sid, n_shingles, keys) of every row; copies met again by a task carry no keys.
+    """(id, tag, sid, n_shingles, keys, fold) of every row; copies met again by a task carry no keys.
 
     ``tag`` is a hash of the text: with the id it names the row.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for part in slices(batches):
-            sids, sizes, keys = [], [], []
+            sids, sizes, keys, folds = [], [], [], []
             for t in part.column(2).to_pylist():
                 made = shingle_set(t, shingle)
                 sid = set_id(made)
                 sids.append(sid)
                 sizes.append(len(made))
                 keys.append(None if sid in seen else set_keys(made, percent).view(np.int64))
+                folds.append(None if sid in seen else folded(made).tobytes())
                 seen.add(sid)
             if len(seen) > 1_000_000:  # only saves work: keys of a set may come twice
                 seen.clear()
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(1), pa.array(sids, pa.int64()), pa.array(sizes, pa.int64()),
-                 pa.array(keys, pa.list_(pa.int64()))], [id_col, "tag", "sid", "n_shingles", "keys"])
+                 pa.array(keys, pa.list_(pa.int64())), pa.array(folds, pa.binary())],
+                [id_col, "tag", "sid", "n_shingles", "keys", "fold"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return tagged(docs, id_col, text).withColumnRenamed("__id", id_col).mapInArrow(
-        run, f"{quoted(id_col)} {kind}, tag long, sid long, n_shingles long, keys array<long>")
+        run, f"{quoted(id_col)} {kind}, tag long, sid long, n_shingles long, keys array<long>, fold binary")
 
 
 def tagged(docs: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -176,6 +198,25 @@ def can_link(a: str, b: str, percent: int):
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
+def plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The rows of ``pairs`` (pivot, sid, ...) whose sketches differ by no more than linked sets do."""
+    fold = sets.filter("keys IS NOT NULL").select("sid", "n_shingles", "fold").dropDuplicates(["sid"])
+    columns = pairs.columns
+    own = fold.select("sid", F.col("n_shingles").alias("__n"), F.col("fold").alias("__f"))
+    of_pivot = fold.select(F.col("sid").alias("pivot"), F.col("n_shingles").alias("__m"), F.col("fold").alias("__g"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, folds, others, theirs = (c.to_pylist() for c in batch.columns[-4:])
+            keep = [distance(np.frombuffer(f, np.uint64), np.frombuffer(g, np.uint64)) <= difference(n + m, percent)
+                    for n, f, m, g in zip(sizes, folds, others, theirs, strict=True)]
+            kept = pa.RecordBatch.from_arrays(batch.columns[:-4], columns)
+            yield kept.filter(pa.array(keep, pa.bool_()))
+
+    both = pairs.join(own, "sid").join(of_pivot, "pivot").select(*columns, "__n", "__f", "__m", "__g")
+    return both.mapInArrow(run, pairs.schema)
+
+
 def intersect(percent: int):
     """Linked (pivot, sid) of rows (pivot, part, member, sid, hashes) sorted with each pivot's own set first."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,13 +250,13 @@ def verified(pairs: DataFrame, hashes: DataFrame, percent: int) -> DataFrame:
         intersect(percent), "a long, b long")
 
 
-def needed_sets(docs: DataFrame, sets: DataFrame, members: DataFrame, id_col: str, text: str,
-                shingle: int) -> DataFrame:
-    """(sid, hashes) of the sets that share a key with another, made again from their texts.
+def whole_sets(docs: DataFrame, sets: DataFrame, pairs: DataFrame, id_col: str, text: str,
+               shingle: int) -> DataFrame:
+    """(sid, hashes) of the sets in ``pairs``, made again from their texts.
 
     Texts move by id and tag, which may both repeat: repeated rows give a set several times.
     """
-    wanted = members.select("sid").union(members.select(F.col("pivot").alias("sid"))).distinct()
+    wanted = pairs.select("sid").union(pairs.select(F.col("pivot").alias("sid"))).distinct()
     chosen = sets.filter("keys IS NOT NULL").join(wanted, "sid").select(
         F.col(quoted(id_col)).alias("__low"), F.col("tag").alias("__tag"), "sid").dropDuplicates(["sid"])
     same = F.col("__id").eqNullSafe(F.col("__low")) & (F.col("tag") == F.col("__tag"))
@@ -246,15 +287,19 @@ def links(docs: DataFrame, sets: DataFrame, id_col: str, text: str, shingle: int
           percent: int = PERCENT) -> DataFrame:
     """Verified edges (a, b) between sets that connect whatever links."""
     members = cut_lineage(key_members(sets))
-    hashes = written(needed_sets(docs, sets, members, id_col, text, shingle), "parity-sets")
-    star = cut_lineage(members.filter(can_link("size", "pivot_size", percent)).groupBy("pivot", "sid").agg(
-        F.count(F.lit(1)).alias("common")))
+    star = members.filter(can_link("size", "pivot_size", percent)).groupBy("pivot", "sid").agg(
+        F.count(F.lit(1)).alias("common"))
+    star = cut_lineage(plausible(star, sets, percent))
+    hashes = written(whole_sets(docs, sets, star, id_col, text, shingle), "parity-sets")
     # first the pivot with most common keys, then those that a set is not yet connected with
     best = star.groupBy("sid").agg(F.min_by("pivot", F.struct(-F.col("common"), F.col("pivot"))).alias("pivot"))
     edges = cut_lineage(verified(best.select("pivot", "sid"), hashes, percent))
     left = star.join(best, ["pivot", "sid"], "left_anti").select("pivot", "sid")
     edges = cut_lineage(edges.union(verified(cut_lineage(apart(left, connected(edges))), hashes, percent)))
-    rest = cut_lineage(crossing(members, connected(edges), percent))
+    rest = cut_lineage(plausible(crossing(members, connected(edges), percent), sets, percent))
+    if rest.isEmpty():
+        return edges
+    hashes = written(whole_sets(docs, sets, rest, id_col, text, shingle), "parity-sets")
     return edges.union(verified(rest, hashes, percent))
 
 

@@ -93,12 +93,13 @@ def test_parity_join_other_thresholds_and_hot_keys(spark):
 
 def test_sketch_distance_bounds_the_difference():
     rng = np.random.default_rng(1)
-    for n, cut in ((5, 1), (40, 6), (300, 40)):
+    for n, cut in ((5, 1), (40, 6), (70, 9), (300, 40), (1030, 20)):
         a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
         b = np.unique(np.concatenate([a[cut:], rng.integers(0, 2**63, cut).astype(np.uint64)]))
         k = parity_join.words_in_band(len(a).bit_length() - 1, 85)
         distance = np.bitwise_count(parity_join.sketch(a, k) ^ parity_join.sketch(b, k)).sum()
         assert distance <= len(np.setxor1d(a, b))
+        assert parity_join.distance(parity_join.folded(a), parity_join.folded(b)) <= len(np.setxor1d(a, b))
         assert distance % 2 == len(np.setxor1d(a, b)) % 2
 
 
