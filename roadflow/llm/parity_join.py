@@ -14,15 +14,18 @@ heaviest has K - D - 1 lighter ones below it in both sets, so both emit it: no l
 is lost, and light words, which frequent shingles would make hot, are left out.  Sets
 near a band's lower edge also emit to the band below, for partners there.
 
-Pairs that share a key are candidates.  A second sketch, of two to four bits a shingle,
-rejects those at a Hamming distance over D; few that do not link are left.  Within a key
-the smallest set is the pivot and each other set is paired with it; one pass verifies
-a set's pivot with most common keys, the next the remaining pivots where the two are
-not yet connected.  Members of a key that are then in another component than its pivot
-are paired with the members of every other component of that key.  So each pair with
-a common key is rejected by its sketches, verified or connected, and a group of copies
-costs one check a member.  Checks intersect the whole sets, streamed past a pivot's
-set; pivots with many members are split over groups.  Equal sets are one set.
+Pairs that share a key are candidates.  Within a key the smallest set is the pivot; a
+set is first paired with one pivot alone, that of most of its keys.  A second sketch, of
+two to four bits a shingle, rejects pairs at a Hamming distance over D, and the whole
+sets of the others are intersected, streamed past a pivot's set; pivots with many members
+are split over groups.  A set that links with its pivot has it as its centre.
+
+Keys whose sets are then all connected are done: a group of copies costs one check a
+member.  In the others the centres meet two by two.  The symmetric difference is a metric,
+so members of two centres can only link if the centres' sketches are no further apart than
+D and the members' distances from them allow; where they are not, members are held against
+the other centre in the same way, and then against each other.  So each pair with a common
+key is rejected by a bound, verified, or already connected.  Equal sets are one set.
 
 Defined results: null, empty and blank texts have the empty set and are linked with
 nothing; fewer words than the shingle length make one shingle; repeated rows link
@@ -41,6 +44,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadflow.llm.shared import components, map_texts, quoted, slices, written
+from roadflow.operators.broadcast import bounded_broadcast
 from roadflow.session import cut_lineage
 
 SHINGLE_WORDS = 4
@@ -179,51 +183,48 @@ def tagged(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return docs.select(F.col(quoted(id_col)).alias("__id"), F.xxhash64(whole).alias("tag"), whole.alias("__t"))
 
 
-def key_members(sets: DataFrame) -> DataFrame:
-    """(key, pivot, sid, size, pivot_size) of every set but the smallest of each key.
+def key_rows(sets: DataFrame, *columns: str) -> DataFrame:
+    """(sid, columns, key) of all sets, the rows of a key together."""
+    tasks = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return sets.select("sid", *columns, F.explode("keys").alias("key")).repartition(tasks, "key")
+
+
+def pivot_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """(pivot, sid, common, fits): every set but the smallest of each key with that one.
 
     The smallest is told by a running first row, so a key of any size streams by.
     """
-    keyed = sets.filter("keys IS NOT NULL").select("sid", F.col("n_shingles").cast("int").alias("size"),
-                                                   F.explode("keys").alias("key"))
-    tasks = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     running = Window.partitionBy("key").orderBy("sid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    first = F.first(F.struct("sid", "size")).over(running)
-    return keyed.repartition(tasks, "key").withColumn("p", first).filter("sid != p.sid").select(
-        "key", F.col("p.sid").alias("pivot"), "sid", "size", F.col("p.size").alias("pivot_size"))
-
+    rows = key_rows(sets, "size").withColumn("p", F.first(F.struct("sid", "size")).over(running))
+    fits = F.least("size", "p.size") * 100 >= F.greatest("size", "p.size") * percent
+    return rows.filter("sid != p.sid").groupBy(F.col("p.sid").alias("pivot"), "sid").agg(
+        F.count(F.lit(1)).alias("common"), F.first(fits).alias("fits"))
 
-def can_link(a: str, b: str, percent: int):
-    """Sizes alone allow a link."""
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
-
-def plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The rows of ``pairs`` (pivot, sid, ...) whose sketches differ by no more than linked sets do."""
-    fold = sets.filter("keys IS NOT NULL").select("sid", "n_shingles", "fold").dropDuplicates(["sid"])
-    columns = pairs.columns
-    own = fold.select("sid", F.col("n_shingles").alias("__n"), F.col("fold").alias("__f"))
-    of_pivot = fold.select(F.col("sid").alias("pivot"), F.col("n_shingles").alias("__m"), F.col("fold").alias("__g"))
+def plausible(pairs: DataFrame, folds: DataFrame, percent: int) -> DataFrame:
+    """The rows (pivot, sid, slack) whose sketches are at most slack / (100 + percent) apart."""
+    own = folds.select("sid", F.col("fold").alias("__f"))
+    of_pivot = folds.select(F.col("sid").alias("pivot"), F.col("fold").alias("__g"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, folds, others, theirs = (c.to_pylist() for c in batch.columns[-4:])
-            keep = [distance(np.frombuffer(f, np.uint64), np.frombuffer(g, np.uint64)) <= difference(n + m, percent)
-                    for n, f, m, g in zip(sizes, folds, others, theirs, strict=True)]
-            kept = pa.RecordBatch.from_arrays(batch.columns[:-4], columns)
-            yield kept.filter(pa.array(keep, pa.bool_()))
+            slack, mine, theirs = (c.to_pylist() for c in batch.columns[-3:])
+            keep = [distance(np.frombuffer(f, np.uint64), np.frombuffer(g, np.uint64)) * (100 + percent) <= d
+                    for d, f, g in zip(slack, mine, theirs, strict=True)]
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["pivot", "sid"]).filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.join(own, "sid").join(of_pivot, "pivot").select(*columns, "__n", "__f", "__m", "__g")
-    return both.mapInArrow(run, pairs.schema)
+    both = pairs.join(own, "sid").join(of_pivot, "pivot").select("pivot", "sid", "slack", "__f", "__g")
+    return both.mapInArrow(run, "pivot long, sid long")
 
 
 def intersect(percent: int):
-    """Linked (pivot, sid) of rows (pivot, part, member, sid, hashes) sorted with each pivot's own set first."""
+    """Linked (a, b, apart) of rows (pivot, part, member, sid, hashes) sorted with each pivot's own set first."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, base = None, None
         for batch in batches:
-            left, right = [], []
-            for pivot, part, member, sid, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            left, right, apart = [], [], []
+            for i in range(batch.num_rows):
+                pivot, part, member, sid, raw = (c[i].as_py() for c in batch.columns)
                 hashes = np.frombuffer(raw, np.uint64)
                 if not member:
                     group, base = (pivot, part), hashes
@@ -232,13 +233,15 @@ def intersect(percent: int):
                     if 100 * common >= percent * (len(base) + len(hashes) - common):
                         left.append(pivot)
                         right.append(sid)
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+                        apart.append(len(base) + len(hashes) - 2 * common)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (left, right, apart)],
+                                             ["a", "b", "apart"])
 
     return run
 
 
 def verified(pairs: DataFrame, hashes: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) of distinct ``pairs`` (pivot, sid) whose whole sets link."""
+    """(a, b, apart) of those distinct ``pairs`` (pivot, sid) whose whole sets link."""
     parts = pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("parts"))
     whole = parts.select("pivot", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
                          F.lit(0).alias("member"), F.col("pivot").alias("sid"))
@@ -247,7 +250,7 @@ def verified(pairs: DataFrame, hashes: DataFrame, percent: int) -> DataFrame:
     tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = whole.union(members).join(hashes, "sid").select("pivot", "part", "member", "sid", "hashes")
     return rows.repartition(tasks, "pivot", "part").sortWithinPartitions("pivot", "part", "member").mapInArrow(
-        intersect(percent), "a long, b long")
+        intersect(percent), "a long, b long, apart long").distinct()
 
 
 def whole_sets(docs: DataFrame, sets: DataFrame, pairs: DataFrame, id_col: str, text: str,
@@ -259,6 +262,7 @@ def whole_sets(docs: DataFrame, sets: DataFrame, pairs: DataFrame, id_col: str,
     wanted = pairs.select("sid").union(pairs.select(F.col("pivot").alias("sid"))).distinct()
     chosen = sets.filter("keys IS NOT NULL").join(wanted, "sid").select(
         F.col(quoted(id_col)).alias("__low"), F.col("tag").alias("__tag"), "sid").dropDuplicates(["sid"])
+    chosen = bounded_broadcast(chosen)  # a few numbers a row; texts move where they are too many to send
     same = F.col("__id").eqNullSafe(F.col("__low")) & (F.col("tag") == F.col("__tag"))
     texts = tagged(docs, id_col, text).join(chosen, same).select("sid", "__t")
 
@@ -275,47 +279,59 @@ def connected(edges: DataFrame) -> DataFrame:
     return cut_lineage(components(edges).select(F.col("node").alias("sid"), "root"))
 
 
-def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs (pivot, sid) not yet in one component."""
-    of_pivot = roots.select(F.col("sid").alias("pivot"), F.col("root").alias("__p"))
-    of_sid = roots.select("sid", F.col("root").alias("__s"))
-    return pairs.join(of_pivot, "pivot", "left").join(of_sid, "sid", "left").filter(
-        F.coalesce("__p", "pivot") != F.coalesce("__s", "sid")).select("pivot", "sid")
+def crossing(sets: DataFrame, some: DataFrame, edges: DataFrame, percent: int) -> DataFrame:
+    """Plausible (pivot, sid) pairs of ``some`` sets with a common key that ``edges`` do not connect."""
+    reach = F.col("size") * (100 - percent) + F.coalesce("apart", F.lit(0)) * (100 + percent)
+    centre = edges.select(F.col("b").alias("sid"), F.col("a").alias("centre"), "apart")
+    stars = cut_lineage(some.join(centre, "sid", "left").join(connected(edges), "sid", "left").select(
+        "sid", "size", "fold", F.coalesce("root", "sid").alias("root"),
+        F.coalesce("centre", "sid").alias("centre"), reach.alias("reach")))
+    of_key = Window.partitionBy("key")
+    rows = key_rows(sets.join(stars.select("sid", "root", "centre"), "sid"), "root", "centre")
+    rows = rows.withColumn("low", F.min("root").over(of_key)).withColumn("high", F.max("root").over(of_key))
+    rows = cut_lineage(rows.filter("low != high").select("key", "root", "centre").distinct())
+    other = rows.select("key", F.col("root").alias("root2"), F.col("centre").alias("centre2"))
+    met = rows.join(other, "key").filter("root != root2 AND centre < centre2").select("centre", "centre2").distinct()
+    far = stars.groupBy("centre").agg(F.max("reach").alias("far"))
+    far2 = far.select(F.col("centre").alias("centre2"), F.col("far").alias("far2"))
+    close = cut_lineage(plausible(met.join(far, "centre").join(far2, "centre2").select(
+        F.col("centre").alias("pivot"), F.col("centre2").alias("sid"), (F.col("far") + F.col("far2")).alias("slack")),
+        stars, percent))
+    # members of the second centre against the first, then those left against its members
+    of_second = stars.select(F.col("centre").alias("second"), F.col("sid").alias("x"), "size")
+    lone = close.withColumnRenamed("sid", "second").join(of_second, "second").join(
+        far.withColumnRenamed("centre", "pivot"), "pivot").select(
+        "pivot", F.col("x").alias("sid"), (F.col("size") * (100 - percent) + F.col("far")).alias("slack"))
+    lone = cut_lineage(plausible(lone, stars, percent))
+    of_first = stars.select(F.col("centre").alias("first"), F.col("sid").alias("y"), F.col("size").alias("size2"))
+    pairs = lone.withColumnRenamed("pivot", "first").join(of_first, "first").join(
+        stars.select("sid", "size"), "sid").filter(
+        F.least("size", "size2") * 100 >= F.greatest("size", "size2") * percent).select(
+        F.col("y").alias("pivot"), "sid", ((F.col("size") + F.col("size2")) * (100 - percent)).alias("slack"))
+    return plausible(pairs, stars, percent)
 
 
 def links(docs: DataFrame, sets: DataFrame, id_col: str, text: str, shingle: int = SHINGLE_WORDS,
           percent: int = PERCENT) -> DataFrame:
     """Verified edges (a, b) between sets that connect whatever links."""
-    members = cut_lineage(key_members(sets))
-    star = members.filter(can_link("size", "pivot_size", percent)).groupBy("pivot", "sid").agg(
-        F.count(F.lit(1)).alias("common"))
-    star = cut_lineage(plausible(star, sets, percent))
-    hashes = written(whole_sets(docs, sets, star, id_col, text, shingle), "parity-sets")
-    # first the pivot with most common keys, then those that a set is not yet connected with
-    best = star.groupBy("sid").agg(F.min_by("pivot", F.struct(-F.col("common"), F.col("pivot"))).alias("pivot"))
-    edges = cut_lineage(verified(best.select("pivot", "sid"), hashes, percent))
-    left = star.join(best, ["pivot", "sid"], "left_anti").select("pivot", "sid")
-    edges = cut_lineage(edges.union(verified(cut_lineage(apart(left, connected(edges))), hashes, percent)))
-    rest = cut_lineage(plausible(crossing(members, connected(edges), percent), sets, percent))
+    # a set that several tasks met comes several times here
+    keyed = sets.filter("keys IS NOT NULL AND n_shingles > 0").select(
+        "sid", F.col("n_shingles").alias("size"), "keys", "fold")
+    pairs = cut_lineage(pivot_pairs(keyed, percent))
+    shared = pairs.select("sid").union(pairs.select(F.col("pivot").alias("sid"))).distinct()
+    some = cut_lineage(keyed.select("sid", "size", "fold").join(shared, "sid").dropDuplicates(["sid"]))
+    best = pairs.filter("fits").groupBy("sid").agg(
+        F.min_by("pivot", F.struct(-F.col("common"), F.col("pivot"))).alias("pivot"))
+    sizes = some.select(F.col("sid").alias("pivot"), F.col("size").alias("size2"))
+    best = best.join(some.select("sid", "size"), "sid").join(sizes, "pivot").select(
+        "pivot", "sid", ((F.col("size") + F.col("size2")) * (100 - percent)).alias("slack"))
+    best = cut_lineage(plausible(best, some, percent))
+    edges = cut_lineage(verified(best, whole_sets(docs, sets, best, id_col, text, shingle), percent))
+    rest = cut_lineage(crossing(keyed.select("sid", "keys"), some, edges, percent))
     if rest.isEmpty():
-        return edges
-    hashes = written(whole_sets(docs, sets, rest, id_col, text, shingle), "parity-sets")
-    return edges.union(verified(rest, hashes, percent))
-
-
-def crossing(members: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Distinct (pivot, sid) pairs of members of one key in different components, its pivot left out.
-
-    A pair of which neither is connected with the key's pivot, or one is not, has not been compared.
-    """
-    of_pivot = roots.select(F.col("sid").alias("pivot"), F.col("root").alias("__p"))
-    named = members.join(roots, "sid", "left").join(of_pivot, "pivot", "left").select(
-        "key", "sid", "size", F.coalesce("root", "sid").alias("root"), F.coalesce("__p", "pivot").alias("home"))
-    far = named.filter("root != home").select("key", F.col("sid").alias("other"), F.col("size").alias("other_size"),
-                                              F.col("root").alias("other_root"))
-    met = far.join(named, "key").filter(
-        (F.col("root") != F.col("other_root")) & can_link("size", "other_size", percent))
-    return met.select(F.least("sid", "other").alias("pivot"), F.greatest("sid", "other").alias("sid")).distinct()
+        return edges.select("a", "b")
+    found = verified(rest, whole_sets(docs, sets, rest, id_col, text, shingle), percent)
+    return edges.union(found).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE_WORDS,
