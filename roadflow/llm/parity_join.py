@@ -18,14 +18,13 @@ Pairs that share a key are candidates.  Within a key the smallest set is the piv
 set is first paired with one pivot alone, that of most of its keys.  A second sketch, of
 two to four bits a shingle, rejects pairs at a Hamming distance over D, and the whole
 sets of the others are intersected, streamed past a pivot's set; pivots with many members
-are split over groups.  A set that links with its pivot has it as its centre.
+are split over groups.
 
 Keys whose sets are then all connected are done: a group of copies costs one check a
-member.  In the others the centres meet two by two.  The symmetric difference is a metric,
-so members of two centres can only link if the centres' sketches are no further apart than
-D and the members' distances from them allow; where they are not, members are held against
-the other centre in the same way, and then against each other.  So each pair with a common
-key is rejected by a bound, verified, or already connected.  Equal sets are one set.
+member.  In the others the sets of different components are compared.  Few sets meet in
+a join.  More are compared by their sketches inside tasks, tile by tile, and only pairs
+that the sketches do not reject leave a task.  So each pair with a common key is rejected
+by its sketches, verified, or already connected.  Equal sets are one set.
 
 Defined results: null, empty and blank texts have the empty set and are linked with
 nothing; fewer words than the shingle length make one shingle; repeated rows link
@@ -53,8 +52,10 @@ PERCENT = 85
 SEED = 42
 #: Sketch words beyond the least number, as a part of it: the lightest that are left out.
 SPARE = 4
-#: Members that one group compares with a pivot.
+#: Members that one group compares with a pivot, or tasks with one another.
 MEMBERS = 512
+#: Sets of a key that meet in a join.
+FEW = 8
 
 
 def shingle_set(text: str | None, shingle: int = SHINGLE_WORDS) -> np.ndarray:
@@ -218,11 +219,11 @@ def plausible(pairs: DataFrame, folds: DataFrame, percent: int) -> DataFrame:
 
 
 def intersect(percent: int):
-    """Linked (a, b, apart) of rows (pivot, part, member, sid, hashes) sorted with each pivot's own set first."""
+    """Linked (a, b) of rows (pivot, part, member, sid, hashes) sorted with each pivot's own set first."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, base = None, None
         for batch in batches:
-            left, right, apart = [], [], []
+            left, right = [], []
             for i in range(batch.num_rows):
                 pivot, part, member, sid, raw = (c[i].as_py() for c in batch.columns)
                 hashes = np.frombuffer(raw, np.uint64)
@@ -233,15 +234,13 @@ def intersect(percent: int):
                     if 100 * common >= percent * (len(base) + len(hashes) - common):
                         left.append(pivot)
                         right.append(sid)
-                        apart.append(len(base) + len(hashes) - 2 * common)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (left, right, apart)],
-                                             ["a", "b", "apart"])
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
     return run
 
 
 def verified(pairs: DataFrame, hashes: DataFrame, percent: int) -> DataFrame:
-    """(a, b, apart) of those distinct ``pairs`` (pivot, sid) whose whole sets link."""
+    """(a, b) of those distinct ``pairs`` (pivot, sid) whose whole sets link."""
     parts = pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("parts"))
     whole = parts.select("pivot", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
                          F.lit(0).alias("member"), F.col("pivot").alias("sid"))
@@ -250,7 +249,7 @@ def verified(pairs: DataFrame, hashes: DataFrame, percent: int) -> DataFrame:
     tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = whole.union(members).join(hashes, "sid").select("pivot", "part", "member", "sid", "hashes")
     return rows.repartition(tasks, "pivot", "part").sortWithinPartitions("pivot", "part", "member").mapInArrow(
-        intersect(percent), "a long, b long, apart long").distinct()
+        intersect(percent), "a long, b long").distinct()
 
 
 def whole_sets(docs: DataFrame, sets: DataFrame, pairs: DataFrame, id_col: str, text: str,
@@ -279,36 +278,74 @@ def connected(edges: DataFrame) -> DataFrame:
     return cut_lineage(components(edges).select(F.col("node").alias("sid"), "root"))
 
 
+def tile_pairs(percent: int):
+    """Plausible (pivot, sid) of rows (key, one, two, side, sid, root, size, fold), a tile pair's rows together."""
+    def made(rows: list[tuple], two: bool) -> tuple[list, list]:
+        sides, sids, roots, sizes = (np.array([r[i] for r in rows], np.int64) for i in range(4))
+        least = min(len(r[4]) for r in rows) // 8
+        folds = np.empty((len(rows), least), np.uint64)
+        for i, r in enumerate(rows):
+            fold = np.frombuffer(r[4], np.uint64)
+            while len(fold) > least:
+                fold = fold[:len(fold) // 2] ^ fold[len(fold) // 2:]
+            folds[i] = fold
+        left, right = [], []
+        for i in np.nonzero(sides == 0)[0]:
+            j = np.nonzero(sides == 1)[0] if two else np.arange(i + 1, len(rows))
+            total, low = sizes[i] + sizes[j], np.minimum(sizes[i], sizes[j])
+            j = j[(roots[j] != roots[i]) & (low * 100 >= (total - low) * percent)]
+            gap = np.bitwise_count(folds[j] ^ folds[i]).sum(1, dtype=np.int64)
+            j = j[gap * (100 + percent) <= (sizes[i] + sizes[j]) * (100 - percent)]
+            left.append(np.minimum(sids[i], sids[j]))
+            right.append(np.maximum(sids[i], sids[j]))
+        return left, right
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> Iterator[pa.RecordBatch]:
+            left, right = made(rows, group[1] != group[2])
+            if left:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (left, right)],
+                                                 ["pivot", "sid"])
+
+        group, rows = None, []
+        for batch in batches:
+            for i in range(batch.num_rows):
+                *at, side, sid, root, size, fold = (c[i].as_py() for c in batch.columns)
+                if at != group:
+                    if rows:
+                        yield from out()
+                    group, rows = at, []
+                rows.append((side, sid, root, size, fold))
+        if rows:
+            yield from out()
+
+    return run
+
+
 def crossing(sets: DataFrame, some: DataFrame, edges: DataFrame, percent: int) -> DataFrame:
     """Plausible (pivot, sid) pairs of ``some`` sets with a common key that ``edges`` do not connect."""
-    reach = F.col("size") * (100 - percent) + F.coalesce("apart", F.lit(0)) * (100 + percent)
-    centre = edges.select(F.col("b").alias("sid"), F.col("a").alias("centre"), "apart")
-    stars = cut_lineage(some.join(centre, "sid", "left").join(connected(edges), "sid", "left").select(
-        "sid", "size", "fold", F.coalesce("root", "sid").alias("root"),
-        F.coalesce("centre", "sid").alias("centre"), reach.alias("reach")))
+    named = cut_lineage(some.join(connected(edges), "sid", "left").select(
+        "sid", "size", "fold", F.coalesce("root", "sid").alias("root")))
     of_key = Window.partitionBy("key")
-    rows = key_rows(sets.join(stars.select("sid", "root", "centre"), "sid"), "root", "centre")
-    rows = rows.withColumn("low", F.min("root").over(of_key)).withColumn("high", F.max("root").over(of_key))
-    rows = cut_lineage(rows.filter("low != high").select("key", "root", "centre").distinct())
-    other = rows.select("key", F.col("root").alias("root2"), F.col("centre").alias("centre2"))
-    met = rows.join(other, "key").filter("root != root2 AND centre < centre2").select("centre", "centre2").distinct()
-    far = stars.groupBy("centre").agg(F.max("reach").alias("far"))
-    far2 = far.select(F.col("centre").alias("centre2"), F.col("far").alias("far2"))
-    close = cut_lineage(plausible(met.join(far, "centre").join(far2, "centre2").select(
-        F.col("centre").alias("pivot"), F.col("centre2").alias("sid"), (F.col("far") + F.col("far2")).alias("slack")),
-        stars, percent))
-    # members of the second centre against the first, then those left against its members
-    of_second = stars.select(F.col("centre").alias("second"), F.col("sid").alias("x"), "size")
-    lone = close.withColumnRenamed("sid", "second").join(of_second, "second").join(
-        far.withColumnRenamed("centre", "pivot"), "pivot").select(
-        "pivot", F.col("x").alias("sid"), (F.col("size") * (100 - percent) + F.col("far")).alias("slack"))
-    lone = cut_lineage(plausible(lone, stars, percent))
-    of_first = stars.select(F.col("centre").alias("first"), F.col("sid").alias("y"), F.col("size").alias("size2"))
-    pairs = lone.withColumnRenamed("pivot", "first").join(of_first, "first").join(
-        stars.select("sid", "size"), "sid").filter(
+    rows = key_rows(sets.join(named.select("sid", "root", "size"), "sid"), "root", "size").distinct()
+    rows = rows.withColumn("low", F.min("root").over(of_key)).withColumn("high", F.max("root").over(of_key)).withColumn(
+        "met", F.count(F.lit(1)).over(of_key)).filter("low != high")
+    rows = cut_lineage(rows.select("key", "sid", "root", "size", "met"))
+    few = rows.filter(F.col("met") <= FEW)
+    other = few.select("key", F.col("sid").alias("pivot"), F.col("root").alias("root2"), F.col("size").alias("size2"))
+    pairs = few.join(other, "key").filter("pivot < sid AND root != root2").filter(
         F.least("size", "size2") * 100 >= F.greatest("size", "size2") * percent).select(
-        F.col("y").alias("pivot"), "sid", ((F.col("size") + F.col("size2")) * (100 - percent)).alias("slack"))
-    return plausible(pairs, stars, percent)
+        "pivot", "sid", ((F.col("size") + F.col("size2")) * (100 - percent)).alias("slack")).distinct()
+    tiles = F.ceil(F.col("met") / MEMBERS).cast("int")
+    many = rows.filter(F.col("met") > FEW).withColumn("mine", F.pmod(F.xxhash64("sid"), tiles).cast("int"))
+    many = many.withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
+    many = many.join(named.select("sid", "fold"), "sid").select(
+        "key", F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two"),
+        (F.col("mine") > F.col("other")).cast("int").alias("side"), "sid", "root", "size", "fold")
+    tasks = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tiled = many.repartition(tasks, "key", "one", "two").sortWithinPartitions("key", "one", "two").mapInArrow(
+        tile_pairs(percent), "pivot long, sid long")
+    return plausible(pairs, named, percent).union(tiled).distinct()
 
 
 def links(docs: DataFrame, sets: DataFrame, id_col: str, text: str, shingle: int = SHINGLE_WORDS,
@@ -329,9 +366,8 @@ def links(docs: DataFrame, sets: DataFrame, id_col: str, text: str, shingle: int
     edges = cut_lineage(verified(best, whole_sets(docs, sets, best, id_col, text, shingle), percent))
     rest = cut_lineage(crossing(keyed.select("sid", "keys"), some, edges, percent))
     if rest.isEmpty():
-        return edges.select("a", "b")
-    found = verified(rest, whole_sets(docs, sets, rest, id_col, text, shingle), percent)
-    return edges.union(found).select("a", "b")
+        return edges
+    return edges.union(verified(rest, whole_sets(docs, sets, rest, id_col, text, shingle), percent))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE_WORDS,

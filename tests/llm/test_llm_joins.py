@@ -79,7 +79,9 @@ def test_parity_join_equals_all_pairs(spark):
     assert sorted((tuple(r) for r in got.collect()), key=str) == expected_components(rows)
 
 
-def test_parity_join_other_thresholds_and_hot_keys(spark):
+@pytest.mark.parametrize("members", [512, 5])
+def test_parity_join_other_thresholds_and_hot_keys(spark, members, monkeypatch):
+    monkeypatch.setattr(parity_join, "MEMBERS", members)
     rng = random.Random(8)
     base = [f"h{i}" for i in range(80)]
     # a crowd of copies that all share most of a passage, with chains of links between them
