@@ -23,8 +23,10 @@ are split over groups.
 Keys whose sets are then all connected are done: a group of copies costs one check a
 member.  In the others the sets of different components are compared.  Few sets meet in
 a join.  More are compared by their sketches inside tasks, tile by tile, and only pairs
-that the sketches do not reject leave a task.  So each pair with a common key is rejected
-by its sketches, verified, or already connected.  Equal sets are one set.
+that the sketches do not reject leave a task: in one pass each set's closest, which are
+verified and connected, in the next all that are then still apart.  So each pair with a
+common key is rejected by its sketches, verified, or already connected.  Equal sets are
+one set.
 
 Defined results: null, empty and blank texts have the empty set and are linked with
 nothing; fewer words than the shingle length make one shingle; repeated rows link
@@ -184,22 +186,29 @@ def tagged(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return docs.select(F.col(quoted(id_col)).alias("__id"), F.xxhash64(whole).alias("tag"), whole.alias("__t"))
 
 
-def key_rows(sets: DataFrame, *columns: str) -> DataFrame:
-    """(sid, columns, key) of all sets, the rows of a key together."""
-    tasks = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return sets.select("sid", *columns, F.explode("keys").alias("key")).repartition(tasks, "key")
+def shared_keys(sets: DataFrame) -> DataFrame:
+    """(key, sid, size, pivot, pivot_size) of the keys that several sets have; the pivot is the smallest.
 
+    The neighbours in a key and its running first row tell, so a key of any size streams by.
+    """
+    tasks = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    in_key = Window.partitionBy("key").orderBy("sid")
+    running = in_key.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = sets.select("sid", "size", F.explode("keys").alias("key")).repartition(tasks, "key")
+    rows = rows.withColumn("p", F.first(F.struct("sid", "size")).over(running)).withColumn(
+        "before", F.lag("sid").over(in_key)).withColumn("after", F.lead("sid").over(in_key))
+    return rows.filter("before IS NOT NULL OR after IS NOT NULL").select(
+        "key", "sid", "size", F.col("p.sid").alias("pivot"), F.col("p.size").alias("pivot_size"))
 
-def pivot_pairs(sets: DataFrame, percent: int) -> DataFrame:
-    """(pivot, sid, common, fits): every set but the smallest of each key with that one.
 
-    The smallest is told by a running first row, so a key of any size streams by.
-    """
-    running = Window.partitionBy("key").orderBy("sid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = key_rows(sets, "size").withColumn("p", F.first(F.struct("sid", "size")).over(running))
-    fits = F.least("size", "p.size") * 100 >= F.greatest("size", "p.size") * percent
-    return rows.filter("sid != p.sid").groupBy(F.col("p.sid").alias("pivot"), "sid").agg(
-        F.count(F.lit(1)).alias("common"), F.first(fits).alias("fits"))
+def first_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """(pivot, sid, slack): every set with the pivot of most of its keys."""
+    pairs = rows.filter("sid != pivot").filter(
+        F.least("size", "pivot_size") * 100 >= F.greatest("size", "pivot_size") * percent).groupBy(
+        "pivot", "sid", "size", "pivot_size").agg(F.count(F.lit(1)).alias("common"))
+    best = pairs.groupBy("sid").agg(F.min_by(F.struct("pivot", "size", "pivot_size"),
+                                             F.struct(-F.col("common"), F.col("pivot"))).alias("p"))
+    return best.select("p.pivot", "sid", ((F.col("p.size") + F.col("p.pivot_size")) * (100 - percent)).alias("slack"))
 
 
 def plausible(pairs: DataFrame, folds: DataFrame, percent: int) -> DataFrame:
@@ -278,8 +287,11 @@ def connected(edges: DataFrame) -> DataFrame:
     return cut_lineage(components(edges).select(F.col("node").alias("sid"), "root"))
 
 
-def tile_pairs(percent: int):
-    """Plausible (pivot, sid) of rows (key, one, two, side, sid, root, size, fold), a tile pair's rows together."""
+def tile_pairs(percent: int, closest: bool):
+    """Plausible (pivot, sid) of rows (key, one, two, side, sid, root, size, fold), a tile pair's rows together.
+
+    ``closest``: of each set of the first side only the pair with least distance.
+    """
     def made(rows: list[tuple], two: bool) -> tuple[list, list]:
         sides, sids, roots, sizes = (np.array([r[i] for r in rows], np.int64) for i in range(4))
         least = min(len(r[4]) for r in rows) // 8
@@ -295,7 +307,10 @@ def tile_pairs(percent: int):
             total, low = sizes[i] + sizes[j], np.minimum(sizes[i], sizes[j])
             j = j[(roots[j] != roots[i]) & (low * 100 >= (total - low) * percent)]
             gap = np.bitwise_count(folds[j] ^ folds[i]).sum(1, dtype=np.int64)
-            j = j[gap * (100 + percent) <= (sizes[i] + sizes[j]) * (100 - percent)]
+            near = gap * (100 + percent) <= (sizes[i] + sizes[j]) * (100 - percent)
+            j, gap = j[near], gap[near]
+            if closest and len(j):
+                j = j[np.argmin(gap):][:1]
             left.append(np.minimum(sids[i], sids[j]))
             right.append(np.maximum(sids[i], sids[j]))
         return left, right
@@ -322,52 +337,49 @@ def tile_pairs(percent: int):
     return run
 
 
-def crossing(sets: DataFrame, some: DataFrame, edges: DataFrame, percent: int) -> DataFrame:
-    """Plausible (pivot, sid) pairs of ``some`` sets with a common key that ``edges`` do not connect."""
-    named = cut_lineage(some.join(connected(edges), "sid", "left").select(
-        "sid", "size", "fold", F.coalesce("root", "sid").alias("root")))
+def crossing(rows: DataFrame, some: DataFrame, edges: DataFrame, percent: int, closest: bool) -> DataFrame:
+    """Plausible (pivot, sid) pairs of sets with a common key that ``edges`` do not connect."""
+    roots = connected(edges)
     of_key = Window.partitionBy("key")
-    rows = key_rows(sets.join(named.select("sid", "root", "size"), "sid"), "root", "size").distinct()
-    rows = rows.withColumn("low", F.min("root").over(of_key)).withColumn("high", F.max("root").over(of_key)).withColumn(
-        "met", F.count(F.lit(1)).over(of_key)).filter("low != high")
-    rows = cut_lineage(rows.select("key", "sid", "root", "size", "met"))
-    few = rows.filter(F.col("met") <= FEW)
+    rooted = rows.select("key", "sid", "size").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    rooted = rooted.distinct().withColumn("low", F.min("root").over(of_key)).withColumn(
+        "high", F.max("root").over(of_key)).withColumn("met", F.count(F.lit(1)).over(of_key)).filter("low != high")
+    rooted = cut_lineage(rooted.select("key", "sid", "root", "size", "met"))
+    few = rooted.filter(F.col("met") <= FEW)
     other = few.select("key", F.col("sid").alias("pivot"), F.col("root").alias("root2"), F.col("size").alias("size2"))
     pairs = few.join(other, "key").filter("pivot < sid AND root != root2").filter(
         F.least("size", "size2") * 100 >= F.greatest("size", "size2") * percent).select(
         "pivot", "sid", ((F.col("size") + F.col("size2")) * (100 - percent)).alias("slack")).distinct()
     tiles = F.ceil(F.col("met") / MEMBERS).cast("int")
-    many = rows.filter(F.col("met") > FEW).withColumn("mine", F.pmod(F.xxhash64("sid"), tiles).cast("int"))
+    many = rooted.filter(F.col("met") > FEW).withColumn("mine", F.pmod(F.xxhash64("sid"), tiles).cast("int"))
     many = many.withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
-    many = many.join(named.select("sid", "fold"), "sid").select(
+    many = many.join(some.select("sid", "fold"), "sid").select(
         "key", F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two"),
         (F.col("mine") > F.col("other")).cast("int").alias("side"), "sid", "root", "size", "fold")
-    tasks = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tiled = many.repartition(tasks, "key", "one", "two").sortWithinPartitions("key", "one", "two").mapInArrow(
-        tile_pairs(percent), "pivot long, sid long")
-    return plausible(pairs, named, percent).union(tiled).distinct()
+        tile_pairs(percent, closest), "pivot long, sid long")
+    return cut_lineage(plausible(pairs, some, percent).union(tiled).distinct())
 
 
 def links(docs: DataFrame, sets: DataFrame, id_col: str, text: str, shingle: int = SHINGLE_WORDS,
           percent: int = PERCENT) -> DataFrame:
     """Verified edges (a, b) between sets that connect whatever links."""
+    def checked(pairs: DataFrame) -> DataFrame:
+        return verified(pairs, whole_sets(docs, sets, pairs, id_col, text, shingle), percent)
+
     # a set that several tasks met comes several times here
     keyed = sets.filter("keys IS NOT NULL AND n_shingles > 0").select(
-        "sid", F.col("n_shingles").alias("size"), "keys", "fold")
-    pairs = cut_lineage(pivot_pairs(keyed, percent))
-    shared = pairs.select("sid").union(pairs.select(F.col("pivot").alias("sid"))).distinct()
-    some = cut_lineage(keyed.select("sid", "size", "fold").join(shared, "sid").dropDuplicates(["sid"]))
-    best = pairs.filter("fits").groupBy("sid").agg(
-        F.min_by("pivot", F.struct(-F.col("common"), F.col("pivot"))).alias("pivot"))
-    sizes = some.select(F.col("sid").alias("pivot"), F.col("size").alias("size2"))
-    best = best.join(some.select("sid", "size"), "sid").join(sizes, "pivot").select(
-        "pivot", "sid", ((F.col("size") + F.col("size2")) * (100 - percent)).alias("slack"))
-    best = cut_lineage(plausible(best, some, percent))
-    edges = cut_lineage(verified(best, whole_sets(docs, sets, best, id_col, text, shingle), percent))
-    rest = cut_lineage(crossing(keyed.select("sid", "keys"), some, edges, percent))
-    if rest.isEmpty():
-        return edges
-    return edges.union(verified(rest, whole_sets(docs, sets, rest, id_col, text, shingle), percent))
+        "sid", F.col("n_shingles").cast("int").alias("size"), "keys", "fold")
+    rows = cut_lineage(shared_keys(keyed))
+    some = cut_lineage(keyed.select("sid", "fold").join(rows.select("sid").distinct(), "sid").dropDuplicates(["sid"]))
+    edges = cut_lineage(checked(cut_lineage(plausible(first_pairs(rows, percent), some, percent))))
+    for closest in (True, False):
+        rest = crossing(rows, some, edges, percent, closest)
+        if rest.isEmpty():
+            break
+        edges = cut_lineage(edges.union(checked(rest)).distinct())
+    return edges
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE_WORDS,
