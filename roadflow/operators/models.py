@@ -6,26 +6,27 @@ baked in as literals, so the saved model carries its scaler), a
 ``VectorAssembler`` and the estimator.  Training and serving therefore use
 the same fitted pipeline.
 
-Tree learners are Spark's distributed implementations (histogram split
-finding, one pass per level over the partitions); gradient boosting,
-random forests and depth-wise "leaf-wise" variants are approximations of the
-single-machine libraries, never claimed to reproduce their numbers.
+The single tree and the forest are Spark's distributed implementations (histogram
+split finding, one pass per level over the partitions).  Boosted models are
+:mod:`roadflow.operators.histboost`'s: a spec whose ``build`` is its ``Params``.  None
+claims to reproduce the numbers of a single-machine library.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
-from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, LinearRegression,
-                                   RandomForestRegressor)
+from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadflow import schema as S
 from roadflow.operators import evaluate as Ev
 from roadflow.operators.features import display_name
+from roadflow.operators.histboost import BoostedModel, Params, fit_boosted
 from roadflow.operators.scaling import fit_scaler
 
 LABEL = "label"
@@ -34,10 +35,11 @@ LABEL = "label"
 @dataclass
 class ModelSpec:
     """A named estimator factory.  ``build(ctx)`` gets the train statistics
-    (``n``, ``y_std``) some regularisation constants depend on."""
+    (``n``, ``y_std``) some regularisation constants depend on; a boosted
+    model's ``build`` is its ``Params``."""
     name: str
     category: str
-    build: callable
+    build: Callable | Params
     scaled: bool = True
     params: dict = field(default_factory=dict)
 
@@ -79,10 +81,8 @@ def _forest(trees=200, depth=MAX_DEPTH, bootstrap=True, subset="all"):
                                              featureSubsetStrategy=subset, seed=42, **_TREE_OPTS)
 
 
-def _gbt(rounds=200, lr=0.05, depth=3, rows=1.0, cols="all"):
-    return lambda ctx: GBTRegressor(maxIter=rounds, stepSize=lr, maxDepth=depth, subsamplingRate=rows,
-                                    featureSubsetStrategy=cols, seed=42, checkpointInterval=10,
-                                    **_TREE_OPTS)
+def _gbt(rounds=200, lr=0.05, depth=3, **options):
+    return Params(rounds=rounds, rate=lr, depth=depth, **options)
 
 
 # Reference configurations (names as reported).
@@ -94,9 +94,12 @@ SPECS = {
     "Random Forest": ModelSpec("Random Forest", "TREE", _forest(200)),
     "Extra Trees": ModelSpec("Extra Trees", "TREE", _forest(200, bootstrap=False, subset="onethird")),
     "Gradient Boosting": ModelSpec("Gradient Boosting", "TREE", _gbt(200, 0.05, 3)),
-    "XGBoost": ModelSpec("XGBoost", "BOOST", _gbt(300, 0.05, 6)),
-    "XGBoost (subsampled)": ModelSpec("XGBoost (subsampled)", "BOOST", _gbt(300, 0.05, 6, 0.8, "0.8")),
-    "LightGBM": ModelSpec("LightGBM", "BOOST", _gbt(300, 0.05, 5)),
+    "XGBoost": ModelSpec("XGBoost", "BOOST", _gbt(300, 0.05, 6, reg=1.0)),
+    "XGBoost (subsampled)": ModelSpec("XGBoost (subsampled)", "BOOST", _gbt(300, 0.05, 6, reg=1.0, rows=0.8,
+                                                                            columns=0.8)),
+    "LightGBM": ModelSpec("LightGBM", "BOOST", _gbt(300, 0.05, None, leaves=31, least_weight=20)),
+    "LightGBM (63 leaves)": ModelSpec("LightGBM (63 leaves)", "BOOST", _gbt(300, 0.05, None, leaves=63,
+                                                                          least_weight=20)),
 }
 
 def scaler_literals(train: DataFrame, cols) -> dict:
@@ -130,8 +133,10 @@ def fit_state(train: DataFrame, cols, y: str = S.TARGET) -> tuple[dict, dict]:
 
 
 def fit_model(train: DataFrame, spec: ModelSpec, cols=S.FS18, y: str = S.TARGET,
-              ctx: dict | None = None, stats: dict | None = None) -> PipelineModel:
-    """Fit scaler + assembler + estimator on ``train``."""
+              ctx: dict | None = None, stats: dict | None = None) -> PipelineModel | BoostedModel:
+    """Fit scaler + assembler + estimator on ``train``; a boosted model needs no scaler."""
+    if isinstance(spec.build, Params):
+        return fit_boosted(train, spec.build, cols, y)
     stages = []
     feats = list(cols)
     if ctx is None and stats is None and spec.scaled:
@@ -148,14 +153,16 @@ def fit_model(train: DataFrame, spec: ModelSpec, cols=S.FS18, y: str = S.TARGET,
     return Pipeline(stages=stages).fit(data)
 
 
-def predict(model: PipelineModel, df: DataFrame, out: str = "predicted") -> DataFrame:
+def predict(model: PipelineModel | BoostedModel, df: DataFrame, out: str = "predicted") -> DataFrame:
     """Batch prediction (a projection on executors)."""
+    if isinstance(model, BoostedModel):
+        return model.transform(df, out)
     scored = model.transform(df)
     drop = [c for c in scored.columns if c.endswith("__z")] + ["features"]
     return scored.withColumnRenamed("prediction", out).drop(*drop)
 
 
-def predictions_frame(model: PipelineModel, df: DataFrame, name: str, y: str = S.TARGET) -> DataFrame:
+def predictions_frame(model: PipelineModel | BoostedModel, df: DataFrame, name: str, y: str = S.TARGET) -> DataFrame:
     p = predict(model, df)
     index = [c for c in ("row_idx",) if c in p.columns]
     return p.select(F.lit(name).alias("model"), "split", *index, F.col("date_time").alias("ts"),
@@ -181,11 +188,12 @@ def run_benchmark(test: DataFrame, fits, y: str = S.TARGET) -> DataFrame:
         "Model", "Category", "MAE", "RMSE", "R2", "MAPE", "ClassAcc", "Time")
 
 
-def feature_importance(model: PipelineModel, cols=S.FS18, digits: int = 4) -> DataFrame:
+def feature_importance(model: PipelineModel | BoostedModel, cols=S.FS18, digits: int = 4) -> DataFrame:
     """M14 + J3 + T3: normalised importances zipped with names by position,
     display names, sorted descending."""
     spark = SparkSession.getActiveSession()
-    imp = model.stages[-1].featureImportances.toArray().tolist()
+    imp = model.importances() if isinstance(model, BoostedModel) else \
+        model.stages[-1].featureImportances.toArray().tolist()
     return rank_importance(spark.createDataFrame(list(zip(cols, imp)), "feature string, importance double"), digits)
 
 

@@ -75,9 +75,10 @@ _model_query("fit_tree", "Decision Tree", "M4: regression tree, depth 10.")
 _model_query("fit_forest", "Random Forest", "M5: random forest of 200 trees.")
 _model_query("fit_extra_trees", "Extra Trees", "M6: trees without bootstrap, one-third features.")
 _model_query("fit_gbt", "Gradient Boosting", "M8: 200 boosting rounds x 0.05, depth 3.")
-_model_query("fit_gbt_deep", "XGBoost", "M9: 300 boosting rounds x 0.05, depth 6, the serving model.")
-_model_query("fit_gbt_subsampled", "XGBoost (subsampled)", "M10: M9 with 0.8 row / feature subsampling.")
-_model_query("fit_leafwise", "LightGBM", "M11: 300 boosting rounds x 0.05, depth 5 (depth-wise stand-in).")
+_model_query("fit_gbt_deep", "XGBoost", "M9: 300 Newton boosting rounds x 0.05, depth 6, the serving model.")
+_model_query("fit_gbt_subsampled", "XGBoost (subsampled)", "M10: M9 with 0.8 of rows and columns drawn per tree.")
+_model_query("fit_leafwise", "LightGBM", "M11: 300 boosting rounds x 0.05, best leaf first to 31 leaves.")
+_model_query("fit_leafwise_63", "LightGBM (63 leaves)", "M11: as fit_leafwise, to 63 leaves.")
 
 
 def adaboost(spark, sf):
@@ -196,6 +197,6 @@ def q_model_roundtrip(spark, sf):
     from roadflow.sources.sinks import load_model, save_model
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/models/serving-{uuid.uuid4().hex}"
     save_model(fitted(spark, sf, "XGBoost"), path, {"vocab": fit_labels(events_obs(spark, sf))})
-    model, state = load_model(spark, path, ["vocab"])
+    model, state = load_model(spark, path, ["vocab"], boosted=True)
     _, test = split_frames(spark, sf, index=True)
     return M.predict(model, test).select("row_idx", "traffic_volume", F.bround("predicted", 6).alias("predicted"))

@@ -114,7 +114,6 @@ MODEL_CATEGORIES = {
     "ML Models": ["Linear Regression", "Ridge Regression", "Lasso Regression",
                   "Decision Tree", "KNN (k=10)", "Random Forest", "Extra Trees",
                   "AdaBoost", "Gradient Boosting", "XGBoost", "LightGBM"],
-    "DL Models": ["LSTM", "BiLSTM", "GRU", "CNN-LSTM", "Transformer"],
 }
 # Our SQL-expressible baseline predictors (train means), reported as a category.
 BASELINE_MODELS = ["Global Mean", "Hourly Mean", "Weather Mean", "Day-Hour Mean"]

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadflow import schema as S
+from roadflow.operators.histboost import BoostedModel
 
 
 def to_json_records(df: DataFrame, col: str = "json") -> DataFrame:
@@ -24,16 +26,18 @@ def leaderboard_frame(spark: SparkSession, rows, schema=S.LEADERBOARD_SCHEMA) ->
 
 
 def save_model(model, path: str, state: dict[str, DataFrame] | None = None) -> None:
-    """Persist a fitted pipeline and its state tables (vocabulary, scaler
-    stats, target stats) as parquet next to it."""
-    model.write().overwrite().save(f"{path}/model")
+    """Persist a fitted pipeline or boosted model and its state tables
+    (vocabulary, scaler stats, target stats) as parquet next to it."""
+    if isinstance(model, BoostedModel):
+        model.save(SparkSession.getActiveSession(), f"{path}/boosted")
+    else:
+        model.write().overwrite().save(f"{path}/model")
     for name, df in (state or {}).items():
         df.write.mode("overwrite").parquet(f"{path}/state/{name}")
 
 
-def load_model(spark: SparkSession, path: str, names=()):
-    from pyspark.ml import PipelineModel
-    model = PipelineModel.load(f"{path}/model")
+def load_model(spark: SparkSession, path: str, names=(), boosted: bool = False):
+    model = BoostedModel.load(spark, f"{path}/boosted") if boosted else PipelineModel.load(f"{path}/model")
     state = {n: spark.read.parquet(f"{path}/state/{n}") for n in names}
     return model, state
 
