@@ -6,10 +6,11 @@ baked in as literals, so the saved model carries its scaler), a
 ``VectorAssembler`` and the estimator.  Training and serving therefore use
 the same fitted pipeline.
 
-The single tree and the forest are Spark's distributed implementations (histogram
-split finding, one pass per level over the partitions).  Boosted models are
-:mod:`roadflow.operators.histboost`'s: a spec whose ``build`` is its ``Params``.  None
-claims to reproduce the numbers of a single-machine library.
+The single tree is Spark's distributed implementation (histogram split finding,
+one pass per level over the partitions).  Boosted models and forests are those of
+:mod:`roadflow.operators.histboost` and :mod:`roadflow.operators.forest`: a spec whose
+``build`` is their parameters.  None claims to reproduce the numbers of a
+single-machine library.
 """
 
 from __future__ import annotations
@@ -19,13 +20,14 @@ from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadflow import schema as S
 from roadflow.operators import evaluate as Ev
 from roadflow.operators.features import display_name
+from roadflow.operators.forest import ForestModel, ForestParams, fit_forest
 from roadflow.operators.histboost import BoostedModel, Params, fit_boosted
 from roadflow.operators.scaling import fit_scaler
 
@@ -36,10 +38,10 @@ LABEL = "label"
 class ModelSpec:
     """A named estimator factory.  ``build(ctx)`` gets the train statistics
     (``n``, ``y_std``) some regularisation constants depend on; a boosted
-    model's ``build`` is its ``Params``."""
+    model's or forest's ``build`` is its parameters."""
     name: str
     category: str
-    build: Callable | Params
+    build: Callable | Params | ForestParams
     scaled: bool = True
     params: dict = field(default_factory=dict)
 
@@ -72,15 +74,6 @@ def _tree(depth=10):
     return lambda ctx: DecisionTreeRegressor(maxDepth=depth, seed=42, **_TREE_OPTS)
 
 
-#: The reference's trees have no depth limit; this is the deepest that MLlib grows.
-MAX_DEPTH = 30
-
-
-def _forest(trees=200, depth=MAX_DEPTH, bootstrap=True, subset="all"):
-    return lambda ctx: RandomForestRegressor(numTrees=trees, maxDepth=depth, bootstrap=bootstrap,
-                                             featureSubsetStrategy=subset, seed=42, **_TREE_OPTS)
-
-
 def _gbt(rounds=200, lr=0.05, depth=3, **options):
     return Params(rounds=rounds, rate=lr, depth=depth, **options)
 
@@ -91,8 +84,8 @@ SPECS = {
     "Ridge Regression": ModelSpec("Ridge Regression", "LINEAR", _ridge(1.0)),
     "Lasso Regression": ModelSpec("Lasso Regression", "LINEAR", _lasso(0.1)),
     "Decision Tree": ModelSpec("Decision Tree", "TREE", _tree(10)),
-    "Random Forest": ModelSpec("Random Forest", "TREE", _forest(200)),
-    "Extra Trees": ModelSpec("Extra Trees", "TREE", _forest(200, bootstrap=False, subset="onethird")),
+    "Random Forest": ModelSpec("Random Forest", "TREE", ForestParams(200, random=False)),
+    "Extra Trees": ModelSpec("Extra Trees", "TREE", ForestParams(200)),
     "Gradient Boosting": ModelSpec("Gradient Boosting", "TREE", _gbt(200, 0.05, 3)),
     "XGBoost": ModelSpec("XGBoost", "BOOST", _gbt(300, 0.05, 6, reg=1.0)),
     "XGBoost (subsampled)": ModelSpec("XGBoost (subsampled)", "BOOST", _gbt(300, 0.05, 6, reg=1.0, rows=0.8,
@@ -133,10 +126,12 @@ def fit_state(train: DataFrame, cols, y: str = S.TARGET) -> tuple[dict, dict]:
 
 
 def fit_model(train: DataFrame, spec: ModelSpec, cols=S.FS18, y: str = S.TARGET,
-              ctx: dict | None = None, stats: dict | None = None) -> PipelineModel | BoostedModel:
-    """Fit scaler + assembler + estimator on ``train``; a boosted model needs no scaler."""
+              ctx: dict | None = None, stats: dict | None = None) -> PipelineModel | BoostedModel | ForestModel:
+    """Fit scaler + assembler + estimator on ``train``; boosted models and forests need no scaler."""
     if isinstance(spec.build, Params):
         return fit_boosted(train, spec.build, cols, y)
+    if isinstance(spec.build, ForestParams):
+        return fit_forest(train, spec.build, cols, y)
     stages = []
     feats = list(cols)
     if ctx is None and stats is None and spec.scaled:
@@ -153,16 +148,16 @@ def fit_model(train: DataFrame, spec: ModelSpec, cols=S.FS18, y: str = S.TARGET,
     return Pipeline(stages=stages).fit(data)
 
 
-def predict(model: PipelineModel | BoostedModel, df: DataFrame, out: str = "predicted") -> DataFrame:
+def predict(model: PipelineModel | BoostedModel | ForestModel, df: DataFrame, out: str = "predicted") -> DataFrame:
     """Batch prediction (a projection on executors)."""
-    if isinstance(model, BoostedModel):
+    if isinstance(model, BoostedModel | ForestModel):
         return model.transform(df, out)
     scored = model.transform(df)
     drop = [c for c in scored.columns if c.endswith("__z")] + ["features"]
     return scored.withColumnRenamed("prediction", out).drop(*drop)
 
 
-def predictions_frame(model: PipelineModel | BoostedModel, df: DataFrame, name: str, y: str = S.TARGET) -> DataFrame:
+def predictions_frame(model: PipelineModel | BoostedModel | ForestModel, df: DataFrame, name: str, y: str = S.TARGET) -> DataFrame:
     p = predict(model, df)
     index = [c for c in ("row_idx",) if c in p.columns]
     return p.select(F.lit(name).alias("model"), "split", *index, F.col("date_time").alias("ts"),

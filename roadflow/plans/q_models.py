@@ -72,8 +72,8 @@ _model_query("fit_linear", "Linear Regression", "M1: least squares.")
 _model_query("fit_ridge", "Ridge Regression", "M2: ridge, alpha = 1.")
 _model_query("fit_lasso", "Lasso Regression", "M3: lasso, alpha = 0.1.")
 _model_query("fit_tree", "Decision Tree", "M4: regression tree, depth 10.")
-_model_query("fit_forest", "Random Forest", "M5: random forest of 200 trees.")
-_model_query("fit_extra_trees", "Extra Trees", "M6: trees without bootstrap, one-third features.")
+_model_query("fit_forest", "Random Forest", "M5: 200 bagged trees without a depth limit.")
+_model_query("fit_extra_trees", "Extra Trees", "M6: 200 extremely randomised trees.")
 _model_query("fit_gbt", "Gradient Boosting", "M8: 200 boosting rounds x 0.05, depth 3.")
 _model_query("fit_gbt_deep", "XGBoost", "M9: 300 Newton boosting rounds x 0.05, depth 6, the serving model.")
 _model_query("fit_gbt_subsampled", "XGBoost (subsampled)", "M10: M9 with 0.8 of rows and columns drawn per tree.")
