@@ -238,7 +238,7 @@ class ForestModel:
 
         told = trees.unionByName(rows).repartition(tasks, "task").sortWithinPartitions("task", "kind").mapInArrow(
             run, "__row long, __sum double, __n long")
-        sums = told.groupBy("__row").agg((F.sum("__sum") / F.sum("__n")).alias(out))
+        sums = told.groupBy("__row").agg(F.try_divide(F.sum("__sum"), F.sum("__n")).alias(out))
         return kept.join(sums, "__row", "left").drop("__row")
 
 
