@@ -34,9 +34,8 @@ MIN_CHARS = 24
 #: Characters of benchmark items searched in one pass.
 BLOCK_CHARS = 4_000_000
 
-SPACES = str.maketrans("\t\n\v\f\r\xa0", " " * 6)
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-ASCII_LOWER = str.maketrans(UPPER, UPPER.lower())
+#: The final sigma, which depends on the next letter, is an ordinary one.
+SPACES = str.maketrans("\t\n\v\f\r\xa0\u03c2", " " * 6 + "\u03c3")
 
 FIELDS = [("item_id", "long"), ("start", "long"), ("end", "long"), ("distance", "int")]
 
@@ -45,8 +44,8 @@ def normal(text: str | None) -> str:
     """Lower case and plain spaces, code point for code point."""
     text = text or ""
     lower = text.lower()
-    if len(lower) != len(text):  # a few letters grow in lower case: keep the places
-        lower = text.translate(ASCII_LOWER)
+    if len(lower) != len(text):  # a letter that grows in lower case stays as it is
+        lower = "".join(low if len(low := c.lower()) == 1 else c for c in text)
     return lower.translate(SPACES)
 
 

@@ -66,22 +66,52 @@ MAX_FALSE = 0.05
 MIN_TOKENS, DEFAULT_CUT = 50, 0.01
 
 SPAN = "array<struct<start:int,end:int,token:string>>"
+#: Matches whose places are summed before those of the next are added.
+BLOCK = 256
+
+
+def bound(value: Column, make) -> Column:
+    """The array ``make(value)``, with ``value`` evaluated once however often ``make`` names it in lambdas."""
+    return F.flatten(F.transform(F.array(value), make))
 
 
 def located(text: Column, pattern: str) -> Column:
-    """(start, end, token) of every match: what lies between the matches gives their places."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
+    """(start, end, token) of every match: what lies between the matches gives their places.
+
+    Each pattern passes over the text once.  Places are summed within blocks of
+    ``BLOCK`` matches, then over blocks, so that no long array is copied at every match.
+    """
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"),
+                    F.split(text, pattern, -1).alias("between"))
+    none = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
+
+    def moved(s: Column, by: Column) -> Column:
+        return F.struct((s["start"] + by).alias("start"), (s["end"] + by).alias("end"), s["token"].alias("token"))
+
+    def places(x: Column) -> Column:
+        found, between = x["found"], x["between"]
+
+        def place(state: Column, i: Column) -> Column:
+            begin = state["at"] + F.length(F.get(between, i))
+            end = begin + F.length(F.get(found, i))
+            one = F.struct(begin.alias("start"), end.alias("end"), F.get(found, i).alias("token"))
+            return F.struct(end.alias("at"), F.concat(state["spans"], F.array(one)).alias("spans"))
+
+        def block(first: Column) -> Column:
+            last = F.least(first + BLOCK, F.size(found)) - 1
+            return F.aggregate(F.sequence(first, last), none, place)
+
+        def joined_blocks(blocks: Column) -> Column:
+            ends = F.aggregate(blocks, F.array(F.lit(0)), lambda to, one: F.concat(
+                to, F.array(F.element_at(to, -1) + one["at"])))
+            return bound(ends, lambda at: F.flatten(F.transform(
+                blocks, lambda one, i: F.transform(one["spans"], lambda s: moved(s, F.get(at, i))))))
 
-    def place(state: Column, i: Column) -> Column:
-        begin = state["at"] + F.length(F.get(between, i))
-        end = begin + F.length(F.get(found, i))
-        one = F.struct(begin.alias("start"), end.alias("end"), F.get(found, i).alias("token"))
-        return F.struct(end.alias("at"), F.concat(state["spans"], F.array(one)).alias("spans"))
+        firsts = F.sequence(F.lit(0), F.size(found) - 1, F.lit(BLOCK))
+        return F.when(F.size(found) > 0, bound(F.transform(firsts, block), joined_blocks)).otherwise(
+            F.array().cast(SPAN))
 
-    return F.when(F.size(found) > 0, F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, place,
-                                                 lambda state: state["spans"]))
+    return bound(both, places)
 
 
 def base_spans(text: Column) -> Column:
@@ -265,10 +295,10 @@ def found_spans(cuts: dict[tuple[str, int], float], base: str = "__base", cand:
         return F.exists(spans, lambda s: (s["start"] <= c["start"]) & (s["end"] >= c["end"])
                         & (s["end"] - s["start"] > c["end"] - c["start"]))
 
-    hits = F.filter(cand, random)
-    added = F.transform(F.filter(hits, lambda c: ~of_span(c, hits)), lambda c: F.struct(
-        c["start"].alias("start"), F.lit(len(BASE)).alias("ord"),
-        F.concat(F.lit("random_"), c["enc"]).alias("kind"), c["end"].alias("end")))
+    added = bound(F.filter(cand, random), lambda hits: F.transform(
+        F.filter(hits, lambda c: ~of_span(c, hits)), lambda c: F.struct(
+            c["start"].alias("start"), F.lit(len(BASE)).alias("ord"),
+            F.concat(F.lit("random_"), c["enc"]).alias("kind"), c["end"].alias("end"))))
     return F.array_sort(F.concat(F.col(base), added))
 
 

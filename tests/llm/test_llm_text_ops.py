@@ -440,3 +440,25 @@ def test_base_digest_is_of_the_joined_spans(spark):
         F.sha2(randomness.joined(F.col("base")), 256).alias("d")).first()
     spans = ",".join(f"{k}:{a}:{b}" for a, _, k, b in brute_spans(SECRETS[0]))
     assert row.d == hashlib.sha256(spans.encode()).hexdigest()
+
+
+def test_letters_that_grow_change_no_match(spark):
+    item = "ÉCOLE ÉLÉMENTAIRE ÉTÉ À LA PLAGE ΟΔΟΣ ΦΩΣ"
+    texts = [item, "İ " + item, item + " İ", "x" + item.lower() + "İ", item.replace("PLAGE", "PLACE") + " İİ"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame([(7, item)], "item_id long, text string")
+    found = {r.doc_id: (r.distance, r.start) for r in edit_matching.find_leaks(docs, items, ["doc_id"]).collect()}
+    assert found == {0: (0, 0), 1: (0, 2), 2: (0, 0), 3: (0, 1), 4: (1, 0)}
+
+
+def test_many_matches_in_one_text(spark):
+    import time
+    rng = random.Random(3)
+    hashes = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(3000)]
+    text = "\n".join(hashes) + " filler words" * 20_000
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    start = time.time()
+    row = randomness.scan_secrets(docs).first()
+    assert [(s.start, s.end) for s in row.base] == [(41 * i, 41 * i + 40) for i in range(3000)]
+    assert len(row.spans) == 3000
+    assert time.time() - start < 60
