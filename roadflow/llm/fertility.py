@@ -104,6 +104,25 @@ def byte_encoder(path: str):
                              mergeable_ranks=ranks, special_tokens=special)
 
 
+@functools.cache
+def byte_tokenizer(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+def byte_ids(path: str, text: str) -> list[int]:
+    """Ids of a whole text, those of added tokens that it spells included.
+
+    A white-space run of about a million characters is beyond the pattern engine of
+    the fast encoder; such a text goes to the tokenizers library.
+    """
+    try:
+        return byte_encoder(path).encode(text, allowed_special="all")
+    except ValueError:
+        return byte_tokenizer(path).encode(text, add_special_tokens=False).ids
+
+
 @functools.cache
 def piece_encoder(path: str):
     import sentencepiece

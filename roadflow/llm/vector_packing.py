@@ -22,7 +22,6 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from roadflow.llm.fertility import BYTE_VOCABULARY, byte_encoder
+from roadflow.llm.fertility import BYTE_VOCABULARY, byte_ids
 from roadflow.llm.shared import explode_texts
 from roadflow.session import cut_lineage
 
@@ -61,10 +60,9 @@ def token_pieces(docs: DataFrame, text: str, keep: list[str], max_tokens: int =
     path = vocabulary or public_tokenizers.path(BYTE_VOCABULARY)
 
     def fn(texts):
-        encode = functools.partial(byte_encoder(path).encode, allowed_special="all")
         rows, made = [], ([], [], [], [])
         for row, text in enumerate(texts):
-            ids = np.array([*encode(text or ""), END_ID], "<u4")
+            ids = np.array([*byte_ids(path, text or ""), END_ID], "<u4")
             start = 0
             for piece, length in enumerate(cut(len(ids), max_tokens)):
                 rows.append(row)

@@ -16,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from roadflow.llm import randomness, simhash, vector_packing, warc_revisit
+from roadflow.llm import fertility, randomness, simhash, vector_packing, warc_revisit
 from roadflow.llm.fertility import fertility_rules
 
 REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -235,3 +235,10 @@ def test_entry_without_the_subpackage(tmp_path):
     code = "import __spark_entry__ as e; q = e.queries(); assert q and 'pipeline' not in q and not any(x.startswith('op') for x in q)"
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True, timeout=120)
+
+
+@pytest.mark.parametrize("run", [" " * 1_200_000, "\t" * 1_000_001, "\n" * 1_000_000, "a" * 300_000, " \t\n" * 400_000])
+def test_long_runs_have_the_ids_of_tokenizers(run):
+    path = P.path("byte_bpe_50k.json")
+    text = f"start{run}end <|endoftext|> x"
+    assert fertility.byte_ids(path, text) == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
