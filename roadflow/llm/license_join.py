@@ -157,11 +157,12 @@ def scan_text(text: str | None, index: Index, phrases: Sequence[tuple[str, str]]
     starts, base = [], set()
     for phrase, label in phrases:
         needle = b" " + phrase.encode() + b" "
-        at = line.find(needle)
+        at, before, seen = line.find(needle), 0, 0
         while at >= 0:
-            starts.append(line.count(b" ", 0, at))
+            seen += line.count(b" ", before, at)  # words since the last place
+            starts.append(seen)
             base.add(label)
-            at = line.find(needle, at + 1)
+            before, at = at, line.find(needle, at + 1)
     labels, score = set(base), 0.0
     for block in blocks(low):
         for t, share in index.matches(set(words(block))).items():
