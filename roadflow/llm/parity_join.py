@@ -16,7 +16,7 @@ near a band's lower edge also emit to the band below, for partners there.
 
 Pairs that share a key are candidates.  Within a key the smallest set is the pivot; a
 set is first paired with one pivot alone, that of most of its keys.  A second sketch, of
-two to four bits a shingle, rejects pairs at a Hamming distance over D, and the whole
+one to two bits a shingle, rejects pairs at a Hamming distance over D, and the whole
 sets of the others are intersected, streamed past a pivot's set; pivots with many members
 are split over groups.
 
@@ -129,8 +129,8 @@ def set_keys(hashes: np.ndarray, percent: int = PERCENT) -> np.ndarray:
 
 
 def folded(hashes: np.ndarray) -> np.ndarray:
-    """Sketch of two to four bits a shingle; the halves of one of twice the bits, put together by XOR, are it."""
-    words = max(1, (4 << len(hashes).bit_length() - 1) // 64) if len(hashes) else 1
+    """Sketch of one to two bits a shingle; the halves of one of twice the bits, put together by XOR, are it."""
+    words = max(1, (2 << len(hashes).bit_length() - 1) // 64) if len(hashes) else 1
     h = mixed(hashes ^ np.uint64(SEED))
     out = np.zeros(words, np.uint64)
     np.bitwise_xor.at(out, ((h >> np.uint64(6)) & np.uint64(words - 1)).astype(np.int64),
@@ -256,7 +256,8 @@ def verified(pairs: DataFrame, hashes: DataFrame, percent: int) -> DataFrame:
     members = pairs.join(parts, "pivot").select(
         "pivot", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("member"), "sid")
     tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = whole.union(members).join(hashes, "sid").select("pivot", "part", "member", "sid", "hashes")
+    roles = bounded_broadcast(whole.union(members))  # numbers only; sets move to their pivots once
+    rows = hashes.join(roles, "sid").select("pivot", "part", "member", "sid", "hashes")
     return rows.repartition(tasks, "pivot", "part").sortWithinPartitions("pivot", "part", "member").mapInArrow(
         intersect(percent), "a long, b long").distinct()
 
@@ -290,7 +291,7 @@ def connected(edges: DataFrame) -> DataFrame:
 def tile_pairs(percent: int, closest: bool):
     """Plausible (pivot, sid) of rows (key, one, two, side, sid, root, size, fold), a tile pair's rows together.
 
-    ``closest``: of each set of the first side only the pair with least distance.
+    ``closest``: of each set only the pair with least distance.
     """
     def made(rows: list[tuple], two: bool) -> tuple[list, list]:
         sides, sids, roots, sizes = (np.array([r[i] for r in rows], np.int64) for i in range(4))
@@ -302,8 +303,9 @@ def tile_pairs(percent: int, closest: bool):
                 fold = fold[:len(fold) // 2] ^ fold[len(fold) // 2:]
             folds[i] = fold
         left, right = [], []
-        for i in np.nonzero(sides == 0)[0]:
-            j = np.nonzero(sides == 1)[0] if two else np.arange(i + 1, len(rows))
+        every = np.arange(len(rows))
+        for i in every if closest else every[sides == 0]:
+            j = every[sides != sides[i]] if two else every if closest else every[i + 1:]
             total, low = sizes[i] + sizes[j], np.minimum(sizes[i], sizes[j])
             j = j[(roots[j] != roots[i]) & (low * 100 >= (total - low) * percent)]
             gap = np.bitwise_count(folds[j] ^ folds[i]).sum(1, dtype=np.int64)
@@ -379,6 +381,9 @@ def links(docs: DataFrame, sets: DataFrame, id_col: str, text: str, shingle: int
         if rest.isEmpty():
             break
         edges = cut_lineage(edges.union(checked(rest)).distinct())
+        # a set without a plausible partner has none in the next pass either
+        left = cut_lineage(rest.select("sid").union(rest.select(F.col("pivot").alias("sid"))).distinct())
+        rows = rows.join(bounded_broadcast(left), "sid")
     return edges
 
 
