@@ -23,8 +23,8 @@ are split over groups.
 Keys whose sets are then all connected are done: a group of copies costs one check a
 member.  In the others the sets of different components are compared.  Few sets meet in
 a join.  More are compared by their sketches inside tasks, tile by tile, and only pairs
-that the sketches do not reject leave a task: in one pass each set's closest, which are
-verified and connected, in the next all that are then still apart.  So each pair with a
+that the sketches do not reject leave a task: in one pass each set's closest in its
+most crowded key, which are verified and connected, in the next all that are then still apart.  So each pair with a
 common key is rejected by its sketches, verified, or already connected.  Equal sets are
 one set.
 
@@ -353,7 +353,11 @@ def crossing(rows: DataFrame, some: DataFrame, edges: DataFrame, percent: int, c
         F.least("size", "size2") * 100 >= F.greatest("size", "size2") * percent).select(
         "pivot", "sid", ((F.col("size") + F.col("size2")) * (100 - percent)).alias("slack")).distinct()
     tiles = F.ceil(F.col("met") / MEMBERS).cast("int")
-    many = rooted.filter(F.col("met") > FEW).withColumn("mine", F.pmod(F.xxhash64("sid"), tiles).cast("int"))
+    many = rooted.filter(F.col("met") > FEW)
+    if closest:  # each set in its most crowded key alone
+        crowd = many.groupBy("sid").agg(F.max(F.struct("met", "key")).alias("most"))
+        many = many.join(crowd, "sid").filter("key = most.key").drop("most")
+    many = many.withColumn("mine", F.pmod(F.xxhash64("sid"), tiles).cast("int"))
     many = many.withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
     many = many.join(some.select("sid", "fold"), "sid").select(
         "key", F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two"),
@@ -379,11 +383,8 @@ def links(docs: DataFrame, sets: DataFrame, id_col: str, text: str, shingle: int
     for closest in (True, False):
         rest = crossing(rows, some, edges, percent, closest)
         if rest.isEmpty():
-            break
+            continue
         edges = cut_lineage(edges.union(checked(rest)).distinct())
-        # a set without a plausible partner has none in the next pass either
-        left = cut_lineage(rest.select("sid").union(rest.select(F.col("pivot").alias("sid"))).distinct())
-        rows = rows.join(bounded_broadcast(left), "sid")
     return edges
 
 
