@@ -8,12 +8,12 @@ logistic unit scores the weighted passage representation.  Attention, encoder
 and score are learned together from document labels.
 
 Fitting uses a bounded sample: at most ``SAMPLE_ROWS`` labelled documents, chosen
-by a hash, and at most ``SAMPLE_PASSAGES`` passages of each, evenly spread.
-Scoring reads every text in full.
+by a hash, each with all its passages.  Scoring reads every text in full.
 
 Defined results: an empty or null text is one empty passage and gets a score
 like any other; labels that are null are not used, of repeated labels the
-smallest holds; without labels of both kinds every score is the labels' mean
+smallest holds, and of different texts under one
+id the one with the smallest hash is learned from; without labels of both kinds every score is the labels' mean
 (0.5 without any); an empty table gives an empty result.
 """
 
@@ -25,10 +25,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadflow.llm.shared import explode_texts, map_texts, quoted
+from roadflow.llm.shared import explode_texts, map_texts, one_text, quoted
 
-#: Labelled documents that the model is fitted on, at most, and passages of each.
-SAMPLE_ROWS, SAMPLE_PASSAGES = 5000, 48
+#: Labelled documents that the model is fitted on, at most.
+SAMPLE_ROWS = 5000
 PASSAGE_BYTES = 640
 TRIGRAMS = 128
 HIDDEN, ATTENTION = 24, 12
@@ -187,19 +187,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     """Encode the sampled documents where they lie and learn from their passages."""
     sample = sample_labels(labels, id_col, label, rows)  # bounded by ``rows``: small enough to send
     slim = docs.select(F.col(quoted(id_col)).alias(id_col), F.col(quoted(text)).alias("__text"))
-    chosen = slim.join(F.broadcast(sample), id_col)
+    chosen = one_text(slim.join(F.broadcast(sample), id_col), id_col)
 
     def fn(texts):
-        made = []
-        for t in texts:
-            bag = encode(t)
-            if len(bag) > SAMPLE_PASSAGES:
-                bag = bag[np.linspace(0, len(bag) - 1, SAMPLE_PASSAGES).astype(int)]
-            made.append(bag.astype("<f2").tobytes())
-        return list(range(len(texts))), [made]
-
-    got = explode_texts(chosen, "__text", fn, [("bag", "binary")], [id_col, "__label"]).dropDuplicates([id_col])
-    table = got.orderBy(id_col).toArrow()  # at most ``rows`` * SAMPLE_PASSAGES passages
+        return list(range(len(texts))), [[encode(t).astype("<f2").tobytes() for t in texts]]
+
+    got = explode_texts(chosen, "__text", fn, [("bag", "binary")], [id_col, "__label"])
+    table = got.orderBy(id_col).toArrow()  # the passages of at most ``rows`` texts
     bags = [np.frombuffer(b, "<f2").astype(np.float32).reshape(-1, FEATURES) for b in table["bag"].to_pylist()]
     return train(bags, np.array(table["__label"].to_pylist(), np.float32))
 

@@ -35,8 +35,8 @@ MAX_REPEAT_PERCENT = 50
 SIGMAS = 4.0
 #: Floors: relative to the median for characters per token, absolute for the others.
 FLOORS = {"piece_chars": 0.2, "byte_chars": 0.2, "fallback_share": 0.05, "token_entropy": 0.08}
-#: Keys with fewer distinct texts use the band of their script, scripts with fewer use ``FIXED``.
-MIN_TEXTS = 100
+#: A band of n distinct texts weighs n / (n + PRIOR_TEXTS) against its script's, and that against ``FIXED``.
+PRIOR_TEXTS = 100
 #: Bands that are sent to every task, at most (about 100 bytes each).
 MAX_BANDS = 10_000
 #: Entropy is divided by log2 of the token count, up to this many bits.
@@ -62,13 +62,16 @@ MEASURED = {"latin": (1.16, 4.15, 0.79, 4.27, 0.02), "greek": (0.86, 0.86, 0.77,
             "indic": (0.78, 0.88, 0.33, 0.53, 0.08), "thai": (0.96, 0.96, 0.49, 0.49, 0.02),
             "georgian": (0.85, 0.85, 0.34, 0.34, 0.03), "hangul": (0.76, 0.76, 0.35, 0.35, 0.03),
             "ethiopic": (0.35, 0.35, 0.33, 0.33, 0.83), "cjk": (0.92, 0.98, 0.49, 0.72, 0.10)}
-#: Limits of scripts with few texts: half and twice what was measured, a quarter more fallback, and an
-#: entropy under those of single letters.  Text in no living script above is known by its fallback
-#: alone; scripts without an entry reject nothing.
+#: Limits that the bands of scripts start from: half and twice what was measured, a quarter more fallback,
+#: and an entropy under those of single letters.  Text in no living script above is known by its fallback
+#: alone; scripts without an entry start from ``OPEN``, which rejects nothing.
 FIXED: dict[str, dict[str, float]] = {
     k: {"piece_chars_low": a / 2, "piece_chars_high": b * 2, "byte_chars_low": c / 2, "byte_chars_high": d * 2,
         "fallback_share_high": e + 0.25, "token_entropy_low": 0.35}
     for k, (a, b, c, d, e) in MEASURED.items()} | {"other": {"fallback_share_high": 0.5}}
+#: Limits beyond which no text lies, or next to none (characters per token).
+OPEN = {"piece_chars_low": 0.0, "piece_chars_high": 16.0, "byte_chars_low": 0.0, "byte_chars_high": 16.0,
+        "fallback_share_low": 0.0, "fallback_share_high": 1.0, "token_entropy_low": 0.0, "token_entropy_high": 1.0}
 
 FIELDS = [("n_words", "long"), ("word_chars", "long"), ("n_symbols", "long"), ("n_dup_lines", "long"),
           ("n_repeat_words", "long"), ("n_piece_tokens", "long"), ("n_byte_tokens", "long"),
@@ -273,8 +276,7 @@ def fit_bands(measured: DataFrame, key: str, content: str, prefix: str = "") ->
     Copies count once, so a hot text does not move a band.  Quartiles are exact
     over values rounded to three places, of which there are few, so that the
     percentile states stay small and combine before the shuffle.  A row with a
-    null key is the band of all texts of its ``script``; keys and scripts with
-    fewer than ``MIN_TEXTS`` texts have no row.
+    null key is the band of all texts of its ``script``.
     """
     c = {m: F.round(F.col(prefix + m), 3).alias(m) for m in FLOORS}
     sound = (measured.filter(~F.col(prefix + "base_failed"))
@@ -286,7 +288,7 @@ def fit_bands(measured: DataFrame, key: str, content: str, prefix: str = "") ->
     none = F.lit(None).cast("string")
     fitted = sound.groupBy("band_key").agg(count, *stats).withColumn("script", none)
     pooled = sound.dropDuplicates(["script", "content"]).groupBy("script").agg(count, *stats)
-    bands = fitted.unionByName(pooled.withColumn("band_key", none)).filter(F.col("n_texts") >= MIN_TEXTS)
+    bands = fitted.unionByName(pooled.withColumn("band_key", none))
     limits = []
     for m, floor in FLOORS.items():
         q1, mid, q3 = (F.col(m)[i] for i in range(3))
@@ -298,23 +300,31 @@ def fit_bands(measured: DataFrame, key: str, content: str, prefix: str = "") ->
 def verdict(measured: DataFrame, bands: DataFrame, key: str, prefix: str = "") -> DataFrame:
     """Adds ``reasons`` and ``kept`` to measured rows.
 
-    Bands are one row per language that has ``MIN_TEXTS`` texts.  Up to
-    ``MAX_BANDS`` of them are sent to every task, so that the rows of a common
-    language are not gathered in one; a larger band table, which a column of free
-    text would give, is joined by a shuffle.  The limits of a script, of which
-    there are few, stand in the plan and serve every key without an own band.
+    Limits are shrunk, so that no count of texts switches a rule: a script's are the
+    mean of its own band and ``FIXED``, a key's the mean of its own band and its
+    script's, each weighed by n / (n + ``PRIOR_TEXTS``) for a band of n texts.
+
+    Bands are one row per language.  Up to ``MAX_BANDS`` of them are sent to every
+    task, so that the rows of a common language are not gathered in one; a larger
+    band table, which a column of free text would give, is joined by a shuffle.  The
+    limits of scripts, of which there are few, stand in the plan.
     """
     bands = cut_lineage(bands)
-    scripts = FIXED | {r["script"]: r.asDict() for r in bands.filter("band_key is null").collect()}
+    scripts = {name: OPEN | FIXED.get(name, {}) for name in {s for _, s in SCRIPTS}}
+    for r in bands.filter("band_key is null and script is not null").collect():
+        weight = r["n_texts"] / (r["n_texts"] + PRIOR_TEXTS)
+        scripts[r["script"]] = {s: weight * r[s] + (1 - weight) * scripts[r["script"]][s] for s in SIDES}
     own = bands.filter("band_key is not null").select(
-        F.col("band_key").alias("__band_key"), *(F.col(s).alias(f"__{s}") for s in SIDES))
+        F.col("band_key").alias("__band_key"), (F.col("n_texts") / (F.col("n_texts") + PRIOR_TEXTS)).alias("__weight"),
+        *(F.col(s).alias(f"__{s}") for s in SIDES))
     own = F.broadcast(own) if own.count() <= MAX_BANDS else own
     joined = measured.join(own, F.col(key) == F.col("__band_key"), "left")
 
     def limit(side: str):
-        known = F.create_map(*(x for k, v in scripts.items() for x in (F.lit(k), F.lit(v.get(side)).cast("double"))))
-        return F.when(F.col("__band_key").isNotNull(), F.col(f"__{side}")).otherwise(
-            F.element_at(known, F.col(prefix + "script")))
+        known = F.create_map(*(x for k, v in scripts.items() for x in (F.lit(k), F.lit(float(v[side])))))
+        script = F.element_at(known, F.col(prefix + "script"))
+        return F.when(F.col("__band_key").isNull(), script).otherwise(
+            F.col("__weight") * F.col(f"__{side}") + (1 - F.col("__weight")) * script)
 
     def outside(m: str):
         value = F.col(prefix + m)
@@ -326,7 +336,7 @@ def verdict(measured: DataFrame, bands: DataFrame, key: str, prefix: str = "") -
                           *(F.when(F.coalesce(outside(m), F.lit(False)), F.lit(m)) for m in FLOORS))
     return (joined.withColumn(prefix + "reasons", reasons)
             .withColumn(prefix + "kept", F.col(prefix + "reasons") == "")
-            .drop("__band_key", *(f"__{s}" for s in SIDES)))
+            .drop("__band_key", "__weight", *(f"__{s}" for s in SIDES)))
 
 
 def fertility_rules(docs: DataFrame, id_col: str = "doc_id", text: str = "text",

@@ -13,9 +13,10 @@ identifier rejects.  Which tokens count as secrets is decided by false-discovery
 control per encoding and length band: the share of random tokens is estimated
 from the p-values above one half, and the cut is the smallest p at which the
 expected share of non-random tokens above it is at most ``MAX_FALSE``.  Copies of
-a token count once, so a hot token does not move a cut.  A stratum with few tokens,
-or where no cut below one half meets that bound, takes the cut of its encoding, then
-that of all tokens; where those give none either, ``DEFAULT_CUT`` holds.
+a token count once, so a hot token does not move a cut.  A stratum's counts are shrunk
+to its encoding's, those to all tokens', and those to a fixed prior, so that no count
+switches a rule.  Where no cut below one half meets the bound, the cut of the
+encoding holds, then that of all tokens, then the prior's, ``DEFAULT_CUT``.
 
 Defined results: null and empty texts have no spans.  Positions are code points,
 ends exclusive.  Base spans stay whatever the method finds; a candidate that
@@ -28,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadflow.llm.shared import quoted
+from roadflow.llm.shared import quoted, written
 from roadflow.session import cut_lineage
 
 # Fixed patterns of the base kinds, in their order.
@@ -61,9 +62,12 @@ ENCODINGS = [
 LENGTH_BANDS = (20, 28, 40, 64)
 CUTS = (0.001, 0.002, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.5)
 MAX_FALSE = 0.05
-#: Strata with fewer distinct tokens are pooled; with fewer in all, or where no cut
-#: meets ``MAX_FALSE``, ``DEFAULT_CUT`` holds.
-MIN_TOKENS, DEFAULT_CUT = 50, 0.01
+#: Counts are shrunk to those of the wider pool with the weight of so many tokens.
+PRIOR_TOKENS = 50
+#: The prior: half of the tokens are random, and of the others one in 2,000 t passes a cut t (all, at
+#: most).  ``DEFAULT_CUT`` is the smallest cut that meets ``MAX_FALSE`` there.
+PRIOR_SHARES = [0.5 * (1 - t) + 0.5 * min(1.0, 0.0005 / t) for t in CUTS]
+DEFAULT_CUT = 0.01
 
 SPAN = "array<struct<start:int,end:int,token:string>>"
 #: Matches whose places are summed before those of the next are added.
@@ -263,7 +267,10 @@ def fit_cuts(candidates: DataFrame, cand: str = "__cand") -> dict[tuple[str, int
         return [sum(c) for c in zip(*([0] * (len(CUTS) + 1), *(v for k, v in seen.items() if keep(k))),
                                     strict=True)]
 
-    def cut(counts: list[int]) -> float | None:
+    def shrunk(counts: list[float], pool: list[float]) -> list[float]:
+        return [c + PRIOR_TOKENS * p / pool[0] for c, p in zip(counts, pool, strict=True)]
+
+    def cut(counts: list[float]) -> float | None:
         n, over = counts[0], counts[1:]
         random = min(n, over[CUTS.index(0.5)] / 0.5)
         # at one half the estimate meets any bound: it is no cut
@@ -273,11 +280,12 @@ def fit_cuts(candidates: DataFrame, cand: str = "__cand") -> dict[tuple[str, int
         return None
 
     cuts = {}
+    every = shrunk(total(lambda k: True), [1.0, *PRIOR_SHARES])
     for name, *_ in ENCODINGS:
+        alike = shrunk(total(lambda k, e=name: k[0] == e), every)
         for band in range(len(LENGTH_BANDS)):
-            pools = (total(lambda k, s=(name, band): k == s), total(lambda k, e=name: k[0] == e),
-                     total(lambda k: True))
-            found = (cut(c) for c in pools if c[0] >= MIN_TOKENS)
+            own = shrunk(total(lambda k, s=(name, band): k == s), alike)
+            found = (cut(c) for c in (own, alike, every))
             cuts[name, band] = next((t for t in found if t is not None), DEFAULT_CUT)
     return cuts
 
@@ -322,11 +330,13 @@ def redact(docs: DataFrame, text: str = "text", length: str | None = "n_chars",
            mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every secret in ``text`` replaced by ``mark`` and ``length`` brought up to date.
 
-    Texts without a secret, null ones included, stay as they are.
+    Texts without a secret, null ones included, stay as they are.  The battery runs
+    once: rows, base spans and candidates are written to the shared folder, the cuts
+    fitted on the candidates there, and the rows read back with them.
     """
     columns = list(docs.columns)
-    cuts = fit_cuts(with_candidates(docs.select(quoted(text)), text))
-    marked = with_candidates(with_base(docs, text), text).withColumn("__spans", found_spans(cuts))
+    scanned = written(with_candidates(with_base(docs, text), text), "secrets")
+    marked = scanned.withColumn("__spans", found_spans(fit_cuts(scanned)))
     whole = F.col(quoted(text))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 

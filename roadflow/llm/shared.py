@@ -99,6 +99,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def one_text(df: DataFrame, id_col: str, text: str = "__text", label: str = "__label") -> DataFrame:
+    """One row (id, label, text) per id: of different texts the one with the smallest hash, ties by the text.
+
+    A grouped minimum, combined before the shuffle, so the choice does not depend on partitioning.
+    """
+    first = F.min(F.struct(F.xxhash64(text).alias("hash"), F.col(text).alias("text"))).alias("__first")
+    return df.groupBy(id_col, label).agg(first).select(id_col, label, F.col("__first.text").alias(text))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadflow.llm.shared import explode_texts, map_texts, quoted, slices
+from roadflow.llm.shared import explode_texts, map_texts, one_text, quoted, slices
 from roadflow.session import cut_lineage
 
 #: Labelled documents of each label that the chain is fitted on, at most.
@@ -200,7 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
         part = marks.filter(F.col("__label") == value).orderBy(*by_hash).limit(rows)
         sample = part if sample is None else sample.unionByName(part)
     # at most 2 * rows ids
-    chosen = cut_lineage(slim.join(F.broadcast(sample), id_col).dropDuplicates([id_col]))
+    chosen = cut_lineage(one_text(slim.join(F.broadcast(sample), id_col), id_col))
     chain = Chain(choose_vocabulary(slim, marks, id_col, "__text"), [*CATEGORIES, OVERALL])
     terms = {w for t in CATEGORIES.values() for w in t.split()}
 

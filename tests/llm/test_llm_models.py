@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from roadflow.llm import attention_mil, toxic_chain, url_boosting
+from roadflow.llm.shared import one_text
 
 
 def words(rng, n):
@@ -220,3 +221,19 @@ def test_entropy_and_digit_ratio(spark):
     frame = url_boosting.lexical(url_boosting.parts(spark.createDataFrame([("aabb12",), ("",)], "url string"), "url"), "url")
     rows = frame.select(F.round("__entropy", 6).alias("e"), "__digit_ratio").collect()
     assert [tuple(r) for r in rows] == [(1.918296, 2 / 6), (0.0, 0.0)]
+
+
+def test_the_text_of_a_repeated_id_does_not_depend_on_partitioning(spark):
+    rows = [(i % 20, f"text {i}", 1) for i in range(200)]
+    frame = spark.createDataFrame(rows, "doc_id long, __text string, __label int")
+    got = [sorted(one_text(frame.repartition(n), "doc_id").collect()) for n in (1, 3, 8)]
+    assert len(got[0]) == 20 and got[0] == got[1] == got[2]
+
+
+def test_fit_learns_from_every_passage(spark, monkeypatch):
+    bags = []
+    monkeypatch.setattr(attention_mil, "train", lambda b, y: bags.extend(b))
+    text = words(random.Random(3), 20000)
+    docs = spark.createDataFrame([(1, text), (2, "a b")], "doc_id long, text string")
+    attention_mil.fit(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int"))
+    assert sorted(map(len, bags)) == [1, len(attention_mil.encode(text))] and max(map(len, bags)) > 100

@@ -7,6 +7,7 @@ import string
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 import xxhash
 
 from roadflow.llm import edit_matching, fertility, license_join, randomness, simhash
@@ -93,6 +94,25 @@ def test_fertility_judges_a_script_by_its_own_texts(spark):
     assert verdicts(120, 30) == {True}  # band of the script
 
 
+def test_fertility_limits_move_evenly_with_the_number_of_texts(spark):
+    rng = random.Random(21)
+    mine = [" ".join(rng.choice(RUSSIAN) for _ in range(120)) for _ in range(101)]
+    odd = " ".join("\u0444" * 9 for _ in range(120))
+
+    def low(n):
+        rows = [(i, t, "ru") for i, t in enumerate(mine[:n])]
+        slim = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        measured = fertility.with_measures(slim, "text", ["doc_id", "lang"]).withColumn("content", F.xxhash64("doc_id"))
+        band = fertility.fit_bands(measured, "lang", "content").filter("band_key = 'ru'").first()
+        assert band.n_texts == n
+        asked = spark.createDataFrame([(5000, odd, "ru")], "doc_id long, text string, lang string")
+        judged = fertility.verdict(fertility.with_measures(asked, "text", ["doc_id", "lang"]),
+                                   fertility.fit_bands(measured, "lang", "content"), "lang").first()
+        return judged.reasons
+
+    assert low(99) == low(100) == low(101)
+
+
 def test_fertility_tokens_are_those_of_the_vocabularies():
     import public_tokenizers as P
     from tokenizers import Tokenizer
@@ -208,6 +228,21 @@ def test_copies_do_not_move_a_cut(spark):
     assert randomness.fit_cuts(candidates_frame(spark, keys + [(300, 0.3005)] * 500)) == want
 
 
+def test_cuts_move_evenly_with_the_number_of_tokens(spark):
+    assert randomness.fit_cuts(candidates_frame(spark, []))["hex", 1] == randomness.DEFAULT_CUT
+    keys = [(i, (i * 37 % 101 + 0.5) / 101) for i in range(101)]
+    for edge in (50, 100):
+        near = [randomness.fit_cuts(candidates_frame(spark, keys[:n])) for n in (edge - 1, edge, edge + 1)]
+        steps = [{k: randomness.CUTS.index(t) for k, t in cuts.items()} for cuts in near]
+        assert all(abs(a[k] - b[k]) <= 1 for a, b in zip(steps, steps[1:]) for k in a)
+
+
+def test_battery_plans_no_python(spark):
+    frame = randomness.with_candidates(randomness.with_base(docs_frame(spark, ["a"]), "text"), "text")
+    plan = frame.select("__base", "__cand")._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
 def test_cut_where_none_meets_the_bound(spark):
     mixed = [(i, 0.3) for i in range(60)] + [(100 + i, 0.9) for i in range(3)]
     assert set(randomness.fit_cuts(candidates_frame(spark, mixed)).values()) == {randomness.DEFAULT_CUT}
@@ -434,7 +469,6 @@ def test_license_join_matches_brute_force(spark):
 
 
 def test_base_digest_is_of_the_joined_spans(spark):
-    from pyspark.sql import functions as F
 
     row = randomness.scan_secrets(docs_frame(spark, [SECRETS[0]])).select(
         F.sha2(randomness.joined(F.col("base")), 256).alias("d")).first()
