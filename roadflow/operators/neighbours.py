@@ -1,4 +1,4 @@
-"""Exact k-nearest-neighbour regression (J5) with cell pruning.
+"""k-nearest-neighbour regression (J5): exact with cell pruning, and an index that grows with the rows.
 
 Train rows belong to the nearest of at most ``CELLS`` centres (a hash-chosen
 sample of them).  Every cell has a radius and a count.  For a query the cells
@@ -9,12 +9,19 @@ the queries and the train rows, not with their product.
 
 Cells with many train or query rows are cut into blocks of at most
 ``block_rows``, and every (train block, query block) pair of a cell is a group of
-its own.  Inside a group a vectorised NumPy kernel computes the exact squared
+its own.  Inside a group one matrix product finds the train rows that may be among a
+query's ``k`` nearest; of those alone a NumPy kernel computes the exact squared
 Euclidean distances (summed feature by feature, left to right) and keeps the
-``k`` best train rows per query by (distance, train id).  Distances are compared
+``k`` best by (distance, train id).  Distances are compared
 to ``DIGITS`` places, so that engines which differ in the last bits agree.  Only
 candidates leave the task; the final top-k per query is taken over at most ``k``
 rows a visited block.  No candidate is capped.
+
+The index (``knn_index_candidates``) has as many cells as the square root of the
+rows, under as many roots as the square root of the cells.  A row goes to the
+nearest cell below its nearest roots, a query to its ``probes`` nearest ones, so
+neither is compared with all centres and the shuffle grows with the queries times
+``probes``.  A query whose cells hold fewer than ``k`` rows is answered exactly.
 """
 
 from __future__ import annotations
@@ -34,47 +41,42 @@ from roadflow.session import cut_lineage
 CAND_SCHEMA = "qid long, tid long, dist double, y double"
 #: Centres, at most: what the driver and every task hold of the train rows.
 CELLS = 256
+#: Roots below which the index looks for cells, and cells that a query visits.
+ROOT_PROBES, PROBES = 4, 12
 #: Decimal places to which squared distances are compared.
 DIGITS = 6
 
 
-def _topk_kernel(cols, k, batch=512):
-    """Exact top-k by (distance, train id), fully vectorised per query batch.
+def _topk_kernel(cols, k, batch=128):
+    """Exact top-k by (distance, train id), vectorised per query batch.
 
-    The train block is sorted by id, so among equal distances a lower column
-    index is a lower id.  Per query row: the k-th smallest distance ``kth``;
-    every column strictly closer is kept, and the remaining slots are filled
-    with the lowest-index columns at exactly ``kth`` (a cumulative count over
-    the tie mask) - k columns per row, ties resolved exactly.
+    A product gives all distances up to rounding; what lies within the ``k``-th of
+    them plus a margin above that rounding is computed again, exactly, and ranked.
     """
     def run(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         if q.empty or t.empty:
             return pd.DataFrame({"qid": [], "tid": [], "dist": [], "y": []})
         t = t.sort_values("_tid", kind="stable")
-        tq = [q[c].to_numpy(np.float64) for c in cols]
-        tt = [t[c].to_numpy(np.float64) for c in cols]
-        tid, ty = t["_tid"].to_numpy(np.int64), t["_y"].to_numpy(np.float64)
-        qid = q["_qid"].to_numpy(np.int64)
+        xq, xt = q[cols].to_numpy(np.float64), t[cols].to_numpy(np.float64)
+        tid, ty, qid = t["_tid"].to_numpy(np.int64), t["_y"].to_numpy(np.float64), q["_qid"].to_numpy(np.int64)
         kk = min(k, len(tid))
+        middle = xt.mean(0)
+        mq, mt = xq - middle, xt - middle
+        sq, st = (mq * mq).sum(1), (mt * mt).sum(1)
+        margin = 2 * 10.0 ** -DIGITS + 1e-11 * (sq.max() + st.max())
         parts = []
-        buf_d = np.empty((batch, len(tid)))
-        buf_t = np.empty((batch, len(tid)))
         for s in range(0, len(qid), batch):
-            e = min(s + batch, len(qid))
-            d, tmp = buf_d[: e - s], buf_t[: e - s]
-            d.fill(0.0)
-            for a, b in zip(tq, tt):   # same left-to-right sum as the SQL oracle
-                np.subtract(a[s:e, None], b[None, :], out=tmp)
-                np.multiply(tmp, tmp, out=tmp)
-                d += tmp
-            np.round(d, DIGITS, out=d)
-            kth = np.partition(d, kk - 1, axis=1)[:, kk - 1:kk]
-            closer = d < kth
-            need = kk - closer.sum(axis=1, keepdims=True)
-            tie = d == kth
-            keep = closer | (tie & (np.cumsum(tie, axis=1) <= need))
-            r, c = np.nonzero(keep)
-            parts.append(pd.DataFrame({"qid": qid[s + r], "tid": tid[c], "dist": d[r, c], "y": ty[c]}))
+            near = sq[s:s + batch, None] + st[None, :] - 2 * mq[s:s + batch] @ mt.T
+            kth = np.partition(near, kk - 1, axis=1)[:, kk - 1:kk]
+            r, c = np.nonzero(near <= kth + margin)
+            d = np.zeros(len(r))
+            for a, b in zip(xq[s:s + batch].T, xt.T, strict=True):   # same left-to-right sum as the SQL oracle
+                d += (a[r] - b[c]) ** 2
+            d = np.round(d, DIGITS)
+            order = np.lexsort((c, d, r))  # columns are in id order
+            r, c, d = r[order], c[order], d[order]
+            keep = np.arange(len(r)) - np.searchsorted(r, r) < kk
+            parts.append(pd.DataFrame({"qid": qid[s + r[keep]], "tid": tid[c[keep]], "dist": d[keep], "y": ty[c[keep]]}))
         return pd.concat(parts, ignore_index=True)
     return run
 
@@ -129,9 +131,7 @@ def knn_candidates(train: DataFrame, query: DataFrame, cols, k: int = 10, y: str
     """Exact k nearest train rows of every query row: (qid, tid, dist, y, rank)."""
     cols = list(cols)
     feats = [F.col(c).cast("double").alias(c) for c in cols]
-    t = cut_lineage(train.select(F.col(train_id).cast("long").alias("_tid"),
-                                 F.col(y).cast("double").alias("_y"), *feats))
-    q = query.select(F.col(query_id).cast("long").alias("_qid"), *feats)
+    t, q = _tables(train, query, cols, y, train_id, query_id)
     sample = t.orderBy(F.xxhash64("_tid"), "_tid").limit(cells).select(*cols).toPandas()  # at most ``cells`` rows
     centres = sample.to_numpy(np.float64).reshape(-1, len(cols))
     if not len(centres):
@@ -144,15 +144,32 @@ def knn_candidates(train: DataFrame, query: DataFrame, cols, k: int = 10, y: str
         radius[r["_cell"]], count[r["_cell"]] = r["r"], r["n"]
     q = cut_lineage(q.mapInArrow(_visit(cols, centres, radius, count, k), T.StructType([
         *q.schema.fields, T.StructField("_cell", T.IntegerType())])))
+    return _ranked(t.drop("_dist"), q, cols, k, count.tolist(), block_rows)
+
+
+def _tables(train: DataFrame, query: DataFrame, cols, y: str, train_id: str, query_id: str):
+    """Both sides by fixed names, the train side written."""
+    feats = [F.col(c).cast("double").alias(c) for c in cols]
+    return (cut_lineage(train.select(F.col(train_id).cast("long").alias("_tid"),
+                                     F.col(y).cast("double").alias("_y"), *feats)),
+            query.select(F.col(query_id).cast("long").alias("_qid"), *feats))
+
+
+def _ranked(t: DataFrame, q: DataFrame, cols, k: int, count: list[int], block_rows: int) -> DataFrame:
+    """The ``k`` best rows of the visited cells per query; ``count`` has the train rows of every cell."""
     asked = {r["_cell"]: r["n"] for r in q.groupBy("_cell").agg(F.count(F.lit(1)).alias("n")).collect()}
 
     def blocks(numbers) -> Column:
-        """Blocks of each row's cell."""
-        return F.element_at(F.array(*(F.lit(max(1, math.ceil(n / block_rows))) for n in numbers)), F.col("_cell") + 1)
+        """Blocks of each row's cell: only cells of more than one block stand in the plan."""
+        many = [(c, math.ceil(n / block_rows)) for c, n in enumerate(numbers) if n > block_rows]
+        if not many:
+            return F.lit(1)
+        known = F.create_map(*(F.lit(v) for pair in many for v in pair))
+        return F.coalesce(F.element_at(known, F.col("_cell")), F.lit(1))
 
-    tb, qb = blocks(count.tolist()), blocks([asked.get(c, 0) for c in range(len(centres))])
+    tb, qb = blocks(count), blocks([asked.get(c, 0) for c in range(len(count))])
     t = t.withColumn("_tb", F.pmod(F.xxhash64("_tid"), tb).cast("int")).withColumn(
-        "_qb", F.explode(F.sequence(F.lit(0), qb - 1))).drop("_dist")
+        "_qb", F.explode(F.sequence(F.lit(0), qb - 1)))
     q = q.withColumn("_qb", F.pmod(F.xxhash64("_qid"), qb).cast("int")).withColumn(
         "_tb", F.explode(F.sequence(F.lit(0), tb - 1)))
     group = ["_cell", "_tb", "_qb"]
@@ -161,15 +178,97 @@ def knn_candidates(train: DataFrame, query: DataFrame, cols, k: int = 10, y: str
     return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+class CellTree:
+    """Centres below roots; finds the centres nearest to rows without comparing with all of them."""
+
+    def __init__(self, rows: np.ndarray):
+        self.centres = np.unique(rows, axis=0)
+        n = len(self.centres)
+        picked = np.random.default_rng(7).permutation(n)[:math.isqrt(n - 1) + 1]
+        self.roots = self.centres[picked]
+        mine = np.concatenate([self.distances(self.centres[s:s + 4096], self.roots).argmin(1)
+                               for s in range(0, n, 4096)])
+        self.members = [np.flatnonzero(mine == r) for r in range(len(picked))]
+
+    @staticmethod
+    def distances(x: np.ndarray, to: np.ndarray) -> np.ndarray:
+        return (x * x).sum(1)[:, None] - 2 * x @ to.T + (to * to).sum(1)[None, :]
+
+    def nearest(self, x: np.ndarray, probes: int) -> np.ndarray:
+        """Rows x ``probes`` cells, nearest first; -1 where the roots looked at have fewer."""
+        roots = min(len(self.roots), max(ROOT_PROBES, probes))
+        looked = np.argpartition(self.distances(x, self.roots), roots - 1, axis=1)[:, :roots]
+        best = np.full((len(x), probes), np.inf)
+        cell = np.full((len(x), probes), -1)
+        for r, members in enumerate(self.members):
+            at = np.flatnonzero((looked == r).any(1))
+            d = np.hstack([best[at], self.distances(x[at], self.centres[members])])
+            c = np.hstack([cell[at], np.broadcast_to(members, (len(at), len(members)))])
+            order = d.argsort(1, kind="stable")[:, :probes]
+            best[at], cell[at] = np.take_along_axis(d, order, 1), np.take_along_axis(c, order, 1)
+        return cell
+
+
+def _to_cells(cols, tree: CellTree, probes: int):
+    """One row per row and cell that it goes to."""
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                x = np.column_stack([part.column(c).to_numpy(zero_copy_only=False) for c in cols])
+                cells = tree.nearest(x, probes)
+                rows, place = np.nonzero(cells >= 0)
+                yield pa.RecordBatch.from_arrays(
+                    [*(c.take(pa.array(rows)) for c in part.columns), pa.array(cells[rows, place], pa.int32())],
+                    [*part.schema.names, "_cell"])
+    return run
+
+
+def knn_index_candidates(train: DataFrame, query: DataFrame, cols, k: int = 10, y: str = "traffic_volume",
+                         train_id: str = "row_idx", query_id: str = "row_idx", block_rows: int = 20000,
+                         probes: int = PROBES) -> DataFrame:
+    """Approximate k nearest train rows of every query row: (qid, tid, dist, y, rank).
+
+    Every train row is indexed; only the centres, the square root of the rows in
+    number, pass through the driver.
+    """
+    cols = list(cols)
+    t, q = _tables(train, query, cols, y, train_id, query_id)
+    q = cut_lineage(q)
+    n = t.count()
+    if not n:
+        return q.sparkSession.createDataFrame([], CAND_SCHEMA + ", rank int")
+    rows = t.orderBy(F.xxhash64("_tid"), "_tid").limit(math.isqrt(n - 1) + 1).select(*cols).toPandas()
+    tree = CellTree(rows.to_numpy(np.float64))
+
+    def dealt(df: DataFrame, cells: int) -> DataFrame:
+        return df.mapInArrow(_to_cells(cols, tree, cells), T.StructType([
+            *df.schema.fields, T.StructField("_cell", T.IntegerType())]))
+
+    tc = cut_lineage(dealt(t, 1))
+    count = [0] * len(tree.centres)
+    for r in tc.groupBy("_cell").agg(F.count(F.lit(1)).alias("n")).collect():  # one row per cell
+        count[r["_cell"]] = r["n"]
+    found = cut_lineage(_ranked(tc, cut_lineage(dealt(q, probes)), cols, k, count, block_rows))
+    full = found.where(F.col("rank") == min(k, n)).select(F.col("qid").alias("_qid"))
+    short = cut_lineage(q.join(full, "_qid", "left_anti"))
+    if short.isEmpty():
+        return found
+    rest = knn_candidates(t, short, cols, k, "_y", "_tid", "_qid", block_rows)
+    return found.join(full.withColumnRenamed("_qid", "qid"), "qid", "left_semi").unionByName(rest)
+
+
 def knn_predict(train: DataFrame, query: DataFrame, cols, k: int = 10, y: str = "traffic_volume",
                 train_id: str = "row_idx", query_id: str = "row_idx", scale: bool = False,
-                block_rows: int = 20000) -> DataFrame:
+                block_rows: int = 20000, index: bool = False) -> DataFrame:
     """Mean target of the ``k`` nearest train rows (Euclidean distance;
     ties broken by train id).  ``scale`` standardises features with train
-    mean / population std first, as the reference does."""
+    mean / population std first, as the reference does.  ``index`` takes the
+    neighbours from the index instead of the exact search."""
     if scale:
         stats = fit_scaler(train, cols)
         train, query = apply_scaler(train, stats, cols), apply_scaler(query, stats, cols)
-    cand = knn_candidates(train, query, cols, k, y, train_id, query_id, block_rows)
+    search = knn_index_candidates if index else knn_candidates
+    cand = search(train, query, cols, k, y, train_id, query_id, block_rows)
     return cand.groupBy(F.col("qid").alias(query_id)).agg(F.avg("y").alias("predicted"),
                                                           F.count(F.lit(1)).alias("neighbours"))

@@ -299,6 +299,26 @@ def q_knn_predict(spark, sf):
     return p.select("row_idx", F.bround("predicted", 6).alias("predicted"), "neighbours")
 
 
+@register("knn_index_recall", Q.with_events() + """
+SELECT count(*) FILTER (WHERE obs_id % 100 = 0) AS queries,
+       count(*) FILTER (WHERE obs_id % 100 = 0) * least(10, count(*)) AS neighbours, TRUE AS recall_reached FROM feat""")
+def q_knn_index_recall(spark, sf):
+    """J5 at size: ids divisible by 100 against all rows, through the index and exactly.
+    A neighbour counts where it is no farther than the exact tenth; recall of 0.9 is asked."""
+    from roadflow.operators.neighbours import knn_candidates, knn_index_candidates
+    from roadflow.operators.scaling import apply_scaler, fit_scaler
+    feat = events_feat(spark, sf, encode=True)
+    rows = apply_scaler(feat, fit_scaler(feat, S.FS18), S.FS18)
+    asked = rows.where(F.col("obs_id") % 100 == 0)
+    exact = knn_candidates(rows, asked, S.FS18, train_id="obs_id", query_id="obs_id").groupBy("qid").agg(
+        F.max("dist").alias("reach"), F.count(F.lit(1)).alias("wanted"))
+    found = knn_index_candidates(rows, asked, S.FS18, train_id="obs_id", query_id="obs_id")
+    each = exact.join(found, "qid", "left").groupBy("qid", "wanted").agg(
+        F.count("tid").alias("got"), F.count_if(F.col("dist") <= F.col("reach")).alias("hits"))
+    return each.agg(F.count(F.lit(1)).alias("queries"), F.coalesce(F.sum("got"), F.lit(0)).alias("neighbours"),
+                    (F.sum("hits") >= 0.9 * F.sum("wanted")).alias("recall_reached"))
+
+
 @register("overview_with_model", _with_preds(f"mm AS ({_metrics_sql('tp', 'model')})") + """,
 hx AS (SELECT hour, avg(traffic_volume) AS m FROM feat WHERE hour IS NOT NULL GROUP BY hour)
 SELECT (SELECT hour FROM hx ORDER BY m DESC, hour LIMIT 1) AS peak_hour,

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from roadflow.operators import quality as Qy
 from roadflow.operators.broadcast import bounded_broadcast
-from roadflow.operators.neighbours import knn_predict
+from roadflow.operators.neighbours import knn_candidates, knn_index_candidates, knn_predict
 
 
 def test_profile_columns_approx_distinct(spark):
@@ -40,3 +40,21 @@ def test_bounded_broadcast_respects_bound(spark):
     assert "ResolvedHint (strategy=broadcast)" in j_small._jdf.queryExecution().analyzed().toString()
     assert "strategy=broadcast" not in j_big._jdf.queryExecution().analyzed().toString()
     assert j_small.count() == 10 and j_big.count() == 100
+
+
+def test_knn_index_answers_every_query(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, *map(float, rng.integers(0, 6, 3)), float(i % 13)) for i in range(900)]
+    train = spark.createDataFrame(rows, "row_idx long, a double, b double, c double, traffic_volume double")
+    query = train.where("row_idx % 9 = 0")
+    exact = knn_candidates(train, query, ["a", "b", "c"], k=5).groupBy("qid").agg({"dist": "max"}).collect()
+    reach = {r[0]: r[1] for r in exact}
+    found = knn_index_candidates(train, query, ["a", "b", "c"], k=5).collect()
+    assert len(found) == 5 * 100 and {r.qid for r in found} == set(reach)
+    assert sum(r.dist <= reach[r.qid] for r in found) >= 0.9 * len(found)
+    # too few rows in the cells visited: the exact way, whole results
+    few = knn_index_candidates(train.limit(30), query, ["a", "b", "c"], k=25, probes=1)
+    assert few.groupBy("qid").count().where("count != 25").count() == 0
+    same = spark.createDataFrame([(i, 1.0, 1.0, 1.0, 2.0) for i in range(50)], train.schema)
+    assert knn_index_candidates(same, same, ["a", "b", "c"], k=5).count() == 250
+    assert knn_index_candidates(same.limit(0), query, ["a", "b", "c"], k=5).count() == 0
