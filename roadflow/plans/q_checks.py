@@ -110,6 +110,25 @@ def q_score_stream_table(spark, sf):
     return run_available(_answers(score_stream(request_stream(spark, sf), _table_predictor(spark, sf))), "table-scores")
 
 
+@register("answer_once_table", _SERVED.replace("SELECT request_id,", "SELECT request_id, CAST(1 AS INTEGER) AS model_version,"))
+def q_answer_once_table(spark, sf):
+    """ST1: every request delivered twice, over several files in no order of time; one answer each."""
+    import uuid
+
+    from roadflow.session import ensure_checkpoint_dir
+    from roadflow.sources.requests import requests_from_events
+    from roadflow.streaming.scoring import answer_once, delivered_requests, publish_means
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/once-{uuid.uuid4().hex}"
+    for _ in range(2):
+        requests_from_events(spark, sf).repartition(3, "request_id").write.mode("append").parquet(f"{base}/in")
+    obs = events_feat(spark, sf)
+    overall = obs.agg(F.avg(F.col("traffic_volume").cast("double"))).first()[0] or 0.0
+    publish_means(Sc.fit_mean_table(obs), overall, f"{base}/models", 1)
+    out = answer_once(delivered_requests(spark, f"{base}/in"), f"{base}/models", base, delay="366 days")
+    return out.select("request_id", "model_version", "volume", "level", "color", "risk",
+                      F.array_join("factors", " | ").alias("factors"))
+
+
 @register("forecast24_table", Q.with_events(REQUESTS_SQL, _TABLE, """
 sv AS (SELECT req.request_id, CAST(h.range AS INTEGER) AS hour, greatest(coalesce(dm.m, g.gm), 0.0) AS v
        FROM req CROSS JOIN range(24) h LEFT JOIN dm ON req.dow = dm.dow AND h.range = dm.hour, g)""") + f"""

@@ -22,16 +22,18 @@ RAW_REQUEST_SCHEMA = T.StructType(
     [T.StructField(f, T.StringType(), True) for f in INT_FIELDS + DOUBLE_FIELDS + ("weather",)])
 
 
-def decode_requests(df: DataFrame, text_col: str = "body", id_col: str = "request_id") -> DataFrame:
+def decode_requests(df: DataFrame, text_col: str = "body", id_col: str = "request_id",
+                    keep: tuple[str, ...] = ()) -> DataFrame:
     """Parse request JSON and apply defaults; numbers truncate to int like ``int()``.
+    Columns in ``keep`` are passed on.
 
     Text that is no number, and numbers that no int can hold, take the default.
     """
     # parse once into a struct column; Catalyst keeps the expensive parse in
     # its own projection instead of inlining it into every field extraction.
-    parsed = df.select(F.col(id_col), F.from_json(F.col(text_col), RAW_REQUEST_SCHEMA).alias("_r"))
+    parsed = df.select(F.col(id_col), *keep, F.from_json(F.col(text_col), RAW_REQUEST_SCHEMA).alias("_r"))
     r = F.col("_r")
-    cols: list[Column] = [F.col(id_col)]
+    cols: list[Column] = [F.col(id_col), *map(F.col, keep)]
     for f in INT_FIELDS:
         cols.append(F.coalesce(r[f].try_cast(T.DoubleType()).try_cast(T.IntegerType()),
                                F.lit(S.REQUEST_DEFAULTS[f])).alias(f))
@@ -48,7 +50,7 @@ def requests_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def events_to_requests(ev: DataFrame) -> DataFrame:
-    """Request JSON per event row (batch or stream).
+    """Request JSON per event row (batch or stream), and when it was asked.
 
     Omitted fields (null → dropped by ``to_json``) exercise the defaults; one
     user in seven asks for an unseen weather label.
@@ -71,4 +73,5 @@ def events_to_requests(ev: DataFrame) -> DataFrame:
         F.when(et != "view", (uid % 2) * 100).alias("incident"),
         F.when(et != "click", (k % 5) * 25).alias("remote_work"),
     )
-    return ev.select(F.col("event_id").alias("request_id"), F.to_json(body).alias("body"))
+    return ev.select(F.col("event_id").alias("request_id"), F.to_json(body).alias("body"),
+                     F.col("ts").cast("timestamp").alias("asked_at"))

@@ -41,3 +41,29 @@ def test_risk_monotone_and_bounded(spark, vols):
     df = spark.createDataFrame([(v,) for v in sorted(vols)], "v long")
     got = [r[0] for r in df.select(risk("v")).collect()]
     assert all(0 <= x <= 100 for x in got) and got == sorted(got)
+
+
+def test_answers_repeated_and_late_requests_once(spark, tmp_path):
+    from roadflow.streaming.scoring import answer_once, delivered_requests, publish_means
+
+    def deliver(name, rows):
+        frame = spark.createDataFrame(rows, "request_id long, body string, asked string")
+        frame.select("request_id", "body", F.col("asked").cast("timestamp").alias("asked_at")).coalesce(1).write.mode(
+            "append").parquet(f"{tmp_path}/in")
+
+    def means(factor):
+        return spark.createDataFrame([(d, h, factor * (100.0 * h + d)) for d in range(7) for h in range(24)],
+                                     "dow int, hour int, _mean double")
+
+    def answers():
+        out = answer_once(delivered_requests(spark, f"{tmp_path}/in"), f"{tmp_path}/models", str(tmp_path), "2 days")
+        return {r.request_id: (r.model_version, r.volume) for r in out.collect()}, out.count()
+
+    body = '{"hour": 5, "dow": 2}'
+    publish_means(means(1.0), 0.0, f"{tmp_path}/models", 1)
+    deliver("a", [(1, body, "2024-01-10 10:00:00"), (2, body, "2024-01-10 11:00:00"), (1, body, "2024-01-10 10:00:00")])
+    deliver("b", [(2, body, "2024-01-10 11:00:00"), (3, body, "2024-01-09 12:00:00")])  # again, and late
+    assert answers() == ({1: (1, 502), 2: (1, 502), 3: (1, 502)}, 3)
+    publish_means(means(2.0), 0.0, f"{tmp_path}/models", 2)
+    deliver("c", [(1, body, "2024-01-10 10:00:00"), (4, body, "2024-01-10 13:00:00")])
+    assert answers() == ({1: (1, 502), 2: (1, 502), 3: (1, 502), 4: (2, 1004)}, 4)
