@@ -24,6 +24,48 @@ def q_profile_columns(spark, sf):
     return Qy.profile_columns(events_obs(spark, sf))
 
 
+_SKETCHED = ["holiday", "temp", "clouds_all", "weather_main", "traffic_volume"]
+_DAYS = ("2024-01-05", "2024-01-20")
+
+
+@register("sketch_profile", Q.with_events(
+    f"d AS (SELECT * FROM obs WHERE CAST(date_time AS DATE) BETWEEN DATE '{_DAYS[0]}' AND DATE '{_DAYS[1]}')") +
+    "\nUNION ALL ".join(f"""
+SELECT '{c}' AS column_name, count(*) AS n, count(*) FILTER (WHERE {c} IS NULL) AS missing,
+       TRUE AS distinct_in_bound, {'TRUE' if t in ('double', 'int', 'bigint') else 'CAST(NULL AS BOOLEAN)'} AS median_in_bound
+FROM d""" for c, t in _OBS_TYPES if c in _SKETCHED))
+def q_sketch_profile(spark, sf):
+    """A14 / A15 from written daily sketches, merged over a range of days and held against the rows:
+    distinct counts within three standard errors, the median's rank within two percent."""
+    import uuid
+
+    from pyspark.sql import functions as F
+
+    from roadflow.operators import sketches as Sk
+    from roadflow.session import ensure_checkpoint_dir
+    obs = events_obs(spark, sf)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/sketches/{uuid.uuid4().hex}"
+    Sk.daily_sketches(obs, _SKETCHED).write.parquet(path)
+    got = {r["column_name"]: r for r in Sk.merged_profile(spark.read.parquet(path), _SKETCHED, *_DAYS).collect()}
+    days = obs.where(F.to_date("date_time").between(*_DAYS))
+    exact = None
+    for c in _SKETCHED:  # one row a column
+        est = got[c]
+        held = F.greatest(F.count(c), F.lit(1))
+        rank = F.lit(None).cast("boolean")
+        if est["median"] is not None:
+            rank = ((F.count_if(F.col(c) < est["median"]) / held <= 0.52)
+                    & (F.count_if(F.col(c) <= est["median"]) / held >= 0.48))
+        bound = 3 * 1.04 / 2 ** (Sk.LG_K / 2)
+        one = days.agg(F.lit(c).alias("column_name"),
+                       (F.abs(F.countDistinct(c) - est["n_distinct"]) <= bound * F.countDistinct(c) + 0.5)
+                       .alias("distinct_in_bound"), rank.alias("median_in_bound")).select(
+            "column_name", F.lit(est["n"]).alias("n"), F.lit(est["missing"]).alias("missing"),
+            "distinct_in_bound", "median_in_bound")
+        exact = one if exact is None else exact.unionByName(one)
+    return exact
+
+
 @register("summary", Q.with_events() + """
 SELECT count(traffic_volume) AS count, round_even(CAST(min(traffic_volume) AS DOUBLE), 6) AS min,
        round_even(quantile_cont(CAST(traffic_volume AS DOUBLE), 0.25), 6) AS q1,
