@@ -1,11 +1,14 @@
 """k-nearest-neighbour regression (J5): exact with cell pruning, and an index that grows with the rows.
 
-Train rows belong to the nearest of at most ``CELLS`` centres (a hash-chosen
-sample of them).  Every cell has a radius and a count.  For a query the cells
-nearest by their far side hold at least ``k`` rows within an upper bound; a cell
-whose near side lies beyond that bound cannot hold a neighbour and is not
-visited.  A query row is sent to the cells left, so what is shuffled grows with
-the queries and the train rows, not with their product.
+Rows of equal features are searched once: train rows become sites, of which only the
+``k`` smallest ids can be neighbours, and queries of equal features share one answer.
+
+Sites belong to the nearest of at most ``CELLS`` centres, or the square root of the
+sites if that is more (a hash-chosen sample of them).  Every cell has a radius and a
+count.  A query's ``k``-th distance within its own cell, or else the cells nearest by
+their far side, give an upper bound; a cell whose near side lies beyond that bound cannot
+hold a neighbour and is not visited.  A query is sent to the cells left, so what is
+shuffled grows with the queries and the sites, not with their product.
 
 Cells with many train or query rows are cut into blocks of at most
 ``block_rows``, and every (train block, query block) pair of a cell is a group of
@@ -18,7 +21,7 @@ candidates leave the task; the final top-k per query is taken over at most ``k``
 rows a visited block.  No candidate is capped.
 
 The index (``knn_index_candidates``) has as many cells as the square root of the
-rows, under as many roots as the square root of the cells.  A row goes to the
+sites, under as many roots as the square root of the cells.  A site goes to the
 nearest cell below its nearest roots, a query to its ``probes`` nearest ones, so
 neither is compared with all centres and the shuffle grows with the queries times
 ``probes``.  A query whose cells hold fewer than ``k`` rows is answered exactly.
@@ -35,11 +38,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from roadflow.operators.scaling import apply_scaler, fit_scaler
+from roadflow.operators.scaling import apply_scaler, fit_scaler, fitted_values
 from roadflow.session import cut_lineage
 
 CAND_SCHEMA = "qid long, tid long, dist double, y double"
-#: Centres, at most: what the driver and every task hold of the train rows.
+#: Centres, at least where there are as many sites: what the driver and every task hold of them.
 CELLS = 256
 #: Roots below which the index looks for cells, and cells that a query visits.
 ROOT_PROBES, PROBES = 4, 12
@@ -105,11 +108,11 @@ def _assign(cols, centres: np.ndarray):
 
 
 def _visit(cols, centres: np.ndarray, radius: np.ndarray, count: np.ndarray, k: int):
-    """One row per query and cell that may hold one of its ``k`` nearest."""
+    """One row per query and cell that may hold one of its ``k`` nearest; ``_reach`` is a known bound on them."""
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
                 d = _centre_distances(part, cols, centres)
                 far = np.where(count > 0, d + radius, np.inf)
                 order = far.argsort(1, kind="stable")
@@ -117,6 +120,8 @@ def _visit(cols, centres: np.ndarray, radius: np.ndarray, count: np.ndarray, k:
                 last = np.minimum((held < k).sum(1), len(count) - 1)
                 bound = np.take_along_axis(far, np.take_along_axis(order, last[:, None], 1), 1)
                 bound = np.where(held[:, -1:] < k, np.inf, bound)  # fewer train rows than k: all cells
+                reach = part.column("_reach").to_numpy(zero_copy_only=False).astype(np.float64)
+                bound = np.fmin(bound, reach[:, None])
                 near = np.maximum(d - radius, 0)
                 rows, cells = np.nonzero((near <= bound + SLACK) & (count > 0))
                 yield pa.RecordBatch.from_arrays(
@@ -125,34 +130,81 @@ def _visit(cols, centres: np.ndarray, radius: np.ndarray, count: np.ndarray, k:
     return run
 
 
-def knn_candidates(train: DataFrame, query: DataFrame, cols, k: int = 10, y: str = "traffic_volume",
-                   train_id: str = "row_idx", query_id: str = "row_idx", block_rows: int = 20000,
-                   cells: int = CELLS) -> DataFrame:
-    """Exact k nearest train rows of every query row: (qid, tid, dist, y, rank)."""
-    cols = list(cols)
-    feats = [F.col(c).cast("double").alias(c) for c in cols]
-    t, q = _tables(train, query, cols, y, train_id, query_id)
-    sample = t.orderBy(F.xxhash64("_tid"), "_tid").limit(cells).select(*cols).toPandas()  # at most ``cells`` rows
-    centres = sample.to_numpy(np.float64).reshape(-1, len(cols))
+def _with_cell(df: DataFrame, run, *more: T.StructField) -> DataFrame:
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("_cell", T.IntegerType()), *more]))
+
+
+def _exact(sites: DataFrame, asked: DataFrame, cols, k: int, block_rows: int, cells: int | None = None) -> DataFrame:
+    """Exact ``k`` nearest sites of every asked vector, by (distance, site)."""
+    cells = cells or max(CELLS, math.isqrt(sites.count()))
+    centres = _sample(sites, cols, cells)
     if not len(centres):
-        return q.sparkSession.createDataFrame([], CAND_SCHEMA + ", rank int")
-    t = cut_lineage(t.mapInArrow(_assign(cols, centres), T.StructType([
-        *t.schema.fields, T.StructField("_cell", T.IntegerType()), T.StructField("_dist", T.DoubleType())])))
+        return asked.sparkSession.createDataFrame([], CAND_SCHEMA + ", rank int")
+    away = T.StructField("_dist", T.DoubleType())
+    t = cut_lineage(_with_cell(sites, _assign(cols, centres), away))
     stats = t.groupBy("_cell").agg(F.max("_dist").alias("r"), F.count(F.lit(1)).alias("n")).collect()
     radius, count = np.zeros(len(centres)), np.zeros(len(centres), np.int64)
     for r in stats:  # one row per cell
         radius[r["_cell"]], count[r["_cell"]] = r["r"], r["n"]
-    q = cut_lineage(q.mapInArrow(_visit(cols, centres, radius, count, k), T.StructType([
-        *q.schema.fields, T.StructField("_cell", T.IntegerType())])))
-    return _ranked(t.drop("_dist"), q, cols, k, count.tolist(), block_rows)
+    t = t.drop("_dist")
+    # the k-th distance within the nearest cell bounds the search of the others
+    own = cut_lineage(_with_cell(asked, _assign(cols, centres), away).drop("_dist"))
+    reach = _ranked(t, own, cols, k, count.tolist(), block_rows).where(F.col("rank") == k).select(
+        F.col("qid").alias("_qid"), F.sqrt(F.col("dist") + 10.0 ** -DIGITS).alias("_reach"))
+    q = cut_lineage(_with_cell(asked.join(reach, "_qid", "left"), _visit(cols, centres, radius, count, k)).drop("_reach"))
+    return _ranked(t, q, cols, k, count.tolist(), block_rows)
+
+
+def _sample(sites: DataFrame, cols, n: int) -> np.ndarray:
+    """At most ``n`` sites, chosen by hash."""
+    rows = sites.orderBy(F.xxhash64("_tid"), "_tid").limit(n).select(*cols).toPandas()
+    return rows.to_numpy(np.float64).reshape(-1, len(cols))
+
+
+def _sites(train: DataFrame, cols, k: int, y: str, train_id: str) -> DataFrame:
+    """Train rows of equal features as one site, named by their smallest id.
+
+    Of a site's rows only the ``k`` with the smallest ids can be among a query's ``k`` nearest.
+    """
+    rows = train.select(F.col(train_id).cast("long").alias("_tid"), F.col(y).cast("double").alias("_y"),
+                        *(F.col(c).cast("double").alias(c) for c in cols))
+    place = F.row_number().over(Window.partitionBy(*cols).orderBy("_tid"))
+    kept = rows.withColumn("_place", place).where(F.col("_place") <= k).groupBy(*cols).agg(
+        F.sort_array(F.collect_list(F.struct("_tid", "_y"))).alias("_rows"))
+    return cut_lineage(kept.select(F.col("_rows")[0]["_tid"].alias("_tid"), F.lit(0.0).alias("_y"), *cols, "_rows"))
+
+
+def _answers(search, train: DataFrame, query: DataFrame, cols, k: int, y: str, train_id: str, query_id: str):
+    """Neighbours (_asked, tid, dist, y, rank) of every distinct query vector, and the queries (_qid, _asked).
+
+    Queries of equal features have the same neighbours.  The ``k`` nearest rows lie in the
+    ``k`` nearest sites by (distance, smallest id), as every nearer site holds a nearer row.
+    """
+    sites = _sites(train, cols, k, y, train_id)
+    q = query.select(F.col(query_id).cast("long").alias("_qid"), *(F.col(c).cast("double").alias(c) for c in cols))
+    asked = cut_lineage(q.groupBy(*cols).agg(F.min("_qid").alias("_qid")))
+    found = search(sites.drop("_rows"), asked, sites)
+    rows = found.select("qid", "dist", "tid").join(
+        sites.select(F.col("_tid").alias("tid"), "_rows"), "tid").select(
+        F.col("qid").alias("_asked"), "dist", F.inline("_rows").alias("tid", "y"))
+    w = Window.partitionBy("_asked").orderBy("dist", "tid")
+    best = rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    same = asked.withColumnRenamed("_qid", "_asked")
+    return best.select("_asked", "tid", "dist", "y", "rank"), q.join(same, cols).select("_qid", "_asked")
+
+
+def knn_candidates(train: DataFrame, query: DataFrame, cols, k: int = 10, y: str = "traffic_volume",
+                   train_id: str = "row_idx", query_id: str = "row_idx", block_rows: int = 20000,
+                   cells: int | None = None) -> DataFrame:
+    """Exact k nearest train rows of every query row: (qid, tid, dist, y, rank)."""
+    cols = list(cols)
+    best, q = _answers(lambda t, asked, _: _exact(t, asked, cols, k, block_rows, cells),
+                       train, query, cols, k, y, train_id, query_id)
+    return _per_query(best, q)
 
 
-def _tables(train: DataFrame, query: DataFrame, cols, y: str, train_id: str, query_id: str):
-    """Both sides by fixed names, the train side written."""
-    feats = [F.col(c).cast("double").alias(c) for c in cols]
-    return (cut_lineage(train.select(F.col(train_id).cast("long").alias("_tid"),
-                                     F.col(y).cast("double").alias("_y"), *feats)),
-            query.select(F.col(query_id).cast("long").alias("_qid"), *feats))
+def _per_query(best: DataFrame, q: DataFrame) -> DataFrame:
+    return q.join(best, "_asked").select(F.col("_qid").alias("qid"), "tid", "dist", "y", "rank")
 
 
 def _ranked(t: DataFrame, q: DataFrame, cols, k: int, count: list[int], block_rows: int) -> DataFrame:
@@ -224,38 +276,41 @@ def _to_cells(cols, tree: CellTree, probes: int):
     return run
 
 
+def _indexed(k: int, cols, block_rows: int, probes: int):
+    """Search of the nearest sites through the index; vectors whose cells hold under ``k`` rows are answered exactly."""
+    def search(t: DataFrame, asked: DataFrame, sites: DataFrame) -> DataFrame:
+        n = t.count()
+        if not n:
+            return asked.sparkSession.createDataFrame([], CAND_SCHEMA + ", rank int")
+        tree = CellTree(_sample(t, cols, math.isqrt(n - 1) + 1))
+        tc = cut_lineage(_with_cell(t, _to_cells(cols, tree, 1)))
+        count = [0] * len(tree.centres)
+        for r in tc.groupBy("_cell").agg(F.count(F.lit(1)).alias("n")).collect():  # one row per cell
+            count[r["_cell"]] = r["n"]
+        visits = cut_lineage(_with_cell(asked, _to_cells(cols, tree, probes)))
+        found = cut_lineage(_ranked(tc, visits, cols, k, count, block_rows))
+        held = sites.select(F.col("_tid").alias("tid"), F.size("_rows").alias("held"))
+        least = min(k, sites.agg(F.sum(F.size("_rows").cast("long"))).first()[0])
+        full = found.join(held, "tid").groupBy(F.col("qid").alias("_qid")).agg(F.sum("held").alias("held")).where(
+            F.col("held") >= least).select("_qid")
+        short = cut_lineage(asked.join(full, "_qid", "left_anti"))
+        if short.isEmpty():
+            return found
+        rest = _exact(t, short, cols, k, block_rows)
+        return found.join(full.withColumnRenamed("_qid", "qid"), "qid", "left_semi").unionByName(rest)
+    return search
+
+
 def knn_index_candidates(train: DataFrame, query: DataFrame, cols, k: int = 10, y: str = "traffic_volume",
                          train_id: str = "row_idx", query_id: str = "row_idx", block_rows: int = 20000,
                          probes: int = PROBES) -> DataFrame:
     """Approximate k nearest train rows of every query row: (qid, tid, dist, y, rank).
 
-    Every train row is indexed; only the centres, the square root of the rows in
-    number, pass through the driver.
+    Every train row is indexed with its site; only the centres, the square root of the
+    sites in number, pass through the driver.
     """
     cols = list(cols)
-    t, q = _tables(train, query, cols, y, train_id, query_id)
-    q = cut_lineage(q)
-    n = t.count()
-    if not n:
-        return q.sparkSession.createDataFrame([], CAND_SCHEMA + ", rank int")
-    rows = t.orderBy(F.xxhash64("_tid"), "_tid").limit(math.isqrt(n - 1) + 1).select(*cols).toPandas()
-    tree = CellTree(rows.to_numpy(np.float64))
-
-    def dealt(df: DataFrame, cells: int) -> DataFrame:
-        return df.mapInArrow(_to_cells(cols, tree, cells), T.StructType([
-            *df.schema.fields, T.StructField("_cell", T.IntegerType())]))
-
-    tc = cut_lineage(dealt(t, 1))
-    count = [0] * len(tree.centres)
-    for r in tc.groupBy("_cell").agg(F.count(F.lit(1)).alias("n")).collect():  # one row per cell
-        count[r["_cell"]] = r["n"]
-    found = cut_lineage(_ranked(tc, cut_lineage(dealt(q, probes)), cols, k, count, block_rows))
-    full = found.where(F.col("rank") == min(k, n)).select(F.col("qid").alias("_qid"))
-    short = cut_lineage(q.join(full, "_qid", "left_anti"))
-    if short.isEmpty():
-        return found
-    rest = knn_candidates(t, short, cols, k, "_y", "_tid", "_qid", block_rows)
-    return found.join(full.withColumnRenamed("_qid", "qid"), "qid", "left_semi").unionByName(rest)
+    return _per_query(*_answers(_indexed(k, cols, block_rows, probes), train, query, cols, k, y, train_id, query_id))
 
 
 def knn_predict(train: DataFrame, query: DataFrame, cols, k: int = 10, y: str = "traffic_volume",
@@ -265,10 +320,12 @@ def knn_predict(train: DataFrame, query: DataFrame, cols, k: int = 10, y: str =
     ties broken by train id).  ``scale`` standardises features with train
     mean / population std first, as the reference does.  ``index`` takes the
     neighbours from the index instead of the exact search."""
+    cols = list(cols)
     if scale:
-        stats = fit_scaler(train, cols)
+        stats = fitted_values(fit_scaler(train, cols))
         train, query = apply_scaler(train, stats, cols), apply_scaler(query, stats, cols)
-    search = knn_index_candidates if index else knn_candidates
-    cand = search(train, query, cols, k, y, train_id, query_id, block_rows)
-    return cand.groupBy(F.col("qid").alias(query_id)).agg(F.avg("y").alias("predicted"),
-                                                          F.count(F.lit(1)).alias("neighbours"))
+    search = _indexed(k, cols, block_rows, PROBES) if index else (
+        lambda t, asked, _: _exact(t, asked, cols, k, block_rows))
+    best, q = _answers(search, train, query, cols, k, y, train_id, query_id)
+    means = best.groupBy("_asked").agg(F.avg("y").alias("predicted"), F.count(F.lit(1)).alias("neighbours"))
+    return q.join(means, "_asked").select(F.col("_qid").alias(query_id), "predicted", "neighbours")
