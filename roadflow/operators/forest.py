@@ -74,15 +74,15 @@ def packed(train: DataFrame, cols, y: str, row: str) -> DataFrame:
                                                      F.col(y).cast("double").alias("y"), *values)
 
 
-def random_splits(x, y, w, starts, lens, paths) -> tuple[np.ndarray, np.ndarray]:
-    """(feature or -1, threshold) of every node; rows of a node lie together."""
+def random_splits(x, wy, w, starts, lens, paths, ranks=None) -> tuple[np.ndarray, np.ndarray]:
+    """(feature or -1, threshold) of every node; rows of a node lie together.  ``wy``: weighted labels."""
     low, high = np.minimum.reduceat(x, starts), np.maximum.reduceat(x, starts)
     share = np.stack([draw(paths, np.full(len(paths), 3 + f)) for f in range(x.shape[1])], 1) / PRIME
     cut = low + share * (high - low)
     below = x <= np.repeat(cut, lens, axis=0)
     n_low = np.add.reduceat(below * w[:, None], starts)
-    s_low = np.add.reduceat(below * (w * y)[:, None], starts)
-    n, s = np.add.reduceat(w, starts)[:, None], np.add.reduceat(w * y, starts)[:, None]
+    s_low = np.add.reduceat(below * wy[:, None], starts)
+    n, s = np.add.reduceat(w, starts)[:, None], np.add.reduceat(wy, starts)[:, None]
     with np.errstate(divide="ignore", invalid="ignore"):
         score = s_low ** 2 / n_low + (s - s_low) ** 2 / (n - n_low) - s ** 2 / n
     score = np.where((low < high) & (n_low > 0) & (n_low < n), score, -np.inf)
@@ -97,21 +97,21 @@ def first_best(score: np.ndarray) -> np.ndarray:
     return np.where(np.isfinite(top), np.argmax(near, axis=1), -1)
 
 
-def best_splits(x, y, w, starts, lens, paths) -> tuple[np.ndarray, np.ndarray]:
-    """As :func:`random_splits`, with the best threshold of every feature."""
+def best_splits(x, wy, w, starts, lens, paths, ranks) -> tuple[np.ndarray, np.ndarray]:
+    """As :func:`random_splits`, with the best threshold of every feature; ``ranks`` are those of its values."""
     node = np.repeat(np.arange(len(starts)), lens)
-    n, s = np.add.reduceat(w, starts), np.add.reduceat(w * y, starts)
+    n, s = np.add.reduceat(w, starts), np.add.reduceat(wy, starts)
     scores, cuts = np.full((len(starts), x.shape[1]), -np.inf), np.zeros((len(starts), x.shape[1]))
     last = np.zeros(len(node), bool)
     last[starts[1:] - 1] = True
     last[-1] = True
     for f in range(x.shape[1]):
         value = x[:, f]
-        if value.min() == value.max():
+        rank = ranks[:, f]
+        if rank.min() == rank.max():
             continue
-        rank = np.unique(value, return_inverse=True)[1]
         order = np.argsort(node * (int(rank.max()) + 1) + rank, kind="stable")
-        v, wo, so = value[order], np.cumsum(w[order]), np.cumsum((w * y)[order])
+        v, wo, so = value[order], np.cumsum(w[order]), np.cumsum(wy[order])
         before = np.concatenate([[0], starts[1:] - 1])
         base_n, base_s = wo[before], so[before]
         base_n[0] = base_s[0] = 0
@@ -132,22 +132,31 @@ def best_splits(x, y, w, starts, lens, paths) -> tuple[np.ndarray, np.ndarray]:
 
 def grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, path: int, random: bool) -> dict[str, np.ndarray]:
     """A whole subtree: feature (-1: leaf), cut, left child (right is the next), value."""
-    rows, ids, paths = np.arange(len(y)), np.zeros(1, np.int64), np.array([path], np.int64)
-    lens, made = np.array([len(y)]), 1
+    return grow_cells(x, w, w * y, y, y, path, random)
+
+
+def grow_cells(x, w, wy, low, high, path: int, random: bool) -> dict[str, np.ndarray]:
+    """As :func:`grow`, on cells: rows of equal features with their weight, weighted sum, least and largest label."""
+    ranks = None if random else np.stack([np.unique(v, return_inverse=True)[1] for v in x.T], 1)
+    rows, ids, paths = np.arange(len(w)), np.zeros(1, np.int64), np.array([path], np.int64)
+    lens, made = np.array([len(w)]), 1
     all_feature, all_cut = np.full(1, -1, np.int64), np.zeros(1)
     all_left, all_value = np.full(1, -1, np.int64), np.zeros(1)
     while len(ids):
         starts = np.cumsum(lens) - lens
-        xs, ys, ws = x[rows], y[rows], w[rows]
-        all_value[ids] = np.add.reduceat(ws * ys, starts) / np.add.reduceat(ws, starts)
-        mixed = np.minimum.reduceat(ys, starts) < np.maximum.reduceat(ys, starts)
+        sums, ws = wy[rows], w[rows]
+        all_value[ids] = np.add.reduceat(sums, starts) / np.add.reduceat(ws, starts)
+        mixed = np.minimum.reduceat(low[rows], starts) < np.maximum.reduceat(high[rows], starts)
+        mixed &= lens > 1  # no threshold parts rows of equal features
         f, t = np.full(len(ids), -1), np.zeros(len(ids))
         if mixed.any():
             keep = np.repeat(mixed, lens)
-            rows, xs, ys, ws = rows[keep], xs[keep], ys[keep], ws[keep]
+            rows, sums, ws = rows[keep], sums[keep], ws[keep]
             lens, ids, paths = lens[mixed], ids[mixed], paths[mixed]
             starts = np.cumsum(lens) - lens
-            f, t = (random_splits if random else best_splits)(xs, ys, ws, starts, lens, paths)
+            xs = x[rows]
+            f, t = (random_splits if random else best_splits)(xs, sums, ws, starts, lens, paths,
+                                                              None if random else ranks[rows])
         else:
             break
         split = f >= 0
@@ -198,13 +207,16 @@ class ForestModel:
         """Rows stream past the trees that a task holds."""
         width, top, roots = len(self.cols), self.top, self.roots
         spark = df.sparkSession
-        kept = cut_lineage(df.withColumn("__row", F.monotonically_increasing_id()))
-        values = [F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(MISSING)), F.lit(MISSING)) for c in self.cols]
+        names = [f"__x{i}" for i in range(width)]
+        df = df.withColumns({n: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(MISSING)), F.lit(MISSING))
+                             for n, c in zip(names, self.cols, strict=True)})
+        # rows of equal features have the same prediction
+        kept = cut_lineage(df.select(*names).distinct().withColumn("__row", F.monotonically_increasing_id()))
         tasks = min(max(1, len(roots)), int(spark.conf.get("spark.sql.shuffle.partitions")))
         nothing = [F.lit(None).cast("binary").alias(n) for n in KINDS]
         rows = kept.select(F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("task"), F.lit(1).alias("kind"),
                            F.col("__row").alias("row"), F.lit(0).cast("long").alias("path"), *nothing,
-                           F.array(*values).alias("x"))
+                           F.array(*names).alias("x"))
         trees = self.table.select((F.col("tree") % tasks).cast("int").alias("task"), F.lit(0).alias("kind"),
                                   F.col("tree").cast("long").alias("row"), "path", *KINDS,
                                   F.lit(None).cast("array<double>").alias("x"))
@@ -239,7 +251,8 @@ class ForestModel:
         told = trees.unionByName(rows).repartition(tasks, "task").sortWithinPartitions("task", "kind").mapInArrow(
             run, "__row long, __sum double, __n long")
         sums = told.groupBy("__row").agg(F.try_divide(F.sum("__sum"), F.sum("__n")).alias(out))
-        return kept.join(sums, "__row", "left").drop("__row")
+        known = kept.join(sums, "__row", "left").drop("__row")
+        return df.join(known, names, "left").drop(*names)
 
 
 def followed(x: np.ndarray, tree: int, root: int, top: dict) -> np.ndarray:
@@ -313,6 +326,9 @@ def fit_forest(train: DataFrame, params: ForestParams, cols=S.FS18, y: str = S.T
         rows = rows.withColumn("w", repeats(F.col("tree").cast("long"), F.col("number"))).filter("w > 0")
     top: dict[tuple[int, int], tuple[int, float]] = {}
     total = base.count()
+    names = [f"x{i}" for i in range(width)]
+    if 0 < base.select(*names).distinct().count() <= HANDOVER:
+        return ForestModel(cols, written(grown_on_cells(base, params, width)), top, roots)
     while total > HANDOVER:
         big = rows.groupBy("tree", "path").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > HANDOVER)
         big = cut_lineage(big.select("tree", "path"))
@@ -351,6 +367,112 @@ def fit_forest(train: DataFrame, params: ForestParams, cols=S.FS18, y: str = S.T
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(params.trees, 200))
     made = rows.repartition(tasks, "tree", "path").sortWithinPartitions("tree", "path", "number").mapInArrow(
         run, "tree int, path long, " + ", ".join(f"{n} binary" for n in KINDS))
+    return ForestModel(cols, written(made), top, roots if total else {})
+
+
+def written(made: DataFrame) -> DataFrame:
+    """The table of subtrees, in the shared folder."""
+    spark = made.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/forest-{uuid.uuid4().hex}"
     made.write.parquet(path)
-    return ForestModel(cols, spark.read.schema(made.schema).parquet(path), top, roots if total else {})
+    return spark.read.schema(made.schema).parquet(path)
+
+
+#: Tasks, at most, that the trees are dealt to where each gets all cells.
+DEALT = 100
+#: Per cell: weight, weighted sum, least and largest label.
+SUMS = ("w", "wy", "low", "high")
+
+
+def cell_sums(number, y, starts, trees, random: bool) -> dict[str, np.ndarray]:
+    """Trees x cells: ``SUMS`` of rows whose cells begin at ``starts``."""
+    w = np.ones((1, len(y)), np.int64)
+    if not random:
+        u = draw(trees[:, None] + 1000, number[None, :])
+        w = sum((u >= int(share * PRIME)).astype(np.int64) for share in POISSON)
+    taken = w > 0
+    return {"w": np.add.reduceat(w, starts, 1).astype(np.float64), "wy": np.add.reduceat(w * y, starts, 1),
+            "low": np.minimum.reduceat(np.where(taken, y, np.inf), starts, 1),
+            "high": np.maximum.reduceat(np.where(taken, y, -np.inf), starts, 1)}
+
+
+def grown_on_cells(base: DataFrame, params: ForestParams, width: int) -> DataFrame:
+    """All trees, where rows of equal features are so few cells that a task can hold them.
+
+    Rows are dealt by their features; a task sums its cells for every tree as the rows
+    stream past.  Every task of the second step gets all cells and grows its share of trees.
+    """
+    random, count, seed = params.random, params.trees, params.seed
+    tasks, parts = min(count, DEALT), int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = [f"x{i}" for i in range(width)]
+    ways = {"w": np.add, "wy": np.add, "low": np.minimum, "high": np.maximum}
+    schema = "task int, tree int, part int, x binary, " + ", ".join(f"{n} binary" for n in SUMS)
+    fields = [f.split()[0] for f in schema.split(", ")]
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells, sums, part = [], {n: [] for n in SUMS}, None
+        trees = np.arange(count)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            part = batch.column("part")[0].as_py()
+            x = np.stack([batch.column(n).to_numpy() for n in names], 1)
+            starts = np.flatnonzero(np.append(True, (x[1:] != x[:-1]).any(1)))
+            made = cell_sums(batch.column("number").to_numpy(), batch.column("y").to_numpy(), starts, trees, random)
+            own = x[starts]
+            if cells and (cells[-1][-1] == own[0]).all():  # a cell goes on from the last batch
+                for n in SUMS:
+                    sums[n][-1][:, -1] = ways[n](sums[n][-1][:, -1], made[n][:, 0])
+                own, made = own[1:], {n: made[n][:, 1:] for n in SUMS}
+            if len(own):
+                cells.append(own)
+                for n in SUMS:
+                    sums[n].append(made[n])
+        if not cells:
+            return
+        matrix = np.concatenate(cells).tobytes()
+        sums = {n: np.concatenate(v, 1) for n, v in sums.items()}
+        for task in range(tasks):
+            rows = [(task, -1, part, matrix, *(sums[n][0].tobytes() if random else None for n in SUMS))]
+            if not random:
+                rows += [(task, t, part, None, *(sums[n][t].tobytes() for n in SUMS)) for t in range(task, count, tasks)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, pa.int32() if i < 3 else pa.binary()) for i, c in enumerate(zip(*rows, strict=True))], fields)
+
+    def grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def subtree(tree: int) -> pa.RecordBatch:
+            x = np.concatenate([np.frombuffer(m).reshape(-1, width) for m in matrix])
+            known = {n: np.concatenate([np.frombuffer(r[n]) for r in held]) for n in SUMS}
+            used = known["w"] > 0
+            path = int(draw(seed, tree))
+            made = grow_cells(x[used], *(known[n][used] for n in SUMS), path, random) if used.any() else None
+            return pa.RecordBatch.from_arrays(
+                [pa.array([tree] if made else [], pa.int32()), pa.array([path] if made else [], pa.int64()),
+                 *(pa.array([made[n].astype(k).tobytes()] if made else [], pa.binary()) for n, k in KINDS.items())],
+                ["tree", "path", *KINDS])
+
+        def of_group() -> Iterator[pa.RecordBatch]:
+            if random:
+                yield from map(subtree, range(group[0], count, tasks))
+            elif group[1] >= 0:
+                yield subtree(group[1])
+
+        group, matrix, held = None, [], []
+        for batch in batches:
+            for r in batch.to_pylist():
+                if group != (r["task"], r["tree"]):
+                    if held:
+                        yield from of_group()
+                    group, held = (r["task"], r["tree"]), []
+                    matrix = [] if group[1] < 0 else matrix
+                held.append(r)
+                if r["tree"] < 0:
+                    matrix.append(r["x"])
+        if held:
+            yield from of_group()
+
+    dealt = base.repartition(parts, *names).withColumn("part", F.spark_partition_id()).sortWithinPartitions(
+        *names, "number")
+    sums = dealt.mapInArrow(summed, schema)
+    return sums.repartition(tasks, "task").sortWithinPartitions("task", "tree", "part").mapInArrow(
+        grown, "tree int, path long, " + ", ".join(f"{n} binary" for n in KINDS))
