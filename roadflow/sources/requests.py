@@ -45,8 +45,13 @@ def decode_requests(df: DataFrame, text_col: str = "body", id_col: str = "reques
 
 
 def requests_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One request per ``events`` row, as JSON text with some fields omitted."""
-    return events_to_requests(load_table(spark, sf_dir, "events"))
+    """One request per ``events`` row, as JSON text with some fields omitted.
+
+    The narrow rows are dealt out first: a scan has as many tasks as the file has
+    splits, often one, and text, decoding and scoring would follow in them.
+    """
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return events_to_requests(load_table(spark, sf_dir, "events").repartition(tasks, "event_id"))
 
 
 def events_to_requests(ev: DataFrame) -> DataFrame:
