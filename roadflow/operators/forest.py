@@ -74,7 +74,7 @@ def packed(train: DataFrame, cols, y: str, row: str) -> DataFrame:
                                                      F.col(y).cast("double").alias("y"), *values)
 
 
-def random_splits(x, wy, w, starts, lens, paths, ranks=None) -> tuple[np.ndarray, np.ndarray]:
+def random_splits(x, wy, w, starts, lens, paths) -> tuple[np.ndarray, np.ndarray]:
     """(feature or -1, threshold) of every node; rows of a node lie together.  ``wy``: weighted labels."""
     low, high = np.minimum.reduceat(x, starts), np.maximum.reduceat(x, starts)
     share = np.stack([draw(paths, np.full(len(paths), 3 + f)) for f in range(x.shape[1])], 1) / PRIME
@@ -97,37 +97,91 @@ def first_best(score: np.ndarray) -> np.ndarray:
     return np.where(np.isfinite(top), np.argmax(near, axis=1), -1)
 
 
-def best_splits(x, wy, w, starts, lens, paths, ranks) -> tuple[np.ndarray, np.ndarray]:
-    """As :func:`random_splits`, with the best threshold of every feature; ``ranks`` are those of its values."""
-    node = np.repeat(np.arange(len(starts)), lens)
+@dataclass
+class Ranked:
+    """Columns as ranks of their distinct values; columns of one value, or in the order of an earlier one, never split."""
+    columns: np.ndarray
+    ranks: np.ndarray
+    values: list[np.ndarray]
+
+    @classmethod
+    def of(cls, x: np.ndarray) -> Ranked:
+        kept, ranks, values, met = [], [], [], set()
+        for f, column in enumerate(x.T):
+            found, rank = np.unique(column, return_inverse=True)
+            told = rank.tobytes()
+            if len(found) > 1 and told not in met:  # equal scores everywhere: ties go to the first
+                met.add(told)
+                kept.append(f)
+                ranks.append(rank)
+                values.append(found)
+        return cls(np.array(kept, np.int64), np.array(ranks, np.int64).reshape(len(kept), len(x)), values)
+
+    def chosen(self, rows: np.ndarray) -> Ranked:
+        return Ranked(self.columns, self.ranks[:, rows], self.values)
+
+
+def value_sums(node, rank, many: int, nodes: int, wy, w) -> tuple[np.ndarray, ...]:
+    """Node and rank of the distinct (node, rank), in order, with running sums of weights and weighted labels."""
+    if nodes * many <= 4 * len(node):
+        code = node * many + rank
+        weights, sums = np.bincount(code, w, nodes * many), np.bincount(code, wy, nodes * many)
+        met = np.flatnonzero(weights)
+        return met // many, met % many, np.cumsum(weights[met]), np.cumsum(sums[met])
+    bits, wide = len(node).bit_length(), many.bit_length()
+    # the row number rides in the sorted word
+    word = np.sort((node << (wide + bits)) | (rank << bits) | np.arange(len(node)))
+    order = word & ((1 << bits) - 1)
+    word >>= bits
+    last = np.flatnonzero(np.append(word[1:] != word[:-1], True))
+    word = word[last]
+    return word >> wide, word & ((1 << wide) - 1), np.cumsum(w[order])[last], np.cumsum(wy[order])[last]
+
+
+def best_splits(ranked: Ranked, rows, wy, w, starts, lens) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(feature or -1, threshold) of every node, the best of all features; also the split column of ``ranked`` and rank."""
+    count, node = len(starts), np.repeat(np.arange(len(starts)), lens)
     n, s = np.add.reduceat(w, starts), np.add.reduceat(wy, starts)
-    scores, cuts = np.full((len(starts), x.shape[1]), -np.inf), np.zeros((len(starts), x.shape[1]))
-    last = np.zeros(len(node), bool)
-    last[starts[1:] - 1] = True
-    last[-1] = True
-    for f in range(x.shape[1]):
-        value = x[:, f]
-        rank = ranks[:, f]
-        if rank.min() == rank.max():
+    shape = (count, len(ranked.columns))
+    scores, cuts, last = np.full(shape, -np.inf), np.zeros(shape), np.zeros(shape, np.int64)
+    for f, values in enumerate(ranked.values):
+        rank = ranked.ranks[f][rows]
+        varies = np.minimum.reduceat(rank, starts) < np.maximum.reduceat(rank, starts)
+        these = np.flatnonzero(varies)
+        if not len(these):
             continue
-        order = np.argsort(node * (int(rank.max()) + 1) + rank, kind="stable")
-        v, wo, so = value[order], np.cumsum(w[order]), np.cumsum(wy[order])
-        before = np.concatenate([[0], starts[1:] - 1])
-        base_n, base_s = wo[before], so[before]
-        base_n[0] = base_s[0] = 0
-        n_low, s_low = wo - base_n[node], so - base_s[node]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            score = s_low ** 2 / n_low + (s[node] - s_low) ** 2 / (n[node] - n_low) - s[node] ** 2 / n[node]
-        score[last | np.append(v[:-1] == v[1:], True)] = -np.inf
-        top = np.maximum.reduceat(score, starts)
-        hit = np.nonzero(score >= top[node] - np.abs(top[node]) * 1e-12)[0]
-        hit = hit[np.isfinite(score[hit])]
-        at_node, first = np.unique(node[hit], return_index=True)
-        at = hit[first]
-        scores[at_node, f] = top[at_node]
-        cuts[at_node, f] = (v[at] + v[at + 1]) / 2
-    feature = first_best(scores)
-    return feature, cuts[np.arange(len(cuts)), feature]
+        part = (node, rank, wy, w)
+        if 4 * lens[these].sum() < 3 * len(rows):
+            kept = np.repeat(varies, lens)
+            part = (np.repeat(np.arange(len(these)), lens[these]), rank[kept], wy[kept], w[kept])
+            at_node, at_rank, n_low, s_low = value_sums(part[0], part[1], len(values), len(these), part[2], part[3])
+            at_node = these[at_node]
+        else:
+            at_node, at_rank, n_low, s_low = value_sums(node, rank, len(values), count, wy, w)
+        ends = np.append(at_node[1:] != at_node[:-1], True)
+        met, done = at_node[ends], np.flatnonzero(ends)
+        base_n, base_s = np.zeros(count), np.zeros(count)  # running sums before each node
+        base_n[met[1:]], base_s[met[1:]] = n_low[done[:-1]], s_low[done[:-1]]
+        at = np.flatnonzero(~ends)
+        where = at_node[at]
+        below, above = at_rank[at], at_rank[at + 1]
+        n_low, s_low = n_low[at] - base_n[where], s_low[at] - base_s[where]
+        score = s_low ** 2 / n_low + (s[where] - s_low) ** 2 / (n[where] - n_low) - s[where] ** 2 / n[where]
+        first = np.flatnonzero(np.append(True, where[1:] != where[:-1]))
+        top = np.full(count, -np.inf)
+        top[where[first]] = np.maximum.reduceat(score, first)
+        hit = np.flatnonzero(score >= top[where] - np.abs(top[where]) * 1e-12)
+        hit = hit[np.append(True, where[hit[1:]] != where[hit[:-1]])]
+        split = where[hit]
+        low, high = values[below[hit]], values[above[hit]]
+        middle = (low + high) / 2
+        scores[split, f], last[split, f] = top[split], below[hit]
+        cuts[split, f] = np.where(middle < high, middle, low)  # neighbouring doubles have no middle
+    best = first_best(scores) if len(ranked.columns) else np.full(count, -1)
+    every = np.arange(count)
+    if not len(ranked.columns):
+        return best, np.zeros(count), best, np.zeros(count, np.int64)
+    return np.where(best >= 0, ranked.columns[best], -1), cuts[every, best], best, last[every, best]
 
 
 def grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, path: int, random: bool) -> dict[str, np.ndarray]:
@@ -135,9 +189,12 @@ def grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, path: int, random: bool) -
     return grow_cells(x, w, w * y, y, y, path, random)
 
 
-def grow_cells(x, w, wy, low, high, path: int, random: bool) -> dict[str, np.ndarray]:
-    """As :func:`grow`, on cells: rows of equal features with their weight, weighted sum, least and largest label."""
-    ranks = None if random else np.stack([np.unique(v, return_inverse=True)[1] for v in x.T], 1)
+def grow_cells(x, w, wy, low, high, path: int, random: bool, ranked: Ranked | None = None) -> dict[str, np.ndarray]:
+    """As :func:`grow`, on cells: rows of equal features with their weight, weighted sum, least and largest label.
+
+    ``ranked``: the ranks of ``x``, where they are known.
+    """
+    ranked = None if random else ranked or Ranked.of(x)
     rows, ids, paths = np.arange(len(w)), np.zeros(1, np.int64), np.array([path], np.int64)
     lens, made = np.array([len(w)]), 1
     all_feature, all_cut = np.full(1, -1, np.int64), np.zeros(1)
@@ -148,35 +205,38 @@ def grow_cells(x, w, wy, low, high, path: int, random: bool) -> dict[str, np.nda
         all_value[ids] = np.add.reduceat(sums, starts) / np.add.reduceat(ws, starts)
         mixed = np.minimum.reduceat(low[rows], starts) < np.maximum.reduceat(high[rows], starts)
         mixed &= lens > 1  # no threshold parts rows of equal features
-        f, t = np.full(len(ids), -1), np.zeros(len(ids))
-        if mixed.any():
-            keep = np.repeat(mixed, lens)
-            rows, sums, ws = rows[keep], sums[keep], ws[keep]
-            lens, ids, paths = lens[mixed], ids[mixed], paths[mixed]
-            starts = np.cumsum(lens) - lens
+        if not mixed.any():
+            break
+        keep = np.repeat(mixed, lens)
+        rows, sums, ws = rows[keep], sums[keep], ws[keep]
+        lens, ids, paths = lens[mixed], ids[mixed], paths[mixed]
+        starts = np.cumsum(lens) - lens
+        if random:
             xs = x[rows]
-            f, t = (random_splits if random else best_splits)(xs, sums, ws, starts, lens, paths,
-                                                              None if random else ranks[rows])
+            f, t = random_splits(xs, sums, ws, starts, lens, paths)
         else:
-            break
+            f, t, column, rank = best_splits(ranked, rows, sums, ws, starts, lens)
         split = f >= 0
+        if not split.any():
+            break
         keep = np.repeat(split, lens)
-        rows, xs = rows[keep], xs[keep]
+        rows = rows[keep]
         lens, ids, paths, f, t = lens[split], ids[split], paths[split], f[split], t[split]
-        if not len(ids):
-            break
         node = np.repeat(np.arange(len(ids)), lens)
-        right = xs[np.arange(len(rows)), f[node]] > t[node]
+        if random:
+            right = xs[keep][np.arange(len(rows)), f[node]] > t[node]
+        else:
+            right = ranked.ranks[column[split][node], rows] > rank[split][node]
         all_feature[ids], all_cut[ids] = f, t
         all_left[ids] = made + 2 * np.arange(len(ids))
         slot = 2 * node + right
-        order = np.argsort(slot, kind="stable")
-        rows = rows[order]
+        bits = len(rows).bit_length()
+        rows = rows[np.sort((slot << bits) | np.arange(len(rows))) & ((1 << bits) - 1)]
         lens = np.bincount(slot, minlength=2 * len(ids))
         ids = made + np.arange(2 * len(ids))
-        paths = np.stack([child(paths, 1), child(paths, 2)], 1).ravel()
-        made += len(ids)
         grown = len(ids)
+        paths = np.stack([child(paths, 1), child(paths, 2)], 1).ravel() if random else np.zeros(grown, np.int64)
+        made += grown
         all_feature = np.append(all_feature, np.full(grown, -1))
         all_cut, all_left = np.append(all_cut, np.zeros(grown)), np.append(all_left, np.full(grown, -1))
         all_value = np.append(all_value, np.zeros(grown))
@@ -248,8 +308,8 @@ class ForestModel:
                         [part.column("row"), pa.array(total), pa.array(np.full(len(x), len(trees)))],
                         ["__row", "__sum", "__n"])
 
-        told = trees.unionByName(rows).repartition(tasks, "task").sortWithinPartitions("task", "kind").mapInArrow(
-            run, "__row long, __sum double, __n long")
+        told = trees.unionByName(rows).repartitionById(tasks, F.col("task")).sortWithinPartitions(
+            "task", "kind").mapInArrow(run, "__row long, __sum double, __n long")
         sums = told.groupBy("__row").agg(F.try_divide(F.sum("__sum"), F.sum("__n")).alias(out))
         known = kept.join(sums, "__row", "left").drop("__row")
         return df.join(known, names, "left").drop(*names)
@@ -386,12 +446,12 @@ SUMS = ("w", "wy", "low", "high")
 
 def cell_sums(number, y, starts, trees, random: bool) -> dict[str, np.ndarray]:
     """Trees x cells: ``SUMS`` of rows whose cells begin at ``starts``."""
-    w = np.ones((1, len(y)), np.int64)
+    w = np.ones((1, len(y)), np.int8)
     if not random:
         u = draw(trees[:, None] + 1000, number[None, :])
-        w = sum((u >= int(share * PRIME)).astype(np.int64) for share in POISSON)
+        w = sum((u >= int(share * PRIME)).view(np.int8) for share in POISSON)
     taken = w > 0
-    return {"w": np.add.reduceat(w, starts, 1).astype(np.float64), "wy": np.add.reduceat(w * y, starts, 1),
+    return {"w": np.add.reduceat(w, starts, 1, np.float64), "wy": np.add.reduceat(w * y, starts, 1),
             "low": np.minimum.reduceat(np.where(taken, y, np.inf), starts, 1),
             "high": np.maximum.reduceat(np.where(taken, y, -np.inf), starts, 1)}
 
@@ -403,7 +463,8 @@ def grown_on_cells(base: DataFrame, params: ForestParams, width: int) -> DataFra
     stream past.  Every task of the second step gets all cells and grows its share of trees.
     """
     random, count, seed = params.random, params.trees, params.seed
-    tasks, parts = min(count, DEALT), int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = min(count, DEALT, max(24, 2 * parts))  # each of them gets all cells
     names = [f"x{i}" for i in range(width)]
     ways = {"w": np.add, "wy": np.add, "low": np.minimum, "high": np.maximum}
     schema = "task int, tree int, part int, x binary, " + ", ".join(f"{n} binary" for n in SUMS)
@@ -441,11 +502,15 @@ def grown_on_cells(base: DataFrame, params: ForestParams, width: int) -> DataFra
 
     def grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def subtree(tree: int) -> pa.RecordBatch:
-            x = np.concatenate([np.frombuffer(m).reshape(-1, width) for m in matrix])
+            nonlocal x, ranked
+            if x is None:  # the task's first tree
+                x = np.concatenate([np.frombuffer(m).reshape(-1, width) for m in matrix])
+                ranked = None if random else Ranked.of(x)
             known = {n: np.concatenate([np.frombuffer(r[n]) for r in held]) for n in SUMS}
             used = known["w"] > 0
             path = int(draw(seed, tree))
-            made = grow_cells(x[used], *(known[n][used] for n in SUMS), path, random) if used.any() else None
+            made = grow_cells(x[used], *(known[n][used] for n in SUMS), path, random,
+                              ranked and ranked.chosen(used)) if used.any() else None
             return pa.RecordBatch.from_arrays(
                 [pa.array([tree] if made else [], pa.int32()), pa.array([path] if made else [], pa.int64()),
                  *(pa.array([made[n].astype(k).tobytes()] if made else [], pa.binary()) for n, k in KINDS.items())],
@@ -457,14 +522,15 @@ def grown_on_cells(base: DataFrame, params: ForestParams, width: int) -> DataFra
             elif group[1] >= 0:
                 yield subtree(group[1])
 
-        group, matrix, held = None, [], []
+        group, matrix, held, x, ranked = None, [], [], None, None
         for batch in batches:
             for r in batch.to_pylist():
                 if group != (r["task"], r["tree"]):
                     if held:
                         yield from of_group()
                     group, held = (r["task"], r["tree"]), []
-                    matrix = [] if group[1] < 0 else matrix
+                    if group[1] < 0:
+                        matrix, x = [], None
                 held.append(r)
                 if r["tree"] < 0:
                     matrix.append(r["x"])
@@ -474,5 +540,5 @@ def grown_on_cells(base: DataFrame, params: ForestParams, width: int) -> DataFra
     dealt = base.repartition(parts, *names).withColumn("part", F.spark_partition_id()).sortWithinPartitions(
         *names, "number")
     sums = dealt.mapInArrow(summed, schema)
-    return sums.repartition(tasks, "task").sortWithinPartitions("task", "tree", "part").mapInArrow(
+    return sums.repartitionById(tasks, F.col("task")).sortWithinPartitions("task", "tree", "part").mapInArrow(
         grown, "tree int, path long, " + ", ".join(f"{n} binary" for n in KINDS))
