@@ -24,7 +24,8 @@ Keys whose sets are then all connected are done: a group of copies costs one che
 member.  In the others the sets of different components are compared.  Few sets meet in
 a join.  More are compared by their sketches inside tasks, tile by tile, and only pairs
 that the sketches do not reject leave a task: in one pass each set's closest, which are
-verified and connected, in the next all that are then still apart.  So each pair with a
+verified and connected, in the next all that are then still apart.  A pair leaves in the
+first of the keys that both sets have, once.  So each pair with a
 common key is rejected by its sketches, verified, or already connected.  Equal sets are
 one set.
 
@@ -288,12 +289,27 @@ def connected(edges: DataFrame) -> DataFrame:
     return cut_lineage(components(edges).select(F.col("node").alias("sid"), "root"))
 
 
+def earlier_keys(key: int, lists: list[list[int]]) -> np.ndarray:
+    """Rows x words: a bit for every key before ``key`` that several of the sorted ``lists`` have."""
+    kept = [np.array(x, np.int64) for x in lists]
+    kept = [x[x < key] for x in kept]
+    row = np.repeat(np.arange(len(kept)), [len(x) for x in kept])
+    _, number, count = np.unique(np.concatenate(kept), return_inverse=True, return_counts=True)
+    shared = count[number] > 1
+    place = (np.cumsum(count > 1) - 1)[number[shared]]
+    out = np.zeros((len(kept), max(1, -(-int((count > 1).sum()) // 64))), np.uint64)
+    np.bitwise_or.at(out, (row[shared], place // 64), np.uint64(1) << (place % 64).astype(np.uint64))
+    return out
+
+
 def tile_pairs(percent: int, closest: bool):
-    """Plausible (pivot, sid) of rows (key, one, two, side, sid, root, size, fold), a tile pair's rows together.
+    """Plausible (pivot, sid) of rows (key, one, two, side, sid, root, size, fold, keys), a tile pair's rows together.
 
-    ``closest``: of each set only the pair with least distance.
+    ``closest``: of each set only the pair with least distance.  ``keys``: all keys that the
+    set is compared in; a pair is left to the first key that both have, before the closest is
+    chosen: a set with a linked partner names one at least.
     """
-    def made(rows: list[tuple], two: bool) -> tuple[list, list]:
+    def made(key: int, rows: list[tuple], two: bool) -> tuple[np.ndarray, np.ndarray]:
         sides, sids, roots, sizes = (np.array([r[i] for r in rows], np.int64) for i in range(4))
         least = min(len(r[4]) for r in rows) // 8
         folds = np.empty((len(rows), least), np.uint64)
@@ -302,7 +318,8 @@ def tile_pairs(percent: int, closest: bool):
             while len(fold) > least:
                 fold = fold[:len(fold) // 2] ^ fold[len(fold) // 2:]
             folds[i] = fold
-        left, right = [], []
+        before = earlier_keys(key, [r[5] for r in rows])
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         every = np.arange(len(rows))
         for i in every if closest else every[sides == 0]:
             j = every[sides != sides[i]] if two else every if closest else every[i + 1:]
@@ -310,29 +327,30 @@ def tile_pairs(percent: int, closest: bool):
             j = j[(roots[j] != roots[i]) & (low * 100 >= (total - low) * percent)]
             gap = np.bitwise_count(folds[j] ^ folds[i]).sum(1, dtype=np.int64)
             near = gap * (100 + percent) <= (sizes[i] + sizes[j]) * (100 - percent)
+            near[near] = ~(before[j[near]] & before[i]).any(1)
             j, gap = j[near], gap[near]
             if closest and len(j):
                 j = j[np.argmin(gap):][:1]
             left.append(np.minimum(sids[i], sids[j]))
             right.append(np.maximum(sids[i], sids[j]))
-        return left, right
+        pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)]), axis=1)  # two may name each other
+        return pairs[0], pairs[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> Iterator[pa.RecordBatch]:
-            left, right = made(rows, group[1] != group[2])
-            if left:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (left, right)],
-                                                 ["pivot", "sid"])
+            pairs = made(group[0], rows, group[1] != group[2])
+            if len(pairs[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], ["pivot", "sid"])
 
         group, rows = None, []
         for batch in batches:
             for i in range(batch.num_rows):
-                *at, side, sid, root, size, fold = (c[i].as_py() for c in batch.columns)
+                *at, side, sid, root, size, fold, keys = (c[i].as_py() for c in batch.columns)
                 if at != group:
                     if rows:
                         yield from out()
                     group, rows = at, []
-                rows.append((side, sid, root, size, fold))
+                rows.append((side, sid, root, size, fold, keys))
         if rows:
             yield from out()
 
@@ -353,11 +371,15 @@ def crossing(rows: DataFrame, some: DataFrame, edges: DataFrame, percent: int, c
         F.least("size", "size2") * 100 >= F.greatest("size", "size2") * percent).select(
         "pivot", "sid", ((F.col("size") + F.col("size2")) * (100 - percent)).alias("slack")).distinct()
     tiles = F.ceil(F.col("met") / MEMBERS).cast("int")
-    many = rooted.filter(F.col("met") > FEW).withColumn("mine", F.pmod(F.xxhash64("sid"), tiles).cast("int"))
+    # short keys, as a set's travel with it; the sets of keys that become equal are compared together
+    many = rooted.filter(F.col("met") > FEW).select(F.hash("key").alias("key"), "sid", "root", "size").distinct()
+    known = many.groupBy("sid").agg(F.sort_array(F.collect_list("key")).alias("keys")).join(
+        some.select("sid", "fold"), "sid")
+    many = many.withColumn("met", F.count(F.lit(1)).over(of_key)).withColumn("mine", F.pmod(F.xxhash64("sid"), tiles).cast("int"))
     many = many.withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
-    many = many.join(some.select("sid", "fold"), "sid").select(
+    many = many.join(known, "sid").select(
         "key", F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two"),
-        (F.col("mine") > F.col("other")).cast("int").alias("side"), "sid", "root", "size", "fold")
+        (F.col("mine") > F.col("other")).cast("int").alias("side"), "sid", "root", "size", "fold", "keys")
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tiled = many.repartition(tasks, "key", "one", "two").sortWithinPartitions("key", "one", "two").mapInArrow(
         tile_pairs(percent, closest), "pivot long, sid long")
