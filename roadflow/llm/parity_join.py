@@ -46,8 +46,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadflow.llm.shared import components, map_texts, quoted, slices, written
-from roadflow.operators.broadcast import bounded_broadcast
-from roadflow.session import cut_lineage
+from roadflow.operators.broadcast import MAX_BROADCAST_ROWS
 
 SHINGLE_WORDS = 4
 #: Linked at this share of common shingles, in percent.
@@ -153,6 +152,12 @@ def set_id(hashes: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63)
 
 
+def small(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written, and broadcast where its counted rows are few enough."""
+    kept = written(df, name)
+    return F.broadcast(kept) if kept.count() <= MAX_BROADCAST_ROWS else kept
+
+
 def with_sets(docs: DataFrame, id_col: str, text: str, shingle: int, percent: int) -> DataFrame:
     """(id, tag, sid, n_shingles, keys, fold) of every row; copies met again by a task carry no keys.
 
@@ -257,7 +262,7 @@ def verified(pairs: DataFrame, hashes: DataFrame, percent: int) -> DataFrame:
     members = pairs.join(parts, "pivot").select(
         "pivot", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("member"), "sid")
     tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    roles = bounded_broadcast(whole.union(members))  # numbers only; sets move to their pivots once
+    roles = small(whole.union(members), "parity-roles")  # numbers only; sets move to their pivots once
     rows = hashes.join(roles, "sid").select("pivot", "part", "member", "sid", "hashes")
     return rows.repartition(tasks, "pivot", "part").sortWithinPartitions("pivot", "part", "member").mapInArrow(
         intersect(percent), "a long, b long").distinct()
@@ -272,7 +277,7 @@ def whole_sets(docs: DataFrame, sets: DataFrame, pairs: DataFrame, id_col: str,
     wanted = pairs.select("sid").union(pairs.select(F.col("pivot").alias("sid"))).distinct()
     chosen = sets.filter("keys IS NOT NULL").join(wanted, "sid").select(
         F.col(quoted(id_col)).alias("__low"), F.col("tag").alias("__tag"), "sid").dropDuplicates(["sid"])
-    chosen = bounded_broadcast(chosen)  # a few numbers a row; texts move where they are too many to send
+    chosen = small(chosen, "parity-texts")  # a few numbers a row; texts move where they are too many to send
     same = F.col("__id").eqNullSafe(F.col("__low")) & (F.col("tag") == F.col("__tag"))
     texts = tagged(docs, id_col, text).join(chosen, same).select("sid", "__t")
 
@@ -286,7 +291,7 @@ def whole_sets(docs: DataFrame, sets: DataFrame, pairs: DataFrame, id_col: str,
 
 def connected(edges: DataFrame) -> DataFrame:
     """(sid, root) of the sets that an edge names."""
-    return cut_lineage(components(edges).select(F.col("node").alias("sid"), "root"))
+    return written(components(edges).select(F.col("node").alias("sid"), "root"), "parity-roots")
 
 
 def earlier_keys(key: int, lists: list[list[int]]) -> np.ndarray:
@@ -357,68 +362,68 @@ def tile_pairs(percent: int, closest: bool):
     return run
 
 
-def crossing(rows: DataFrame, some: DataFrame, edges: DataFrame, percent: int, closest: bool) -> DataFrame:
-    """Plausible (pivot, sid) pairs of sets with a common key that ``edges`` do not connect."""
-    roots = connected(edges)
-    of_key = Window.partitionBy("key")
-    rooted = rows.select("key", "sid", "size").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    rooted = rooted.distinct().withColumn("low", F.min("root").over(of_key)).withColumn(
+def crossing(rows: DataFrame, some: DataFrame, roots: DataFrame, percent: int, closest: bool) -> DataFrame:
+    """Plausible (pivot, sid) pairs of sets with a common key that have different ``roots``."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    of_key, of_set = Window.partitionBy("key"), Window.partitionBy("sid")
+    # short keys, as a set's travel with it; the sets of keys that become equal are compared together
+    rooted = rows.select(F.hash("key").alias("key"), "sid", "size").join(roots, "sid", "left").withColumn(
+        "root", F.coalesce("root", "sid"))
+    rooted = rooted.repartition(tasks, "key").distinct().withColumn("low", F.min("root").over(of_key)).withColumn(
         "high", F.max("root").over(of_key)).withColumn("met", F.count(F.lit(1)).over(of_key)).filter("low != high")
-    rooted = cut_lineage(rooted.select("key", "sid", "root", "size", "met"))
+    rooted = written(rooted.select("key", "sid", "root", "size", "met"), "parity-rooted")
     few = rooted.filter(F.col("met") <= FEW)
     other = few.select("key", F.col("sid").alias("pivot"), F.col("root").alias("root2"), F.col("size").alias("size2"))
     pairs = few.join(other, "key").filter("pivot < sid AND root != root2").filter(
         F.least("size", "size2") * 100 >= F.greatest("size", "size2") * percent).select(
         "pivot", "sid", ((F.col("size") + F.col("size2")) * (100 - percent)).alias("slack")).distinct()
     tiles = F.ceil(F.col("met") / MEMBERS).cast("int")
-    # short keys, as a set's travel with it; the sets of keys that become equal are compared together
-    many = rooted.filter(F.col("met") > FEW).select(F.hash("key").alias("key"), "sid", "root", "size").distinct()
-    known = many.groupBy("sid").agg(F.sort_array(F.collect_list("key")).alias("keys")).join(
-        some.select("sid", "fold"), "sid")
-    many = many.withColumn("met", F.count(F.lit(1)).over(of_key)).withColumn("mine", F.pmod(F.xxhash64("sid"), tiles).cast("int"))
-    many = many.withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
-    many = many.join(known, "sid").select(
+    many = rooted.filter(F.col("met") > FEW).withColumn("keys", F.sort_array(F.collect_list("key").over(of_set))).join(
+        some, "sid")
+    many = many.withColumn("mine", F.pmod(F.xxhash64("sid"), tiles).cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), tiles - 1))).select(
         "key", F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two"),
         (F.col("mine") > F.col("other")).cast("int").alias("side"), "sid", "root", "size", "fold", "keys")
-    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tiled = many.repartition(tasks, "key", "one", "two").sortWithinPartitions("key", "one", "two").mapInArrow(
         tile_pairs(percent, closest), "pivot long, sid long")
-    return cut_lineage(plausible(pairs, some, percent).union(tiled).distinct())
+    return written(plausible(pairs, some, percent).union(tiled).distinct(), "parity-pairs")
 
 
 def links(docs: DataFrame, sets: DataFrame, id_col: str, text: str, shingle: int = SHINGLE_WORDS,
           percent: int = PERCENT) -> DataFrame:
-    """Verified edges (a, b) between sets that connect whatever links."""
+    """(sid, root) of all sets that link with another; a link is verified on whole sets."""
     def checked(pairs: DataFrame) -> DataFrame:
         return verified(pairs, whole_sets(docs, sets, pairs, id_col, text, shingle), percent)
 
     # a set that several tasks met comes several times here
     keyed = sets.filter("keys IS NOT NULL AND n_shingles > 0").select(
         "sid", F.col("n_shingles").cast("int").alias("size"), "keys", "fold")
-    rows = cut_lineage(shared_keys(keyed))
-    some = cut_lineage(keyed.select("sid", "fold").join(rows.select("sid").distinct(), "sid").dropDuplicates(["sid"]))
-    edges = cut_lineage(checked(cut_lineage(plausible(first_pairs(rows, percent), some, percent))))
+    rows = written(shared_keys(keyed), "parity-rows")
+    some = written(keyed.select("sid", "fold").join(rows.select("sid").distinct(), "sid").dropDuplicates(["sid"]),
+                   "parity-folds")
+    roots = connected(checked(written(plausible(first_pairs(rows, percent), some, percent), "parity-pairs")))
     for closest in (True, False):
-        rest = crossing(rows, some, edges, percent, closest)
+        rest = crossing(rows, some, roots, percent, closest)
         if rest.isEmpty():
             break
-        edges = cut_lineage(edges.union(checked(rest)).distinct())
+        # the links found before stand as their stars
+        roots = connected(checked(rest).union(roots.select(F.col("root").alias("a"), F.col("sid").alias("b"))))
         # a set without a plausible partner has none in the next pass either
-        left = cut_lineage(rest.select("sid").union(rest.select(F.col("pivot").alias("sid"))).distinct())
-        rows = rows.join(bounded_broadcast(left), "sid")
-    return edges
+        left = rest.select("sid").union(rest.select(F.col("pivot").alias("sid"))).distinct()
+        rows = rows.join(small(left, "parity-left"), "sid")
+    return roots
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE_WORDS,
                     percent: int = PERCENT) -> DataFrame:
     """One row per document: id, ``n_shingles``, ``component_id``."""
     sets = written(with_sets(docs, id_col, text, shingle, percent), "parity-keys")
-    roots = connected(links(docs, sets, id_col, text, shingle, percent))
+    roots = links(docs, sets, id_col, text, shingle, percent)
     own = F.col(quoted(id_col))
     rows = sets.select(own, "sid", "n_shingles")
     low = rows.filter("n_shingles > 0").groupBy("sid").agg(F.min(own).alias("low"))
     rooted = low.join(roots, "sid", "left").select("sid", F.coalesce("root", "sid").alias("root"), "low")
     named = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    classes = cut_lineage(rooted.join(named, "root").select("sid", "component_id"))
+    classes = written(rooted.join(named, "root").select("sid", "component_id"), "parity-classes")
     return rows.join(classes, "sid", "left").select(
         own, "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(own).alias("component_id"))

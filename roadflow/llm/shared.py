@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from roadflow.session import cut_lineage, ensure_checkpoint_dir
+from roadflow.session import ensure_checkpoint_dir
 
 #: Texts that a Python task holds as objects at a time.
 SLICE_ROWS = 1024
@@ -117,34 +117,33 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     ``root`` is the smallest node of the component.  Alternates large-star and
     small-star steps until the edge set is a forest of stars; each step is a
-    grouped minimum (combined before the shuffle) and an equality join, and its
-    result is checkpointed.  Edges never leave the executors.
+    grouped minimum (combined before the shuffle) and an equality join.  The
+    edges of a round are written, so that small ones take few tasks to read
+    again.  Edges never leave the executors.
     """
-    def step(e: DataFrame, large: bool) -> DataFrame:
-        if large:
-            both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(
-                e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        else:  # each node with its smaller neighbours
-            both = e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    def step(e: DataFrame) -> DataFrame:
+        ends = F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")),
+                       F.struct(F.col("b").alias("u"), F.col("a").alias("v")))
+        both = e.select(F.inline(ends))  # large star: of every node its larger neighbours
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        hooked = both.join(low, "u")
-        if large:
-            made = hooked.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        else:
-            made = hooked.select(F.col("v").alias("a"), F.col("m").alias("b")).union(
-                low.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        return made.filter("a != b").distinct()
-
-    def digest(e: DataFrame):
-        return e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-
-    now = cut_lineage(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
-                      .filter("a != b").distinct())
-    seen = digest(now)
-    while seen[0]:
-        now = cut_lineage(step(step(now, True), False))
-        last, seen = seen, digest(now)
-        if last == seen:
-            break
+        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = large.repartition("u").distinct()  # small star: of every node its smaller neighbours, all in one place
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        made = F.array(F.struct(F.col("v").alias("a"), F.col("m").alias("b")),
+                       F.struct(F.col("u").alias("a"), F.col("m").alias("b")))
+        return large.join(low, "u").select(F.inline(made)).filter("a != b").distinct()
+
+    def stars(e: DataFrame) -> bool:
+        """Whether every larger end has one edge only."""
+        ends = F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("larger")),
+                       F.struct(F.col("b").alias("node"), F.lit(0).alias("larger")))
+        counted = e.select(F.inline(ends)).groupBy("node").agg(
+            F.sum("larger").alias("larger"), F.count(F.lit(1)).alias("edges"))
+        return counted.filter("larger > 0 AND edges > 1").isEmpty()
+
+    now = written(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
+                  .filter("a != b").distinct(), "edges")
+    while not stars(now):
+        now = written(step(now), "edges")
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
