@@ -18,7 +18,8 @@ Euclidean distances (summed feature by feature, left to right) and keeps the
 ``k`` best by (distance, train id).  Distances are compared
 to ``DIGITS`` places, so that engines which differ in the last bits agree.  Only
 candidates leave the task; the final top-k per query is taken over at most ``k``
-rows a visited block.  No candidate is capped.
+rows a visited block.  No candidate is capped.  Steps that compute distances are dealt
+out by the number of these, as few bytes may make many.
 
 The index (``knn_index_candidates``) has as many cells as the square root of the
 sites, under as many roots as the square root of the cells.  A site goes to the
@@ -46,6 +47,8 @@ CAND_SCHEMA = "qid long, tid long, dist double, y double"
 CELLS = 256
 #: Roots below which the index looks for cells, and cells that a query visits.
 ROOT_PROBES, PROBES = 4, 12
+#: Distances that a task computes, about.
+TASK_DISTANCES = 250_000_000
 #: Decimal places to which squared distances are compared.
 DIGITS = 6
 
@@ -130,17 +133,25 @@ def _visit(cols, centres: np.ndarray, radius: np.ndarray, count: np.ndarray, k:
     return run
 
 
+def _dealt(df: DataFrame, distances: int, *keys: str) -> DataFrame:
+    """Rows spread by ``keys`` over as many tasks as so many distances take; AQE would merge them by their bytes."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(tasks, math.ceil(distances / TASK_DISTANCES)), *keys)
+
+
 def _with_cell(df: DataFrame, run, *more: T.StructField) -> DataFrame:
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("_cell", T.IntegerType()), *more]))
 
 
 def _exact(sites: DataFrame, asked: DataFrame, cols, k: int, block_rows: int, cells: int | None = None) -> DataFrame:
     """Exact ``k`` nearest sites of every asked vector, by (distance, site)."""
-    cells = cells or max(CELLS, math.isqrt(sites.count()))
+    n, m = sites.count(), asked.count()
+    cells = cells or max(CELLS, math.isqrt(n))
     centres = _sample(sites, cols, cells)
     if not len(centres):
         return asked.sparkSession.createDataFrame([], CAND_SCHEMA + ", rank int")
     away = T.StructField("_dist", T.DoubleType())
+    sites, asked = _dealt(sites, n * len(centres), "_tid"), _dealt(asked, m * len(centres), "_qid")
     t = cut_lineage(_with_cell(sites, _assign(cols, centres), away))
     stats = t.groupBy("_cell").agg(F.max("_dist").alias("r"), F.count(F.lit(1)).alias("n")).collect()
     radius, count = np.zeros(len(centres)), np.zeros(len(centres), np.int64)
@@ -151,7 +162,8 @@ def _exact(sites: DataFrame, asked: DataFrame, cols, k: int, block_rows: int, ce
     own = cut_lineage(_with_cell(asked, _assign(cols, centres), away).drop("_dist"))
     reach = _ranked(t, own, cols, k, count.tolist(), block_rows).where(F.col("rank") == k).select(
         F.col("qid").alias("_qid"), F.sqrt(F.col("dist") + 10.0 ** -DIGITS).alias("_reach"))
-    q = cut_lineage(_with_cell(asked.join(reach, "_qid", "left"), _visit(cols, centres, radius, count, k)).drop("_reach"))
+    bounded = _dealt(asked.join(reach, "_qid", "left"), m * len(centres), "_qid")
+    q = cut_lineage(_with_cell(bounded, _visit(cols, centres, radius, count, k)).drop("_reach"))
     return _ranked(t, q, cols, k, count.tolist(), block_rows)
 
 
@@ -225,6 +237,8 @@ def _ranked(t: DataFrame, q: DataFrame, cols, k: int, count: list[int], block_ro
     q = q.withColumn("_qb", F.pmod(F.xxhash64("_qid"), qb).cast("int")).withColumn(
         "_tb", F.explode(F.sequence(F.lit(0), tb - 1)))
     group = ["_cell", "_tb", "_qb"]
+    distances = sum(n * asked.get(c, 0) for c, n in enumerate(count))
+    q, t = _dealt(q, distances, *group), _dealt(t, distances, *group)
     cand = q.groupBy(*group).cogroup(t.groupBy(*group)).applyInPandas(_topk_kernel(cols, k), CAND_SCHEMA)
     w = Window.partitionBy("qid").orderBy("dist", "tid")
     return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -283,11 +297,12 @@ def _indexed(k: int, cols, block_rows: int, probes: int):
         if not n:
             return asked.sparkSession.createDataFrame([], CAND_SCHEMA + ", rank int")
         tree = CellTree(_sample(t, cols, math.isqrt(n - 1) + 1))
-        tc = cut_lineage(_with_cell(t, _to_cells(cols, tree, 1)))
+        near = 2 * PROBES * math.isqrt(len(tree.centres))  # roots, and centres below those looked at
+        tc = cut_lineage(_with_cell(_dealt(t, n * near, "_tid"), _to_cells(cols, tree, 1)))
         count = [0] * len(tree.centres)
         for r in tc.groupBy("_cell").agg(F.count(F.lit(1)).alias("n")).collect():  # one row per cell
             count[r["_cell"]] = r["n"]
-        visits = cut_lineage(_with_cell(asked, _to_cells(cols, tree, probes)))
+        visits = cut_lineage(_with_cell(_dealt(asked, asked.count() * near, "_qid"), _to_cells(cols, tree, probes)))
         found = cut_lineage(_ranked(tc, visits, cols, k, count, block_rows))
         held = sites.select(F.col("_tid").alias("tid"), F.size("_rows").alias("held"))
         least = min(k, sites.agg(F.sum(F.size("_rows").cast("long"))).first()[0])
