@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import partial
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
@@ -28,8 +29,9 @@ from roadflow import schema as S
 from roadflow.operators import evaluate as Ev
 from roadflow.operators.features import display_name
 from roadflow.operators.forest import ForestModel, ForestParams, fit_forest
-from roadflow.operators.histboost import BoostedModel, Params, fit_boosted
+from roadflow.operators.histboost import Binned, BoostedModel, Params, fit_boosted
 from roadflow.operators.scaling import fit_scaler
+from roadflow.session import side_by_side
 
 LABEL = "label"
 
@@ -126,10 +128,13 @@ def fit_state(train: DataFrame, cols, y: str = S.TARGET) -> tuple[dict, dict]:
 
 
 def fit_model(train: DataFrame, spec: ModelSpec, cols=S.FS18, y: str = S.TARGET,
-              ctx: dict | None = None, stats: dict | None = None) -> PipelineModel | BoostedModel | ForestModel:
-    """Fit scaler + assembler + estimator on ``train``; boosted models and forests need no scaler."""
+              ctx: dict | None = None, stats: dict | None = None,
+              known: Binned | None = None) -> PipelineModel | BoostedModel | ForestModel:
+    """Fit scaler + assembler + estimator on ``train``; boosted models and forests need no scaler.
+
+    ``known``: the cells of a boosted model, if made before."""
     if isinstance(spec.build, Params):
-        return fit_boosted(train, spec.build, cols, y)
+        return fit_boosted(train, spec.build, cols, y, known=known)
     if isinstance(spec.build, ForestParams):
         return fit_forest(train, spec.build, cols, y)
     stages = []
@@ -171,12 +176,14 @@ def run_benchmark(test: DataFrame, fits, y: str = S.TARGET) -> DataFrame:
     ``predicted`` to a frame of features.
     """
     spark = test.sparkSession
-    frames, times = [], []
-    for name, category, predictor, seconds in fits:
-        times.append((name, category, round(seconds, 3)))
-        scored = predictor(test).select(
-            F.lit(name).alias("model"), "split", F.col(y).cast("double").alias("actual"), "predicted")
-        frames.append(Ev.evaluate(scored))
+
+    def evaluated(name, predictor) -> DataFrame:
+        return Ev.evaluate(predictor(test).select(
+            F.lit(name).alias("model"), "split", F.col(y).cast("double").alias("actual"), "predicted"))
+
+    # predictors may run jobs of their own
+    frames = side_by_side(spark, [partial(evaluated, name, predictor) for name, _, predictor, _ in fits])
+    times = [(name, category, round(seconds, 3)) for name, category, _, seconds in fits]
     metrics = Ev.union_metrics(frames).withColumnRenamed("model", "Model")
     t = spark.createDataFrame(times, "Model string, Category string, Time double")
     return metrics.join(F.broadcast(t), "Model").select(

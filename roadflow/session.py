@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -62,3 +65,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder (survives lost executors)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def side_by_side(spark: SparkSession, calls: list[Callable]) -> list:
+    """Results of ``calls`` in their order; each runs its jobs from a thread of its own, as MLlib's tuning does."""
+    if len(calls) < 2:
+        return [call() for call in calls]
+    with ThreadPoolExecutor(len(calls)) as pool:
+        begun = [pool.submit(inheritable_thread_target(spark)(call)) for call in calls]
+    return [b.result() for b in begun]
