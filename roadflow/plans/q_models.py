@@ -25,7 +25,7 @@ from roadflow.operators.neighbours import knn_predict
 from roadflow.plans.catalog import register
 from roadflow.plans.common import events_feat, events_obs
 from roadflow.plans.q_features import requests
-from roadflow.session import side_by_side
+from roadflow.session import cut_lineage, side_by_side
 
 _CACHE: dict = {}
 
@@ -70,7 +70,7 @@ def fitted(spark, sf, name):
 
 
 def fit_together(spark, sf, train, names, beside):
-    """(model, fit seconds) by name, and what ``beside()`` gives; the models share one copy of the train rows.
+    """(model, fit seconds) by name, and ``beside(train rows)``; all share one copy of the train rows.
 
     Fits that keep few cores busy run side by side, and ``beside`` with them; then the forests,
     whose tasks fill the executors.  Seconds are from a fit's start to its end, with its waits
@@ -93,7 +93,7 @@ def fit_together(spark, sf, train, names, beside):
                 _CACHE[keys[name]] = timed(made, rows)
 
         few = [partial(fit, name) for name in boosted + [n for n in new if n not in boosted + filling]]
-        found = side_by_side(spark, [beside, *few])[0]
+        found = side_by_side(spark, [partial(beside, rows), *few])[0]
         side_by_side(spark, [partial(fit, name) for name in filling])
     return {name: _CACHE[key] for name, key in keys.items()}, found
 
@@ -148,8 +148,10 @@ def q_model_benchmark(spark, sf):
 
     The fits share one split and run side by side, so their seconds hold waits for each other."""
     train, test = split_frames(spark, sf, index=True)
+    # every model's scores begin at these rows, not at the split
+    test = cut_lineage(test.select("split", "row_idx", S.TARGET, *S.FS18))
     names = [name for name in BENCHMARKED if name != "KNN (k=10)"]
-    models, near = fit_together(spark, sf, train, names, lambda: knn_predict(train, test, S.FS18, k=10, scale=True))
+    models, near = fit_together(spark, sf, train, names, lambda rows: knn_predict(rows, test, S.FS18, k=10, scale=True))
 
     def linked(name):
         if name == "KNN (k=10)":

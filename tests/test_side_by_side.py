@@ -40,7 +40,7 @@ def test_fits_overlap(spark, sf_small, small, monkeypatch):
     monkeypatch.setattr(M, "fit_model", lambda train, spec: (met.wait(), spec.name)[1])
     train, _ = Q.split_frames(spark, sf_small)
     names = ["Linear Regression", "Ridge Regression"]
-    models, beside = Q.fit_together(spark, sf_small, train, names, lambda: met.wait() >= 0)
+    models, beside = Q.fit_together(spark, sf_small, train, names, lambda rows: met.wait() >= 0)
     assert beside and {n: m for n, (m, _) in models.items()} == {n: n for n in names}
 
 
@@ -48,14 +48,14 @@ def test_models_share_a_binning_and_equal_those_fitted_alone(spark, sf_small, sm
     asked = []
     monkeypatch.setattr(H, "fit_edges", lambda *a, of=H.fit_edges: (asked.append(1), of(*a))[1])
     train, test = Q.split_frames(spark, sf_small)
-    models, near = Q.fit_together(spark, sf_small, train, list(SMALL), lambda: "beside")
-    assert near == "beside" and len(asked) == 1
+    models, near = Q.fit_together(spark, sf_small, train, list(SMALL), lambda rows: rows.count())
+    assert near == train.count() and len(asked) == 1
     for name, params in SMALL.items():
         alone = H.fit_boosted(train, params)
         assert [r[:5] for r in models[name][0].trees.rows()] == [r[:5] for r in alone.trees.rows()]
         assert models[name][1] > 0
     # fitted models are kept
-    again, _ = Q.fit_together(spark, sf_small, train, list(SMALL), lambda: None)
+    again, _ = Q.fit_together(spark, sf_small, train, list(SMALL), lambda rows: None)
     assert all(again[n] is models[n] for n in SMALL)
 
 
