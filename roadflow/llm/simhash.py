@@ -99,7 +99,9 @@ def links(fps: DataFrame, fp: str = "fp", max_bits: int = MAX_BITS) -> DataFrame
         for start, size in SEGMENTS for bit in range(size)))
     # as many tasks as a shuffle has: every row becomes 64
     tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = fps.repartition(tasks, fp).select(F.col(fp).alias("v"), F.explode(keys).alias("k"))
+    # Spark takes the 64 rows of a fingerprint for one: without the hint, which every join on the key has, it would
+    # broadcast keys of some 400,000 fingerprints, taken for less than 10 MB, through the driver.
+    keyed = fps.repartition(tasks, fp).select(F.col(fp).alias("v"), F.explode(keys).alias("k")).hint("merge")
     pivots = keyed.groupBy("k").agg(F.min("v").alias("p"))
 
     def linked(x: str, y: str) -> Column:
