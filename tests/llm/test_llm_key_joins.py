@@ -43,3 +43,11 @@ def test_pipeline_stage_broadcasts_no_key(docs, plans):
     prints = {r.doc_id: r.fp for r in simhash.with_fingerprint(docs, "text", ["doc_id"]).collect()}
     near = {i for i in range(0, 120, 2) if bin((prints[i] ^ prints[i + 1]) & (1 << 64) - 1).count("1") <= simhash.MAX_BITS}
     assert near and kept == {*range(0, 120, 2), *(i + 1 for i in range(0, 120, 2) if i not in near)}
+
+
+def test_op3_broadcasts_no_key(docs, plans):
+    found = {r.doc_id: (r.fp, r.component_id) for r in simhash.near_duplicates(docs).collect()}
+    assert len(keyed(plans)) == 1 and "BroadcastExchange" not in keyed(plans)[0]
+    for i in range(0, 120, 2):
+        near = bin((found[i][0] ^ found[i + 1][0]) & (1 << 64) - 1).count("1") <= simhash.MAX_BITS
+        assert found[i][1] == i and found[i + 1][1] == (i if near else i + 1)
